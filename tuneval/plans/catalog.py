@@ -30,6 +30,11 @@ def d_fence(x: str) -> str:
     return d_trim(f"regexp_replace({d_trim(x)}, '(?m)^```json\\s*|```$', '', 'g')")
 
 
+def sq(s: str) -> str:
+    """DuckDB string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,3 +81,7 @@ def json_judge_rates(spark, sf_dir):
     """F3b + F1 + F10 + I3: validity, key compliance and exact-match rate per checkpoint."""
     items = fx.json_items(spark, sf_dir)
     return jsonq.judge_json_rates(jsonq.judge_json_flags(items))
+
+
+# query modules register themselves on import
+from . import q_data  # noqa: E402,F401
