@@ -40,8 +40,28 @@ def strict_valid(c) -> Column:
 
 
 def parse_strict(c) -> Column:
-    """VARIANT of a strictly valid text, else NULL."""
-    return F.when(strict_valid(c), F.try_parse_json(_col(c)))
+    """VARIANT of a strictly valid text, else NULL (one parse)."""
+    w = _wrapped(c)
+    ok = (F.try_variant_get(w, "$[1]", "string") == F.lit(_SENTINEL_VALUE)) & \
+        (F.size(F.try_variant_get(w, "$", "array<variant>")) == 2)
+    return F.when(ok, F.try_variant_get(w, "$[0]", "variant"))
+
+
+def with_parsed(df, text, ok_col: str, v_col: str):
+    """Add ``ok_col`` (strictly valid) and ``v_col`` (VARIANT or NULL).
+
+    The text is parsed once; later expressions refer to the two columns by
+    name, so Catalyst keeps them as one projection instead of re-parsing in
+    every branch that uses them.
+    """
+    w = "_w_" + v_col
+    d = df.withColumn(w, _wrapped(text))
+    ok = F.coalesce((F.try_variant_get(F.col(w), "$[1]", "string") == F.lit(_SENTINEL_VALUE)) &
+                    (F.size(F.try_variant_get(F.col(w), "$", "array<variant>")) == 2),
+                    F.lit(False))
+    d = d.withColumn(ok_col, ok)
+    return d.withColumn(v_col, F.when(F.col(ok_col), F.try_variant_get(F.col(w), "$[0]", "variant"))) \
+            .drop(w)
 
 
 def canonical(v) -> Column:
@@ -78,10 +98,11 @@ def canonical_equal(v1, v2) -> Column:
                       (type_signature(v1) == type_signature(v2)), F.lit(False))
 
 
-def exact_match(pred, ref) -> Column:
-    """canonical equality when both parse, else stripped-text equality."""
+def exact_match(pred, ref, v_pred, v_ref) -> Column:
+    """canonical equality when both parse (``v_*`` are their parsed
+    columns), else stripped-text equality."""
     from .text import utrim
-    vp, vr = parse_strict(pred), parse_strict(ref)
+    vp, vr = _col(v_pred), _col(v_ref)
     return F.when(vp.isNotNull() & vr.isNotNull(), canonical_equal(vp, vr)) \
             .otherwise(F.coalesce(utrim(pred) == utrim(ref), F.lit(False)))
 

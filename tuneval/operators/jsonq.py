@@ -5,6 +5,7 @@ The response text is parsed once into VARIANT; every flag derives from it.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonfn as J
@@ -22,17 +23,17 @@ def judge_json_flags(df: DataFrame, response: str = "response", expected: str =
     Response is fence-stripped (regex form) then parsed strictly. An
     unparsable *expected* keeps valid=1 and gives schema=exact=0. Exact
     implies schema; otherwise schema = both objects and expected keys ⊆
-    response keys.
+    response keys. Each text is parsed once.
     """
-    clean = fence_strip_regex(response)
-    d = df.withColumn("_vr", J.parse_strict(clean)).withColumn("_ok", J.strict_valid(clean)) \
-          .withColumn("_ve", J.parse_strict(_col(expected)))
-    exact = F.col("_ok") & F.col("_ve").isNotNull() & J.value_equal("_vr", "_ve")
-    schema = exact | (F.col("_ok") & J.keys_subset("_ve", "_vr"))
+    d = df.withColumn("_clean", fence_strip_regex(response))
+    d = J.with_parsed(d, "_clean", "_ok", "_vr")
+    d = J.with_parsed(d, expected, "_oke", "_ve")
+    d = d.withColumn("_exact", F.col("_ok") & F.col("_oke") & J.value_equal("_vr", "_ve"))
+    schema = F.col("_exact") | (F.col("_ok") & J.keys_subset("_ve", "_vr"))
     return (d.withColumn(prefix + "valid", F.col("_ok").cast("int"))
              .withColumn(prefix + "schema", schema.cast("int"))
-             .withColumn(prefix + "exact", exact.cast("int"))
-             .drop("_vr", "_ok", "_ve"))
+             .withColumn(prefix + "exact", F.col("_exact").cast("int"))
+             .drop("_clean", "_vr", "_ok", "_ve", "_oke", "_exact"))
 
 
 def pct(flag: str) -> Column:
@@ -46,3 +47,226 @@ def judge_json_rates(flags: DataFrame, by=("checkpoint",)) -> DataFrame:
                                   pct("valid").alias("valid_pct"),
                                   pct("schema").alias("schema_pct"),
                                   pct("exact").alias("exact_pct"))
+
+
+# ------------------------------------------------------------------ F2a/F2b
+def _py_json_error(texts):
+    """Python ``json.loads`` error message per text (None when it parses).
+
+    Python 3.12+ says "Illegal trailing comma before end of object/array"
+    where 3.10 (the reference's interpreter) said "Expecting property
+    name"/"Expecting value"; the newer text is mapped back (SURVEY T4).
+    """
+    import json
+
+    out = []
+    for t in texts:
+        if t is None:
+            out.append(None)
+            continue
+        try:
+            json.loads(t)
+            out.append(None)
+        except json.JSONDecodeError as e:
+            m = str(e)
+            if m.startswith("Illegal trailing comma before end of object"):
+                m = "Expecting property name enclosed in double quotes" + m[m.find(":"):]
+            elif m.startswith("Illegal trailing comma before end of array"):
+                m = "Expecting value" + m[m.find(":"):]
+            out.append(m)
+        except (ValueError, RecursionError) as e:
+            out.append(str(e))
+    return out
+
+
+def json_error_message(c) -> Column:
+    """Arrow-batched UDF: the parser's message for an invalid text."""
+    @F.pandas_udf("string")
+    def _msg(s: pd.Series) -> pd.Series:
+        return pd.Series(_py_json_error(s.tolist()), dtype=object)
+    return _msg(_col(c))
+
+
+def error_taxonomy(df: DataFrame, response: str = "response", by=("checkpoint",),
+                   form: str = "detailed") -> DataFrame:
+    """F2a (``detailed``: stripped text, 9 classes) or F2b (``inline``: raw
+    text, 5 classes): counts of invalid outputs per class.
+
+    Only strictly invalid rows reach the Python parser (filter first, so the
+    UDF never sees valid rows); counting is a native partial aggregate.
+    """
+    text = utrim(response) if form == "detailed" else F.coalesce(_col(response), F.lit(""))
+    inv = df.select(*by, text.alias("_t")).where(~J.strict_valid("_t"))
+    m = inv.withColumn("_m", F.coalesce(json_error_message("_t"), F.lit("")))
+    t, msg = F.col("_t"), F.col("_m")
+    if form == "detailed":
+        cls = (F.when(msg.contains("Expecting value"), "invalid_value")
+                .when(msg.contains("Expecting property name") | msg.contains("Expecting ':'"),
+                      "missing_colon_or_key")
+                .when(msg.contains("Expecting ',' delimiter"), "missing_comma")
+                .when(msg.startswith("Extra data"), "extra_data")
+                .when(msg.contains("Unterminated string"), "unterminated_string")
+                .when(~(t.startswith("{") | t.startswith("[")), "not_json_format")
+                .when(_count(t, "{") != _count(t, "}"), "unmatched_braces")
+                .when(_count(t, "[") != _count(t, "]"), "unmatched_brackets")
+                .otherwise("other_error"))
+    else:
+        cls = (F.when(msg.contains("Expecting value"), "invalid_value")
+                .when(msg.contains("Expecting property name"), "missing_key")
+                .when(msg.contains("Expecting ':'"), "missing_colon")
+                .when(msg.contains("Expecting ',' delimiter"), "missing_comma")
+                .otherwise("other_error"))
+    return m.groupBy(*by, cls.alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _count(x: Column, ch: str) -> Column:
+    return F.length(x) - F.length(F.replace(x, F.lit(ch), F.lit("")))
+
+
+# ------------------------------------------------------------------ F8, F9, F11
+def schema_check(df: DataFrame, response: str = "response", schema: str = "schema",
+                 prefix: str = "", keep_parsed: bool = False) -> DataFrame:
+    """F8 + F9 + F11 on a strictly parsed response.
+
+    Adds ``valid``, ``is_object``, ``missing_fields`` (array), ``type_errors``
+    (array of field names) and ``compliant`` (object, nothing missing, no
+    type error). A NULL schema means ``{}``: any object passes. With
+    ``keep_parsed`` the VARIANT stays as ``<prefix>v``.
+    """
+    empty = F.array().cast("array<string>")
+    d = J.with_parsed(df, response, prefix + "ok", prefix + "v")
+    d = d.withColumn("_obj", J.as_object(prefix + "v"))
+    d = d.withColumn("_keys", F.coalesce(F.map_keys("_obj"), empty)) \
+         .withColumn("_ft", F.transform_values("_obj", lambda k, x: J.json_type_of(x)))
+    req = F.coalesce(F.col(schema + ".required_fields"), empty)
+    types = F.coalesce(F.col(schema + ".types"), F.create_map().cast("map<string,string>"))
+    missing = F.array_except(req, F.col("_keys"))
+    bad = F.filter(F.map_keys(types), lambda f: F.array_contains(F.col("_keys"), f) &
+                   ~J.type_ok(F.element_at(F.col("_ft"), f), F.element_at(types, f)))
+    obj = F.col("_obj").isNotNull()
+    d = (d.withColumn(prefix + "valid", F.col(prefix + "ok").cast("int"))
+          .withColumn(prefix + "is_object", obj.cast("int"))
+          .withColumn(prefix + "missing_fields", F.when(obj, missing))
+          .withColumn(prefix + "type_errors", F.when(obj, bad)))
+    d = d.withColumn(prefix + "compliant",
+                     F.coalesce(obj & (F.size(prefix + "missing_fields") == 0) &
+                                (F.size(prefix + "type_errors") == 0), F.lit(False)).cast("int"))
+    drop = ["_obj", "_ft", prefix + "ok"] + ([] if keep_parsed else [prefix + "v"])
+    if not keep_parsed:
+        drop.append("_keys")
+    return d.drop(*drop)
+
+
+def suite_metrics(df: DataFrame, response="response", expected="expected", schema="schema",
+                  by=("checkpoint",)) -> DataFrame:
+    """Validity, compliance and exact-match rates over all rows.
+
+    Compliance and exact match only count valid rows (no fence strip, as in
+    the metrics module). Also ``compliance_of_valid`` (the report's
+    denominator). Rates are 0 for an empty group.
+    """
+    s = schema_check(df, response, schema, keep_parsed=True)
+    s = J.with_parsed(s, expected, "_oke", "_ve")
+    s = s.withColumn("exact", (F.col("valid") == 1) &
+                     J.exact_match(response, expected, "v", "_ve")).drop("v", "_keys", "_oke", "_ve")
+    n = F.count(F.lit(1))
+    nv = F.sum("valid")
+    return s.groupBy(*by).agg(
+        n.alias("count"),
+        F.round(nv / n, 6).alias("validity_rate"),
+        F.round(F.sum(F.col("compliant") * F.col("valid")) / n, 6).alias("compliance_rate"),
+        F.round(F.sum(F.col("exact").cast("int")) / n, 6).alias("exact_match_rate"),
+        F.round(F.coalesce(F.sum(F.col("compliant") * F.col("valid")) / F.nullif(nv, F.lit(0)),
+                           F.lit(0.0)), 6).alias("compliance_of_valid"))
+
+
+# ------------------------------------------------------------------ F12, F13
+def brace_balance(df: DataFrame, col: str = "response") -> DataFrame:
+    """open/close brace and bracket counts."""
+    x = F.coalesce(_col(col), F.lit(""))
+    return df.withColumn("open_braces", _count(x, "{").cast("int")) \
+             .withColumn("close_braces", _count(x, "}").cast("int")) \
+             .withColumn("open_brackets", _count(x, "[").cast("int")) \
+             .withColumn("close_brackets", _count(x, "]").cast("int"))
+
+
+def field_f1(df: DataFrame, response="response", expected="expected") -> DataFrame:
+    """per-row field precision/recall/F1 over (key, canonical value) pairs.
+
+    Computed in-row on the parsed objects (no explode, no shuffle). Values
+    compare canonically; a non-object side has no fields.
+    """
+    def pairs(v):
+        return F.transform(F.map_entries(J.as_object(v)),
+                           lambda e: F.concat(e["key"], F.lit("\u0001"), F.to_json(e["value"])))
+    d = J.with_parsed(df.withColumn("_t", fence_strip_regex(response)), "_t", "_okp", "_vp")
+    d = J.with_parsed(d, expected, "_oke", "_ve")
+    d = d.withColumn("_p", F.coalesce(pairs("_vp"), F.array().cast("array<string>"))) \
+         .withColumn("_e", F.coalesce(pairs("_ve"), F.array().cast("array<string>"))) \
+         .drop("_t", "_okp", "_vp", "_oke", "_ve")
+    tp = F.size(F.array_intersect("_p", "_e"))
+    np_, ne = F.size("_p"), F.size("_e")
+    prec = F.when(np_ > 0, tp / np_).otherwise(F.lit(0.0))
+    rec = F.when(ne > 0, tp / ne).otherwise(F.lit(0.0))
+    f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
+    return d.withColumn("field_precision", prec).withColumn("field_recall", rec) \
+            .withColumn("field_f1", f1).drop("_p", "_e")
+
+
+# ------------------------------------------------------------------ F2c, J16
+def report_taxonomy(df: DataFrame, response="response", schema="schema") -> DataFrame:
+    """Report-style error class per row (NULL when the row is clean).
+
+    Our rules, first match wins, on the fence-stripped text:
+    empty; trailing_comma (``,`` before a closing brace/bracket);
+    quote_mismatch (single-quoted keys or strings); truncated (starts with an
+    opener, more openers than closers); wrapped_text (JSON inside prose);
+    missing_brackets (any other imbalance, or no opener); other_invalid; then for valid
+    text: type_error, missing_fields, extra_fields (keys outside the schema).
+    """
+    d = schema_check(df.withColumn("_t", fence_strip_regex(response)), "_t", schema,
+                     prefix="_s_", keep_parsed=True)
+    t = F.col("_t")
+    d = (d.withColumn("_ob", _count(t, "{")).withColumn("_cb", _count(t, "}"))
+          .withColumn("_oa", _count(t, "[")).withColumn("_ca", _count(t, "]")))
+    ob, cb, oa, ca = F.col("_ob"), F.col("_cb"), F.col("_oa"), F.col("_ca")
+    starts = t.startswith("{") | t.startswith("[")
+    req = F.coalesce(F.col(schema + ".required_fields"), F.array().cast("array<string>"))
+    allowed = F.array_union(req, F.map_keys(F.coalesce(F.col(schema + ".types"),
+                                                       F.create_map().cast("map<string,string>"))))
+    extra = F.size(F.array_except(F.col("_keys"), allowed)) > 0
+    cls = (F.when(t == "", "empty")
+            .when(F.col("_s_valid") == 0,
+                  F.when(t.rlike(r",\s*[}\]]"), "trailing_comma")
+                   .when(t.rlike(r"'[^']*'\s*:|:\s*'"), "quote_mismatch")
+                   .when(starts & ((ob > cb) | (oa > ca)), "truncated")
+                   .when(~starts & ((ob > 0) | (oa > 0)), "wrapped_text")
+                   .when(~starts | (ob != cb) | (oa != ca), "missing_brackets")
+                   .otherwise("other_invalid"))
+            .when(F.size(F.col("_s_type_errors")) > 0, "type_error")
+            .when(F.size(F.col("_s_missing_fields")) > 0, "missing_fields")
+            .when((F.col("_s_is_object") == 1) & extra, "extra_fields"))
+    out = d.withColumn("report_class", cls)
+    return out.drop("_t", "_keys", "_ob", "_cb", "_oa", "_ca",
+                    *[c for c in out.columns if c.startswith("_s_")])
+
+
+def error_resolution(classes: DataFrame, before="cp0", after="cp2", cls="report_class",
+                     by="checkpoint") -> DataFrame:
+    """Per error class, counts before/after and (n1-n2)/n1."""
+    # grouped over all rows (NULL = clean): a filter on the derived class
+    # would be pushed below the projections and re-evaluate the parse
+    c = classes.groupBy(cls).agg(
+        F.count(F.when(F.col(by) == before, 1)).alias("n_before"),
+        F.count(F.when(F.col(by) == after, 1)).alias("n_after"))
+    return c.withColumn("resolution", F.round(F.when(F.col("n_before") > 0,
+                        (F.col("n_before") - F.col("n_after")) / F.col("n_before")), 6))
+
+
+def rates_by_task(flags: DataFrame, task="task_type", by="checkpoint") -> DataFrame:
+    """validity/compliance/exact % per (checkpoint, task), per checkpoint
+    and overall, via ROLLUP (grouping sets) with its grouping id."""
+    return flags.rollup(by, task).agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"),
+        pct("valid").alias("valid_pct"), pct("schema").alias("schema_pct"),
+        pct("exact").alias("exact_pct"))

@@ -67,9 +67,9 @@ def responses(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None) -
             .select("prompt_id", "output", "c.checkpoint", "c.pct")
     b = F.pmod(_h(F.col("prompt_id").cast("string"), F.lit("|"), F.col("checkpoint")), F.lit(20))
     keep = F.floor(F.length("output") * F.col("pct") / F.lit(100.0)).cast("int")
-    resp = (F.when(b == 0, F.lit("[no output]"))
-             .when(b == 1, F.lit("[error: x]"))
-             .otherwise(F.col("output").substr(F.lit(1), keep)))
+    resp = F.try_element_at(F.array(F.lit("[no output]"), F.lit("[error: x]")),
+                            (F.least(F.col("b"), F.lit(2)) + 1).cast("int"))
+    resp = F.coalesce(resp, F.col("output").substr(F.lit(1), keep))
     return (x.withColumn("b", b).where(F.col("b") != 2)
              .select(F.lit(OPEN_SUITE).alias("suite"), "prompt_id", "checkpoint",
                      resp.alias("response")))
@@ -94,20 +94,23 @@ def json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.when(hh < F.col("bias"), F.lit(0)).otherwise(F.pmod(hh, F.lit(10)))
     e = e.withColumn("expected", expected).withColumn("b", b)
     ex = F.col("expected")
-    resp = (F.when(F.col("b") == 0, ex)
-             .when(F.col("b") == 1, F.concat(F.lit('{"user_id": '), u, F.lit(', "k": '), k,
-                                             F.lit(', "event_type": "'), t, F.lit('"}')))
-             .when(F.col("b") == 2, F.concat(F.lit('{"event_type": "'), t, F.lit('", "k": '), k,
-                                             F.lit(', "user_id": '), u, F.lit(', "extra": true}')))
-             .when(F.col("b") == 3, F.concat(F.lit('{"event_type": "'), t, F.lit('", "k": '), k,
-                                             F.lit("}")))
-             .when(F.col("b") == 4, F.concat(F.lit('{"event_type": "'), t, F.lit('", "k": "'), k,
-                                             F.lit('", "user_id": '), u, F.lit("}")))
-             .when(F.col("b") == 5, F.concat(F.lit("```json\n"), ex, F.lit("\n```")))
-             .when(F.col("b") == 6, ex.substr(F.lit(1), (F.length(ex) - 1).cast("int")))
-             .when(F.col("b") == 7, F.replace(ex, q, F.lit("'")))
-             .when(F.col("b") == 8, F.concat(F.lit("Sure: "), ex, F.lit(" Done.")))
-             .otherwise(F.lit("")))
+    shapes = F.array(
+        ex,
+        F.concat(F.lit('{"user_id": '), u, F.lit(', "k": '), k, F.lit(', "event_type": "'), t,
+                 F.lit('"}')),
+        F.concat(F.lit('{"event_type": "'), t, F.lit('", "k": '), k, F.lit(', "user_id": '), u,
+                 F.lit(', "extra": true}')),
+        F.concat(F.lit('{"event_type": "'), t, F.lit('", "k": '), k, F.lit("}")),
+        F.concat(F.lit('{"event_type": "'), t, F.lit('", "k": "'), k, F.lit('", "user_id": '), u,
+                 F.lit("}")),
+        F.concat(F.lit("```json\n"), ex, F.lit("\n```")),
+        ex.substr(F.lit(1), (F.length(ex) - 1).cast("int")),
+        F.replace(ex, q, F.lit("'")),
+        F.concat(F.lit("Sure: "), ex, F.lit(" Done.")),
+        F.lit(""))
+    # one reference to the hash-derived code (element_at), so Catalyst never
+    # copies the md5 into every branch
+    resp = F.element_at(shapes, (F.col("b") + 1).cast("int"))
     return e.select(F.col("event_id").alias("prompt_id"), "checkpoint",
                     F.col("event_type").alias("task_type"), "expected",
                     resp.alias("response"))
@@ -149,9 +152,11 @@ def verdicts(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None) ->
                     F.lit(', "winner": "'), winner,
                     F.lit('", "justification": "pair '), F.col("prompt_id").cast("string"),
                     F.lit('"}'))
-    raw = (F.when(F.col("bi") <= 6, body)
-            .when(F.col("bi") <= 8, F.concat(F.lit("Verdict: "), body, F.lit(" End.")))
-            .otherwise(F.lit("no verdict")))
+    fmt = F.when(F.col("bi") <= 6, 1).when(F.col("bi") <= 8, 2).otherwise(3)
+    raw = F.element_at(F.array(F.col("body"), F.concat(F.lit("Verdict: "), F.col("body"),
+                                                       F.lit(" End.")), F.lit("no verdict")),
+                       fmt)
+    x = x.withColumn("body", body)
     return x.select("comparison", "prompt_id", "swap", raw.alias("raw"))
 
 
