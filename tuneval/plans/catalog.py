@@ -86,3 +86,4 @@ def json_judge_rates(spark, sf_dir):
 # query modules register themselves on import
 from . import q_data  # noqa: E402,F401
 from . import q_json  # noqa: E402,F401
+from . import q_text  # noqa: E402,F401
