@@ -88,3 +88,4 @@ from . import q_data  # noqa: E402,F401
 from . import q_json  # noqa: E402,F401
 from . import q_text  # noqa: E402,F401
 from . import q_judge  # noqa: E402,F401
+from . import q_analysis  # noqa: E402,F401

@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import align, sampling
 from ..operators import verdicts as V
+from ..session import checkpoint_dir
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into ``spark.checkpoint.dir``.
+
+    Used after parsing: it cuts lineage (executor loss recomputes from the
+    written files) and stops filters downstream from being pushed into the
+    parse expressions, which Catalyst would otherwise inline per branch.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def categories(inst: DataFrame) -> DataFrame:

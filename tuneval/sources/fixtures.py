@@ -177,3 +177,15 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = t.where(F.col("seq") % 2 == 1).select(((F.col("seq") - 1) / 2).cast("bigint").alias("pair_id"),
                                                F.col("vecs").alias("ref"))
     return p.join(r, "pair_id")
+
+
+# Fixed values (our own stand-in): which checkpoint's replies stand for each
+# ablation variant's model.
+ABLATION_SOURCE = (("epochs_1", "cp0"), ("epochs_2", "cp1"), ("epochs_3", "cp2"),
+                   ("lr_2e-05", "cp2"), ("lr_1e-05", "cp1"), ("lr_5e-06", "cp0"),
+                   ("datasize_100pct", "cp2"), ("datasize_50pct", "cp1"),
+                   ("datasize_25pct", "cp0"), ("sequential", "cp2"), ("combined", "cp1"))
+
+
+def ablation_sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(ABLATION_SOURCE), "variant_name string, checkpoint string")
