@@ -90,3 +90,4 @@ from . import q_text  # noqa: E402,F401
 from . import q_judge  # noqa: E402,F401
 from . import q_analysis  # noqa: E402,F401
 from . import q_tokens  # noqa: E402,F401
+from . import q_io  # noqa: E402,F401

@@ -67,3 +67,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="tuneval-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never machine-local
+    on a cluster: it lives wherever ``spark.checkpoint.dir`` points)."""
+    import uuid
+    return checkpoint_dir(spark).rstrip("/") + f"/tables/{name}-{uuid.uuid4().hex[:10]}"
