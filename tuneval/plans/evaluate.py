@@ -60,3 +60,68 @@ def pairwise_eval(responses: DataFrame, raw_verdicts: DataFrame, comparison: str
     rv = raw_verdicts.where(F.col("comparison") == comparison)
     j = rv.join(pairs.select("prompt_id"), "prompt_id", "left_semi")
     return V.win_rates(V.normalize_verdicts(V.parse_verdicts(j)))
+
+
+def checkpoint_summary(json_metrics: DataFrame, open_metrics: DataFrame, win: DataFrame,
+                       checkpoints=("cp0", "cp1", "cp2"), opponent: str = "cp0") -> DataFrame:
+    """I8: one row per checkpoint, six metrics, missing = 0.
+
+    The judge win rate of a checkpoint is its challenger share against
+    ``opponent`` (the reference reads a key nothing writes, so it is always
+    0 there; SURVEY §3.3 fixes the definition).
+    """
+    spark = json_metrics.sparkSession
+    cps = spark.createDataFrame([(c,) for c in checkpoints], "checkpoint string")
+    w = win.select(F.regexp_extract("comparison", r"^(.*)_vs_" + opponent + "$", 1)
+                   .alias("checkpoint"), F.col("win_rate_a").alias("judge_win_rate")) \
+           .where(F.col("checkpoint") != "")
+    j = (cps.join(json_metrics.select("checkpoint", "validity_rate", "compliance_rate",
+                                      "exact_match_rate"), "checkpoint", "left")
+            .join(open_metrics.select("checkpoint", "rougeL", "bertscore_f1"), "checkpoint", "left")
+            .join(w, "checkpoint", "left"))
+    cols = ["validity_rate", "compliance_rate", "exact_match_rate", "rougeL", "bertscore_f1",
+            "judge_win_rate"]
+    return j.select("checkpoint", *[F.round(F.coalesce(F.col(c), F.lit(0.0)), 6).alias(c)
+                                    for c in cols])
+
+
+def evaluate(instruct: DataFrame, responses: DataFrame, json_items: DataFrame,
+             raw_verdicts: DataFrame, token_vectors: DataFrame | None = None) -> dict:
+    """The full evaluation as named DataFrames.
+
+    The long response table and the parsed verdicts are materialised once
+    (checkpoint folder) and reused by every report; everything else stays a
+    lazy plan for the caller to write.
+    """
+    from ..operators import forgetting, jsonq, textsim
+
+    resp = materialize(responses.join(
+        instruct.select("prompt_id", F.col("output").alias("reference")), "prompt_id"))
+    keys = ["prompt_id", "checkpoint"]
+    rn = textsim.rouge_n(resp, keys, "response", "reference")
+    rl = textsim.rouge_l(resp.select(*keys, "response", "reference"), "response", "reference")
+    per_row = rn.join(rl.select(*keys, "rougeL"), keys)
+    open_metrics = per_row.groupBy("checkpoint").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("rouge1").alias("rouge1"),
+        F.avg("rouge2").alias("rouge2"), F.avg("rougeL").alias("rougeL"))
+    if token_vectors is not None:
+        bs = textsim.bertscore(token_vectors).agg(F.avg("bert_f1").alias("bertscore_f1"))
+        open_metrics = open_metrics.withColumn("_k", F.lit(1)).join(
+            F.broadcast(bs.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    else:
+        open_metrics = open_metrics.withColumn("bertscore_f1", F.lit(None).cast("double"))
+    json_metrics = jsonq.suite_metrics(json_items)
+    taxonomy = jsonq.error_taxonomy(json_items, form="detailed")
+    v = materialize(V.normalize_verdicts(V.parse_verdicts(raw_verdicts)))
+    win = V.win_rates(v)
+    dims = V.dimension_averages(v)
+    tidy = (open_metrics.unpivot("checkpoint", ["rouge1", "rouge2", "rougeL", "bertscore_f1"],
+                                 "metric", "value")
+            .unionByName(json_metrics.unpivot("checkpoint", ["validity_rate", "compliance_rate",
+                                                             "exact_match_rate"], "metric", "value")))
+    comparison = forgetting.compare_checkpoints(tidy, (("cp0", "cp1"), ("cp1", "cp2")))
+    summary = forgetting.forgetting_summary(win, tidy)
+    return {"open_metrics": open_metrics, "json_metrics": json_metrics,
+            "error_taxonomy": taxonomy, "win_rates": win, "dimension_averages": dims,
+            "comparison": comparison, "forgetting": summary,
+            "checkpoints": checkpoint_summary(json_metrics, open_metrics, win)}

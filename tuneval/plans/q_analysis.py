@@ -234,3 +234,17 @@ qualify lag(stage2_dataset_size_pct) over w is not null""")
 def ablation_size_effect(spark, sf_dir):
     """Exact-match rate between adjacent dataset sizes (largest first)."""
     return ablation.size_effect(evaluate.materialize(ablation_results(spark, sf_dir)))
+
+
+@register("checkpoint_summary")
+def checkpoint_summary(spark, sf_dir):
+    """I8 + I10: the composed evaluation's three-checkpoint table (validity,
+    compliance, exact match, ROUGE-L, BERTScore, judge win rate).
+
+    The token-vector table is not keyed by checkpoint, so BERTScore is
+    missing here (0, as the reference fills missing metrics); see
+    ``bertscore_pairs`` for the per-pair scores."""
+    inst = fx.instruct(spark, sf_dir)
+    out = evaluate.evaluate(inst, fx.responses(spark, sf_dir, inst),
+                            items_with_schema(spark, sf_dir), fx.verdicts(spark, sf_dir, inst))
+    return out["checkpoints"]
