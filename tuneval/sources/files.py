@@ -28,7 +28,7 @@ def checkpoint_name(c) -> F.Column:
 
 
 def _array_file(spark: SparkSession, path: str, elem_schema) -> DataFrame:
-    txt = spark.read.option("wholetext", True).text(path) \
+    txt = spark.read.text(path, wholetext=True) \
         .select("value", F.col("_metadata.file_path").alias("source_file"))
     return txt.select("source_file", F.posexplode(
         F.from_json("value", f"array<{elem_schema.simpleString()}>")).alias("prompt_id", "r"))
@@ -56,7 +56,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 def read_suite_container(spark: SparkSession, path: str) -> DataFrame:
     """A3: ``{"alpaca": [...], "json": [...]}`` -> rows with ``suite`` and position."""
-    txt = spark.read.option("wholetext", True).text(path)
+    txt = spark.read.text(path, wholetext=True)
     c = txt.select(F.from_json("value", S.SUITE_CONTAINER).alias("c"))
     out = None
     for suite in ("alpaca", "json"):
@@ -84,7 +84,7 @@ def read_model_container(spark: SparkSession, path: str) -> DataFrame:
     The sink side writes these long rows (``write_table``), not one object
     per model, which would gather a checkpoint's responses into one row.
     """
-    txt = spark.read.option("wholetext", True).text(path)
+    txt = spark.read.text(path, wholetext=True)
     m = txt.select(F.explode(F.from_json("value", S.MODEL_CONTAINER)).alias("model", "rs"))
     r = m.select("model", F.explode("rs").alias("r")).select("model", "r.*")
     return r.withColumn("checkpoint", checkpoint_name(F.col("model")))
@@ -125,7 +125,7 @@ def latest_log_values(parsed: DataFrame, by=("log",)) -> DataFrame:
 
 def read_training_logs(spark: SparkSession, path: str) -> DataFrame:
     """Text lines of every log file under ``path`` with the log's name."""
-    t = spark.read.text(path)
+    t = spark.read.option("recursiveFileLookup", "true").text(path)
     return t.withColumn("log", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 

@@ -40,8 +40,8 @@ def training_log_monitor(spark: SparkSession, log_dir: str, available_now: bool
     Returns ``(query, result_path)``; the result table holds one row per log.
     """
     state, out = _paths(spark, "training-log")
-    lines = spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())])) \
-        .text(log_dir)
+    lines = (spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())]))
+                  .option("recursiveFileLookup", "true").text(log_dir))
     p = (lines.withColumn("log", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
               .withColumn("loss", F.nullif(F.regexp_extract("value", LOSS_PATTERN, 1),
                                             F.lit("")).try_cast("double"))
