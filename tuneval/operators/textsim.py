@@ -124,7 +124,8 @@ def bertscore(df: DataFrame, pred: str = "pred", ref: str = "ref") -> DataFrame:
     d = d.withColumn("bert_precision", mean(best(F.col("_p"), F.col("_r")))) \
          .withColumn("bert_recall", mean(best(F.col("_r"), F.col("_p"))))
     p, r = F.col("bert_precision"), F.col("bert_recall")
-    return d.withColumn("bert_f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))) \
+    # as the published metric: only the undefined case (P + R = 0) becomes 0
+    return d.withColumn("bert_f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))) \
             .drop("_p", "_r")
 
 

@@ -113,7 +113,7 @@ rc as (
 
 @register("bertscore_pairs", with_fixtures(["tokens"], D_BERT) + """
 select pair_id, round(p, 6) as bert_precision, round(r, 6) as bert_recall,
-       round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6) as bert_f1
+       round(case when p + r <> 0 then 2 * p * r / (p + r) else 0.0 end, 6) as bert_f1
 from pr join rc using (pair_id)""")
 def bertscore_pairs(spark, sf_dir):
     """BERTScore precision/recall/F1 per text pair from token vectors."""
