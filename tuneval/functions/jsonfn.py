@@ -59,9 +59,8 @@ def with_parsed(df, text, ok_col: str, v_col: str):
     ok = F.coalesce((F.try_variant_get(F.col(w), "$[1]", "string") == F.lit(_SENTINEL_VALUE)) &
                     (F.size(F.try_variant_get(F.col(w), "$", "array<variant>")) == 2),
                     F.lit(False))
-    d = d.withColumn(ok_col, ok)
-    return d.withColumn(v_col, F.when(F.col(ok_col), F.try_variant_get(F.col(w), "$[0]", "variant"))) \
-            .drop(w)
+    return d.withColumns({ok_col: ok, v_col: F.when(ok, F.try_variant_get(F.col(w), "$[0]",
+                                                                            "variant"))}).drop(w)
 
 
 def canonical(v) -> Column:

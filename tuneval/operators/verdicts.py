@@ -68,25 +68,24 @@ def normalize_verdicts(parsed: DataFrame, swap: str = "swap") -> DataFrame:
     unswapped back to (challenger=A, opponent=B)."""
     v = F.col("verdict")
     w = F.try_variant_get(v, "$.winner", "string")
-    d = (parsed.withColumn("_wn", F.when(w.isin(*WINNERS), w).otherwise(F.lit("TIE")))
-               .withColumn("_a", normalized_scores(v, "a"))
-               .withColumn("_b", normalized_scores(v, "b"))
-               .withColumn("_ra", raw_scores(v, "a"))
-               .withColumn("_rb", raw_scores(v, "b")))
-    bad = F.exists(F.map_values(F.coalesce(F.col("_a"), F.create_map().cast("map<string,int>"))),
-                   lambda x: x.isNull()) | \
-        F.exists(F.map_values(F.coalesce(F.col("_b"), F.create_map().cast("map<string,int>"))),
-                 lambda x: x.isNull())
+    d = parsed.withColumns({
+        "_wn": F.when(w.isin(*WINNERS), w).otherwise(F.lit("TIE")),
+        "_a": normalized_scores(v, "a"), "_b": normalized_scores(v, "b"),
+        "_ra": raw_scores(v, "a"), "_rb": raw_scores(v, "b")})
+    empty = F.create_map().cast("map<string,int>")
+    bad = F.exists(F.map_values(F.coalesce(F.col("_a"), empty)), lambda x: x.isNull()) | \
+        F.exists(F.map_values(F.coalesce(F.col("_b"), empty)), lambda x: x.isNull())
     sw = F.col(swap) == 1
-    out = (d.withColumn("error", F.when(F.col("error").isNull() & bad, F.lit("invalid score"))
-                        .otherwise(F.col("error")))
-            .withColumn("winner", F.when(F.col("error").isNotNull(), F.lit(None))
-                        .when(sw & (F.col("_wn") == "A"), "B")
-                        .when(sw & (F.col("_wn") == "B"), "A").otherwise(F.col("_wn")))
-            .withColumn("scores_a", F.when(sw, F.col("_b")).otherwise(F.col("_a")))
-            .withColumn("scores_b", F.when(sw, F.col("_a")).otherwise(F.col("_b")))
-            .withColumn("raw_scores_a", F.when(sw, F.col("_rb")).otherwise(F.col("_ra")))
-            .withColumn("raw_scores_b", F.when(sw, F.col("_ra")).otherwise(F.col("_rb"))))
+    d = d.withColumn("error", F.when(F.col("error").isNull() & bad, F.lit("invalid score"))
+                     .otherwise(F.col("error")))
+    out = d.withColumns({
+        "winner": F.when(F.col("error").isNotNull(), F.lit(None))
+                   .when(sw & (F.col("_wn") == "A"), "B")
+                   .when(sw & (F.col("_wn") == "B"), "A").otherwise(F.col("_wn")),
+        "scores_a": F.when(sw, F.col("_b")).otherwise(F.col("_a")),
+        "scores_b": F.when(sw, F.col("_a")).otherwise(F.col("_b")),
+        "raw_scores_a": F.when(sw, F.col("_rb")).otherwise(F.col("_ra")),
+        "raw_scores_b": F.when(sw, F.col("_ra")).otherwise(F.col("_rb"))})
     return out.drop("_wn", "_a", "_b", "_ra", "_rb")
 
 

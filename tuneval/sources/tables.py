@@ -9,5 +9,21 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least the cluster's default parallelism.
+
+    A table stored as one file with one row group is scanned by one task,
+    and every per-row step before the first shuffle (JSON parsing, regexes,
+    tokenising) would run serially. Such inputs get a round-robin repartition
+    right after the scan; inputs that already have enough partitions (any
+    large table) are left alone. Filters and column pruning still reach the
+    scan: Catalyst pushes them below the repartition.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
