@@ -31,20 +31,26 @@ def pct_change(v1: Column, v2: Column) -> Column:
 
 def compare_checkpoints(metrics: DataFrame, pairs, names=OPEN_METRICS + JSON_METRICS) -> DataFrame:
     """For each (cp1, cp2) pair and metric: values, absolute and percent
-    change; a metric missing on a side counts as 0."""
+    change; a metric missing on a side counts as 0.
+
+    One pass over the metrics: pivot by checkpoint (one row per metric),
+    then explode the requested pairs. No self-join, so the upstream metric
+    plan runs once.
+    """
+    cps = sorted({c for p in pairs for c in p})
+    wide = (metrics.where(F.col("metric").isin(*names))
+                   .groupBy("metric").pivot("checkpoint", cps).agg(F.first("value")))
     spark = metrics.sparkSession
-    grid = spark.createDataFrame([(a, b, m) for a, b in pairs for m in names],
-                                 "checkpoint_1 string, checkpoint_2 string, metric string")
-    m1 = metrics.select(F.col("checkpoint").alias("checkpoint_1"), "metric",
-                        F.col("value").alias("v1"))
-    m2 = metrics.select(F.col("checkpoint").alias("checkpoint_2"), "metric",
-                        F.col("value").alias("v2"))
-    j = (grid.join(m1, ["checkpoint_1", "metric"], "left").join(m2, ["checkpoint_2", "metric"], "left")
-             .withColumn("v1", F.coalesce("v1", F.lit(0.0))).withColumn("v2", F.coalesce("v2", F.lit(0.0))))
-    return j.select("checkpoint_1", "checkpoint_2", "metric",
-                    F.round("v1", 6).alias("value_1"), F.round("v2", 6).alias("value_2"),
-                    F.round(F.col("v2") - F.col("v1"), 6).alias("absolute_change"),
-                    F.round(pct_change(F.col("v1"), F.col("v2")), 6).alias("percent_change"))
+    all_names = spark.createDataFrame([(m,) for m in names], "metric string")
+    w = all_names.join(wide, "metric", "left")
+    x = w.select("metric", F.explode(F.array(*[
+        F.struct(F.lit(a).alias("checkpoint_1"), F.lit(b).alias("checkpoint_2"),
+                 F.coalesce(F.col(f"`{a}`"), F.lit(0.0)).alias("v1"),
+                 F.coalesce(F.col(f"`{b}`"), F.lit(0.0)).alias("v2")) for a, b in pairs])).alias("x"))
+    return x.select("x.checkpoint_1", "x.checkpoint_2", "metric",
+                    F.round("x.v1", 6).alias("value_1"), F.round("x.v2", 6).alias("value_2"),
+                    F.round(F.col("x.v2") - F.col("x.v1"), 6).alias("absolute_change"),
+                    F.round(pct_change(F.col("x.v1"), F.col("x.v2")), 6).alias("percent_change"))
 
 
 def severity(change: Column, scale=SEVERITY_PCT) -> Column:

@@ -90,3 +90,24 @@ def first_fraction(df: DataFrame, by, order_cols, frac: float, min_one: bool = F
     if min_one:
         k = F.greatest(k, F.lit(1))
     return r.where(F.col(rank_col) <= k).drop("_n")
+
+
+def lead_within(df: DataFrame, by, order_cols, cols, suffix: str = "_next") -> DataFrame:
+    """Exact ``lead(col) over (partition by by order by order_cols)``.
+
+    Positions come from the range-partitioned global sort (a hot group is
+    split across tasks); each row is then equi-joined to the row at
+    position + 1, kept only when it belongs to the same group. The join key
+    is the unique position, so it cannot skew.
+    """
+    by = list(by)
+    p = positions(df, [*by, *order_cols], "_pos")
+    nxt = p.select((F.col("_pos") - 1).alias("_pos"),
+                   *[F.col(b).alias("_nb_" + b) for b in by],
+                   *[F.col(c).alias(c + suffix) for c in cols])
+    j = p.join(nxt, "_pos", "left")
+    same = F.lit(True)
+    for b in by:
+        same = same & (F.col(b) == F.col("_nb_" + b))
+    j = j.withColumns({c + suffix: F.when(same, F.col(c + suffix)) for c in cols})
+    return j.drop("_pos", *["_nb_" + b for b in by])

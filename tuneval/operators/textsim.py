@@ -58,29 +58,36 @@ def rouge_n(df: DataFrame, keys, pred: str = "response", ref: str = "reference",
             ns=(1, 2), stem: bool = False) -> DataFrame:
     """ROUGE-N F-measure per row for each n in ``ns`` (columns ``rouge{n}``).
 
-    Plan: tokens -> explode (key, side, n, gram) -> partial count per
-    (key, n, gram) -> sum(least(pred, ref)) per (key, n) -> join back to the
-    row's gram totals. Rows with no overlap keep F = 0 via the left join.
+    Plan: the text rows are hash-partitioned by the row key once; n-grams
+    are exploded and counted per (key, n, gram), then summed per key. Both
+    aggregates group by a superset of the partitioning key, so Spark adds no
+    exchange: n-grams never leave the task that holds their row (only the
+    texts are shuffled). Gram totals come from the same counts; a NULL
+    marker gram per (row, n) keeps rows that have no tokens.
     """
     keys = list(keys)
-    d = with_tokens(df.select(*keys, pred, ref), pred, ref, stem)
-    base = d.select(*keys, *[F.size(_grams(F.col("_tp"), n)).alias(f"_lp{n}") for n in ns],
-                    *[F.size(_grams(F.col("_tr"), n)).alias(f"_lr{n}") for n in ns])
-    side = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("side"),
-                                        _grams(F.col(c), n).alias("g"))
-                               for n in ns for s, c in (("p", "_tp"), ("r", "_tr"))]))
-    ex = d.select(*keys, side.alias("x")).select(*keys, "x.n", "x.side",
-                                                 F.explode("x.g").alias("gram"))
+    d = with_tokens(df.select(*keys, pred, ref).repartition(*keys), pred, ref, stem)
+    parts = []
+    for n in ns:
+        for s_, c in (("p", "_tp"), ("r", "_tr")):
+            parts.append(F.struct(F.lit(n).alias("n"), F.lit(s_).alias("side"),
+                                  _grams(F.col(c), n).alias("g")))
+        parts.append(F.struct(F.lit(n).alias("n"), F.lit("x").alias("side"),
+                              F.array(F.lit(None).cast("string")).alias("g")))
+    ex = d.select(*keys, F.explode(F.array(*parts)).alias("x")) \
+          .select(*keys, "x.n", "x.side", F.explode("x.g").alias("gram"))
     cnt = ex.groupBy(*keys, "n", "gram").agg(
         F.count(F.when(F.col("side") == "p", 1)).alias("cp"),
         F.count(F.when(F.col("side") == "r", 1)).alias("cr"))
-    ov = cnt.groupBy(*keys).agg(*[F.sum(F.when(F.col("n") == n, F.least("cp", "cr")))
-                                  .alias(f"_ov{n}") for n in ns])
-    out = base.join(ov, keys, "left")
+    aggs = []
     for n in ns:
-        out = out.withColumn(f"rouge{n}", _f(F.coalesce(F.col(f"_ov{n}"), F.lit(0)),
-                                             F.col(f"_lp{n}"), F.col(f"_lr{n}")))
-    return out.select(*keys, *[f"rouge{n}" for n in ns])
+        on = F.col("n") == n
+        aggs += [F.sum(F.when(on, F.col("cp"))).alias(f"_lp{n}"),
+                 F.sum(F.when(on, F.col("cr"))).alias(f"_lr{n}"),
+                 F.sum(F.when(on, F.least("cp", "cr"))).alias(f"_ov{n}")]
+    per = cnt.groupBy(*keys).agg(*aggs)
+    return per.select(*keys, *[_f(F.coalesce(F.col(f"_ov{n}"), F.lit(0)), F.col(f"_lp{n}"),
+                                  F.col(f"_lr{n}")).alias(f"rouge{n}") for n in ns])
 
 
 @F.pandas_udf(T.DoubleType())

@@ -81,13 +81,3 @@ def json_judge_rates(spark, sf_dir):
     """F3b + F1 + F10 + I3: validity, key compliance and exact-match rate per checkpoint."""
     items = fx.json_items(spark, sf_dir)
     return jsonq.judge_json_rates(jsonq.judge_json_flags(items))
-
-
-# query modules register themselves on import
-from . import q_data  # noqa: E402,F401
-from . import q_json  # noqa: E402,F401
-from . import q_text  # noqa: E402,F401
-from . import q_judge  # noqa: E402,F401
-from . import q_analysis  # noqa: E402,F401
-from . import q_tokens  # noqa: E402,F401
-from . import q_io  # noqa: E402,F401

@@ -11,7 +11,7 @@ The same definitions are written in DuckDB SQL in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import hash_of
 from .tables import table
@@ -39,20 +39,23 @@ def _h(*parts) -> F.Column:
 def instruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-1: user turns directly followed by an assistant turn.
 
-    ``lead`` over the conversation; the system turn (if any) is the input.
+    The next turn comes from an exact lead without a per-conversation
+    window (``ranking.lead_within``); the system turn of the conversation,
+    if any, is the input (a partial aggregate joined back by id).
     """
-    c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    q = (c.withColumn("nrole", F.lead("role").over(w))
-          .withColumn("nxt", F.lead("text").over(w))
-          .withColumn("sys", F.max(F.when(F.col("role") == "system", F.col("text")))
-                      .over(Window.partitionBy("conv_id"))))
-    return (q.where((F.col("role") == "user") & (F.col("nrole") == "assistant"))
-             .select("conv_id", "turn",
-                     (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"),
-                     F.col("text").alias("instruction"),
-                     F.coalesce(F.col("sys"), F.lit("")).alias("input"),
-                     F.col("nxt").alias("output")))
+    from ..operators.ranking import lead_within
+
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    nxt = lead_within(c, ["conv_id"], ["turn"], ["role", "text"])
+    sys_ = (c.where(F.col("role") == "system").groupBy("conv_id")
+             .agg(F.max("text").alias("sys")))
+    q = (nxt.where((F.col("role") == "user") & (F.col("role_next") == "assistant"))
+            .join(sys_, "conv_id", "left"))
+    return q.select("conv_id", "turn",
+                    (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"),
+                    F.col("text").alias("instruction"),
+                    F.coalesce(F.col("sys"), F.lit("")).alias("input"),
+                    F.col("text_next").alias("output"))
 
 
 def _checkpoints(pairs, second: str) -> F.Column:
