@@ -75,3 +75,15 @@ def test_tokens_left_pad_and_prefix_property(spark):
     n = e.n_tokens
     assert len(e.input_tokens) == 40 and e.input_tokens[:40 - n] == [tokens.PAD_TOKEN] * (40 - n)
     assert sum(e.attention_mask) == n and e.labels == e.input_tokens
+
+
+def test_keyword_lookup_chunked_equals_single(spark):
+    from tuneval.operators import render
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["alpha beta", "gamma", "beta delta", "nothing here", "delta alpha"])], "doc_id long, text string")
+    d = spark.createDataFrame([(k, p, f"e_{k}") for p, k in enumerate(
+        ["delta", "beta", "alpha", "zeta", "eta", "theta", "iota"])],
+        "keyword string, priority int, entity string")
+    one = {r.doc_id: r.entity for r in render.keyword_lookup(texts, d).collect()}
+    many = {r.doc_id: r.entity for r in render.keyword_lookup(texts, d, chunk_rows=2).collect()}
+    assert one == many == {0: "e_beta", 1: None, 2: "e_delta", 3: None, 4: "e_delta"}

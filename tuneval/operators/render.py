@@ -103,20 +103,30 @@ def canonical_output(df: DataFrame, col="output", out="output") -> DataFrame:
 
 def keyword_lookup(texts: DataFrame, dictionary: DataFrame, text="text", id_col="doc_id",
                    keyword="keyword", priority="priority", value="entity",
-                   out="entity") -> DataFrame:
+                   out="entity", chunk_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Value of the first dictionary key (by priority) contained in the text.
 
-    Theta join on ``contains``: the dictionary is small and its size is
-    checked before broadcasting, so the plan is a broadcast nested loop over
-    the text partitions (no shuffle of the texts); ``min_by`` keeps the first
-    match, a left join restores texts without one.
+    Theta join on ``contains``. The dictionary is counted first; each
+    broadcast side holds at most ``chunk_rows`` keywords. A larger dictionary
+    is split into exact chunks of ``chunk_rows``, each matched with its own
+    broadcast nested-loop join (the texts are never shuffled for matching);
+    ``min_by`` over all hits keeps the first key, and a left join restores
+    texts without one.
     """
     n = dictionary.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"keyword dictionary has {n} rows; above {BROADCAST_ROWS} use an "
-                         "exact token join instead of substring matching")
-    d = F.broadcast(dictionary.select(F.col(keyword).alias("_kw"), F.col(priority).alias("_pr"),
-                                      F.col(value).alias("_val")))
-    hits = (texts.select(id_col, text).join(d, F.col(text).contains(F.col("_kw")))
-                 .groupBy(id_col).agg(F.min_by("_val", "_pr").alias(out)))
-    return texts.join(hits, id_col, "left")
+    chunks = max(1, -(-n // chunk_rows))
+    d = dictionary.select(F.col(keyword).alias("_kw"), F.col(priority).alias("_pr"),
+                          F.col(value).alias("_val"))
+    if chunks > 1:
+        # exact chunks of at most chunk_rows keywords (positions in keyword order)
+        from .ranking import positions
+        d = positions(d, ["_kw", "_pr", "_val"], "_p") \
+            .withColumn("_chunk", ((F.col("_p") - 1) / F.lit(chunk_rows)).cast("long")).drop("_p")
+    t = texts.select(id_col, text)
+    hits = None
+    for i in range(chunks):
+        part = d if chunks == 1 else d.where(F.col("_chunk") == i).drop("_chunk")
+        h = t.join(F.broadcast(part), F.col(text).contains(F.col("_kw"))).select(id_col, "_pr", "_val")
+        hits = h if hits is None else hits.unionByName(h)
+    first = hits.groupBy(id_col).agg(F.min_by("_val", "_pr").alias(out))
+    return texts.join(first, id_col, "left")
