@@ -34,33 +34,45 @@ def parse_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
     return d.withColumn("error", err).drop("_ok1", "_v1", "_slice", "_ok2", "_v2")
 
 
-def _score(v: Column, side: str, dim: str) -> Column:
-    return F.try_variant_get(v, f"$.response_{side}_scores.{dim}", "variant")
+def _type_sql(x: str) -> str:
+    """Coarse JSON type of a VARIANT SQL expression (as ``jsonfn.json_type_of``)."""
+    sv = f"schema_of_variant({x})"
+    return (f"case when {x} is null then null when {sv} like 'OBJECT%' then 'object' "
+            f"when {sv} like 'ARRAY%' then 'array' when {sv} = 'STRING' then 'string' "
+            f"when {sv} = 'BOOLEAN' then 'boolean' when {sv} = 'VOID' then 'null' "
+            "else 'number' end")
 
 
-def raw_scores(v: Column, side: str) -> Column:
-    """``map<dim, double>`` of numeric (or boolean) scores present (judge form)."""
-    dims = F.array(*[F.lit(d) for d in DIMENSIONS])
-    vals = F.array(*[F.when(J.json_type_of(_score(v, side, d)).isin("number", "boolean"),
-                            F.try_variant_get(_score(v, side, d), "$", "double"))
-                     for d in DIMENSIONS])
-    m = F.map_from_arrays(dims, vals)
-    return F.map_filter(m, lambda k, x: x.isNotNull())
+def _dims_sql() -> str:
+    return "array(" + ", ".join(f"'{d}'" for d in DIMENSIONS) + ")"
 
 
-def normalized_scores(v: Column, side: str) -> Column:
+def raw_scores(v: str, side: str) -> Column:
+    """``map<dim, double>`` of numeric (or boolean) scores present (judge form).
+
+    ``v`` is the name of the VARIANT column."""
+    vals = []
+    for d in DIMENSIONS:
+        s = f"try_variant_get({v}, '$.response_{side}_scores.{d}', 'variant')"
+        vals.append(f"case when ({_type_sql(s)}) in ('number', 'boolean') "
+                    f"then try_variant_get({s}, '$', 'double') end")
+    return F.expr(f"map_filter(map_from_arrays({_dims_sql()}, array({', '.join(vals)})), "
+                  "(k, x) -> x is not null)")
+
+
+def normalized_scores(v: str, side: str) -> Column:
     """H2: missing dimension -> 3, else ``int()`` clamped to 1..5; NULL when
     the side's score object is absent. Non-numeric scores give NULL values
     (flagged as errors by ``normalize_verdicts``)."""
-    obj = F.try_variant_get(v, f"$.response_{side}_scores", "map<string,variant>")
     vals = []
     for d in DIMENSIONS:
-        s = _score(v, side, d)
-        num = F.try_variant_get(s, "$", "double")
-        clamped = F.least(F.lit(5), F.greatest(F.lit(1), F.floor(F.abs(num)) * F.signum(num)))
-        vals.append(F.when(s.isNull(), F.lit(DEFAULT_SCORE)).otherwise(clamped.cast("int")))
-    m = F.map_from_arrays(F.array(*[F.lit(d) for d in DIMENSIONS]), F.array(*vals))
-    return F.when(obj.isNotNull(), m)
+        s = f"try_variant_get({v}, '$.response_{side}_scores.{d}', 'variant')"
+        num = f"try_variant_get({s}, '$', 'double')"
+        vals.append(f"case when {s} is null then {DEFAULT_SCORE} else cast(least(5, greatest(1, "
+                    f"floor(abs({num})) * signum({num}))) as int) end")
+    obj = f"try_variant_get({v}, '$.response_{side}_scores', 'map<string,variant>')"
+    return F.expr(f"case when {obj} is not null then map_from_arrays({_dims_sql()}, "
+                  f"array({', '.join(vals)})) end")
 
 
 def normalize_verdicts(parsed: DataFrame, swap: str = "swap") -> DataFrame:
@@ -70,8 +82,8 @@ def normalize_verdicts(parsed: DataFrame, swap: str = "swap") -> DataFrame:
     w = F.try_variant_get(v, "$.winner", "string")
     d = parsed.withColumns({
         "_wn": F.when(w.isin(*WINNERS), w).otherwise(F.lit("TIE")),
-        "_a": normalized_scores(v, "a"), "_b": normalized_scores(v, "b"),
-        "_ra": raw_scores(v, "a"), "_rb": raw_scores(v, "b")})
+        "_a": normalized_scores("verdict", "a"), "_b": normalized_scores("verdict", "b"),
+        "_ra": raw_scores("verdict", "a"), "_rb": raw_scores("verdict", "b")})
     empty = F.create_map().cast("map<string,int>")
     bad = F.exists(F.map_values(F.coalesce(F.col("_a"), empty)), lambda x: x.isNull()) | \
         F.exists(F.map_values(F.coalesce(F.col("_b"), empty)), lambda x: x.isNull())

@@ -127,40 +127,40 @@ def json_schema_spec() -> F.Column:
                      F.lit("user_id"), F.lit("number")).alias("types"))
 
 
-def _scores_json(prefix: str) -> F.Column:
-    parts = [F.lit("{")]
+def _sql_hash(tag: str) -> str:
+    """H(prompt_id|comparison|tag) as a SQL expression."""
+    return ("cast(conv(substr(md5(concat(cast(prompt_id as string), '|', comparison, "
+            f"'|{tag}')), 1, 8), 16, 10) as bigint)")
+
+
+def _sql_scores(side: str) -> str:
+    parts = []
     for i, d in enumerate(DIMENSIONS):
-        s = F.pmod(F.col("h_" + prefix + d), F.lit(7)).cast("string")
-        parts += [F.lit(("" if i == 0 else ", ") + '"' + d + '": '), s]
-    parts.append(F.lit("}"))
-    return F.concat(*parts)
+        parts.append("'" + ("" if i == 0 else ", ") + '"' + d + '": ' + "'")
+        parts.append(f"cast(pmod({_sql_hash(side + d)}, 7) as string)")
+    return "concat('{', " + ", ".join(parts) + ", '}')"
 
 
 def verdicts(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None) -> DataFrame:
-    """F-4: raw judge replies ``(comparison, prompt_id, swap, raw)``."""
+    """F-4: raw judge replies ``(comparison, prompt_id, swap, raw)``.
+
+    Written as SQL expressions (one call each) rather than a long chain of
+    Column calls; same rows as the DuckDB spelling in ``oracle_fixtures``.
+    """
     inst = inst if inst is not None else instruct(spark, sf_dir)
     x = inst.select("prompt_id", F.explode(F.array(*[F.lit(c) for c, _, _ in COMPARISONS]))
                     .alias("comparison"))
-
-    def h(tag):
-        return _h(F.col("prompt_id").cast("string"), F.lit("|"), F.col("comparison"),
-                  F.lit("|" + tag))
-    cols = {"h_" + side + d: h(side + d) for side in ("a", "b") for d in DIMENSIONS}
-    x = x.select("prompt_id", "comparison", F.pmod(h("swap"), F.lit(2)).cast("int").alias("swap"),
-                 F.pmod(h("w"), F.lit(4)).alias("wi"), F.pmod(h("b"), F.lit(10)).alias("bi"),
-                 *[v.alias(k) for k, v in cols.items()])
-    winner = F.element_at(F.array(*[F.lit(w) for w in WINNER_LABELS]), (F.col("wi") + 1).cast("int"))
-    body = F.concat(F.lit('{"response_a_scores": '), _scores_json("a"),
-                    F.lit(', "response_b_scores": '), _scores_json("b"),
-                    F.lit(', "winner": "'), winner,
-                    F.lit('", "justification": "pair '), F.col("prompt_id").cast("string"),
-                    F.lit('"}'))
-    fmt = F.when(F.col("bi") <= 6, 1).when(F.col("bi") <= 8, 2).otherwise(3)
-    raw = F.element_at(F.array(F.col("body"), F.concat(F.lit("Verdict: "), F.col("body"),
-                                                       F.lit(" End.")), F.lit("no verdict")),
-                       fmt)
-    x = x.withColumn("body", body)
-    return x.select("comparison", "prompt_id", "swap", raw.alias("raw"))
+    winners = "array(" + ", ".join(f"'{w}'" for w in WINNER_LABELS) + ")"
+    body = ("concat('{\"response_a_scores\": ', " + _sql_scores("a") +
+            ", ', \"response_b_scores\": ', " + _sql_scores("b") +
+            f", ', \"winner\": \"', element_at({winners}, cast(pmod({_sql_hash('w')}, 4) + 1 as int)), "
+            "'\", \"justification\": \"pair ', cast(prompt_id as string), '\"}')")
+    y = x.selectExpr("comparison", "prompt_id",
+                     f"cast(pmod({_sql_hash('swap')}, 2) as int) as swap",
+                     f"pmod({_sql_hash('b')}, 10) as bi", f"{body} as body")
+    return y.selectExpr("comparison", "prompt_id", "swap",
+                        "element_at(array(body, concat('Verdict: ', body, ' End.'), 'no verdict'), "
+                        "case when bi <= 6 then 1 when bi <= 8 then 2 else 3 end) as raw")
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
