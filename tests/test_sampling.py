@@ -73,3 +73,15 @@ def test_top_k_plan_has_partial_group_limit(spark):
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert t.where("g = 'hot'").count() == 3
+
+
+def test_lead_within_matches_window_lead(spark):
+    # one hot group spanning many buckets, gaps in the order key, nulls in values
+    rows = [(0 if i % 3 else i % 17, i * 3 + (i % 2), None if i % 11 == 0 else f"v{i}")
+            for i in range(4000)]
+    df = spark.createDataFrame(rows, "g long, t long, v string")
+    got = ranking.lead_within(df, ["g"], "t", ["v"], bucket=64)
+    exp = df.withColumn("v_exp", F.lead("v").over(Window.partitionBy("g").orderBy("t")))
+    j = got.join(exp, ["g", "t"])
+    assert j.count() == 4000
+    assert j.where(~F.col("v_next").eqNullSafe(F.col("v_exp"))).count() == 0

@@ -92,22 +92,29 @@ def first_fraction(df: DataFrame, by, order_cols, frac: float, min_one: bool = F
     return r.where(F.col(rank_col) <= k).drop("_n")
 
 
-def lead_within(df: DataFrame, by, order_cols, cols, suffix: str = "_next") -> DataFrame:
-    """Exact ``lead(col) over (partition by by order by order_cols)``.
-
-    Positions come from the range-partitioned global sort (a hot group is
-    split across tasks); each row is then equi-joined to the row at
-    position + 1, kept only when it belongs to the same group. The join key
-    is the unique position, so it cannot skew.
+def lead_within(df: DataFrame, by, order_col: str, cols, suffix: str = "_next",
+                bucket: int = 4096) -> DataFrame:
+    """Exact ``lead(col) over (partition by by order by order_col)`` for a
+    numeric, unique-within-group ``order_col``, without a per-group window.
+
+    Rows are windowed per (group, ``order_col // bucket``), so a hot group is
+    split into buckets of at most ``bucket`` consecutive key values. The
+    last row of a bucket takes the first row of the next non-empty bucket:
+    one row per bucket (a partial ``min_by`` aggregate), ordered by a window
+    over buckets, joined back on (group, bucket) — a key a hot group cannot
+    skew.
     """
     by = list(by)
-    p = positions(df, [*by, *order_cols], "_pos")
-    nxt = p.select((F.col("_pos") - 1).alias("_pos"),
-                   *[F.col(b).alias("_nb_" + b) for b in by],
-                   *[F.col(c).alias(c + suffix) for c in cols])
-    j = p.join(nxt, "_pos", "left")
-    same = F.lit(True)
-    for b in by:
-        same = same & (F.col(b) == F.col("_nb_" + b))
-    j = j.withColumns({c + suffix: F.when(same, F.col(c + suffix)) for c in cols})
-    return j.drop("_pos", *["_nb_" + b for b in by])
+    o = F.col(order_col)
+    d = df.withColumn("_b", F.floor(o / F.lit(bucket)).cast("long"))
+    w = Window.partitionBy(*by, "_b").orderBy(order_col)
+    d = d.withColumns({"_last": F.lead(o).over(w).isNull(),
+                       **{c + "_in": F.lead(c).over(w) for c in cols}})
+    firsts = (df.withColumn("_b", F.floor(o / F.lit(bucket)).cast("long"))
+                .groupBy(*by, "_b").agg(F.min_by(F.struct(*cols), o).alias("_f")))
+    nxt = firsts.withColumn("_nf", F.lead("_f").over(Window.partitionBy(*by).orderBy("_b"))) \
+                .select(*by, "_b", "_nf")
+    j = d.join(nxt, [*by, "_b"], "left")
+    j = j.withColumns({c + suffix: F.when(F.col("_last"), F.col("_nf")[c])
+                       .otherwise(F.col(c + "_in")) for c in cols})
+    return j.drop("_b", "_last", "_nf", *[c + "_in" for c in cols])

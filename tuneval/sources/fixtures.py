@@ -46,7 +46,7 @@ def instruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ranking import lead_within
 
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    nxt = lead_within(c, ["conv_id"], ["turn"], ["role", "text"])
+    nxt = lead_within(c, ["conv_id"], "turn", ["role", "text"])
     sys_ = (c.where(F.col("role") == "system").groupBy("conv_id")
              .agg(F.max("text").alias("sys")))
     q = (nxt.where((F.col("role") == "user") & (F.col("role_next") == "assistant"))
