@@ -103,3 +103,13 @@ def test_field_f1(spark):
     r = jsonq.field_f1(df).collect()[0]
     assert r.field_precision == pytest.approx(0.5) and r.field_recall == pytest.approx(1 / 3)
     assert r.field_f1 == pytest.approx(0.4)
+
+
+def test_unicode_strip_like_python(spark):
+    from tuneval.functions.text import rtrim_ws, utrim, word_count
+    rows = ["  x y ", "\x1c\tz\x85", "", "  　 ", "a b"]
+    df = spark.createDataFrame([(x,) for x in rows], "x string")
+    out = df.select(utrim("x").alias("s"), rtrim_ws("x").alias("r"), word_count("x").alias("w")).collect()
+    assert [r.s for r in out] == [x.strip() for x in rows]
+    assert [r.r for r in out] == [x.rstrip() for x in rows]
+    assert [r.w for r in out][:2] == [len(rows[0].split()), 1] and out[4].w == 2

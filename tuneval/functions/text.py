@@ -13,13 +13,20 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+# Python's whitespace set (what str.strip() removes), built by rule.
+PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def utrim(c) -> Column:
-    """B2: ``x.strip()`` with Unicode whitespace; NULL becomes ''."""
-    return F.coalesce(F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", ""), F.lit(""))
+    """B2: ``x.strip()`` (Python's whitespace set); NULL becomes ''.
+
+    A native character trim, not a regex."""
+    return F.coalesce(F.btrim(_col(c), F.lit(PY_WHITESPACE)), F.lit(""))
 
 
 def rtrim_ws(c) -> Column:
-    return F.regexp_replace(_col(c), r"(?U)\s+$", "")
+    """``x.rstrip()``."""
+    return F.rtrim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def or_empty(c) -> Column:
