@@ -15,6 +15,8 @@ def _col(c):
 
 # Python's whitespace set (what str.strip() removes), built by rule.
 PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+# the same set as a Java regex class (one or more), for splitting like str.split()
+WS_RUN = "[" + "".join(f"\\u{ord(ch):04x}" for ch in PY_WHITESPACE) + "]+"
 
 
 def utrim(c) -> Column:
@@ -35,8 +37,8 @@ def or_empty(c) -> Column:
 
 
 def words(c) -> Column:
-    """``x.split()``: Unicode-whitespace tokens, empty pieces removed."""
-    return F.filter(F.split(F.coalesce(_col(c), F.lit("")), r"(?U)\s+"), lambda t: t != "")
+    """``x.split()``: tokens between runs of Python whitespace."""
+    return F.filter(F.split(F.coalesce(_col(c), F.lit("")), WS_RUN), lambda t: t != "")
 
 
 def word_count(c) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import seeded_order_key
-from ..functions.text import utrim
+from ..functions.text import WS_RUN, utrim
 from .ranking import positions, rank_within, top_k
 
 
@@ -57,7 +57,7 @@ def swap_flag(*parts, seed="swap") -> F.Column:
 
 def text_key(*cols) -> F.Column:
     """Normalised content key: md5 of lower-cased, whitespace-collapsed text."""
-    norm = [F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"(?U)\s+", " ")
+    norm = [F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), WS_RUN, " ")
             for c in cols]
     return F.md5(F.concat_ws("\u0001", *[utrim(n) for n in norm]))
 
