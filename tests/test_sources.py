@@ -87,3 +87,17 @@ def test_keyword_lookup_chunked_equals_single(spark):
     one = {r.doc_id: r.entity for r in render.keyword_lookup(texts, d).collect()}
     many = {r.doc_id: r.entity for r in render.keyword_lookup(texts, d, chunk_rows=2).collect()}
     assert one == many == {0: "e_beta", 1: None, 2: "e_delta", 3: None, 4: "e_delta"}
+
+
+def test_chat_render_parts_concatenate(spark):
+    from tuneval.operators import render
+    rows = [(1, i, ["system", "user", "assistant", "tool"][i % 4] if i else "system", f"m{i}")
+            for i in range(23)] + [(2, 0, "system", ""), (2, 1, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.conv_id: r.chat_text for r in render.chat_render(df).collect()}
+    parts = render.chat_render(df, part_turns=5).collect()
+    joined = {}
+    for r in sorted(parts, key=lambda r: (r.conv_id, r.part)):
+        joined[r.conv_id] = joined.get(r.conv_id, "") + r.chat_text
+    assert joined == whole
+    assert whole[2] == "<|user|>\nhi<|end|>\n<|endoftext|>"

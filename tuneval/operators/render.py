@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import jsonfn as J
 from ..functions import render as R
@@ -31,12 +31,15 @@ def render_prompts(df: DataFrame, instruction="instruction", input_="input",
 
 
 def chat_render(turns: DataFrame, conv="conv_id", order="turn", role="role", text="text",
-                add_generation_prompt: bool = False) -> DataFrame:
-    """One rendered string per conversation.
-
-    Each message is rendered in place (a projection), then joined in turn
-    order per conversation. System messages only when non-empty; unknown
-    roles are dropped; a trailing assistant tag or the EOS token closes it.
+                add_generation_prompt: bool = False, part_turns: int = 4096) -> DataFrame:
+    """Conversations rendered with the chat template, in bounded parts.
+
+    Each message is rendered in place (a projection). Messages are gathered
+    per (conversation, ``turn // part_turns``), so no group holds more than
+    ``part_turns`` consecutive turns however long a conversation is; the
+    last part of a conversation ends with the assistant tag or the EOS
+    token. Concatenating a conversation's parts by ``part`` gives the full
+    text. System messages only when non-empty; unknown roles are dropped.
     """
     r, t = F.col(role), F.col(text)
     piece = (F.when((r == "system") & (F.coalesce(t, F.lit("")) != ""),
@@ -46,10 +49,16 @@ def chat_render(turns: DataFrame, conv="conv_id", order="turn", role="role", tex
               .when(r == "assistant", F.concat(F.lit(ROLE_TAGS["assistant"]),
                                                F.coalesce(t, F.lit("")), F.lit(END_TAG))))
     tail = ROLE_TAGS["assistant"] if add_generation_prompt else EOS_TOKEN
-    msgs = turns.select(conv, order, piece.alias("_p")).where(F.col("_p").isNotNull())
-    agg = msgs.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(order, "_p"))).alias("_m"))
-    body = F.array_join(F.transform("_m", lambda s: s["_p"]), "")
-    return agg.select(conv, F.concat(body, F.lit(tail)).alias("chat_text"))
+    part = F.floor(F.col(order) / F.lit(part_turns)).cast("long")
+    msgs = turns.select(conv, order, part.alias("part"), piece.alias("_p")) \
+                .where(F.col("_p").isNotNull())
+    agg = msgs.groupBy(conv, "part").agg(
+        F.array_sort(F.collect_list(F.struct(order, "_p"))).alias("_m"))
+    body = F.array_join(F.transform("_m", lambda s_: s_["_p"]), "")
+    last = F.max("part").over(Window.partitionBy(conv))   # one row per part: small
+    return agg.select(conv, "part", body.alias("_body"), last.alias("_last")).select(
+        conv, "part", F.when(F.col("part") == F.col("_last"), F.concat("_body", F.lit(tail)))
+        .otherwise(F.col("_body")).alias("chat_text"))
 
 
 def slot_fill(items: DataFrame, templates: DataFrame, key="task_type", slots=("slot",),

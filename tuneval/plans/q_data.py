@@ -172,8 +172,11 @@ def template_violations(spark, sf_dir):
 
 
 @register("chat_rendered", """
-select conv_id, concat(coalesce(string_agg(piece, '' order by turn), ''), '<|endoftext|>') as chat_text
-from (select conv_id, turn,
+select conv_id, part,
+       case when part = max(part) over (partition by conv_id)
+            then concat(string_agg(piece, '' order by turn), '<|endoftext|>')
+            else string_agg(piece, '' order by turn) end as chat_text
+from (select conv_id, turn, cast(floor(turn / 4096) as bigint) as part,
              case when role = 'system' and coalesce(text, '') <> ''
                     then concat('<|system|>', chr(10), text, '<|end|>', chr(10))
                   when role = 'user' then concat('<|user|>', chr(10), coalesce(text, ''), '<|end|>', chr(10))
@@ -182,9 +185,9 @@ from (select conv_id, turn,
              end as piece
       from conversations) m
 where piece is not null
-group by conv_id""")
+group by conv_id, part""")
 def chat_rendered(spark, sf_dir):
-    """Conversations rendered with the chat template, EOS-terminated."""
+    """Conversations rendered with the chat template in bounded parts, EOS-terminated."""
     return render.chat_render(table(spark, sf_dir, "conversations"))
 
 
