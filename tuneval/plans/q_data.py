@@ -466,3 +466,17 @@ def suites_concat(spark, sf_dir):
                                             "checkpoint", "response")
     return align.concat_suites(o, j).groupBy("suite", "checkpoint").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+@register("message_lists", with_fixtures(["instruct"]) + f"""
+select prompt_id,
+       to_json([{{'role': 'system', 'content': input}},
+                {{'role': 'user', 'content': case when coalesce(input, '') <> ''
+                   then concat(instruction, {NL}, {NL}, 'Input: ', input) else instruction end}}])::varchar
+         as messages
+from instruct""")
+def message_lists(spark, sf_dir):
+    """C5 + C7: [system, user] chat message list per prompt, serialised as JSON."""
+    i = fx.instruct(spark, sf_dir)
+    m = R.message_list("input", R.teacher_prompt("instruction", "input"))
+    return i.select("prompt_id", F.to_json(m).alias("messages"))
