@@ -101,3 +101,31 @@ def test_chat_render_parts_concatenate(spark):
         joined[r.conv_id] = joined.get(r.conv_id, "") + r.chat_text
     assert joined == whole
     assert whole[2] == "<|user|>\nhi<|end|>\n<|endoftext|>"
+
+
+def test_verdict_stream_resumes_and_dedups(spark):
+    import datetime
+    from tuneval.operators import verdicts as V
+    d = tempfile.mkdtemp()
+    ts = datetime.datetime(2024, 1, 1)
+
+    def reply(pid, w):
+        return {"comparison": "c", "prompt_id": pid, "swap": 0, "arrived_at": ts.isoformat(),
+                "raw": json.dumps({"response_a_scores": {}, "response_b_scores": {}, "winner": w})}
+    first = [reply(i, "A") for i in range(6)]
+    second = first[:3] + [reply(i, "B") for i in range(6, 10)]      # re-delivered + new
+    os.makedirs(f"{d}/in/1")
+    with open(f"{d}/in/1/a.json", "w") as f:
+        f.write("\n".join(json.dumps(r) for r in first))
+    state, out = f"{d}/state", f"{d}/out"
+    q, _ = streams.verdict_win_rates(spark, f"{d}/in/*", state_path=state, out_path=out)
+    q.awaitTermination()
+    os.makedirs(f"{d}/in/2")
+    with open(f"{d}/in/2/b.json", "w") as f:
+        f.write("\n".join(json.dumps(r) for r in second))
+    q, _ = streams.verdict_win_rates(spark, f"{d}/in/*", state_path=state, out_path=out)
+    q.awaitTermination()
+    r = spark.read.parquet(out).collect()[0]
+    assert r.total_pairs == 10 and r.challenger_wins == 6
+    assert abs(r.win_rate_b - 0.4) < 1e-9
+    assert V is not None

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonfn as J
-from ..functions.text import fence_strip_prefix, fence_strip_regex, utrim
+from ..functions.text import fence_strip_regex, utrim
 
 
 def _col(c):

@@ -1,10 +1,10 @@
 """Text similarity, length and completion metrics.
 
-ROUGE-N is native: n-grams are exploded and counted with a partial
-aggregate keyed by (pair, n, gram), so one long text or one frequent word
-never lands whole on one task. ROUGE-L needs an LCS, computed per row by a
-bit-parallel Arrow UDF on whole texts. BERTScore takes token vectors and
-runs in-row with higher-order functions.
+ROUGE-N is native: the text rows are hash-partitioned by their key once,
+then n-grams are exploded and counted per (key, n, gram) inside the task
+that holds the row (no n-gram shuffle). ROUGE-L needs an LCS, computed per
+row by a bit-parallel Arrow UDF on whole texts. BERTScore takes token
+vectors and runs in-row with higher-order functions.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import render as R
-from ..functions.hashing import hash_choice, seeded_order_key
-from ..functions.text import truncate, utrim
+from ..functions.hashing import seeded_order_key
+from ..functions.text import truncate
 from ..operators import align, normalize, render, sampling
 from ..sources import fixtures as fx
 from ..sources.tables import table

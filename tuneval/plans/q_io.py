@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from ..operators import verdicts as V  # noqa: F401  (used by the stream)
 from ..session import scratch_path
 from ..sources import files
 from ..sources import fixtures as fx

@@ -1,10 +1,12 @@
 """Streaming versions of the log monitor (L1) and verdict aggregation (L2).
 
-Both read a file source with a declared schema, keep their state in the
-checkpoint folder (restartable after executor or driver loss) and publish
-each micro-batch result with ``foreachBatch`` to a table path, which is what
-a monitor or dashboard reads. ``available_now=True`` processes what is there
-and stops (tests, scheduled runs); otherwise ``interval`` sets a trigger.
+Both read a file source with a declared schema, keep their state in a
+checkpoint location under the shared checkpoint folder, and publish each
+micro-batch result with ``foreachBatch`` to a table path, which is what a
+monitor or dashboard reads. Executor loss is recovered by the engine from
+that state; to resume after a driver restart, pass the same ``state_path``
+and ``out_path`` again. ``available_now=True`` processes what is there and
+stops (tests, scheduled runs); otherwise ``interval`` sets a trigger.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from ..session import checkpoint_dir
 from ..sources.files import LOSS_PATTERN, EPOCH_PATTERN
 
 
-def _paths(spark: SparkSession, name: str):
+def _paths(spark: SparkSession, name: str, state_path=None, out_path=None):
     base = checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:8]}"
-    return base + "/state", base + "/result"
+    return state_path or base + "/state", out_path or base + "/result"
 
 
 def _run(df: DataFrame, out_path: str, state: str, mode: str, available_now: bool,
@@ -34,12 +36,13 @@ def _run(df: DataFrame, out_path: str, state: str, mode: str, available_now: boo
 
 
 def training_log_monitor(spark: SparkSession, log_dir: str, available_now: bool = True,
-                         interval: str = "60 seconds"):
+                         interval: str = "60 seconds", state_path: str | None = None,
+                         out_path: str | None = None):
     """L1: latest loss/epoch per log file as lines arrive.
 
     Returns ``(query, result_path)``; the result table holds one row per log.
     """
-    state, out = _paths(spark, "training-log")
+    state, out = _paths(spark, "training-log", state_path, out_path)
     lines = (spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())]))
                   .option("recursiveFileLookup", "true").text(log_dir))
     p = (lines.withColumn("log", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
@@ -55,7 +58,8 @@ def training_log_monitor(spark: SparkSession, log_dir: str, available_now: bool
 
 
 def verdict_win_rates(spark: SparkSession, verdict_dir: str, watermark: str = "1 hour",
-                      available_now: bool = True, interval: str = "60 seconds"):
+                      available_now: bool = True, interval: str = "60 seconds",
+                      state_path: str | None = None, out_path: str | None = None):
     """L2: running win rates per comparison over arriving judge replies.
 
     Replies may be delivered more than once: duplicates of (comparison,
@@ -63,7 +67,7 @@ def verdict_win_rates(spark: SparkSession, verdict_dir: str, watermark: str = "1
     reply is parsed/unswapped and counted. The aggregate is mutable, so the
     output mode is ``complete`` (one small row per comparison).
     """
-    state, out = _paths(spark, "verdicts")
+    state, out = _paths(spark, "verdicts", state_path, out_path)
     raw = spark.readStream.schema(S.RAW_VERDICT).json(verdict_dir)
     d = (raw.withWatermark("arrived_at", watermark)
             .dropDuplicatesWithinWatermark(["comparison", "prompt_id"]))
