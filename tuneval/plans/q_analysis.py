@@ -149,7 +149,7 @@ def regression_examples(spark, sf_dir):
     """E4 + H11 + J4 + J5: five largest regressions and improvements (cp2 vs cp1 over cp0)."""
     t = forgetting.top_examples(changes(spark, sf_dir), 5)
     return t.select("prompt_id", "category", "direction", F.round("change", 6).alias("change"),
-                    "rank")
+                    F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("example_buckets", with_fixtures(["verdicts"], D_CHANGES) + """
@@ -226,7 +226,8 @@ def ablation_findings(spark, sf_dir):
 
 
 @register("ablation_size_effect", with_fixtures(["json_items"], D_ABL) + """
-select lag(stage2_dataset_size_pct) over w as from_pct, stage2_dataset_size_pct as to_pct,
+select cast(lag(stage2_dataset_size_pct) over w as double) as from_pct,
+       cast(stage2_dataset_size_pct as double) as to_pct,
        round(lag(json_exact_match_rate) over w, 6) as from_rate, round(json_exact_match_rate, 6) as to_rate
 from res where ablation_type = 'dataset_size'
 window w as (order by stage2_dataset_size_pct desc)

@@ -24,7 +24,7 @@ enc as (select prompt_id, len(t) as n_tokens, t[1:512] as kept, t as alltok from
 
 
 @register("training_batches", with_fixtures(["instruct"], D_TOK) + f"""
-select prompt_id, n_tokens, len(ids) as n_input, list_sum(mask) as n_attended,
+select prompt_id, n_tokens, len(ids) as n_input, cast(list_sum(mask) as bigint) as n_attended,
        md5(array_to_string(ids, ' ')) as input_hash, md5(array_to_string(ids, ' ')) as labels_hash
 from (select prompt_id, n_tokens,
              list_concat(list_resize(['{PAD}'][1:0], 512 - len(kept), '{PAD}'), kept) as ids,
@@ -35,8 +35,10 @@ def training_batches(spark, sf_dir):
     inst = fx.instruct(spark, sf_dir).withColumn(
         "text", R.training_prompt("instruction", "input", "output"))
     e = tokens.encode(inst, "text")
-    return e.select("prompt_id", "n_tokens", F.size("input_tokens").alias("n_input"),
-                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"),
+    return e.select("prompt_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                    F.size("input_tokens").cast("bigint").alias("n_input"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint")
+                    .alias("n_attended"),
                     F.md5(F.array_join("input_tokens", " ")).alias("input_hash"),
                     F.md5(F.array_join("labels", " ")).alias("labels_hash"))
 
@@ -50,13 +52,13 @@ def tail_truncation(spark, sf_dir):
     inst = fx.instruct(spark, sf_dir).withColumn(
         "text", R.training_prompt("instruction", "input", "output"))
     e = tokens.encode(inst, "text", pad=False, keep="tail")
-    return e.select("prompt_id", F.size("input_tokens").alias("n_kept"),
+    return e.select("prompt_id", F.size("input_tokens").cast("bigint").alias("n_kept"),
                     F.md5(F.array_join("input_tokens", " ")).alias("kept_hash"))
 
 
 @register("length_budget", with_fixtures(["instruct"], D_TOK) + """
 select count(*) as rows, count(*) filter (where n_tokens > 512) as rows_over,
-       sum(greatest(n_tokens - 512, 0)) as tokens_dropped, round(avg(n_tokens), 6) as mean_tokens,
+       cast(sum(greatest(n_tokens - 512, 0)) as bigint) as tokens_dropped, round(avg(n_tokens), 6) as mean_tokens,
        max(n_tokens) as max_tokens, quantile_disc(n_tokens, 0.5) as p50_tokens
 from enc""")
 def length_budget(spark, sf_dir):
@@ -64,7 +66,8 @@ def length_budget(spark, sf_dir):
     inst = fx.instruct(spark, sf_dir).withColumn(
         "text", R.training_prompt("instruction", "input", "output"))
     b = tokens.length_budget(tokens.encode(inst, "text"))
-    return b.withColumn("tokens_dropped", F.col("tokens_dropped").cast("bigint"))
+    return b.withColumns({c: F.col(c).cast("bigint") for c in
+                          ("tokens_dropped", "max_tokens", "p50_tokens")})
 
 
 @register("training_steps", with_fixtures(["instruct"]) + """
