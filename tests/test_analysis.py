@@ -60,3 +60,27 @@ def test_report_na(spark):
                               "alpaca_judge_win_rate double, forgetting_severity string, primary_metric double")
     row = ablation.report(r).collect()[0]
     assert (row.json_acc, row.alpaca_wr, row.forgetting, row.primary) == ("N/A",) * 4
+
+
+def test_expand_with_fallback(spark):
+    from tuneval.operators import render
+    t = spark.createDataFrame([("extraction", "base-e", "in-e"), ("tool_call", "base-t", "in-t")],
+                              "task_type string, instruction string, input string")
+    v = spark.createDataFrame([("extraction", "v1", ""), ("extraction", "v2", "x"),
+                               ("function_call", "f1", "")],
+                              "task_type string, instruction string, input string")
+    out = sorted(map(tuple, render.expand_with_fallback(t, v, 3).collect()))
+    # matched type takes its variations; unmatched type repeats its base pair n times;
+    # variations of a type with no template are not used
+    assert out == [("extraction", "v1", ""), ("extraction", "v2", "x")] + [("tool_call", "base-t", "in-t")] * 3
+
+
+def test_append_results_keeps_history(spark):
+    import tempfile
+    path = tempfile.mkdtemp() + "/ablation_results"
+    r = spark.createDataFrame([("epochs_1", 0.5)], "variant_name string, primary_metric double")
+    ablation.append_results(r, path)
+    ablation.append_results(r.withColumn("primary_metric", F.lit(0.6)), path)
+    got = spark.read.parquet(path)
+    assert got.count() == 2 and "timestamp" in got.columns
+    assert sorted(x.primary_metric for x in got.collect()) == [0.5, 0.6]
