@@ -82,41 +82,35 @@ def json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-3: ``(prompt_id, checkpoint, task_type, expected, response)``.
 
     The expected value is an object built from an event; the response is one
-    of ten shapes a model might produce (see FIXTURES.md).
+    of ten shapes a model might produce (see FIXTURES.md). Written as SQL
+    expressions; the shape code is referenced once (``element_at``).
     """
     e = table(spark, sf_dir, "events").select(
         "event_id", "event_type", "user_id",
         F.regexp_extract("props", "([0-9]+)", 1).alias("k"))
     e = e.select("*", _checkpoints(CHECKPOINT_BIAS, "bias").alias("c")) \
          .select("event_id", "event_type", "user_id", "k", "c.checkpoint", "c.bias")
-    t, u, k = F.col("event_type"), F.col("user_id").cast("string"), F.col("k")
-    q = F.lit('"')
-    expected = F.concat(F.lit('{"event_type": "'), t, F.lit('", "k": '), k,
-                        F.lit(', "user_id": '), u, F.lit("}"))
-    hh = F.pmod(_h(F.col("event_id").cast("string"), F.lit("|"), F.col("checkpoint")), F.lit(100))
-    b = F.when(hh < F.col("bias"), F.lit(0)).otherwise(F.pmod(hh, F.lit(10)))
-    e = e.withColumn("expected", expected).withColumn("b", b)
-    ex = F.col("expected")
-    shapes = F.array(
-        ex,
-        F.concat(F.lit('{"user_id": '), u, F.lit(', "k": '), k, F.lit(', "event_type": "'), t,
-                 F.lit('"}')),
-        F.concat(F.lit('{"event_type": "'), t, F.lit('", "k": '), k, F.lit(', "user_id": '), u,
-                 F.lit(', "extra": true}')),
-        F.concat(F.lit('{"event_type": "'), t, F.lit('", "k": '), k, F.lit("}")),
-        F.concat(F.lit('{"event_type": "'), t, F.lit('", "k": "'), k, F.lit('", "user_id": '), u,
-                 F.lit("}")),
-        F.concat(F.lit("```json\n"), ex, F.lit("\n```")),
-        ex.substr(F.lit(1), (F.length(ex) - 1).cast("int")),
-        F.replace(ex, q, F.lit("'")),
-        F.concat(F.lit("Sure: "), ex, F.lit(" Done.")),
-        F.lit(""))
-    # one reference to the hash-derived code (element_at), so Catalyst never
-    # copies the md5 into every branch
-    resp = F.element_at(shapes, (F.col("b") + 1).cast("int"))
-    return e.select(F.col("event_id").alias("prompt_id"), "checkpoint",
-                    F.col("event_type").alias("task_type"), "expected",
-                    resp.alias("response"))
+    t, u, k = "event_type", "cast(user_id as string)", "k"
+    ex = f"""concat('{{"event_type": "', {t}, '", "k": ', {k}, ', "user_id": ', {u}, '}}')"""
+    hh = ("pmod(cast(conv(substr(md5(concat(cast(event_id as string), '|', checkpoint)), 1, 8), "
+          "16, 10) as bigint), 100)")
+    e = e.selectExpr("event_id", "event_type", "user_id", "k", "checkpoint", f"{ex} as expected",
+                     f"case when {hh} < bias then 0 else pmod({hh}, 10) end as b")
+    shapes = [
+        "expected",
+        f"""concat('{{"user_id": ', {u}, ', "k": ', {k}, ', "event_type": "', {t}, '"}}')""",
+        f"""concat('{{"event_type": "', {t}, '", "k": ', {k}, ', "user_id": ', {u}, ', "extra": true}}')""",
+        f"""concat('{{"event_type": "', {t}, '", "k": ', {k}, '}}')""",
+        f"""concat('{{"event_type": "', {t}, '", "k": "', {k}, '", "user_id": ', {u}, '}}')""",
+        "concat('```json', char(10), expected, char(10), '```')",
+        "substr(expected, 1, length(expected) - 1)",
+        "replace(expected, '\"', char(39))",
+        "concat('Sure: ', expected, ' Done.')",
+        "''",
+    ]
+    resp = f"element_at(array({', '.join(shapes)}), cast(b + 1 as int))"
+    return e.selectExpr("event_id as prompt_id", "checkpoint", "event_type as task_type",
+                        "expected", f"{resp} as response")
 
 
 def json_schema_spec() -> F.Column:
