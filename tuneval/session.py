@@ -24,10 +24,38 @@ SQL_CONF = {
 }
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tuneval`` importable in executor Python workers.
+
+    The three Arrow UDFs are pickled by reference to their module, so the
+    workers need the package. It is zipped once per application and added
+    with ``addPyFile`` (distributed by Spark itself, like ``--py-files``).
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zp = os.path.join(tempfile.mkdtemp(prefix="tuneval-pkg-"), "tuneval.zip")
+    with zipfile.ZipFile(zp, "w") as z:
+        for dp, _, fs in os.walk(pkg):
+            for f in fs:
+                if f.endswith(".py"):
+                    full = os.path.join(dp, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zp)
+    _SHIPPED.add(key)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in SQL_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
