@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuneval.llm import mixing, quality_rules, simhash
-from tuneval.llm.common import configure, read, written
+from tuneval.llm import decontaminate, mixing, quality_rules, simhash, token_files
+from tuneval.llm.common import configure, read, scratch_path, written
+from tuneval.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +28,32 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    configure(spark)
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents repeated, taken or left."""
     configure(spark)
     return mixing.mix(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, digested per document (copies have a row each)."""
+    configure(spark)
+    out = scratch_path(spark, "pipeline-token-files")
+    token_files.write_tokens(docs, out, tokenizer("word_bpe_49k.json"))
+    return token_files.digests(token_files.read_tokens(spark, out))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminated),
     ("mix_sources", mix),
+    ("token_files", tokens),
 ]
 
 # Trained models, XXH64 and tokenizer merges are beyond SQL: the stages are

@@ -10,13 +10,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules, simhash
-from .common import configure, read
+from . import (decontaminate, importance, language, line_dedup, mixing, quality_rules, simhash, surrogates,
+               token_counts, token_files)
+from .common import configure, read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def register(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(configure(spark), sf_dir)
@@ -25,6 +32,13 @@ def register(fn):
     return run
 
 
+@register
+def op1_language_id(spark, sf_dir):
+    """Language of every document by bit-sliced Bloom filters."""
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 @register
 def op2_quality_rules(spark, sf_dir):
     """Base counts and the calibrated classifier's verdict for every document."""
@@ -33,12 +47,38 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(docs, model)
 
 
+@register
+def op3_pii_surrogates(spark, sf_dir):
+    """Every document with its PII replaced by keyed surrogates."""
+    return surrogates.replace_pii(read(spark, sf_dir, "documents"))
+
+
 @register
 def op4_simhash_near_dedup(spark, sf_dir):
     """SimHash fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@register
+def op5_token_counts(spark, sf_dir):
+    """Bytes and tokens of every document, and whether it exceeds 1024 tokens."""
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@register
+def op6_token_files(spark, sf_dir):
+    """Every document's token ids written as Parquet and digested from the files."""
+    out = scratch_path(spark, "tokens")
+    token_files.write_tokens(read(spark, sf_dir, "documents"), out, tokenizer("word_bpe_49k.json"))
+    return token_files.digests(token_files.read_tokens(spark, out))
+
+
+@register
+def op7_decontaminate(spark, sf_dir):
+    """Every (document, benchmark item) pair whose passage the document holds."""
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @register
 def op8_mix_sources(spark, sf_dir):
     """Target words of every source and the words taken of every document."""
@@ -46,6 +86,37 @@ def op8_mix_sources(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@register
+def op9_importance_resampling(spark, sf_dir):
+    """Log weight of every document and whether the resampled corpus keeps it."""
+    docs = read(spark, sf_dir, "documents")
+    target, share = importance.target_documents(docs, read(spark, sf_dir, "labels"))
+    return importance.resample(docs, importance.log_ratio(docs, target), share)
+
+
+@register
+def op10_line_dedup(spark, sf_dir):
+    """Lines, cross-site boilerplate lines and what is left of every document."""
+    clean = line_dedup.remove_boilerplate(read(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"),
+                        F.md5("text").alias("text_md5"))
+
+
+ORACLES["op10_line_dedup"] = """
+with l as (select doc_id, source, n, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t
+           from (select doc_id, source, unnest(string_split(text, chr(10))) as line,
+                        generate_subscripts(string_split(text, chr(10)), 1) as n
+                 from documents where text is not null) x),
+b as (select t from l where t <> '' group by t having count(distinct source) >= 10),
+k as (select doc_id, count(*) filter (where t <> '')::bigint as n_lines,
+             count(*) filter (where t in (select t from b))::bigint as n_removed,
+             coalesce(string_agg(line, chr(10) order by n) filter (where t not in (select t from b)), '') as text
+      from l group by doc_id)
+select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_removed, 0)::bigint as n_removed,
+       length(k.text)::bigint as n_chars_left, md5(k.text) as text_md5
+from documents d left join k using (doc_id)"""
+
+
 ORACLES["op8_mix_sources"] = """
 with d as (select doc_id, text, source,
                   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size
