@@ -25,7 +25,8 @@ _TYPES = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])",
     "token": r"(?<![A-Za-z0-9])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
-    "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<![\d+])(?<!\d[.,])\d(?:[ -]?\d){12,18}(?![\d])",
+    "ssn": r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)"
              r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
              r"|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
@@ -121,6 +122,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         n = max(1, min(len(part) // 2, 6)) + (attempt > 4) * (attempt - 4)
         made = "".join(_SYLLABLES[script][s.below(len(_SYLLABLES[script]))] for _ in range(n + 1))
         return f"{gender}:{script}:{made}{_ENDINGS[script, gender]}"
+    if kind == "ssn":
+        return "".join(str(s.below(10)) for _ in value)
     if kind == "phone":
         head = min(max(len(value) - 10, 0), 3)   # the country code stays
         return value[:head] + "".join(str(s.below(10)) for _ in value[head:])
@@ -131,13 +134,17 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
 
 def render(mention: str, kind: str, made: str) -> str:
     """The surrogate in the mention's format."""
-    if kind in ("card", "phone"):
+    if kind in ("card", "phone", "ssn"):
         it = iter(made)
         return "".join(next(it) if c.isdecimal() and c.isascii() else c for c in mention)
     if kind == "name":
         w = made.rpartition(":")[2]
         return w.upper() if mention.isupper() else w.capitalize() if mention[0].isupper() else w
-    if kind in ("email", "token") and mention.isupper():
+    if kind == "email":   # the local part keeps its pattern of capitals
+        local, at, host = made.partition("@")
+        caps = {i for i, c in enumerate(mention.partition("@")[0]) if c.isupper()}
+        return "".join(c.upper() if i in caps else c for i, c in enumerate(local)) + at + host
+    if kind == "token" and mention.isupper():
         return made.upper()
     return made
 
