@@ -52,17 +52,28 @@ def test_metadata_and_trainer_state(spark):
     assert len(t) == 1 and t[0].step == 4
 
 
-def test_log_scan_and_stream(spark):
+def test_logs_of_one_folder_stay_apart_and_grow(spark):
     d = tempfile.mkdtemp()
-    os.makedirs(f"{d}/job1")
-    with open(f"{d}/job1/out.err", "w") as f:
-        f.write("noise\n{'loss': '2.5', 'epoch': '0.5'}\n{'loss': '1.5', 'epoch': '1.0'}\n")
-    b = files.latest_log_values(files.parse_log_lines(files.read_training_logs(spark, d))).collect()
-    assert [(r.log, r.loss, r.epoch) for r in b] == [("job1", 1.5, 1.0)]
-    q, out = streams.training_log_monitor(spark, d)
+    with open(f"{d}/a.err", "w") as f:
+        f.write("start\n{'loss': '2.5', 'epoch': '0.5'}\n{'loss': '1.5', 'epoch': '1.0'}\n{'loss': '1.75'}\n")
+    with open(f"{d}/b.err", "w") as f:
+        f.write("{'loss': '9.5', 'epoch': '7.0'}\n{'epoch': '6.0'}\n")
+
+    def rows(df):
+        return sorted((os.path.basename(r.log), r.loss, r.epoch, r.lines) for r in df.collect())
+    want = [("a.err", 1.75, 1.0, 3), ("b.err", 9.5, 6.0, 2)]
+    assert rows(streams.poll_training_logs(spark, d)) == want
+    q, out = streams.training_log_monitor(spark, d, state_path=f"{d}-state", out_path=f"{d}-out")
     q.awaitTermination()
-    s = spark.read.parquet(out).collect()
-    assert [(r.log, r.loss, r.epoch) for r in s] == [("job1", 1.5, 1.0)]
+    assert rows(streams.latest_result(spark, out)) == want
+    with open(f"{d}/a.err", "a") as f:
+        f.write("{'loss': '0.5', 'epoch': '2.0'}\n")
+    assert rows(streams.poll_training_logs(spark, d))[0] == ("a.err", 0.5, 2.0, 4)
+    with open(f"{d}/c.err", "w") as f:      # a further segment reaches the stream
+        f.write("{'loss': '3.0', 'epoch': '1.0'}\n")
+    q, _ = streams.training_log_monitor(spark, d, state_path=f"{d}-state", out_path=f"{d}-out")
+    q.awaitTermination()
+    assert rows(streams.latest_result(spark, out)) == [*want, ("c.err", 3.0, 1.0, 1)]
 
 
 def test_tokens_left_pad_and_prefix_property(spark):
@@ -105,7 +116,6 @@ def test_chat_render_parts_concatenate(spark):
 
 def test_verdict_stream_resumes_and_dedups(spark):
     import datetime
-    from tuneval.operators import verdicts as V
     d = tempfile.mkdtemp()
     ts = datetime.datetime(2024, 1, 1)
 
@@ -125,7 +135,28 @@ def test_verdict_stream_resumes_and_dedups(spark):
         f.write("\n".join(json.dumps(r) for r in second))
     q, _ = streams.verdict_win_rates(spark, f"{d}/in/*", state_path=state, out_path=out)
     q.awaitTermination()
-    r = spark.read.parquet(out).collect()[0]
+    r = streams.latest_result(spark, out).collect()[0]
     assert r.total_pairs == 10 and r.challenger_wins == 6
     assert abs(r.win_rate_b - 0.4) < 1e-9
-    assert V is not None
+
+
+def test_verdict_stream_keeps_swapped_judgements_and_late_replies(spark):
+    import datetime
+    d = tempfile.mkdtemp()
+    os.makedirs(f"{d}/in")
+    body = json.dumps({"response_a_scores": {}, "response_b_scores": {}, "winner": "A"})
+
+    def write(name, rows):
+        with open(f"{d}/in/{name}.json", "w") as f:
+            f.write("\n".join(json.dumps({"comparison": "c", "prompt_id": p, "swap": s, "raw": body,
+                                          "arrived_at": (datetime.datetime(2024, 1, 1) + datetime.timedelta(
+                                              minutes=m)).isoformat()}) for p, s, m in rows))
+        os.utime(f"{d}/in/{name}.json", (1_700_000_000 + len(os.listdir(f"{d}/in")),) * 2)
+    write("1", [(1, 0, 0), (1, 1, 1), (1, 0, 2)])        # both orders, one of them twice
+    write("2", [(2, 0, 300)])
+    write("3", [(3, 0, 310), (4, 0, 10)])                # the second is hours late
+    q, out = streams.verdict_win_rates(spark, f"{d}/in", files_per_batch=1)
+    q.awaitTermination()
+    r = streams.latest_result(spark, out).collect()[0]
+    assert r.total_pairs == 5 and r.challenger_wins == 4   # the swapped verdict went to the opponent
+    assert streams.late_rows(q) == 0

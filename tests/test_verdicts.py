@@ -44,6 +44,23 @@ def test_clamp_default_and_winner_normalise(spark):
     assert "clarity" not in r.raw_scores_a
 
 
+@pytest.mark.parametrize("bad", ["abc", None, [2], {"a": 1}, "4.5", ""])
+def test_a_score_that_is_no_number_is_an_error(spark, bad):
+    rows = [("c", 1, 0, verdict([bad, 3, 3, 3, 3, 3], [3] * 6, "A")),
+            ("c", 2, 1, verdict([3] * 6, [3, 3, bad, 3, 3, 3], "A"))]
+    out = run(spark, rows)
+    for r in out.collect():
+        assert r.error == "invalid score" and r.winner is None and r.scores_a is None and r.scores_b is None
+    w = V.win_rates(out).collect()[0]
+    assert w.error_count == 2 and w.total_pairs == 0
+
+
+def test_scores_that_int_takes(spark):
+    r = run(spark, [("c", 1, 0, verdict(["4", " 2 ", "-7", True, False, 1e9], [-0.5] * 6, "A"))]).collect()[0]
+    assert list(r.scores_a.values()) == [4, 2, 1, 1, 1, 5] and set(r.scores_b.values()) == {1}
+    assert r.error is None and "clarity" not in r.raw_scores_a
+
+
 def test_unswap_is_inverse_of_swap(spark):
     a, b = [5, 4, 3, 2, 1, 5], [1, 1, 2, 2, 3, 3]
     plain = ("c", 1, 0, verdict(a, b, "A"))

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.fixtures import COMPARISONS
+from ..schemas import COMPARISONS
 
 CHECKPOINTS = ("cp0", "cp1", "cp2")
 

@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonfn as J
-from ..sources.fixtures import DIMENSIONS
+from ..schemas import DIMENSIONS
 
 # Winner labels a verdict may carry.
 WINNERS = ("A", "B", "TIE")
 DEFAULT_SCORE = 3
+INT_TEXT = "^ *([+-]?[0-9]+) *$"
 
 
 def parse_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -47,37 +48,44 @@ def _dims_sql() -> str:
     return "array(" + ", ".join(f"'{d}'" for d in DIMENSIONS) + ")"
 
 
+def _values_sql(v: str, side: str) -> str:
+    """Array of the side's score values (VARIANT), NULL where absent."""
+    return "array(" + ", ".join(f"try_variant_get({v}, '$.response_{side}_scores.{d}', 'variant')"
+                                for d in DIMENSIONS) + ")"
+
+
 def raw_scores(v: str, side: str) -> Column:
     """``map<dim, double>`` of numeric (or boolean) scores present (judge form).
 
     ``v`` is the name of the VARIANT column."""
-    vals = []
-    for d in DIMENSIONS:
-        s = f"try_variant_get({v}, '$.response_{side}_scores.{d}', 'variant')"
-        vals.append(f"case when ({_type_sql(s)}) in ('number', 'boolean') "
-                    f"then try_variant_get({s}, '$', 'double') end")
-    return F.expr(f"map_filter(map_from_arrays({_dims_sql()}, array({', '.join(vals)})), "
-                  "(k, x) -> x is not null)")
+    vals = (f"transform({_values_sql(v, side)}, s -> case when ({_type_sql('s')}) in ('number', 'boolean') "
+            "then try_variant_get(s, '$', 'double') end)")
+    return F.expr(f"map_filter(map_from_arrays({_dims_sql()}, {vals}), (k, x) -> x is not null)")
 
 
 def normalized_scores(v: str, side: str) -> Column:
     """H2: missing dimension -> 3, else ``int()`` clamped to 1..5; NULL when
-    the side's score object is absent. Non-numeric scores give NULL values
-    (flagged as errors by ``normalize_verdicts``)."""
-    vals = []
-    for d in DIMENSIONS:
-        s = f"try_variant_get({v}, '$.response_{side}_scores.{d}', 'variant')"
-        num = f"try_variant_get({s}, '$', 'double')"
-        vals.append(f"case when {s} is null then {DEFAULT_SCORE} else cast(least(5, greatest(1, "
-                    f"floor(abs({num})) * signum({num}))) as int) end")
+    the side's score object is absent.
+
+    What ``int()`` takes counts as a score: numbers (cut towards zero),
+    booleans and strings of digits. Any other value that is present (null,
+    text, list, object) is NULL here, which ``normalize_verdicts`` turns into
+    an error."""
+    number = (f"transform({_values_sql(v, side)}, s -> struct(s is null as absent, "
+              f"case ({_type_sql('s')}) when 'number' then try_variant_get(s, '$', 'double') "
+              "when 'boolean' then try_variant_get(s, '$', 'double') "
+              f"when 'string' then try_cast(regexp_extract(try_variant_get(s, '$', 'string'), '{INT_TEXT}', 1) "
+              "as double) end as n))")
+    vals = (f"transform({number}, x -> case when x.absent then {DEFAULT_SCORE} when x.n is not null "
+            "then cast(least(5, greatest(1, floor(abs(x.n)) * signum(x.n))) as int) end)")
     obj = f"try_variant_get({v}, '$.response_{side}_scores', 'map<string,variant>')"
-    return F.expr(f"case when {obj} is not null then map_from_arrays({_dims_sql()}, "
-                  f"array({', '.join(vals)})) end")
+    return F.expr(f"case when {obj} is not null then map_from_arrays({_dims_sql()}, {vals}) end")
 
 
 def normalize_verdicts(parsed: DataFrame, swap: str = "swap") -> DataFrame:
     """H2-H4: scores normalised, winner normalised (unknown -> TIE), then
-    unswapped back to (challenger=A, opponent=B)."""
+    unswapped back to (challenger=A, opponent=B). A verdict with a score that
+    is no number is an error: it has no winner and no scores."""
     v = F.col("verdict")
     w = F.try_variant_get(v, "$.winner", "string")
     d = parsed.withColumns({
@@ -90,12 +98,13 @@ def normalize_verdicts(parsed: DataFrame, swap: str = "swap") -> DataFrame:
     sw = F.col(swap) == 1
     d = d.withColumn("error", F.when(F.col("error").isNull() & bad, F.lit("invalid score"))
                      .otherwise(F.col("error")))
+    ok = F.col("error").isNull()
     out = d.withColumns({
         "winner": F.when(F.col("error").isNotNull(), F.lit(None))
                    .when(sw & (F.col("_wn") == "A"), "B")
                    .when(sw & (F.col("_wn") == "B"), "A").otherwise(F.col("_wn")),
-        "scores_a": F.when(sw, F.col("_b")).otherwise(F.col("_a")),
-        "scores_b": F.when(sw, F.col("_a")).otherwise(F.col("_b")),
+        "scores_a": F.when(ok, F.when(sw, F.col("_b")).otherwise(F.col("_a"))),
+        "scores_b": F.when(ok, F.when(sw, F.col("_a")).otherwise(F.col("_b"))),
         "raw_scores_a": F.when(sw, F.col("_rb")).otherwise(F.col("_ra")),
         "raw_scores_b": F.when(sw, F.col("_ra")).otherwise(F.col("_rb"))})
     return out.drop("_wn", "_a", "_b", "_ra", "_rb")

@@ -6,8 +6,9 @@ The driver registers the parquet tables as DuckDB views; each oracle query is
 
 from __future__ import annotations
 
-from ..sources.fixtures import (CHECKPOINT_BIAS, CHECKPOINT_PCT, COMPARISONS, DIMENSIONS,
-                                JSON_SUITE, OPEN_SUITE, WINNER_LABELS)
+from ..schemas import COMPARISONS, DIMENSIONS
+from ..sources.fixtures import (CHECKPOINT_BIAS, CHECKPOINT_PCT, JSON_SUITE, ODD_SCORES, OPEN_SUITE,
+                                WINNER_LABELS)
 
 
 def H(s: str) -> str:
@@ -62,10 +63,11 @@ JSON_ITEMS = f"""json_items as (
 
 
 def _scores(side: str) -> str:
-    parts = []
+    parts, odd = [], "[" + ", ".join(f"'{x}'" for x in ODD_SCORES) + "]"
     for i, d in enumerate(DIMENSIONS):
         parts.append("'" + ("" if i == 0 else ", ") + f'"{d}": ' + "'")
-        parts.append(f"cast(h_{side}{d} % 7 as varchar)")
+        parts.append(f"coalesce(case when h_{side}{d} % 211 < {len(ODD_SCORES)} then {odd}[h_{side}{d} % 211 + 1] end, "
+                     f"cast(h_{side}{d} % 7 as varchar))")
     return "concat('{', " + ", ".join(parts) + ", '}')"
 
 

@@ -28,40 +28,48 @@ def instruct_jsonl_roundtrip(spark, sf_dir):
 
 
 def write_logs(spark, sf_dir) -> str:
-    """Stand-in training logs: one log per event type, one line per event
-    (loss = value, epoch = microseconds since 2024-01-01), in time order."""
+    """Stand-in training logs: one log file per event type and day, one line
+    per event in time order. Every third line tells the loss only and every
+    third the epoch only (microseconds since 2024-01-01)."""
     e = table(spark, sf_dir, "events")
     # ts is TIMESTAMP_NTZ; the session time zone is UTC
     step = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200 * 1000000)).cast("bigint")
-    lines = e.select("event_type", F.format_string(
-        "{'loss': '%s', 'learning_rate': '2e-05', 'epoch': '%d'}",
-        F.col("value").cast("string"), step).alias("value"), step.alias("_s"))
+    kind = F.col("event_id") % 3
+    parts = F.concat_ws(", ", F.when(kind != 1, F.format_string("'loss': '%s'", F.col("value").cast("string"))),
+                        F.lit("'learning_rate': '2e-05'"),
+                        F.when(kind != 2, F.format_string("'epoch': '%d'", step)))
+    lines = e.select("event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"),
+                     F.concat(F.lit("{"), parts, F.lit("}")).alias("value"), step.alias("_s"), "event_id")
     path = scratch_path(spark, "logs")
-    (lines.repartition("event_type").sortWithinPartitions("_s").drop("_s")
-          .write.partitionBy("event_type").text(path))
+    (lines.repartition("event_type", "day").sortWithinPartitions("event_type", "day", "_s", "event_id")
+          .drop("_s", "event_id").write.partitionBy("event_type", "day").text(path))
     return path
 
 
 D_LOGS = """
-select 'event_type=' || event_type as log, arg_max(value, ts) as loss,
-       max(epoch_us(ts) - 1704067200000000)::double as epoch, count(*) as lines
-from events group by event_type"""
+select 'event_type=' || event_type || '/day=' || strftime(ts, '%Y-%m-%d') as log,
+       arg_max(value, (ts, event_id)) filter (where event_id % 3 <> 1) as loss,
+       max(epoch_us(ts) - 1704067200000000) filter (where event_id % 3 <> 2)::double as epoch, count(*) as lines
+from events group by 1"""
+
+
+def _run_name(d):
+    """The part of a log's path that does not change from run to run."""
+    return d.withColumn("log", F.regexp_extract("log", "(event_type=[^/]+/day=[^/]+)/[^/]+$", 1))
 
 
 @register("training_log_last", D_LOGS)
 def training_log_last(spark, sf_dir):
-    """Latest loss and epoch per training log (regex extraction + max_by)."""
-    path = write_logs(spark, sf_dir)
-    return files.latest_log_values(files.parse_log_lines(files.read_training_logs(spark, path)))
+    """Last loss and last epoch of every training log file (numbered lines + max_by)."""
+    return _run_name(streams.poll_training_logs(spark, write_logs(spark, sf_dir)))
 
 
 @register("training_log_stream", D_LOGS)
 def training_log_stream(spark, sf_dir):
     """L1: the log monitor as a file-source stream (AvailableNow), published by foreachBatch."""
-    path = write_logs(spark, sf_dir)
-    q, out = streams.training_log_monitor(spark, path, available_now=True)
+    q, out = streams.training_log_monitor(spark, write_logs(spark, sf_dir), available_now=True)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return _run_name(streams.latest_result(spark, out))
 
 
 @register("verdict_stream_win_rates", with_fixtures(["verdicts"], D_VERDICTS) + D_WINS.format(src="vn"))
@@ -75,4 +83,4 @@ def verdict_stream_win_rates(spark, sf_dir):
         v.write.json(f"{path}/{part}")
     q, out = streams.verdict_win_rates(spark, f"{path}/*")
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return streams.latest_result(spark, out)

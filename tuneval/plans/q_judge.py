@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import verdicts as V
 from ..plans import evaluate
 from ..sources import fixtures as fx
-from ..sources.fixtures import DIMENSIONS
+from ..schemas import DIMENSIONS
 from .catalog import register
 from .oracle_fixtures import with_fixtures
 
@@ -17,10 +17,20 @@ def normalized(spark, sf_dir, inst=None):
 
 
 def _d_side(side_json: str) -> str:
+    def dim(d):
+        x = f"json_extract(j, '$.{side_json}.{d}')"
+        num = (f"case when json_type({x}) in ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') then {x}::double "
+               f"when json_type({x}) = 'VARCHAR' and regexp_matches({x}->>'$', '^ *[+-]?[0-9]+ *$') "
+               f"then ({x}->>'$')::double end")
+        return (f"case when {x} is null then 3 when ({num}) is null then null "
+                f"else cast(least(5, greatest(1, trunc({num}))) as int) end")
+    return ", ".join(dim(d) for d in DIMENSIONS)
+
+
+def _d_raw(side_json: str) -> str:
     return ", ".join(
-        f"case when json_extract(j, '$.{side_json}.{d}') is null then 3 else "
-        f"cast(least(5, greatest(1, trunc(json_extract(j, '$.{side_json}.{d}')::double))) as int) end"
-        for d in DIMENSIONS)
+        f"case when json_type(json_extract(j, '$.{side_json}.{d}')) in ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') "
+        f"then json_extract(j, '$.{side_json}.{d}')::double end" for d in DIMENSIONS)
 
 
 D_VERDICTS = """vp as (
@@ -34,22 +44,23 @@ D_VERDICTS = """vp as (
                      end as sl
               from verdicts) a) b),
 vn as (
-  select comparison, prompt_id, swap, j is null as is_error,
-         case when j is null then null
+  select comparison, prompt_id, swap, bad as is_error,
+         case when bad then null
               when swap = 1 and wn = 'A' then 'B' when swap = 1 and wn = 'B' then 'A' else wn end as winner,
-         case when swap = 1 then sb else sa end as scores_a,
-         case when swap = 1 then sa else sb end as scores_b,
+         case when not bad then case when swap = 1 then sb else sa end end as scores_a,
+         case when not bad then case when swap = 1 then sa else sb end end as scores_b,
          case when swap = 1 then rb else ra end as raw_a,
          case when swap = 1 then ra else rb end as raw_b
+  from (select *, j is null or coalesce(list_bool_or(list_transform(list_concat(sa, sb), lambda x: x is null)), false) as bad
   from (select *, case when json_extract_string(j, '$.winner') in ('A', 'B', 'TIE')
                        then json_extract_string(j, '$.winner') else 'TIE' end as wn,
                case when json_extract(j, '$.response_a_scores') is not null then
                  [""" + _d_side("response_a_scores") + """] end as sa,
                case when json_extract(j, '$.response_b_scores') is not null then
                  [""" + _d_side("response_b_scores") + """] end as sb,
-               [""" + ", ".join(f"json_extract(j, '$.response_a_scores.{d}')::double" for d in DIMENSIONS) + """] as ra,
-               [""" + ", ".join(f"json_extract(j, '$.response_b_scores.{d}')::double" for d in DIMENSIONS) + """] as rb
-        from vp) x)"""
+               [""" + _d_raw("response_a_scores") + """] as ra,
+               [""" + _d_raw("response_b_scores") + """] as rb
+        from vp) x) x2)"""
 
 
 @register("verdicts_parsed", with_fixtures(["verdicts"], D_VERDICTS) + """

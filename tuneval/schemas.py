@@ -52,3 +52,10 @@ MESSAGES = T.ArrayType(T.StructType([T.StructField("role", STR), T.StructField("
 RAW_VERDICT = T.StructType([T.StructField("comparison", STR), T.StructField("prompt_id", T.LongType()),
                             T.StructField("swap", T.IntegerType()), T.StructField("raw", STR),
                             T.StructField("arrived_at", T.TimestampType())])
+
+# The pairwise comparisons (comparison, challenger, opponent).
+COMPARISONS = (("cp1_vs_cp0", "cp1", "cp0"), ("cp2_vs_cp0", "cp2", "cp0"),
+               ("cp2_vs_cp1", "cp2", "cp1"))
+# Judge dimensions, in the reference's order.
+DIMENSIONS = ("instruction_following", "correctness", "clarity", "completeness",
+              "structured_output_validity", "hallucination_risk")

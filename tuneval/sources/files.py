@@ -117,16 +117,30 @@ def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def latest_log_values(parsed: DataFrame, by=("log",)) -> DataFrame:
-    """Latest loss and epoch per log (the line with the greatest epoch)."""
-    p = parsed.where(F.col("loss").isNotNull() & F.col("epoch").isNotNull())
-    return p.groupBy(*by).agg(F.max_by("loss", "epoch").alias("loss"),
-                              F.max("epoch").alias("epoch"), F.count(F.lit(1)).alias("lines"))
+    """Per log the last loss and the last epoch that any line tells, found
+    independently of each other, and the number of lines that tell either."""
+    loss, epoch = F.col("loss"), F.col("epoch")
+    return (parsed.where(loss.isNotNull() | epoch.isNotNull()).groupBy(*by).agg(
+        F.max_by("loss", F.when(loss.isNotNull(), F.col("line"))).alias("loss"),
+        F.max_by("epoch", F.when(epoch.isNotNull(), F.col("line"))).alias("epoch"),
+        F.count(F.lit(1)).alias("lines")))
+
+
+def log_lines(files: DataFrame) -> DataFrame:
+    """Whole text files -> (log, line, value): ``log`` is the file's path,
+    ``line`` the line's place in it."""
+    return files.select(F.col("_metadata.file_path").alias("log"),
+                        F.posexplode(F.split("value", "\n")).alias("line", "value"))
 
 
 def read_training_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of every log file under ``path`` with the log's name."""
-    t = spark.read.option("recursiveFileLookup", "true").text(path)
-    return t.withColumn("log", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    """The lines of every log file under ``path``, numbered.
+
+    Every file is a log of its own, also where many lie in one folder. A log
+    is read as one value, since text lines carry no order otherwise: files
+    are spread over the tasks, and one log is at most 2 GB.
+    """
+    return log_lines(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:

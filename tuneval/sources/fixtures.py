@@ -14,20 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import hash_of
+from ..schemas import COMPARISONS, DIMENSIONS
 from .tables import table
 
 # Checkpoint names and response-length percentages of F-2.
 CHECKPOINT_PCT = (("cp0", 30), ("cp1", 80), ("cp2", 75))
 # Checkpoint names and share of perfect answers of F-3.
 CHECKPOINT_BIAS = (("cp0", 0), ("cp1", 20), ("cp2", 60))
-# The pairwise comparisons of F-4 (challenger, opponent).
-COMPARISONS = (("cp1_vs_cp0", "cp1", "cp0"), ("cp2_vs_cp0", "cp2", "cp0"),
-               ("cp2_vs_cp1", "cp2", "cp1"))
-# Judge dimensions, in the reference's order.
-DIMENSIONS = ("instruction_following", "correctness", "clarity", "completeness",
-              "structured_output_validity", "hallucination_risk")
 # Winner labels emitted by the stand-in judge (last one unknown).
 WINNER_LABELS = ("A", "B", "TIE", "tie")
+# Odd scores the stand-in judge writes now and then (as JSON).
+ODD_SCORES = ('"abc"', "null", '"4"', "4.7", "true", "[2]")
 OPEN_SUITE = "open"
 JSON_SUITE = "json"
 
@@ -128,10 +125,11 @@ def _sql_hash(tag: str) -> str:
 
 
 def _sql_scores(side: str) -> str:
-    parts = []
+    parts, odd = [], "array(" + ", ".join(f"'{x}'" for x in ODD_SCORES) + ")"
     for i, d in enumerate(DIMENSIONS):
         parts.append("'" + ("" if i == 0 else ", ") + '"' + d + '": ' + "'")
-        parts.append(f"cast(pmod({_sql_hash(side + d)}, 7) as string)")
+        parts.append(f"coalesce(try_element_at({odd}, cast(pmod({_sql_hash(side + d)}, 211) + 1 as int)), "
+                     f"cast(pmod({_sql_hash(side + d)}, 7) as string))")
     return "concat('{', " + ", ".join(parts) + ", '}')"
 
 

@@ -1,12 +1,18 @@
 """Streaming versions of the log monitor (L1) and verdict aggregation (L2).
 
 Both read a file source with a declared schema, keep their state in a
-checkpoint location under the shared checkpoint folder, and publish each
-micro-batch result with ``foreachBatch`` to a table path, which is what a
-monitor or dashboard reads. Executor loss is recovered by the engine from
-that state; to resume after a driver restart, pass the same ``state_path``
-and ``out_path`` again. ``available_now=True`` processes what is there and
-stops (tests, scheduled runs); otherwise ``interval`` sets a trigger.
+checkpoint location under the shared checkpoint folder, and publish the
+result of each micro-batch with ``foreachBatch`` as a folder of its own
+(``batch_id=N``). Readers take the last complete one (``latest_result``), so
+they never see a table between deletion and writing. Executor loss is
+recovered by the engine from the state; to resume after a driver restart,
+pass the same ``state_path`` and ``out_path`` again. ``available_now=True``
+processes what is there and stops (tests, scheduled runs); otherwise
+``interval`` sets a trigger.
+
+Contract of the input folders: a file source reads each file once. Logs are
+followed as rotated segments, files that are complete when they appear; for
+logs that grow in place, ``poll_training_logs`` scans the folder anew.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .. import schemas as S
 from ..operators import verdicts as V
 from ..session import checkpoint_dir
-from ..sources.files import LOSS_PATTERN, EPOCH_PATTERN
+from ..sources import files
 
 
 def _paths(spark: SparkSession, name: str, state_path=None, out_path=None):
@@ -28,49 +34,72 @@ def _paths(spark: SparkSession, name: str, state_path=None, out_path=None):
 
 def _run(df: DataFrame, out_path: str, state: str, mode: str, available_now: bool,
          interval: str):
-    def publish(batch: DataFrame, epoch_id: int):
-        batch.write.mode("overwrite").parquet(out_path)
+    def publish(batch: DataFrame, batch_id: int):
+        # a batch that is run again after a failure replaces its own folder only
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
     w = df.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(publish)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 
+def latest_result(spark: SparkSession, out_path: str) -> DataFrame:
+    """The result table of the last published micro-batch.
+
+    A batch folder without rows (an aggregate over nothing) publishes no
+    newer state, so the last one with rows counts.
+    """
+    d = spark.read.parquet(out_path)
+    last = d.agg(F.max("batch_id")).first()[0]
+    return d.where(F.col("batch_id") == F.lit(last)).drop("batch_id")
+
+
+def late_rows(query) -> int:
+    """Rows that the query's watermark has dropped as too late, over the
+    progress reports the engine still holds."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def training_log_monitor(spark: SparkSession, log_dir: str, available_now: bool = True,
                          interval: str = "60 seconds", state_path: str | None = None,
                          out_path: str | None = None):
-    """L1: latest loss/epoch per log file as lines arrive.
+    """L1: latest loss and epoch per log file as segments arrive.
 
     Returns ``(query, result_path)``; the result table holds one row per log.
     """
     state, out = _paths(spark, "training-log", state_path, out_path)
-    lines = (spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())]))
-                  .option("recursiveFileLookup", "true").text(log_dir))
-    p = (lines.withColumn("log", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
-              .withColumn("loss", F.nullif(F.regexp_extract("value", LOSS_PATTERN, 1),
-                                            F.lit("")).try_cast("double"))
-              .withColumn("epoch", F.nullif(F.regexp_extract("value", EPOCH_PATTERN, 1),
-                                             F.lit("")).try_cast("double")))
-    agg = (p.where(F.col("loss").isNotNull() & F.col("epoch").isNotNull())
-            .groupBy("log").agg(F.max_by("loss", "epoch").alias("loss"),
-                                F.max("epoch").alias("epoch"), F.count(F.lit(1)).alias("lines")))
+    segments = (spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())]))
+                     .option("recursiveFileLookup", "true").option("wholetext", "true").text(log_dir))
+    agg = files.latest_log_values(files.parse_log_lines(files.log_lines(segments)))
     q = _run(agg, out, state, "complete", available_now, interval)
     return q, out
 
 
+def poll_training_logs(spark: SparkSession, log_dir: str) -> DataFrame:
+    """L1 for logs that are appended to: one scan of the folder as it is now."""
+    return files.latest_log_values(files.parse_log_lines(files.read_training_logs(spark, log_dir)))
+
+
 def verdict_win_rates(spark: SparkSession, verdict_dir: str, watermark: str = "1 hour",
                       available_now: bool = True, interval: str = "60 seconds",
-                      state_path: str | None = None, out_path: str | None = None):
+                      state_path: str | None = None, out_path: str | None = None,
+                      files_per_batch: int | None = None):
     """L2: running win rates per comparison over arriving judge replies.
 
     Replies may be delivered more than once: duplicates of (comparison,
-    prompt_id) within the watermark on ``arrived_at`` are dropped, then each
-    reply is parsed/unswapped and counted. The aggregate is mutable, so the
-    output mode is ``complete`` (one small row per comparison).
+    prompt_id, swap) within the watermark on ``arrived_at`` are dropped, then
+    each reply is parsed/unswapped and counted; a judgement of the swapped
+    order is one of its own. The aggregate is mutable, so the output mode is
+    ``complete`` (one small row per comparison). In this mode the engine
+    drops no reply for being late: a late one counts, and so does a copy that
+    arrives after the watermark has passed its first delivery. ``late_rows``
+    tells what an engine dropped.
     """
     state, out = _paths(spark, "verdicts", state_path, out_path)
-    raw = spark.readStream.schema(S.RAW_VERDICT).json(verdict_dir)
-    d = (raw.withWatermark("arrived_at", watermark)
-            .dropDuplicatesWithinWatermark(["comparison", "prompt_id"]))
+    reader = spark.readStream.schema(S.RAW_VERDICT)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    d = (reader.json(verdict_dir).withWatermark("arrived_at", watermark)
+               .dropDuplicatesWithinWatermark(["comparison", "prompt_id", "swap"]))
     rates = V.win_rates(V.normalize_verdicts(V.parse_verdicts(d)))
     q = _run(rates, out, state, "complete", available_now, interval)
     return q, out
