@@ -57,7 +57,7 @@ def test_a_score_that_is_no_number_is_an_error(spark, bad):
 
 def test_scores_that_int_takes(spark):
     r = run(spark, [("c", 1, 0, verdict(["4", " 2 ", "-7", True, False, 1e9], [-0.5] * 6, "A"))]).collect()[0]
-    assert list(r.scores_a.values()) == [4, 2, 1, 1, 1, 5] and set(r.scores_b.values()) == {1}
+    assert [r.scores_a[d] for d in DIMS] == [4, 2, 1, 1, 1, 5] and set(r.scores_b.values()) == {1}
     assert r.error is None and "clarity" not in r.raw_scores_a
 
 

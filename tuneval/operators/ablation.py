@@ -111,22 +111,29 @@ def loss_curve(meta: DataFrame) -> DataFrame:
             .drop("_k")
 
 
-def results_from_flags(flags: DataFrame, configs: DataFrame, base_flags: DataFrame) -> DataFrame:
+def results_from_flags(flags: DataFrame, configs: DataFrame, base_flags: DataFrame,
+                       win: DataFrame | None = None) -> DataFrame:
     """Ablation results from per-item JSON flags of each variant.
 
     ``flags(variant_name, valid, schema, exact)`` are a variant's scored
     responses; ``base_flags(variant_name, exact)`` the baseline's on the same
-    items. Rates are means; the primary metric is the exact-match rate and
-    the forgetting severity applies J3 to its percent change over baseline.
+    items; ``win(variant_name, win_rate)`` the judge's win rate of a variant
+    where one was measured. Rates are means; the primary metric is the
+    exact-match rate and the forgetting severity applies J3 to its percent
+    change over baseline.
     """
     m = flags.groupBy("variant_name").agg(
         F.avg("valid").alias("json_validity_rate"), F.avg("schema").alias("json_compliance_rate"),
         F.avg("exact").alias("json_exact_match_rate"))
     b = base_flags.groupBy("variant_name").agg(F.avg("exact").alias("_base"))
     r = configs.join(m, "variant_name", "left").join(b, "variant_name", "left")
+    if win is None:
+        r = r.withColumn("alpaca_judge_win_rate", F.lit(None).cast("double"))
+    else:
+        r = r.join(win.select("variant_name", F.col("win_rate").alias("alpaca_judge_win_rate")),
+                   "variant_name", "left")
     chg = F.when(F.col("_base") > 0, (F.col("json_exact_match_rate") - F.col("_base")) /
                  F.col("_base") * 100).otherwise(F.lit(0.0))
     return (r.withColumn("primary_metric", F.col("json_exact_match_rate"))
-             .withColumn("alpaca_judge_win_rate", F.lit(None).cast("double"))
-             .withColumn("forgetting_severity", severity(chg))
+             .withColumn("forgetting_severity", F.when(F.col("_base").isNotNull(), severity(chg)))
              .drop("_base"))

@@ -22,6 +22,21 @@ SEVERITY_PCT = ((-20.0, "severe"), (-10.0, "moderate"), (-5.0, "mild"))
 SEVERITY_POINTS = ((-15.0, "moderate"), (-5.0, "mild"))
 CHANGE_BAND = 0.5
 DEFAULT_WIN_RATE = 0.5
+# The findings' wording by severity.
+HEADS = {"none": "✓ NO CATASTROPHIC FORGETTING detected.",
+         "mild": "⚠ MILD FORGETTING detected",
+         "moderate": "⚠⚠ MODERATE FORGETTING detected",
+         "severe": "⚠⚠⚠ SEVERE FORGETTING detected"}
+DECLINES = {"mild": "  Judge preference declined slightly: ",
+            "moderate": "  Alpaca capabilities degraded noticeably: ",
+            "severe": "  Alpaca capabilities severely degraded: "}
+CONCLUSION_NONE = ("CONCLUSION: Stage 2 training successfully improved JSON capabilities while "
+                   "maintaining or improving general Alpaca instruction-following performance. "
+                   "No evidence of catastrophic forgetting.")
+CONCLUSION_START = "CONCLUSION: Stage 2 training caused "
+CONCLUSION_END = (" degradation of Alpaca capabilities. "
+                  "This suggests a tradeoff between JSON specialization and general instruction-following. "
+                  "Consider: reduced learning rate, fewer epochs, more diverse Stage 2 data, or task augmentation.")
 
 
 def pct_change(v1: Column, v2: Column) -> Column:
@@ -66,13 +81,14 @@ def forgetting_flag(judge_pct: Column, rouge_pct: Column, bert_pct: Column) -> C
     return (judge_pct < JUDGE_DROP) | (rouge_pct < ROUGE_DROP) | (bert_pct < BERT_DROP)
 
 
-def forgetting_summary(win: DataFrame, metrics: DataFrame, cp1="cp1", cp2="cp2",
-                       cmp1="cp1_vs_cp0", cmp2="cp2_vs_cp0") -> DataFrame:
+def forgetting_summary(win: DataFrame, metrics: DataFrame, by_category: DataFrame | None = None,
+                       cp1="cp1", cp2="cp2", cmp1="cp1_vs_cp0", cmp2="cp2_vs_cp0") -> DataFrame:
     """One row comparing cp1 and cp2.
 
     Win rates are the challenger's share against the same opponent in two
     comparisons (missing -> 0.5); ROUGE-L/BERTScore come from ``metrics``
-    (missing -> 0).
+    (missing -> 0). ``by_category`` (``evaluate.category_win_rates``, a row
+    per category) adds the findings' lines per category.
     """
     def wr(c):
         return F.coalesce(F.max(F.when(F.col("comparison") == c, F.col("win_rate_a"))),
@@ -97,20 +113,44 @@ def forgetting_summary(win: DataFrame, metrics: DataFrame, cp1="cp1", cp2="cp2",
           .withColumn("forgetting_severity", severity(jp))
           .withColumn("severity_points", severity(100 * F.col("judge_wr_abs_change"),
                                                   SEVERITY_POINTS)))
-    return findings_text(j)
-
-
-def findings_text(s: DataFrame) -> DataFrame:
-    """Severity-dependent summary lines as an ``array<string>`` column."""
-    sev = F.col("forgetting_severity")
-    head = (F.when(sev == "none", F.lit("No catastrophic forgetting detected."))
-             .otherwise(F.concat(F.upper(sev), F.lit(" forgetting detected."))))
-    judge = F.format_string("Judge win rate: %.1f%% -> %.1f%% (%+.1f%%).",
-                            100 * F.col("cp1_win_rate"), 100 * F.col("cp2_win_rate"),
-                            F.col("judge_wr_pct_change"))
-    rouge = F.format_string("ROUGE-L: %.3f -> %.3f (%+.1f%%).", F.col("cp1_rougeL"),
-                            F.col("cp2_rougeL"), F.col("rougeL_pct_change"))
-    return s.withColumn("summary", F.array(head, judge, rouge))
+    return findings_text(j, by_category)
+
+
+def findings_text(s: DataFrame, by_category: DataFrame | None = None) -> DataFrame:
+    """The findings as an ``array<string>`` column ``summary``: the
+    verdict by severity, the automatic metrics, a line per category in name
+    order, and the conclusion."""
+    sev, pct = F.col("forgetting_severity"), F.col("judge_wr_pct_change")
+    before, after = 100 * F.col("cp1_win_rate"), 100 * F.col("cp2_win_rate")
+    move = F.format_string("%.2f%% → %.2f%%.", before, after)
+    head = F.lit(HEADS["none"])
+    line = F.when(pct > 0, F.concat(F.format_string("  Judge win rate improved by %.1f%%: ", pct), move)) \
+            .otherwise(F.format_string("  Judge win rate stable: %.2f%% (minimal change).", before))
+    for level in ("mild", "moderate", "severe"):
+        head = F.when(sev == level, F.concat(F.lit(HEADS[level]), F.format_string(
+            " (win rate drop %.1f%%).", pct))).otherwise(head)
+        line = F.when(sev == level, F.concat(F.lit(DECLINES[level]), move)).otherwise(line)
+    metrics = [F.format_string(f"  - {name}: %.3f → %.3f (change: %+.1f%%)", F.col(f"cp1_{m}"), F.col(f"cp2_{m}"),
+                               F.col(f"{m}_pct_change"))
+               for name, m in (("ROUGE-L", "rougeL"), ("BERTScore", "bertscore"))]
+    end = F.when(sev == "none", F.lit(CONCLUSION_NONE)).otherwise(
+        F.concat(F.lit(CONCLUSION_START), sev, F.lit(CONCLUSION_END)))
+    none = F.array().cast("array<string>")
+    if by_category is None:
+        s = s.withColumn("_cats", none)
+    else:
+        text = F.concat(F.lit("  - "), F.col("category"), F.lit(": "),
+                        F.when(F.col("percent_change") < 0, "↓").otherwise("↑"),
+                        F.format_string(" %+.1f%% (%.2f%% → %.2f%%)", "percent_change",
+                                        100 * F.col("cp1_win_rate"), 100 * F.col("cp2_win_rate")))
+        lines = by_category.select("category", text.alias("t")).agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("category", "t"))), lambda x: x["t"]).alias("_cats"))
+        s = s.withColumn("_k", F.lit(1)).join(lines.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    cats = F.when(F.size("_cats") > 0, F.concat(F.array(F.lit(""), F.lit("  Per-category impact:")), "_cats")) \
+            .otherwise(none)
+    return s.withColumn("summary", F.concat(
+        F.array(head, line, F.lit(""), F.lit("  Automatic metrics:"), *metrics), cats,
+        F.array(F.lit(""), end))).drop("_cats")
 
 
 def aligned_changes(v: DataFrame, cats: DataFrame | None = None, first="cp1_vs_cp0",

@@ -4,11 +4,12 @@ ROUGE-N is native: the text rows are hash-partitioned by their key once,
 then n-grams are exploded and counted per (key, n, gram) inside the task
 that holds the row (no n-gram shuffle). ROUGE-L needs an LCS, computed per
 row by a bit-parallel Arrow UDF on whole texts. BERTScore takes token
-vectors and runs in-row with higher-order functions.
+vectors and is one matrix product per row, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -55,9 +56,12 @@ def _f(overlap: Column, lp: Column, lr: Column) -> Column:
 
 
 def rouge_n(df: DataFrame, keys, pred: str = "response", ref: str = "reference",
-            ns=(1, 2), stem: bool = False) -> DataFrame:
+            ns=(1, 2), stem: bool = False, carry=()) -> DataFrame:
     """ROUGE-N F-measure per row for each n in ``ns`` (columns ``rouge{n}``).
 
+    ``carry``: columns of the row that stay with it. Tokens that
+    ``rouge_l(keep_tokens=True)`` has left are taken as they are.
+
     Plan: the text rows are hash-partitioned by the row key once; n-grams
     are exploded and counted per (key, n, gram), then summed per key. Both
     aggregates group by a superset of the partitioning key, so Spark adds no
@@ -65,8 +69,11 @@ def rouge_n(df: DataFrame, keys, pred: str = "response", ref: str = "reference",
     texts are shuffled). Gram totals come from the same counts; a NULL
     marker gram per (row, n) keeps rows that have no tokens.
     """
-    keys = list(keys)
-    d = with_tokens(df.select(*keys, pred, ref).repartition(*keys), pred, ref, stem)
+    if {"_tp", "_tr"} <= set(df.columns):
+        d = df.select(*keys, *carry, "_tp", "_tr").repartition(*keys)
+    else:
+        d = with_tokens(df.select(*keys, *carry, pred, ref).repartition(*keys), pred, ref, stem)
+    keys = [*keys, *carry]
     parts = []
     for n in ns:
         for s_, c in (("p", "_tp"), ("r", "_tr")):
@@ -102,38 +109,39 @@ def _rouge_l_udf(tp: pd.Series, tr: pd.Series) -> pd.Series:
 
 
 def rouge_l(df: DataFrame, pred: str = "response", ref: str = "reference", stem: bool = False,
-            out: str = "rougeL") -> DataFrame:
+            out: str = "rougeL", keep_tokens: bool = False) -> DataFrame:
     """ROUGE-L F-measure (LCS over whole token sequences)."""
-    d = with_tokens(df, pred, ref, stem)
-    return d.withColumn(out, _rouge_l_udf("_tp", "_tr")).drop("_tp", "_tr")
+    d = with_tokens(df, pred, ref, stem).withColumn(out, _rouge_l_udf("_tp", "_tr"))
+    return d if keep_tokens else d.drop("_tp", "_tr")
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("bert_precision", "bert_recall", "bert_f1")]))
+def _bert_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    def unit(vectors):
+        m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    out = []
+    for a, b in zip(pred, ref):
+        if a is None or b is None or not len(a) or not len(b):
+            out.append((0.0, 0.0, 0.0))
+            continue
+        sims = unit(a) @ unit(b).T
+        p, r = float(sims.max(axis=1).mean()), float(sims.max(axis=0).mean())
+        # as the published metric: only the undefined case (P + R = 0) becomes 0
+        out.append((p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0))
+    return pd.DataFrame(out, columns=["bert_precision", "bert_recall", "bert_f1"])
 
 
 def bertscore(df: DataFrame, pred: str = "pred", ref: str = "ref") -> DataFrame:
-    """Greedy max-cosine token matching on token vectors (double).
+    """BERTScore by greedy matching of token vectors (double).
 
     P = mean over prediction tokens of the best cosine against reference
-    tokens, R symmetric, F1 = 2PR/(P+R). All in-row: no pair explosion.
+    tokens, R symmetric, F1 = 2PR/(P+R). One matrix product per row; no pair
+    of tokens leaves its row. A zero vector has cosine 0 with everything; a
+    side that is NULL or has no token scores 0.
     """
-    norm = lambda arr: F.transform(arr, lambda v: F.struct(v.alias("v"),
-                                                         F.sqrt(_dot(v, v)).alias("n")))
-    d = df.withColumn("_p", norm(F.col(pred))).withColumn("_r", norm(F.col(ref)))
-
-    def best(xs, ys):
-        return F.transform(xs, lambda x: F.array_max(F.transform(
-            ys, lambda y: _dot(x["v"], y["v"]) / (x["n"] * y["n"]))))
-
-    def mean(arr):
-        return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / F.size(arr)
-    d = d.withColumn("bert_precision", mean(best(F.col("_p"), F.col("_r")))) \
-         .withColumn("bert_recall", mean(best(F.col("_r"), F.col("_p"))))
-    p, r = F.col("bert_precision"), F.col("bert_recall")
-    # as the published metric: only the undefined case (P + R = 0) becomes 0
-    return d.withColumn("bert_f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))) \
-            .drop("_p", "_r")
+    return df.withColumn("_b", _bert_udf(pred, ref)).select(*df.columns, "_b.*")
 
 
 def task_completion(c) -> Column:

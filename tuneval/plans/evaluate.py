@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import align, sampling
+from ..functions.text import word_count
+from ..operators import align, forgetting, jsonq, sampling, textsim
 from ..operators import verdicts as V
 from ..session import checkpoint_dir
+from ..sources import files
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -20,12 +22,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def categories(inst: DataFrame) -> DataFrame:
-    """Stand-in category per prompt: with a context input or open question."""
-    return inst.select("prompt_id", F.when(F.coalesce(F.col("input"), F.lit("")) != "",
-                                           "contextual").otherwise("open_qa").alias("category"))
-
-
 def category_win_rates(v: DataFrame, cats: DataFrame, first="cp1_vs_cp0",
                        second="cp2_vs_cp0") -> DataFrame:
     """Per category, challenger win rate in two comparisons and the change.
@@ -85,43 +81,74 @@ def checkpoint_summary(json_metrics: DataFrame, open_metrics: DataFrame, win: Da
                                     for c in cols])
 
 
-def evaluate(instruct: DataFrame, responses: DataFrame, json_items: DataFrame,
-             raw_verdicts: DataFrame, token_vectors: DataFrame | None = None) -> dict:
-    """The full evaluation as named DataFrames.
+def open_rows(responses: DataFrame, token_vectors: DataFrame | None = None,
+              keys=("prompt_id", "checkpoint"), stem: bool = False) -> DataFrame:
+    """Per-row scores of the open-ended suite: words, completion, rouge1,
+    rouge2, rougeL, bertscore_f1 (NULL without token vectors).
 
-    The long response table and the parsed verdicts are materialised once
-    (checkpoint folder) and reused by every report; everything else stays a
-    lazy plan for the caller to write.
+    ``responses(*keys, response, reference)``. Texts are tokenised (and
+    stemmed) once; everything but the n-gram counts is carried along.
     """
-    from ..operators import forgetting, jsonq, textsim
-
-    resp = materialize(responses.join(
-        instruct.select("prompt_id", F.col("output").alias("reference")), "prompt_id"))
-    keys = ["prompt_id", "checkpoint"]
-    rn = textsim.rouge_n(resp, keys, "response", "reference")
-    rl = textsim.rouge_l(resp.select(*keys, "response", "reference"), "response", "reference")
-    per_row = rn.join(rl.select(*keys, "rougeL"), keys)
-    open_metrics = per_row.groupBy("checkpoint").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("rouge1").alias("rouge1"),
-        F.avg("rouge2").alias("rouge2"), F.avg("rougeL").alias("rougeL"))
+    p = responses.select(*keys, "response", "reference")
     if token_vectors is not None:
-        bs = textsim.bertscore(token_vectors).agg(F.avg("bert_f1").alias("bertscore_f1"))
-        open_metrics = open_metrics.withColumn("_k", F.lit(1)).join(
-            F.broadcast(bs.withColumn("_k", F.lit(1))), "_k").drop("_k")
+        b = textsim.bertscore(token_vectors).select(*keys, F.col("bert_f1").alias("bertscore_f1"))
+        p = p.join(b, list(keys), "left")
     else:
-        open_metrics = open_metrics.withColumn("bertscore_f1", F.lit(None).cast("double"))
-    json_metrics = jsonq.suite_metrics(json_items)
+        p = p.withColumn("bertscore_f1", F.lit(None).cast("double"))
+    p = textsim.rouge_l(p, "response", "reference", stem=stem, keep_tokens=True)
+    p = p.withColumns({"words": word_count("response").cast("double"),
+                       "completion": textsim.task_completion("response")})
+    return textsim.rouge_n(p, keys, "response", "reference",
+                           carry=("words", "completion", "rougeL", "bertscore_f1"))
+
+
+def open_suite_metrics(rows: DataFrame, by=("checkpoint",)) -> DataFrame:
+    """Count, mean words, ROUGE-1/2/L and BERTScore per checkpoint."""
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("count"), F.avg("words").alias("avg_response_length"),
+        *[F.avg(m).alias(m) for m in ("rouge1", "rouge2", "rougeL", "bertscore_f1")])
+
+
+def tidy_metrics(open_metrics: DataFrame, json_metrics: DataFrame) -> DataFrame:
+    """(checkpoint, metric, value) of both suites."""
+    return (open_metrics.unpivot("checkpoint", list(forgetting.OPEN_METRICS), "metric", "value")
+            .unionByName(json_metrics.unpivot("checkpoint", list(forgetting.JSON_METRICS), "metric", "value")))
+
+
+def evaluate(instruct: DataFrame, responses: DataFrame, json_items: DataFrame,
+             raw_verdicts: DataFrame, token_vectors: DataFrame | None = None,
+             categories: DataFrame | None = None) -> dict:
+    """The full evaluation as named DataFrames.
+
+    Parsed verdicts and the metrics per checkpoint (a row each) are
+    materialised once in the checkpoint folder and reused by every report;
+    everything else stays a lazy plan for the caller to write
+    (``write_reports``).
+    """
+    resp = responses.join(instruct.select("prompt_id", F.col("output").alias("reference")), "prompt_id")
+    open_metrics = materialize(open_suite_metrics(open_rows(resp, token_vectors)))
+    json_metrics = materialize(jsonq.suite_metrics(json_items))
     taxonomy = jsonq.error_taxonomy(json_items, form="detailed")
     v = materialize(V.normalize_verdicts(V.parse_verdicts(raw_verdicts)))
-    win = V.win_rates(v)
+    win = materialize(V.win_rates(v))
     dims = V.dimension_averages(v)
-    tidy = (open_metrics.unpivot("checkpoint", ["rouge1", "rouge2", "rougeL", "bertscore_f1"],
-                                 "metric", "value")
-            .unionByName(json_metrics.unpivot("checkpoint", ["validity_rate", "compliance_rate",
-                                                             "exact_match_rate"], "metric", "value")))
+    tidy = tidy_metrics(open_metrics, json_metrics)
     comparison = forgetting.compare_checkpoints(tidy, (("cp0", "cp1"), ("cp1", "cp2")))
-    summary = forgetting.forgetting_summary(win, tidy)
-    return {"open_metrics": open_metrics, "json_metrics": json_metrics,
-            "error_taxonomy": taxonomy, "win_rates": win, "dimension_averages": dims,
-            "comparison": comparison, "forgetting": summary,
-            "checkpoints": checkpoint_summary(json_metrics, open_metrics, win)}
+    by_category = category_win_rates(v, categories) if categories is not None else None
+    summary = forgetting.forgetting_summary(win, tidy, by_category)
+    out = {"open_metrics": open_metrics, "json_metrics": json_metrics,
+           "error_taxonomy": taxonomy, "win_rates": win, "dimension_averages": dims,
+           "comparison": comparison, "forgetting": summary, "verdicts": v,
+           "checkpoints": checkpoint_summary(json_metrics, open_metrics, win)}
+    return out | ({"categories": by_category} if by_category is not None else {})
+
+
+def write_reports(reports: dict, path: str, fmt: str = "parquet") -> dict:
+    """A10: every report of ``evaluate`` as a table under ``path``; returns
+    the paths by name. VARIANT columns (raw parsed verdicts) stay out."""
+    out = {}
+    for name, df in reports.items():
+        out[name] = f"{path.rstrip('/')}/{name}"
+        files.write_table(df.drop(*[f.name for f in df.schema.fields if f.dataType.typeName() == "variant"]),
+                          out[name], fmt=fmt)
+    return out

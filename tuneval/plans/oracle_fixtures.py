@@ -32,13 +32,16 @@ INSTRUCT = """instruct as (
         window w as (partition by conv_id order by turn)) q
   where role='user' and nrole='assistant')"""
 
+_KEEP = f"""{H("concat(cast(prompt_id as varchar), '|', checkpoint, '|', cast(i as varchar))")} % 100 < pct"""
 RESPONSES = f"""responses as (
   select '{OPEN_SUITE}' as suite, prompt_id, checkpoint,
-         case b when 0 then '[no output]' when 1 then '[error: x]'
-              else substr(output, 1, cast(floor(length(output)*pct/100.0) as int)) end as response
-  from (select i.prompt_id, i.output, v.checkpoint, v.pct,
-               {H("concat(cast(i.prompt_id as varchar), '|', v.checkpoint)")} % 20 as b
-        from instruct i cross join {_values(CHECKPOINT_PCT, ['checkpoint', 'pct'])}) x
+         case when b = 0 then '[no output]' when b = 1 then '[error: x]' when b = 3 then ''
+              else array_to_string(case b % 4 when 0 then kept when 1 then list_reverse(kept) when 2 then swapped
+                   else list_concat(kept[len(kept) // 2 + 1:], kept[1:len(kept) // 2]) end, ' ') end as response
+  from (select prompt_id, checkpoint, {H("concat(cast(prompt_id as varchar), '|', checkpoint)")} % 20 as b,
+               list_filter(string_split(output, ' '), lambda w, i: {_KEEP}) as kept,
+               list_transform(string_split(output, ' '), lambda w, i: case when {_KEEP} then w else 'so' end) as swapped
+        from instruct cross join {_values(CHECKPOINT_PCT, ['checkpoint', 'pct'])}) x
   where b <> 2)"""
 
 JSON_ITEMS = f"""json_items as (
@@ -93,12 +96,32 @@ VERDICTS = f"""verdicts as (
               from instruct i cross join
                    (values {", ".join(f"('{c}')" for c, _, _ in COMPARISONS)}) v(comparison)) x) y)"""
 
-TOKENS = """tokens as (
-  select vec_id, cast(floor(vec_id / 8) as bigint) as seq, cast(embedding as double[]) as v
-  from embeddings),
-tok_pred as (select cast(seq / 2 as bigint) as pair_id, vec_id, v from tokens where seq % 2 = 0),
-tok_ref as (select cast((seq - 1) / 2 as bigint) as pair_id, vec_id, v from tokens where seq % 2 = 1),
-tok_pairs as (select distinct p.pair_id from tok_pred p join tok_ref r using (pair_id))"""
+def _units(c: str) -> str:
+    return f"list_filter(list_transform(string_split({c}, '.'), lambda x: trim(x, ' ')), lambda x: x <> '')"
+
+
+TOKENS = f"""tok_units as (
+  select prompt_id, checkpoint, side, {H("unit")} as h, {H("unit")} % (select count(*) from embeddings) as vec_id
+  from (select prompt_id, checkpoint, 'p' as side, unnest({_units("response")}) as unit from responses
+        union all
+        select r.prompt_id, r.checkpoint, 'r', unnest({_units("i.output")})
+        from responses r join instruct i using (prompt_id)) u),
+vec_sims as (
+  select a.vec_id as i, b.vec_id as j,
+         list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as s
+  from embeddings a, embeddings b),
+tok_sims as (
+  select p.prompt_id, p.checkpoint, p.rowid as pv, r.rowid as rv,
+         case when p.h % 41 = 0 or r.h % 41 = 0 then 0.0 else s end as s
+  from (select *, row_number() over () as rowid from tok_units where side = 'p') p
+  join (select *, row_number() over () as rowid from tok_units where side = 'r') r using (prompt_id, checkpoint)
+  join vec_sims on i = p.vec_id and j = r.vec_id),
+bert as (
+  select r.prompt_id, r.checkpoint, coalesce(p, 0) as p, coalesce(q, 0) as r,
+         case when coalesce(p + q, 0) <> 0 then 2 * p * q / (p + q) else 0.0 end as f
+  from responses r
+  left join (select prompt_id, checkpoint, avg(m) as p from (select prompt_id, checkpoint, pv, max(s) as m from tok_sims group by all) a group by all) x using (prompt_id, checkpoint)
+  left join (select prompt_id, checkpoint, avg(m) as q from (select prompt_id, checkpoint, rv, max(s) as m from tok_sims group by all) b group by all) y using (prompt_id, checkpoint))"""
 
 COMPARISON_TABLE = "comparisons as (select * from " + _values(
     COMPARISONS, ["comparison", "challenger", "opponent"]) + ")"
@@ -108,7 +131,7 @@ _DEPS = {
     "responses": ["instruct"],
     "verdicts": ["instruct"],
     "json_items": [],
-    "tokens": [],
+    "tokens": ["responses"],
     "comparisons": [],
 }
 _SQL = {"instruct": INSTRUCT, "responses": RESPONSES, "verdicts": VERDICTS,

@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from ..operators import ablation, forgetting, jsonq, textsim
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import ablation, forgetting, jsonq, sampling
 from ..operators import verdicts as V
+from ..session import scratch_path
 from ..sources import fixtures as fx
 from . import evaluate
-from .catalog import D_JSON_FLAGS, register
-from .oracle_fixtures import with_fixtures
+from .catalog import D_JSON_FLAGS, register, sq
+from .oracle_fixtures import H, with_fixtures
 from .q_json import _d_flat_canon_types, _d_schema_cte, items_with_schema
 from .q_judge import D_CATEGORY, D_VERDICTS
-from .q_text import D_ROUGE, scored_pairs
+from .q_text import D_ROUGE, open_rows
 
 PAIRS = (("cp0", "cp1"), ("cp1", "cp2"))
 
 
 def tidy_metrics(spark, sf_dir):
-    """(checkpoint, metric, value): ROUGE-1/2 means and JSON suite rates."""
-    p = scored_pairs(spark, sf_dir)
-    keys = ["prompt_id", "checkpoint"]
-    r = textsim.rouge_n(p, keys, "response", "reference").groupBy("checkpoint") \
-        .agg(F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2"))
-    j = jsonq.suite_metrics(items_with_schema(spark, sf_dir)).select(
-        "checkpoint", "validity_rate", "compliance_rate", "exact_match_rate")
-    return (r.unpivot("checkpoint", ["rouge1", "rouge2"], "metric", "value")
-             .unionByName(j.unpivot("checkpoint", ["validity_rate", "compliance_rate",
-                                                    "exact_match_rate"], "metric", "value")))
+    """(checkpoint, metric, value): all metrics of both suites."""
+    return evaluate.tidy_metrics(evaluate.open_suite_metrics(open_rows(spark, sf_dir)),
+                                 jsonq.suite_metrics(items_with_schema(spark, sf_dir)))
 
 
 D_METRICS = (D_ROUGE + ",\n" + _d_schema_cte("response") + f""",
@@ -39,6 +35,8 @@ jm as (select checkpoint, sum(ok::int) / count(*) as validity_rate,
 metrics as (
   select checkpoint, 'rouge1' as metric, avg(rouge1) as value from rouge group by checkpoint
   union all select checkpoint, 'rouge2', avg(rouge2) from rouge group by checkpoint
+  union all select checkpoint, 'rougeL', avg("rougeL") from rouge group by checkpoint
+  union all select checkpoint, 'bertscore_f1', avg(f) from bert group by checkpoint
   union all select checkpoint, 'validity_rate', validity_rate from jm
   union all select checkpoint, 'compliance_rate', compliance_rate from jm
   union all select checkpoint, 'exact_match_rate', exact_match_rate from jm),
@@ -59,13 +57,13 @@ def compare(spark, sf_dir):
     return forgetting.compare_checkpoints(tidy_metrics(spark, sf_dir), PAIRS)
 
 
-@register("compare_checkpoints", with_fixtures(["responses", "json_items"], D_METRICS) + D_CMP_SELECT)
+@register("compare_checkpoints", with_fixtures(["responses", "tokens", "json_items"], D_METRICS) + D_CMP_SELECT)
 def compare_checkpoints(spark, sf_dir):
     """Per metric, cp0->cp1 and cp1->cp2 values, absolute and percent change."""
     return compare(spark, sf_dir)
 
 
-@register("retention_gate", with_fixtures(["responses", "json_items"], D_METRICS) + """
+@register("retention_gate", with_fixtures(["responses", "tokens", "json_items"], D_METRICS) + """
 select checkpoint_1, checkpoint_2, metric, percent_change, percent_change >= -5.0 as passed,
        case when percent_change >= -5.0 then 'ok'
             else printf('%s dropped %.2f%% (limit %.1f%%)', metric, -percent_change, 5.0) end as reason
@@ -104,16 +102,61 @@ def forgetting_severity(spark, sf_dir):
                     "forgetting_severity", "severity_points")
 
 
-@register("forgetting_summary")
+D_SUMMARY = """
+m as (select max(v) filter (where checkpoint = 'cp1' and metric = 'l') as l1, max(v) filter (where checkpoint = 'cp2' and metric = 'l') as l2,
+             max(v) filter (where checkpoint = 'cp1' and metric = 'b') as b1, max(v) filter (where checkpoint = 'cp2' and metric = 'b') as b2
+      from (select checkpoint, 'l' as metric, avg("rougeL") as v from rouge group by checkpoint
+            union all select checkpoint, 'b', avg(f) from bert group by checkpoint) x),
+w as (select max(wr) filter (where comparison = 'cp1_vs_cp0') as r1, max(wr) filter (where comparison = 'cp2_vs_cp0') as r2
+      from (select comparison, round(coalesce(count(*) filter (where winner = 'A')
+                   / nullif(count(*) filter (where not is_error), 0), 0), 6) as wr from vn group by comparison) y),
+c as (select category, round(r1, 6) as r1, round(r2, 6) as r2,
+             round(case when r1 > 0 then (r2 - r1) / r1 * 100 else 0 end, 6) as p
+      from (select c.category,
+                   coalesce(count(*) filter (where v.comparison = 'cp1_vs_cp0' and v.winner = 'A')
+                     / nullif(count(*) filter (where v.comparison = 'cp1_vs_cp0'), 0), 0) as r1,
+                   coalesce(count(*) filter (where v.comparison = 'cp2_vs_cp0' and v.winner = 'A')
+                     / nullif(count(*) filter (where v.comparison = 'cp2_vs_cp0'), 0), 0) as r2
+            from vn v join cat c using (prompt_id) group by c.category) z),
+s as (select *, case when j < -20 then 'severe' when j < -10 then 'moderate' when j < -5 then 'mild' else 'none' end as sev
+      from (select *, case when r1 > 0 then (r2 - r1) / r1 * 100 else 0 end as j,
+                   case when l1 > 0 then (l2 - l1) / l1 * 100 else 0 end as lp,
+                   case when b1 > 0 then (b2 - b1) / b1 * 100 else 0 end as bp from w cross join m) q)
+select r1 as cp1_win_rate, r2 as cp2_win_rate, round(j, 6) as judge_wr_pct_change, round(lp, 6) as "rougeL_pct_change",
+       round(bp, 6) as bertscore_pct_change, (j < -10 or lp < -5 or bp < -5) as has_catastrophic_forgetting,
+       sev as forgetting_severity,
+       concat_ws(chr(10),
+         case sev when 'none' then """ + sq(forgetting.HEADS["none"]) + """
+              else concat(case sev """ + " ".join(f"when '{k}' then {sq(v)}" for k, v in forgetting.HEADS.items() if k != "none") + """ end,
+                          printf(' (win rate drop %.1f%%).', j)) end,
+         case when sev = 'none' and j > 0 then printf('  Judge win rate improved by %.1f%%: %.2f%% → %.2f%%.', j, 100 * r1, 100 * r2)
+              when sev = 'none' then printf('  Judge win rate stable: %.2f%% (minimal change).', 100 * r1)
+              else concat(case sev """ + " ".join(f"when '{k}' then {sq(v)}" for k, v in forgetting.DECLINES.items()) + """ end,
+                          printf('%.2f%% → %.2f%%.', 100 * r1, 100 * r2)) end,
+         '', '  Automatic metrics:',
+         printf('  - ROUGE-L: %.3f → %.3f (change: %+.1f%%)', l1, l2, lp),
+         printf('  - BERTScore: %.3f → %.3f (change: %+.1f%%)', b1, b2, bp),
+         '', '  Per-category impact:',
+         (select string_agg(printf('  - %s: %s %+.1f%% (%.2f%% → %.2f%%)', category, case when p < 0 then '↓' else '↑' end,
+                                   p, 100 * r1, 100 * r2), chr(10) order by category) from c),
+         '', case sev when 'none' then """ + sq(forgetting.CONCLUSION_NONE) + """
+             else concat(""" + sq(forgetting.CONCLUSION_START) + ", sev, " + sq(forgetting.CONCLUSION_END) + """) end) as summary
+from s"""
+
+
+@register("forgetting_summary", with_fixtures(["responses", "verdicts", "tokens"],
+                                              D_ROUGE + ",\n" + D_VERDICTS + ",\n" + D_CATEGORY + ",") + D_SUMMARY)
 def forgetting_summary(spark, sf_dir):
     """J2 + J3 + J6: forgetting flag, severity and findings text from judge
-    win rates, ROUGE-L (UDF) and BERTScore (missing -> 0)."""
+    win rates, ROUGE-L, BERTScore and the win rates per category."""
     inst = fx.instruct(spark, sf_dir)
-    p = scored_pairs(spark, sf_dir)
-    rl = textsim.rouge_l(p, "response", "reference").groupBy("checkpoint") \
-        .agg(F.avg("rougeL").alias("value")).withColumn("metric", F.lit("rougeL"))
-    s = forgetting.forgetting_summary(win_table(spark, sf_dir, inst), rl)
-    return s.select("cp1_win_rate", "cp2_win_rate", "judge_wr_pct_change", "rougeL_pct_change",
+    v = evaluate.materialize(V.normalize_verdicts(V.parse_verdicts(fx.verdicts(spark, sf_dir, inst))))
+    m = evaluate.open_suite_metrics(open_rows(spark, sf_dir)).unpivot(
+        "checkpoint", ["rougeL", "bertscore_f1"], "metric", "value")
+    s = forgetting.forgetting_summary(V.win_rates(v), m, evaluate.category_win_rates(v, fx.categories(inst)))
+    return s.select("cp1_win_rate", "cp2_win_rate",
+                    *[F.round(c, 6).alias(c) for c in ("judge_wr_pct_change", "rougeL_pct_change",
+                                                       "bertscore_pct_change")],
                     "has_catastrophic_forgetting", "forgetting_severity",
                     F.array_join("summary", "\n").alias("summary"))
 
@@ -136,7 +179,7 @@ chg as (
 def changes(spark, sf_dir):
     inst = fx.instruct(spark, sf_dir)
     v = evaluate.materialize(V.normalize_verdicts(V.parse_verdicts(fx.verdicts(spark, sf_dir, inst))))
-    return forgetting.aligned_changes(v, evaluate.categories(inst))
+    return forgetting.aligned_changes(v, fx.categories(inst))
 
 
 @register("regression_examples", with_fixtures(["verdicts"], D_CHANGES) + """
@@ -164,37 +207,75 @@ def example_buckets(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ ablation
+# The runs that are compared are real groups of the scored items: a stage of
+# training is a checkpoint, a data size a hash sample of the items, a variant
+# of the task an event type, and an approach a pair of checkpoints.
+STAGES = (("stage_0", "cp0", 0), ("stage_1", "cp1", 1), ("stage_2", "cp2", 2))
+SIZES = (100, 50, 25)
+APPROACHES = (("sequential", "cp1"), ("combined", "cp0"))   # cp2 against this base
+ROW = "ablation_type string, variant_name string, stage2_epochs int, stage2_dataset_size_pct double, training_approach string"
+
+
 def ablation_results(spark, sf_dir):
-    flags = jsonq.judge_json_flags(fx.json_items(spark, sf_dir)).select(
-        "prompt_id", "checkpoint", "valid", "schema", "exact")
-    src = F.broadcast(fx.ablation_sources(spark))   # 11 rows
-    vf = flags.join(src, "checkpoint")
-    base = flags.where(F.col("checkpoint") == "cp0").select("prompt_id", "exact")
-    # the baseline scores every variant's items: one row per (variant, item)
-    bv = vf.select("variant_name", "prompt_id").join(base, "prompt_id")
-    return ablation.results_from_flags(vf, ablation.config_grid(spark), bv)
-
-
-D_ABL = D_JSON_FLAGS + """,
-src as (select * from (values """ + ", ".join(f"('{a}', '{b}')" for a, b in fx.ABLATION_SOURCE) + """) v(variant_name, checkpoint)),
-cfg as (select * from (values """ + ", ".join(
-    "(" + ", ".join("null" if x is None else (f"'{x}'" if isinstance(x, str) else repr(x)) for x in r[:6]) + ")"
-    for r in ablation.config_rows()) + """) v(ablation_type, variant_name, stage2_epochs, stage2_learning_rate,
-                                      stage2_dataset_size_pct, training_approach)),
-vm as (select s.variant_name, avg(f.valid) as json_validity_rate, avg(f.schema) as json_compliance_rate,
-              avg(f.exact) as json_exact_match_rate, avg(b.exact) as base
-       from json_flags f join src s on s.checkpoint = f.checkpoint
-       join json_flags b on b.prompt_id = f.prompt_id and b.checkpoint = 'cp0'
-       group by s.variant_name),
-res as (select c.*, vm.json_validity_rate, vm.json_compliance_rate, vm.json_exact_match_rate,
-               vm.json_exact_match_rate as primary_metric, cast(null as double) as alpaca_judge_win_rate,
-               case when p < -20 then 'severe' when p < -10 then 'moderate' when p < -5 then 'mild' else 'none' end
-                 as forgetting_severity
-        from cfg c left join (select *, case when base > 0 then (json_exact_match_rate - base) / base * 100
-                                             else 0 end as p from vm) vm using (variant_name))"""
-
-
-@register("ablation_report", with_fixtures(["json_items"], D_ABL) + """
+    flags = evaluate.materialize(jsonq.judge_json_flags(fx.json_items(spark, sf_dir)).select(
+        "prompt_id", "checkpoint", "task_type", "valid", "schema", "exact"))
+    names = [("epochs", v, n, 100.0, "sequential") for v, _, n in STAGES]
+    names += [("dataset_size", f"datasize_{p}pct", 2, float(p), "sequential") for p in SIZES]
+    names += [("sequential_vs_combined", a, 2, 100.0, a) for a, _ in APPROACHES]
+    configs = spark.createDataFrame(names, ROW).unionByName(
+        flags.select("task_type").distinct().select(
+            F.lit("task").alias("ablation_type"), F.concat(F.lit("task_"), "task_type").alias("variant_name"),
+            F.lit(2).alias("stage2_epochs"), F.lit(100.0).alias("stage2_dataset_size_pct"),
+            F.lit("sequential").alias("training_approach")))
+
+    def of(cp):
+        return flags.where(F.col("checkpoint") == cp)
+
+    def named(d, name):
+        return d.select((F.lit(name) if isinstance(name, str) else name).alias("variant_name"),
+                        "prompt_id", "valid", "schema", "exact")
+    task = F.concat(F.lit("task_"), "task_type")
+    parts = [named(of(cp), v) for v, cp, _ in STAGES] + [named(of("cp2"), task)]
+    parts += [named(sampling.fraction_sample(of("cp2"), p / 100), f"datasize_{p}pct") for p in SIZES]
+    parts += [named(of("cp2"), a) for a, _ in APPROACHES]
+    base = [named(of(cp), a) for a, cp in APPROACHES] + [named(of("cp1"), v) for v, _, n in STAGES if n == 2]
+    wins = win_table(spark, sf_dir).select(F.col("comparison"), F.col("win_rate_a").alias("win_rate"))
+    stage = F.create_map(F.lit("cp1_vs_cp0"), F.lit("stage_1"), F.lit("cp2_vs_cp0"), F.lit("stage_2"))
+    wins = wins.select(F.element_at(stage, F.col("comparison")).alias("variant_name"), "win_rate") \
+               .where(F.col("variant_name").isNotNull())
+    return ablation.results_from_flags(reduce(DataFrame.unionByName, parts), configs,
+                                       reduce(DataFrame.unionByName, base), wins)
+
+
+D_SAMPLE = "(select * from cp2 qualify row_number() over (order by " + H("concat_ws(':', '42', cast(prompt_id as varchar))") + \
+    ", prompt_id) <= greatest(1, floor(count(*) over () * {f})))"
+D_ABL = D_VERDICTS + ",\n" + D_JSON_FLAGS + """,
+cp2 as (select * from json_flags where checkpoint = 'cp2'),
+runs as (
+  select 'stage_' || right(checkpoint, 1) as variant_name, 'epochs' as ablation_type, right(checkpoint, 1)::int as stage2_epochs,
+         100.0::double as stage2_dataset_size_pct, 'sequential' as training_approach, valid, schema, exact from json_flags
+  union all select 'task_' || task_type, 'task', 2, 100.0, 'sequential', valid, schema, exact from cp2
+""" + "".join(f"""  union all select 'datasize_{p}pct', 'dataset_size', 2, {p}.0, 'sequential', valid, schema, exact
+  from {"cp2" if p == 100 else D_SAMPLE.format(f=p / 100)}
+""" for p in SIZES) + "".join(f"""  union all select '{a}', 'sequential_vs_combined', 2, 100.0, '{a}', valid, schema, exact from cp2
+""" for a, _ in APPROACHES) + """),
+vm as (select ablation_type, variant_name, stage2_epochs, stage2_dataset_size_pct, training_approach,
+              avg(valid) as json_validity_rate, avg(schema) as json_compliance_rate, avg(exact) as json_exact_match_rate
+       from runs group by all),
+bases as (select 'stage_2' as variant_name, avg(exact) as base from json_flags where checkpoint = 'cp1'
+""" + "".join(f"          union all select '{a}', avg(exact) from json_flags where checkpoint = '{cp}'\n" for a, cp in APPROACHES) + """),
+wr as (select case comparison when 'cp1_vs_cp0' then 'stage_1' when 'cp2_vs_cp0' then 'stage_2' end as variant_name,
+              round(coalesce(count(*) filter (where winner = 'A') / nullif(count(*) filter (where not is_error), 0), 0), 6)
+                as alpaca_judge_win_rate from vn group by comparison),
+res as (select *, json_exact_match_rate as primary_metric,
+               case when base is null then null when p < -20 then 'severe' when p < -10 then 'moderate' when p < -5 then 'mild'
+                    else 'none' end as forgetting_severity
+        from (select vm.*, base, alpaca_judge_win_rate,
+                     case when base > 0 then (json_exact_match_rate - base) / base * 100 else 0 end as p
+              from vm left join bases using (variant_name) left join wr using (variant_name)) x)"""
+
+
+@register("ablation_report", with_fixtures(["verdicts", "json_items"], D_ABL) + """
 select ablation_type, variant_name,
        case when json_exact_match_rate is null then 'N/A' else printf('%.1f%%', json_exact_match_rate * 100) end as json_acc,
        case when alpaca_judge_win_rate is null then 'N/A' else printf('%.1f%%', alpaca_judge_win_rate * 100) end as alpaca_wr,
@@ -202,30 +283,30 @@ select ablation_type, variant_name,
        case when primary_metric is null then 'N/A' else printf('%.3f', primary_metric) end as primary
 from res""")
 def ablation_report(spark, sf_dir):
-    """J8 + J10: ablation grid scored on stand-in variant replies, one report line per variant."""
+    """One report line per run (stages, data sizes, tasks, approaches)."""
     return ablation.report(ablation_results(spark, sf_dir))
 
 
-@register("ablation_findings", with_fixtures(["json_items"], D_ABL) + """
+@register("ablation_findings", with_fixtures(["verdicts", "json_items"], D_ABL) + """
 select (select round(max_by(primary_metric, coalesce(stage2_epochs, 0)) - min_by(primary_metric, coalesce(stage2_epochs, 0)), 6)
         from res where ablation_type = 'epochs') as trend,
        (select max_by(variant_name, (primary_metric, variant_name)) from res
-        where ablation_type = 'learning_rate' and primary_metric is not null) as best_variant,
+        where ablation_type = 'task' and primary_metric is not null) as best_variant,
        (select max(case when training_approach = 'sequential' then forgetting_severity end) from res
         where ablation_type = 'sequential_vs_combined') as sequential_forgetting,
        (select max(case when training_approach = 'combined' then forgetting_severity end) from res
         where ablation_type = 'sequential_vs_combined') as combined_forgetting""")
 def ablation_findings(spark, sf_dir):
-    """J11 + J12 + J14: epoch trend, best learning rate variant, sequential vs combined."""
+    """J11 + J12 + J14: trend over stages, best task, sequential vs combined."""
     r = evaluate.materialize(ablation_results(spark, sf_dir))
     t = ablation.epoch_trend(r).withColumn("_k", F.lit(1))
-    b = ablation.best_variant(r).select("best_variant").withColumn("_k", F.lit(1))
+    b = ablation.best_variant(r, "task").select("best_variant").withColumn("_k", F.lit(1))
     a = ablation.approach_comparison(r).withColumn("_k", F.lit(1))
     # three single-row aggregates joined on a constant key
     return t.join(b, "_k").join(a, "_k").drop("_k")
 
 
-@register("ablation_size_effect", with_fixtures(["json_items"], D_ABL) + """
+@register("ablation_size_effect", with_fixtures(["verdicts", "json_items"], D_ABL) + """
 select cast(lag(stage2_dataset_size_pct) over w as double) as from_pct,
        cast(stage2_dataset_size_pct as double) as to_pct,
        round(lag(json_exact_match_rate) over w, 6) as from_rate, round(json_exact_match_rate, 6) as to_rate
@@ -237,15 +318,35 @@ def ablation_size_effect(spark, sf_dir):
     return ablation.size_effect(evaluate.materialize(ablation_results(spark, sf_dir)))
 
 
-@register("checkpoint_summary")
+D_CHECKPOINTS = """
+select checkpoint, round(validity_rate, 6) as validity_rate, round(compliance_rate, 6) as compliance_rate,
+       round(exact_match_rate, 6) as exact_match_rate, round("rougeL", 6) as "rougeL",
+       round(bertscore_f1, 6) as bertscore_f1, round(coalesce(wr, 0), 6) as judge_win_rate
+from jm join (select checkpoint, avg("rougeL") as "rougeL" from rouge group by checkpoint) r using (checkpoint)
+join (select checkpoint, avg(f) as bertscore_f1 from bert group by checkpoint) b using (checkpoint)
+left join (select left(comparison, 3) as checkpoint, round(coalesce(count(*) filter (where winner = 'A')
+             / nullif(count(*) filter (where not is_error), 0), 0), 6) as wr
+           from vn where comparison like '%_vs_cp0' group by comparison) w using (checkpoint)"""
+
+
+def evaluated(spark, sf_dir):
+    inst = fx.instruct(spark, sf_dir)
+    return evaluate.evaluate(inst, fx.responses(spark, sf_dir, inst), items_with_schema(spark, sf_dir),
+                             fx.verdicts(spark, sf_dir, inst), fx.token_vectors(spark, sf_dir, inst),
+                             fx.categories(inst))
+
+
+@register("checkpoint_summary", with_fixtures(["responses", "tokens", "json_items", "verdicts"],
+                                              D_METRICS + ",\n" + D_VERDICTS) + D_CHECKPOINTS)
 def checkpoint_summary(spark, sf_dir):
     """I8 + I10: the composed evaluation's three-checkpoint table (validity,
-    compliance, exact match, ROUGE-L, BERTScore, judge win rate).
+    compliance, exact match, ROUGE-L, BERTScore, judge win rate)."""
+    return evaluated(spark, sf_dir)["checkpoints"]
 
-    The token-vector table is not keyed by checkpoint, so BERTScore is
-    missing here (0, as the reference fills missing metrics); see
-    ``bertscore_pairs`` for the per-pair scores."""
-    inst = fx.instruct(spark, sf_dir)
-    out = evaluate.evaluate(inst, fx.responses(spark, sf_dir, inst),
-                            items_with_schema(spark, sf_dir), fx.verdicts(spark, sf_dir, inst))
-    return out["checkpoints"]
+
+@register("evaluation_reports", with_fixtures(["responses", "tokens", "json_items", "verdicts"],
+                                              D_METRICS + ",\n" + D_VERDICTS) + D_CHECKPOINTS)
+def evaluation_reports(spark, sf_dir):
+    """A10 + I10: all reports of the evaluation written as tables, the checkpoint table read back."""
+    paths = evaluate.write_reports(evaluated(spark, sf_dir), scratch_path(spark, "reports"))
+    return spark.read.parquet(paths["checkpoints"])

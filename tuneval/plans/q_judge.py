@@ -126,7 +126,7 @@ def category_win_rates(spark, sf_dir):
     """E3 + I6: per-category win rates of cp1 and cp2 against cp0 and their change."""
     inst = fx.instruct(spark, sf_dir)
     v = normalized(spark, sf_dir, inst)
-    return evaluate.category_win_rates(v, evaluate.categories(inst))
+    return evaluate.category_win_rates(v, fx.categories(inst))
 
 
 @register("pairwise_eval", with_fixtures(["responses", "verdicts"], D_VERDICTS) + """,

@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import word_count
 from ..operators import textsim
 from ..sources import fixtures as fx
+from . import evaluate
 from .catalog import d_trim, register
 from .oracle_fixtures import with_fixtures
 
 
-def scored_pairs(spark, sf_dir):
-    """Responses with their reference (the expected output) by prompt id."""
-    inst = fx.instruct(spark, sf_dir)
-    r = fx.responses(spark, sf_dir, inst)
-    return r.join(inst.select("prompt_id", F.col("output").alias("reference")), "prompt_id")
-
-
 def d_tokens(x: str) -> str:
     return (f"list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'), ' '),"
             f" lambda tt: tt <> '')")
@@ -32,6 +25,17 @@ def d_bigrams(t: str) -> str:
             f"lambda ii: {t}[ii] || ' ' || {t}[ii + 1]) else [] end")
 
 
+def d_lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two lists: rows of the
+    table, each the running maximum of a step on the row before."""
+    return f"""coalesce(list_max(list_reduce(
+      list_transform({a}, lambda x: list_transform({b}, lambda y: (x = y)::int)),
+      lambda r, e: list_transform([list_transform(range(1, len(r) + 1),
+                                   lambda m: greatest(r[m], coalesce(r[m - 1], 0) + e[m]))],
+                                  lambda t: list_transform(range(1, len(r) + 1), lambda k: list_max(t[1:k])))[1],
+      list_transform({b}, lambda y: 0))), 0)"""
+
+
 D_ROUGE = """pairs as (
   select r.prompt_id, r.checkpoint, r.response, i.output as reference
   from responses r join instruct i using (prompt_id)),
@@ -53,42 +57,48 @@ rouge as (
   select t.prompt_id, t.checkpoint, t.response,
          case when coalesce(ov1, 0) > 0 then 2.0 * ov1 / (len(tp) + len(tr)) else 0.0 end as rouge1,
          case when coalesce(ov2, 0) > 0 then 2.0 * ov2 / (greatest(len(tp) - 1, 0) + greatest(len(tr) - 1, 0))
-              else 0.0 end as rouge2
+              else 0.0 end as rouge2,
+         case when """ + d_lcs("tp", "tr") + """ > 0 then 2.0 * """ + d_lcs("tp", "tr") + """ / (len(tp) + len(tr))
+              else 0.0 end as "rougeL"
   from toks t left join ov using (prompt_id, checkpoint))"""
 
 
-@register("open_suite_metrics", with_fixtures(["responses"], D_ROUGE) + f"""
+def open_rows(spark, sf_dir, stem=False):
+    inst = fx.instruct(spark, sf_dir)
+    pairs = fx.responses(spark, sf_dir, inst).join(
+        inst.select("prompt_id", F.col("output").alias("reference")), "prompt_id")
+    return evaluate.open_rows(pairs, fx.token_vectors(spark, sf_dir, inst), stem=stem)
+
+
+OPEN_COLUMNS = ("avg_response_length", "rouge1", "rouge2", "rougeL", "bertscore_f1")
+
+
+@register("open_suite_metrics", with_fixtures(["responses", "tokens"], D_ROUGE) + f"""
 select checkpoint, count(*) as count, round(avg({d_words('response')}), 6) as avg_response_length,
-       round(avg(rouge1), 6) as rouge1, round(avg(rouge2), 6) as rouge2
-from rouge group by checkpoint""")
+       round(avg(rouge1), 6) as rouge1, round(avg(rouge2), 6) as rouge2, round(avg("rougeL"), 6) as "rougeL",
+       round(avg(f), 6) as bertscore_f1
+from rouge join bert using (prompt_id, checkpoint) group by checkpoint""")
 def open_suite_metrics(spark, sf_dir):
-    """I1 + G1 + G2: count, mean words, mean ROUGE-1/2 (unstemmed) per checkpoint."""
-    p = scored_pairs(spark, sf_dir)
-    keys = ["prompt_id", "checkpoint"]
-    sc = textsim.rouge_n(p, keys, "response", "reference")
-    j = p.select(*keys, word_count("response").alias("words")).join(sc, keys)
-    return j.groupBy("checkpoint").agg(F.count(F.lit(1)).alias("count"),
-                                       F.round(F.avg("words"), 6).alias("avg_response_length"),
-                                       F.round(F.avg("rouge1"), 6).alias("rouge1"),
-                                       F.round(F.avg("rouge2"), 6).alias("rouge2"))
-
-
-@register("open_suite_rouge_l")
-def open_suite_rouge_l(spark, sf_dir):
-    """G3 + G4: mean ROUGE-L (plain and Porter-stemmed) and stemmed ROUGE-1/2 per checkpoint."""
-    p = scored_pairs(spark, sf_dir)
-    keys = ["prompt_id", "checkpoint"]
-    rl = textsim.rouge_l(p, "response", "reference", out="rougeL")
-    rl = textsim.rouge_l(rl, "response", "reference", stem=True, out="rougeL_stemmed")
-    rn = textsim.rouge_n(p, keys, "response", "reference", stem=True) \
-                .withColumnRenamed("rouge1", "rouge1_stemmed").withColumnRenamed("rouge2",
-                                                                                 "rouge2_stemmed")
-    j = rl.select(*keys, "rougeL", "rougeL_stemmed").join(rn, keys)
-    return j.groupBy("checkpoint").agg(*[F.round(F.avg(c), 6).alias(c) for c in (
-        "rougeL", "rougeL_stemmed", "rouge1_stemmed", "rouge2_stemmed")])
-
-
-@register("rouge_l_vs_baseline")
+    """I1 + G1 + G2 + G3 + G5: count, mean words, ROUGE-1/2/L (unstemmed) and BERTScore per checkpoint."""
+    m = evaluate.open_suite_metrics(open_rows(spark, sf_dir))
+    return m.select("checkpoint", "count", *[F.round(c, 6).alias(c) for c in OPEN_COLUMNS])
+
+
+@register("open_suite_stemmed")
+def open_suite_stemmed(spark, sf_dir):
+    """I1 + G4: the same with stemmed tokens, as the reference's scorer counts."""
+    m = evaluate.open_suite_metrics(open_rows(spark, sf_dir, stem=True))
+    return m.select("checkpoint", *[F.round(c, 6).alias(c + "_stemmed") for c in ("rouge1", "rouge2", "rougeL")])
+
+
+@register("rouge_l_vs_baseline", with_fixtures(["responses"]) + f"""
+select checkpoint, round(avg(case when l > 0 then 2.0 * l / (len(tp) + len(tr)) else 0.0 end), 6) as "rougeL_vs_baseline",
+       count(*) as n
+from (select *, {d_lcs('tp', 'tr')} as l
+      from (select a.checkpoint, {d_tokens('a.response')} as tp, {d_tokens('b.response')} as tr
+            from responses a join responses b using (prompt_id)
+            where a.checkpoint <> 'cp0' and b.checkpoint = 'cp0') t) x
+group by checkpoint""")
 def rouge_l_vs_baseline(spark, sf_dir):
     """Mean ROUGE-L of cp1/cp2 responses against the cp0 (baseline) response."""
     r = fx.responses(spark, sf_dir)
@@ -100,26 +110,14 @@ def rouge_l_vs_baseline(spark, sf_dir):
                                         F.count(F.lit(1)).alias("n"))
 
 
-D_BERT = """sims as (
-  select p.pair_id, p.vec_id as pv, r.vec_id as rv, list_cosine_similarity(p.v, r.v) as s
-  from tok_pred p join tok_ref r using (pair_id)),
-pr as (
-  select pair_id, avg(m) as p from (select pair_id, pv, max(s) as m from sims group by pair_id, pv) a
-  group by pair_id),
-rc as (
-  select pair_id, avg(m) as r from (select pair_id, rv, max(s) as m from sims group by pair_id, rv) b
-  group by pair_id)"""
-
-
-@register("bertscore_pairs", with_fixtures(["tokens"], D_BERT) + """
-select pair_id, round(p, 6) as bert_precision, round(r, 6) as bert_recall,
-       round(case when p + r <> 0 then 2 * p * r / (p + r) else 0.0 end, 6) as bert_f1
-from pr join rc using (pair_id)""")
+@register("bertscore_pairs", with_fixtures(["tokens"]) + """
+select prompt_id, checkpoint, round(p, 6) as bert_precision, round(r, 6) as bert_recall, round(f, 6) as bert_f1
+from bert""")
 def bertscore_pairs(spark, sf_dir):
-    """BERTScore precision/recall/F1 per text pair from token vectors."""
+    """BERTScore precision/recall/F1 per response from token vectors."""
     b = textsim.bertscore(fx.token_vectors(spark, sf_dir))
-    return b.select("pair_id", *[F.round(c, 6).alias(c) for c in
-                                 ("bert_precision", "bert_recall", "bert_f1")])
+    return b.select("prompt_id", "checkpoint", *[F.round(c, 6).alias(c) for c in
+                                                 ("bert_precision", "bert_recall", "bert_f1")])
 
 
 @register("task_completion_rates", with_fixtures(["responses"]) + f"""
@@ -146,10 +144,12 @@ def length_bands(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("metric_mean_count", with_fixtures(["responses"], D_ROUGE) + f"""
+@register("metric_mean_count", with_fixtures(["responses", "tokens"], D_ROUGE) + f"""
 select checkpoint, metric, round(avg(value), 6) as mean, count(value) as count
 from (select checkpoint, 'rouge1' as metric, rouge1 as value from rouge
       union all select checkpoint, 'rouge2', rouge2 from rouge
+      union all select checkpoint, 'rougeL', "rougeL" from rouge
+      union all select checkpoint, 'bertscore_f1', f from bert
       union all select checkpoint, 'words', {d_words('response')}::double from rouge
       union all select checkpoint, 'completion',
         case when length({d_trim('response')}) < 5 then 0.0
@@ -157,11 +157,8 @@ from (select checkpoint, 'rouge1' as metric, rouge1 as value from rouge
 group by checkpoint, metric""")
 def metric_mean_count(spark, sf_dir):
     """I4: per-row metrics unpivoted, then mean and count per checkpoint and metric."""
-    p = scored_pairs(spark, sf_dir)
-    keys = ["prompt_id", "checkpoint"]
-    sc = textsim.rouge_n(p, keys, "response", "reference")
-    rows = p.select(*keys, word_count("response").cast("double").alias("words"),
-                    textsim.task_completion("response").alias("completion")).join(sc, keys)
-    long = rows.unpivot(keys, ["rouge1", "rouge2", "words", "completion"], "metric", "value")
+    long = open_rows(spark, sf_dir).unpivot(
+        ["prompt_id", "checkpoint"], ["rouge1", "rouge2", "rougeL", "bertscore_f1", "words", "completion"],
+        "metric", "value")
     return long.groupBy("checkpoint", "metric").agg(F.round(F.avg("value"), 6).alias("mean"),
                                                     F.count("value").alias("count"))

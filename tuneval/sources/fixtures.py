@@ -61,18 +61,26 @@ def _checkpoints(pairs, second: str) -> F.Column:
 
 
 def responses(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None) -> DataFrame:
-    """F-2: long ``(suite, prompt_id, checkpoint, response)`` table."""
+    """F-2: long ``(suite, prompt_id, checkpoint, response)`` table.
+
+    A response is made of the whole expected output: words are kept or not
+    by a hash and the checkpoint's percentage, and come in order, in reverse,
+    with others in the place of those not kept, or second half first. Some
+    are sentinels, some empty, some rows absent.
+    """
     inst = inst if inst is not None else instruct(spark, sf_dir)
     x = inst.select("prompt_id", "output", _checkpoints(CHECKPOINT_PCT, "pct").alias("c")) \
             .select("prompt_id", "output", "c.checkpoint", "c.pct")
-    b = F.pmod(_h(F.col("prompt_id").cast("string"), F.lit("|"), F.col("checkpoint")), F.lit(20))
-    keep = F.floor(F.length("output") * F.col("pct") / F.lit(100.0)).cast("int")
-    resp = F.try_element_at(F.array(F.lit("[no output]"), F.lit("[error: x]")),
-                            (F.least(F.col("b"), F.lit(2)) + 1).cast("int"))
-    resp = F.coalesce(resp, F.col("output").substr(F.lit(1), keep))
-    return (x.withColumn("b", b).where(F.col("b") != 2)
-             .select(F.lit(OPEN_SUITE).alias("suite"), "prompt_id", "checkpoint",
-                     resp.alias("response")))
+    h = "cast(conv(substr(md5(concat(prompt_id, '|', checkpoint{})), 1, 8), 16, 10) as bigint)"
+    keep = f"pmod({h.format(", '|', i + 1")}, 100) < pct"
+    x = x.selectExpr("prompt_id", "checkpoint", f"pmod({h.format('')}, 20) as b",
+                     f"filter(split(output, ' '), (w, i) -> {keep}) as kept",
+                     f"transform(split(output, ' '), (w, i) -> case when {keep} then w else 'so' end) as swapped")
+    resp = """case when b = 0 then '[no output]' when b = 1 then '[error: x]' when b = 3 then ''
+              else array_join(case b % 4 when 0 then kept when 1 then reverse(kept) when 2 then swapped
+                   else concat(slice(kept, size(kept) div 2 + 1, size(kept)), slice(kept, 1, size(kept) div 2)) end,
+                   ' ') end"""
+    return x.where("b <> 2").selectExpr(f"'{OPEN_SUITE}' as suite", "prompt_id", "checkpoint", f"{resp} as response")
 
 
 def json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,32 +163,36 @@ def verdicts(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None) ->
                         "case when bi <= 6 then 1 when bi <= 8 then 2 else 3 end) as raw")
 
 
-def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-5: ``(pair_id, pred, ref)`` token-vector arrays (double).
+def token_vectors(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None) -> DataFrame:
+    """F-5: ``(prompt_id, checkpoint, pred, ref)`` token-vector arrays (double).
 
-    Vectors are grouped into texts of consecutive ids; even text = prediction,
-    the next one = reference.
+    The sentences of a response and of its reference stand for tokens; a
+    sentence has the vector of ``embeddings`` that its hash points to, and
+    one in 41 the zero vector. A text without sentences has no vectors.
     """
-    e = table(spark, sf_dir, "embeddings")
-    t = (e.select(F.floor(F.col("vec_id") / 8).alias("seq"), "vec_id",
-                  F.col("embedding").cast("array<double>").alias("v"))
-          .groupBy("seq")
-          .agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("toks"))
-          .select("seq", F.transform("toks", lambda s: s["v"]).alias("vecs")))
-    p = t.where(F.col("seq") % 2 == 0).select((F.col("seq") / 2).cast("bigint").alias("pair_id"),
-                                               F.col("vecs").alias("pred"))
-    r = t.where(F.col("seq") % 2 == 1).select(((F.col("seq") - 1) / 2).cast("bigint").alias("pair_id"),
-                                               F.col("vecs").alias("ref"))
-    return p.join(r, "pair_id")
-
-
-# Fixed values (our own stand-in): which checkpoint's replies stand for each
-# ablation variant's model.
-ABLATION_SOURCE = (("epochs_1", "cp0"), ("epochs_2", "cp1"), ("epochs_3", "cp2"),
-                   ("lr_2e-05", "cp2"), ("lr_1e-05", "cp1"), ("lr_5e-06", "cp0"),
-                   ("datasize_100pct", "cp2"), ("datasize_50pct", "cp1"),
-                   ("datasize_25pct", "cp0"), ("sequential", "cp2"), ("combined", "cp1"))
-
-
-def ablation_sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ABLATION_SOURCE), "variant_name string, checkpoint string")
+    inst = inst if inst is not None else instruct(spark, sf_dir)
+    pairs = responses(spark, sf_dir, inst).join(inst.select("prompt_id", "output"), "prompt_id")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    units = "filter(transform(split({}, '[.]'), x -> trim(x)), x -> x <> '')"
+    u = pairs.selectExpr("prompt_id", "checkpoint", "explode(array(struct('p' as side, " + units.format("response")
+                         + " as us), struct('r' as side, " + units.format("output") + " as us))) as x") \
+             .select("prompt_id", "checkpoint", "x.side", F.posexplode("x.us").alias("pos", "unit")) \
+             .withColumn("h", _h("unit"))
+    u = u.withColumn("_k", F.lit(1)).join(F.broadcast(n.withColumn("_k", F.lit(1))), "_k") \
+         .withColumn("vec_id", F.col("h") % F.col("n"))
+    vec = F.when(F.col("h") % 41 == 0, F.transform("v", lambda x: F.lit(0.0))).otherwise(F.col("v"))
+    g = (u.join(e, "vec_id").groupBy("prompt_id", "checkpoint")
+          .agg(F.sort_array(F.collect_list(F.struct("side", "pos", vec.alias("v")))).alias("t")))
+
+    def side(s):
+        return F.coalesce(F.transform(F.filter("t", lambda x: x["side"] == s), lambda x: x["v"]),
+                          F.array().cast("array<array<double>>"))
+    return (pairs.select("prompt_id", "checkpoint").join(g, ["prompt_id", "checkpoint"], "left")
+                 .select("prompt_id", "checkpoint", side("p").alias("pred"), side("r").alias("ref")))
+
+
+def categories(inst: DataFrame) -> DataFrame:
+    """Category per prompt: with a context input or open question."""
+    return inst.select("prompt_id", F.when(F.coalesce(F.col("input"), F.lit("")) != "",
+                                           "contextual").otherwise("open_qa").alias("category"))
