@@ -96,7 +96,7 @@ def test_keyword_lookup_chunked_equals_single(spark):
         ["delta", "beta", "alpha", "zeta", "eta", "theta", "iota"])],
         "keyword string, priority int, entity string")
     one = {r.doc_id: r.entity for r in render.keyword_lookup(texts, d).collect()}
-    many = {r.doc_id: r.entity for r in render.keyword_lookup(texts, d, chunk_rows=2).collect()}
+    many = {r.doc_id: r.entity for r in render.keyword_lookup(texts, d, block_bytes=60).collect()}
     assert one == many == {0: "e_beta", 1: None, 2: "e_delta", 3: None, 4: "e_delta"}
 
 
@@ -106,7 +106,8 @@ def test_chat_render_parts_concatenate(spark):
             for i in range(23)] + [(2, 0, "system", ""), (2, 1, "user", "hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     whole = {r.conv_id: r.chat_text for r in render.chat_render(df).collect()}
-    parts = render.chat_render(df, part_turns=5).collect()
+    parts = render.chat_parts(df, part_turns=5).collect()
+    assert {r.conv_id: r.chat_text for r in render.chat_render(df, part_turns=5).collect()} == whole
     joined = {}
     for r in sorted(parts, key=lambda r: (r.conv_id, r.part)):
         joined[r.conv_id] = joined.get(r.conv_id, "") + r.chat_text

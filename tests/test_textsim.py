@@ -86,8 +86,26 @@ PORTER = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed",
           "adjustment": "adjust", "adoption": "adopt", "controll": "control", "roll": "roll"}
 
 
+# Where the extended rules differ, from their public description.
+EXTENDED = {"enjoy": "enjoy", "dies": "die", "dying": "die", "died": "die", "flies": "fli", "skies": "sky",
+            "possibly": "possibl", "happy": "happi", "spied": "spi", "news": "news", "innings": "inning",
+            "proceed": "proceed", "say": "say", "geology": "geolog", "hopefully": "hope"}
+
+
 def test_porter_vectors():
+    assert {w: stem(w, extended=False) for w in PORTER} == PORTER
     assert {w: stem(w) for w in PORTER} == PORTER
+    assert {w: stem(w) for w in EXTENDED} == EXTENDED
+    assert stem("enjoy", extended=False) == "enjoi" and stem("dies", extended=False) == "di"
+
+
+def test_bertscore_of_nothing_is_zero(spark):
+    rows = [(1, [], [[1.0, 0.0]]), (2, None, [[1.0, 0.0]]), (3, [[0.0, 0.0]], [[1.0, 0.0]]), (4, [], []),
+            (5, [[0.0, 0.0], [2.0, 0.0]], [[1.0, 0.0]])]
+    df = spark.createDataFrame(rows, "pair_id int, pred array<array<double>>, ref array<array<double>>")
+    got = {r.pair_id: (r.bert_precision, r.bert_recall, r.bert_f1) for r in textsim.bertscore(df).collect()}
+    assert all(got[i] == (0.0, 0.0, 0.0) for i in (1, 2, 3, 4))
+    assert got[5] == pytest.approx((0.5, 1.0, 2 / 3))
 
 
 def test_bertscore_matches_numpy(spark):

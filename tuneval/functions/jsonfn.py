@@ -125,6 +125,18 @@ def json_type_of(v) -> Column:
              .otherwise(F.lit("number")))
 
 
+def python_type_of(v) -> Column:
+    """Name of the Python type that a JSON value is read as."""
+    sv = F.schema_of_variant(_col(v))
+    return (F.when(_col(v).isNull() | (sv == "VOID"), F.lit("NoneType"))
+             .when(sv.startswith("OBJECT"), F.lit("dict"))
+             .when(sv.startswith("ARRAY"), F.lit("list"))
+             .when(sv == "STRING", F.lit("str"))
+             .when(sv == "BOOLEAN", F.lit("bool"))
+             .when(sv == "BIGINT", F.lit("int"))
+             .otherwise(F.lit("float")))
+
+
 def field_types(v) -> Column:
     """``map<field, coarse type>`` of a top-level object."""
     return F.transform_values(as_object(v), lambda k, x: json_type_of(x))

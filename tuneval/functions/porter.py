@@ -1,7 +1,10 @@
 """Porter stemmer (M. F. Porter, "An algorithm for suffix stripping", 1980).
 
-Written from the published algorithm (original rule set). Plain Python: it
-runs inside Arrow-batched UDFs on token arrays, memoised per worker.
+Written from the published algorithm, with the extensions that the NLTK
+documentation lists for its default mode (irregular forms, short -ies/-ied
+words, -y after a consonant only, -bli, -logi, -fulli, repeated -alli). ROUGE
+scorers stem in that mode; ``extended=False`` is the 1980 rule set. Plain
+Python: it runs inside Arrow-batched UDFs on token arrays, memoised per worker.
 """
 
 from __future__ import annotations
@@ -44,7 +47,9 @@ def _double_cons(w: str) -> bool:
     return len(w) >= 2 and w[-1] == w[-2] and _is_cons(w, len(w) - 1)
 
 
-def _cvc(w: str) -> bool:
+def _cvc(w: str, extended: bool = False) -> bool:
+    if extended and len(w) == 2:
+        return not _is_cons(w, 0) and _is_cons(w, 1)
     if len(w) < 3:
         return False
     return (_is_cons(w, len(w) - 3) and not _is_cons(w, len(w) - 2) and _is_cons(w, len(w) - 1)
@@ -63,6 +68,14 @@ _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
           "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+# Step 2 as extended, and forms the extensions list as they are.
+_STEP2_EXTENDED = tuple(r for r in _STEP2 if r[0] != "abli") + (("bli", "ble"), ("fulli", "ful"), ("logi", "log"))
+_IRREGULAR = {"skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+              "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+              "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+              "exceed": "exceed", "succeed": "succeed"}
+
+
 def _longest(w: str, suffixes):
     best = None
     for s in suffixes:
@@ -73,23 +86,38 @@ def _longest(w: str, suffixes):
     return best
 
 
+def _step2(w: str, extended: bool) -> str:
+    r = _longest(w, _STEP2_EXTENDED if extended else _STEP2)
+    if not r:
+        return w
+    base = w[:-len(r[0])]
+    # of -logi the l counts as part of what is measured
+    if _measure(base + "l" if r[0] == "logi" else base) == 0:
+        return w
+    return _step2(base + r[1], extended) if extended and r[0] == "alli" else base + r[1]
+
+
 @lru_cache(maxsize=1 << 18)
-def stem(word: str) -> str:
+def stem(word: str, extended: bool = True) -> str:
     w = word
+    if extended and w in _IRREGULAR:
+        return _IRREGULAR[w]
     if len(w) <= 2:
         return w
     # step 1a
     if w.endswith("sses"):
         w = w[:-2]
     elif w.endswith("ies"):
-        w = w[:-2]
+        w = w[:-1] if extended and len(w) == 4 else w[:-2]
     elif w.endswith("ss"):
         pass
     elif w.endswith("s"):
         w = w[:-1]
     # step 1b
     extra = False
-    if w.endswith("eed"):
+    if extended and w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):
@@ -101,15 +129,13 @@ def stem(word: str) -> str:
             w += "e"
         elif _double_cons(w) and w[-1] not in "lsz":
             w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
+        elif _measure(w) == 1 and _cvc(w, extended):
             w += "e"
     # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if w.endswith("y") and (len(w) > 2 and _is_cons(w, len(w) - 2) if extended else _has_vowel(w[:-1])):
         w = w[:-1] + "i"
     # step 2
-    r = _longest(w, _STEP2)
-    if r and _measure(w[:-len(r[0])]) > 0:
-        w = w[:-len(r[0])] + r[1]
+    w = _step2(w, extended)
     # step 3
     r = _longest(w, _STEP3)
     if r and _measure(w[:-len(r[0])]) > 0:
@@ -124,7 +150,7 @@ def stem(word: str) -> str:
     if w.endswith("e"):
         base = w[:-1]
         m = _measure(base)
-        if m > 1 or (m == 1 and not _cvc(base)):
+        if m > 1 or (m == 1 and not _cvc(base, extended)):
             w = base
     # step 5b
     if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..schemas import DIMENSIONS
 from .text import rtrim_ws, utrim
 
 # The instruction template (header and section markers).
@@ -68,15 +69,28 @@ JUDGE_TAIL = ("Please evaluate both responses and provide:\n"
               "1. Detailed scores for Response A on each dimension (1-5 scale)\n"
               "2. Detailed scores for Response B on each dimension (1-5 scale)\n"
               "3. Which response is better overall (A, B, or TIE)\n"
-              "4. Brief justification for your decision")
+              "4. Brief justification for your decision\n"
+              "\n"
+              "Respond in the following JSON format:\n")
+
+
+def _answer_format() -> str:
+    """The JSON object a judge fills in: scores of both sides, winner, reason."""
+    scores = [f'  "response_{s}_scores": {{\n' + ",\n".join(f'    "{d}": <1-5>' for d in DIMENSIONS) + "\n  }"
+              for s in "ab"]
+    rest = ['  "winner": "A" or "B" or "TIE"', '  "justification": "<brief explanation>"']
+    return "{\n" + ",\n".join(scores + rest) + "\n}"
+
+
+JUDGE_END = JUDGE_TAIL + _answer_format()
 
 
 def judge_prompt(instruction, response_a, response_b) -> Column:
-    """C8 long form (answer-format block omitted: it is constant text)."""
+    """C8 long form, with the answer format that ``verdicts.parse_verdicts`` reads."""
     return F.concat(F.lit(JUDGE_INTRO + "\n\n### INSTRUCTION:\n"), _col(instruction),
                     F.lit("\n\n### RESPONSE A:\n"), _col(response_a),
                     F.lit("\n\n### RESPONSE B:\n"), _col(response_b),
-                    F.lit("\n\n" + JUDGE_TAIL))
+                    F.lit("\n\n" + JUDGE_END))
 
 
 def judge_prompt_short(instruction, response_a, response_b) -> Column:

@@ -77,8 +77,8 @@ def _slice(x: Column, start: int, end: Column) -> Column:
 
 
 def fence_strip_regex(c) -> Column:
-    """``re.sub(r'^```json\\s*|```$', '', x.strip(), flags=re.M).strip()``."""
-    return utrim(F.regexp_replace(utrim(c), r"(?mU)^```json\s*|```$", ""))
+    """F3b (only ``\\n`` ends a line, as in Python): ``re.sub(r'^```json\\s*|```$', '', x.strip(), flags=re.M).strip()``."""
+    return utrim(F.regexp_replace(utrim(c), r"(?mdU)^```json\s*|```$", ""))
 
 
 def strip_prompt_echo(full, prompt) -> Column:

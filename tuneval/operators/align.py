@@ -39,11 +39,11 @@ def comparison_pairs(resp: DataFrame, comparisons: DataFrame, key="prompt_id",
                      response="response") -> DataFrame:
     """For each comparison, challenger and opponent responses per prompt.
 
-    The comparison table is a tiny dimension (broadcast); responses are
+    The planner broadcasts the comparison table if its size allows; responses are
     self-joined on (prompt id, checkpoint), so the join key is never a
     checkpoint alone.
     """
-    c = F.broadcast(comparisons)
+    c = comparisons
     a = resp.select(key, F.col("checkpoint").alias("challenger"),
                     F.col(response).alias("response_a"))
     b = resp.select(key, F.col("checkpoint").alias("opponent"),
@@ -53,8 +53,9 @@ def comparison_pairs(resp: DataFrame, comparisons: DataFrame, key="prompt_id",
 
 def to_wide(resp: DataFrame, keys=("suite", "prompt_id"), checkpoints=CHECKPOINTS,
             response="response") -> DataFrame:
-    """E5: one column per checkpoint (explicit pivot values, NULL if absent)."""
-    return resp.groupBy(*keys).pivot("checkpoint", list(checkpoints)).agg(F.first(response))
+    """E5: one column per checkpoint (explicit pivot values, NULL if absent; of
+    several responses under one id the greatest)."""
+    return resp.groupBy(*keys).pivot("checkpoint", list(checkpoints)).agg(F.max(response))
 
 
 def to_long(wide: DataFrame, keys=("suite", "prompt_id"), checkpoints=CHECKPOINTS,

@@ -93,14 +93,19 @@ def error_taxonomy(df: DataFrame, response: str = "response", by=("checkpoint",)
     text, 5 classes): counts of invalid outputs per class.
 
     Only strictly invalid rows reach the Python parser (filter first, so the
-    UDF never sees valid rows); counting is a native partial aggregate.
+    UDF never sees valid rows); counting is a native partial aggregate. A
+    text that Python parses but the engine's VARIANT does not (nested beyond
+    1,000 levels, numbers of more than 1,000 digits, beyond its size limit)
+    is ``engine_limit``: no fault of the model. The class names and parser
+    messages below are fixed values.
     """
     text = utrim(response) if form == "detailed" else F.coalesce(_col(response), F.lit(""))
     inv = df.select(*by, text.alias("_t")).where(~J.strict_valid("_t"))
-    m = inv.withColumn("_m", F.coalesce(json_error_message("_t"), F.lit("")))
+    m = inv.withColumn("_m", json_error_message("_t"))
     t, msg = F.col("_t"), F.col("_m")
     if form == "detailed":
-        cls = (F.when(msg.contains("Expecting value"), "invalid_value")
+        cls = (F.when(msg.isNull(), "engine_limit")
+                .when(msg.contains("Expecting value"), "invalid_value")
                 .when(msg.contains("Expecting property name") | msg.contains("Expecting ':'"),
                       "missing_colon_or_key")
                 .when(msg.contains("Expecting ',' delimiter"), "missing_comma")
@@ -111,7 +116,8 @@ def error_taxonomy(df: DataFrame, response: str = "response", by=("checkpoint",)
                 .when(_count(t, "[") != _count(t, "]"), "unmatched_brackets")
                 .otherwise("other_error"))
     else:
-        cls = (F.when(msg.contains("Expecting value"), "invalid_value")
+        cls = (F.when(msg.isNull(), "engine_limit")
+                .when(msg.contains("Expecting value"), "invalid_value")
                 .when(msg.contains("Expecting property name"), "missing_key")
                 .when(msg.contains("Expecting ':'"), "missing_colon")
                 .when(msg.contains("Expecting ',' delimiter"), "missing_comma")
@@ -124,6 +130,10 @@ def _count(x: Column, ch: str) -> Column:
 
 
 # ------------------------------------------------------------------ F8, F9, F11
+# The message for a response that is no object.
+NOT_AN_OBJECT = "Output is not a JSON object"
+
+
 def schema_check(df: DataFrame, response: str = "response", schema: str = "schema",
                  prefix: str = "", keep_parsed: bool = False) -> DataFrame:
     """F8 + F9 + F11 on a strictly parsed response.
@@ -131,7 +141,8 @@ def schema_check(df: DataFrame, response: str = "response", schema: str = "schem
     Adds ``valid``, ``is_object``, ``missing_fields`` (array), ``type_errors``
     (array of field names) and ``compliant`` (object, nothing missing, no
     type error). A NULL schema means ``{}``: any object passes. With
-    ``keep_parsed`` the VARIANT stays as ``<prefix>v``.
+    ``keep_parsed`` the VARIANT stays as ``<prefix>v``. ``errors`` tells every
+    violation in words, with the expected and the actual type.
     """
     empty = F.array().cast("array<string>")
     d = J.with_parsed(df, response, prefix + "ok", prefix + "v")
@@ -146,6 +157,11 @@ def schema_check(df: DataFrame, response: str = "response", schema: str = "schem
     obj = F.col("_obj").isNotNull()
     d = (d.withColumn(prefix + "valid", F.col(prefix + "ok").cast("int"))
           .withColumn(prefix + "is_object", obj.cast("int"))
+          .withColumn(prefix + "errors", F.when(~obj, F.array(F.lit(NOT_AN_OBJECT))).otherwise(F.concat(
+              F.transform(missing, lambda f: F.concat(F.lit("Missing required field: "), f)),
+              F.transform(bad, lambda f: F.concat(
+                  F.lit("Field '"), f, F.lit("' should be "), F.element_at(types, f), F.lit(", got "),
+                  F.element_at(F.transform_values("_obj", lambda k, x: J.python_type_of(x)), f))))))
           .withColumn(prefix + "missing_fields", F.when(obj, missing))
           .withColumn(prefix + "type_errors", F.when(obj, bad)))
     d = d.withColumn(prefix + "compliant",

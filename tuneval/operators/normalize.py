@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import jsonfn as J
 from ..functions.text import or_empty, strip_prompt_echo, truncate, utrim
+from ..session import checkpoint_dir
 from .ranking import first_fraction, top_k
 
 RECORD_FIELDS = ("instruction", "input", "output")
@@ -34,9 +35,14 @@ def fraction_prefix(df: DataFrame, frac: float, by=("checkpoint",),
 
 
 def split_valid(df: DataFrame, col: str = "output"):
-    """(kept, rejected) by strict JSON validity of a non-empty value."""
-    ok = F.col(col).isNotNull() & (F.col(col) != "") & J.strict_valid(col)
-    d = df.withColumn("_ok", ok)
+    """(kept, rejected) by strict JSON validity of a non-empty value.
+
+    The flag is materialised, so that neither filter is pushed into the parse
+    and the texts are parsed once for both outputs.
+    """
+    checkpoint_dir(df.sparkSession)
+    ok = F.coalesce((F.col(col) != "") & J.strict_valid(col), F.lit(False))
+    d = df.withColumn("_ok", ok).checkpoint()
     return d.where("_ok").drop("_ok"), d.where(~F.col("_ok")).drop("_ok")
 
 
@@ -65,11 +71,3 @@ def truncate_text(df: DataFrame, col: str, n: int, out: str | None = None) -> Da
 def remove_prompt_echo(df: DataFrame, full: str, prompt: str, out: str = "response") -> DataFrame:
     """Every occurrence of the prompt removed, then stripped."""
     return df.withColumn(out, strip_prompt_echo(full, prompt))
-
-
-def fill_missing_responses(eval_df: DataFrame, resp: DataFrame, keys=("suite", "prompt_id"),
-                           response: str = "response") -> DataFrame:
-    """Eval ⟕ responses on the id, absent response -> ''."""
-    r = resp.select(*keys, response)
-    return eval_df.join(r, list(keys), "left") \
-                  .withColumn(response, F.coalesce(F.col(response), F.lit("")))

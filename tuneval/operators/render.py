@@ -14,8 +14,8 @@ ROLE_TAGS = {"system": "<|system|>\n", "user": "<|user|>\n", "assistant": "<|ass
 END_TAG = "<|end|>\n"
 EOS_TOKEN = "<|endoftext|>"
 
-# Upper bound for broadcasting a lookup table (rows); larger ones shuffle.
-BROADCAST_ROWS = 100_000
+# Bytes of keywords and values that are broadcast at a time.
+BROADCAST_BYTES = 8 << 20
 
 
 def render_prompts(df: DataFrame, instruction="instruction", input_="input",
@@ -30,16 +30,15 @@ def render_prompts(df: DataFrame, instruction="instruction", input_="input",
         R.teacher_prompt(instruction, input_).alias("teacher_text"))
 
 
-def chat_render(turns: DataFrame, conv="conv_id", order="turn", role="role", text="text",
-                add_generation_prompt: bool = False, part_turns: int = 4096) -> DataFrame:
-    """Conversations rendered with the chat template, in bounded parts.
+def chat_parts(turns: DataFrame, conv="conv_id", order="turn", role="role", text="text",
+               add_generation_prompt: bool = False, part_turns: int = 4096) -> DataFrame:
+    """C6 in parts: ``(conv, part, chat_text)``, each of ``part_turns`` turn
+    numbers at most; concatenated by ``part`` they are the conversation.
 
     Each message is rendered in place (a projection). Messages are gathered
-    per (conversation, ``turn // part_turns``), so no group holds more than
-    ``part_turns`` consecutive turns however long a conversation is; the
-    last part of a conversation ends with the assistant tag or the EOS
-    token. Concatenating a conversation's parts by ``part`` gives the full
-    text. System messages only when non-empty; unknown roles are dropped.
+    per (conversation, ``turn // part_turns``), so no group grows with a
+    conversation; the last part ends with the assistant tag or the EOS token.
+    System messages only when non-empty; unknown roles are dropped.
     """
     r, t = F.col(role), F.col(text)
     piece = (F.when((r == "system") & (F.coalesce(t, F.lit("")) != ""),
@@ -61,18 +60,26 @@ def chat_render(turns: DataFrame, conv="conv_id", order="turn", role="role", tex
         .otherwise(F.col("_body")).alias("chat_text"))
 
 
+def chat_render(turns: DataFrame, conv="conv_id", **how) -> DataFrame:
+    """``(conv, chat_text)``, one row per conversation whatever its length.
+
+    Joins the parts of ``chat_parts`` in order. A conversation is one value
+    here, as the result asks; use the parts where it would not fit.
+    """
+    parts = chat_parts(turns, conv=conv, **how).groupBy(conv).agg(
+        F.array_sort(F.collect_list(F.struct("part", "chat_text"))).alias("_m"))
+    return parts.select(conv, F.array_join(F.transform("_m", lambda s_: s_["chat_text"]), "").alias("chat_text"))
+
+
 def slot_fill(items: DataFrame, templates: DataFrame, key="task_type", slots=("slot",),
               variants="variants", choice_key=None, out="prompt") -> DataFrame:
     """C10 (+D6): fill ``{slot}`` placeholders of a template of the item's type.
 
-    ``templates(task_type, variants array<string>)`` is a small dimension,
-    broadcast after a size check (else a shuffle join). One variant is
+    ``templates(task_type, variants array<string>)``: whether it is broadcast
+    is left to the planner, which knows its size in bytes. One variant is
     picked per item by ``choice_key`` (hash choice), the first otherwise.
     """
-    t = templates
-    if t.count() <= BROADCAST_ROWS:
-        t = F.broadcast(t)
-    j = items.join(t, key)
+    j = items.join(templates, key)
     text = (hash_choice(F.col(variants), choice_key) if choice_key is not None
             else F.element_at(F.col(variants), 1))
     for s in slots:
@@ -89,19 +96,20 @@ def per_type_quota(df: DataFrame, n: int, key="task_type", id_cols=("prompt_id",
 
 def expand_with_fallback(templates: DataFrame, variations: DataFrame, n: int,
                          key="task_type") -> DataFrame:
-    """Variations of a template's type, else the base pair ``n`` times.
+    """The first ``n`` variations of a template's type, else the base pair
+    ``n`` times.
 
     ``templates(task_type, instruction, input)``,
-    ``variations(task_type, instruction, input)``. Left semi/anti split on
-    the type, then union: matched types take their variations; unmatched
-    types repeat their own (instruction, input) ``n`` times.
+    ``variations(task_type, instruction, input, position)``. A type that two
+    templates name yields its variations for each of them.
     """
-    v = variations.select(key, "instruction", "input")
-    matched = v.join(templates.select(key).distinct(), key, "left_semi")
-    unmatched = templates.join(v.select(key).distinct(), key, "left_anti")
-    rep = unmatched.select(key, "instruction", "input",
-                           F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_i")).drop("_i")
-    return matched.unionByName(rep)
+    v = top_k(variations, [key], ["position"], n).select(
+        key, F.col("instruction").alias("_i"), F.col("input").alias("_x"))
+    j = templates.select(key, "instruction", "input").join(v, key, "left")
+    times = F.when(F.col("_i").isNull(), F.lit(n)).otherwise(F.lit(1))
+    return (j.withColumn("_n", F.explode(F.sequence(F.lit(1), times)))
+             .select(key, F.coalesce("_i", "instruction").alias("instruction"),
+                     F.when(F.col("_i").isNull(), F.col("input")).otherwise(F.col("_x")).alias("input")))
 
 
 def canonical_output(df: DataFrame, col="output", out="output") -> DataFrame:
@@ -112,29 +120,25 @@ def canonical_output(df: DataFrame, col="output", out="output") -> DataFrame:
 
 def keyword_lookup(texts: DataFrame, dictionary: DataFrame, text="text", id_col="doc_id",
                    keyword="keyword", priority="priority", value="entity",
-                   out="entity", chunk_rows: int = BROADCAST_ROWS) -> DataFrame:
+                   out="entity", block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Value of the first dictionary key (by priority) contained in the text.
 
-    Theta join on ``contains``. The dictionary is counted first; each
-    broadcast side holds at most ``chunk_rows`` keywords. A larger dictionary
-    is split into exact chunks of ``chunk_rows``, each matched with its own
-    broadcast nested-loop join (the texts are never shuffled for matching);
-    ``min_by`` over all hits keeps the first key, and a left join restores
-    texts without one.
+    Theta join on ``contains``. The dictionary is a stated query set: its
+    bytes are summed first and it is broadcast in blocks of about
+    ``block_bytes``, dealt by a hash, each matched by a broadcast
+    nested-loop join (the texts are never shuffled for matching); ``min_by``
+    over all hits keeps the first key, and a left join restores texts
+    without one.
     """
-    n = dictionary.count()
-    chunks = max(1, -(-n // chunk_rows))
     d = dictionary.select(F.col(keyword).alias("_kw"), F.col(priority).alias("_pr"),
                           F.col(value).alias("_val"))
-    if chunks > 1:
-        # exact chunks of at most chunk_rows keywords (positions in keyword order)
-        from .ranking import positions
-        d = positions(d, ["_kw", "_pr", "_val"], "_p") \
-            .withColumn("_chunk", ((F.col("_p") - 1) / F.lit(chunk_rows)).cast("long")).drop("_p")
+    size = F.octet_length("_kw") + F.coalesce(F.octet_length(F.col("_val").cast("string")), F.lit(0)) + 16
+    total = d.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    blocks = total // block_bytes + 1
     t = texts.select(id_col, text)
     hits = None
-    for i in range(chunks):
-        part = d if chunks == 1 else d.where(F.col("_chunk") == i).drop("_chunk")
+    for i in range(blocks):
+        part = d if blocks == 1 else d.where(F.pmod(F.xxhash64("_kw", "_pr"), F.lit(blocks)) == i)
         h = t.join(F.broadcast(part), F.col(text).contains(F.col("_kw"))).select(id_col, "_pr", "_val")
         hits = h if hits is None else hits.unionByName(h)
     first = hits.groupBy(id_col).agg(F.min_by("_val", "_pr").alias(out))

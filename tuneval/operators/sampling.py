@@ -62,16 +62,15 @@ def text_key(*cols) -> F.Column:
     return F.md5(F.concat_ws("\u0001", *[utrim(n) for n in norm]))
 
 
-def contamination(eval_df: DataFrame, train_df: DataFrame, cols=("instruction", "input")):
-    """(eval rows also in train, eval rows not in train) by content key.
+def contamination(eval_df: DataFrame, train_df: DataFrame, cols=("instruction", "input")) -> DataFrame:
+    """The evaluation rows with a flag ``in_train`` (equal by content key).
 
-    Semi/anti joins on a 128-bit content hash; only the key column of the
-    train side is shuffled.
+    One left join on a 128-bit content hash; only the distinct keys of the
+    train side are shuffled.
     """
-    e = eval_df.withColumn("_key", text_key(*cols))
-    t = train_df.select(text_key(*cols).alias("_key"))
-    return (e.join(t, "_key", "left_semi").drop("_key"),
-            e.join(t, "_key", "left_anti").drop("_key"))
+    t = train_df.select(text_key(*cols).alias("_key")).distinct().withColumn("_hit", F.lit(True))
+    return (eval_df.withColumn("_key", text_key(*cols)).join(t, "_key", "left")
+                   .withColumn("in_train", F.col("_hit").isNotNull()).drop("_key", "_hit"))
 
 
 def duplicate_groups(df: DataFrame, cols=("instruction", "input")) -> DataFrame:

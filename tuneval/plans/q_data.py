@@ -172,11 +172,8 @@ def template_violations(spark, sf_dir):
 
 
 @register("chat_rendered", """
-select conv_id, part,
-       case when part = max(part) over (partition by conv_id)
-            then concat(string_agg(piece, '' order by turn), '<|endoftext|>')
-            else string_agg(piece, '' order by turn) end as chat_text
-from (select conv_id, turn, cast(floor(turn / 4096) as bigint) as part,
+select conv_id, concat(string_agg(piece, '' order by turn), '<|endoftext|>') as chat_text
+from (select conv_id, turn,
              case when role = 'system' and coalesce(text, '') <> ''
                     then concat('<|system|>', chr(10), text, '<|end|>', chr(10))
                   when role = 'user' then concat('<|user|>', chr(10), coalesce(text, ''), '<|end|>', chr(10))
@@ -185,9 +182,9 @@ from (select conv_id, turn, cast(floor(turn / 4096) as bigint) as part,
              end as piece
       from conversations) m
 where piece is not null
-group by conv_id, part""")
+group by conv_id""")
 def chat_rendered(spark, sf_dir):
-    """Conversations rendered with the chat template in bounded parts, EOS-terminated."""
+    """Conversations rendered with the chat template, EOS-terminated, one row each."""
     return render.chat_render(table(spark, sf_dir, "conversations"))
 
 
@@ -195,7 +192,7 @@ def chat_rendered(spark, sf_dir):
 select c.comparison, a.prompt_id,
        concat({sq(R.JUDGE_INTRO)}, {NL}, {NL}, '### INSTRUCTION:', {NL}, i.instruction, {NL}, {NL},
               '### RESPONSE A:', {NL}, a.response, {NL}, {NL}, '### RESPONSE B:', {NL}, b.response,
-              {NL}, {NL}, {sq(R.JUDGE_TAIL)}) as judge_text,
+              {NL}, {NL}, {sq(R.JUDGE_END)}) as judge_text,
        concat('Instruction: ', i.instruction, {NL}, {NL}, 'Response A: ', a.response, {NL}, {NL},
               'Response B: ', b.response) as judge_text_short
 from responses a join comparisons c on a.checkpoint = c.challenger
@@ -370,30 +367,43 @@ def _d_text_key(a: str, b: str) -> str:
     return f"md5(concat_ws(chr(1), {norm(a)}, {norm(b)}))"
 
 
-@register("contamination_audit", with_fixtures(["instruct"]) + f"""
-select count(*) as eval_rows,
-       cast(count(*) filter (where in_train) as bigint) as in_train,
+D_AUDIT = """audits as (
+  select 'stride_full' as audit, key, key in (select key from keyed) as in_train from keyed where (pos - 1) % 2 = 0
+  union all
+  select 'stride_corrected', key, key in (select key from keyed where (pos - 1) % 2 = 1) from keyed where (pos - 1) % 2 = 0
+  union all
+  select 'benchmark_lines', key, key in (select key from doc_lines) from bench_lines)"""
+
+
+@register("contamination_audit", with_fixtures(["instruct"], f"""keyed as (
+  select {_d_text_key('instruction', 'input')} as key, row_number() over (order by {d_hash_key('42', 'prompt_id')}, prompt_id) as pos
+  from instruct),
+doc_lines as (select distinct {_d_text_key('line', "''")} as key from (select unnest(string_split(text, {NL})) as line from documents) a),
+bench_lines as (select {_d_text_key('line', "''")} as key from (select unnest(string_split(text, {NL})) as line from benchmark) b),
+""" + D_AUDIT) + """
+select audit, count(*) as eval_rows, cast(count(*) filter (where in_train) as bigint) as in_train,
        cast(count(*) filter (where not in_train) as bigint) as not_in_train
-from (select e.prompt_id, exists (select 1 from instruct t
-                                  where {_d_text_key('t.instruction', 't.input')}
-                                        = {_d_text_key('e.instruction', 'e.input')}) as in_train
-      from (select *, row_number() over (order by {d_hash_key('42', 'prompt_id')}, prompt_id) as pos
-            from instruct) e
-      where (pos - 1) % 2 = 0) s""")
+from audits group by audit""")
 def contamination_audit(spark, sf_dir):
-    """Eval rows of the stride split that also occur in the training file.
+    """Evaluation rows that also occur in training data, for three splits.
 
-    The reference writes the full set as train and every 2nd row as eval, so
-    every eval row is contaminated; ``not_in_train`` is the corrected split.
+    ``stride_full``: the whole set is training data and every second row also
+    evaluation, as the reference writes them; ``stride_corrected``: the other
+    rows are training data; ``benchmark_lines``: lines of the benchmark among
+    the lines of the documents.
     """
-    inst = fx.instruct(spark, sf_dir)
-    ev = sampling.stride_split(sampling.seeded_shuffle(inst)).where(F.col("split") == "eval")
-    inside, clean = sampling.contamination(ev, inst)
-    a = inside.select(F.lit(1).alias("_k"), F.lit(1).alias("x"))
-    b = clean.select(F.lit(1).alias("_k"), F.lit(0).alias("x"))
-    return (a.unionByName(b).groupBy("_k")
-             .agg(F.count(F.lit(1)).alias("eval_rows"), F.sum("x").cast("bigint").alias("in_train"),
-                  F.sum(1 - F.col("x")).cast("bigint").alias("not_in_train")).drop("_k"))
+    inst = sampling.stride_split(sampling.seeded_shuffle(fx.instruct(spark, sf_dir)))
+    ev, train = inst.where(F.col("split") == "eval"), inst.where(F.col("split") == "train")
+
+    def lines(name):
+        return table(spark, sf_dir, name).select(F.explode(F.split("text", "\n")).alias("instruction"),
+                                                 F.lit("").alias("input"))
+    audits = (("stride_full", ev, inst), ("stride_corrected", ev, train),
+              ("benchmark_lines", lines("benchmark"), lines("documents")))
+    parts = [sampling.contamination(e, t).select(F.lit(n).alias("audit"), "in_train") for n, e, t in audits]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("audit").agg(
+        F.count(F.lit(1)).alias("eval_rows"), F.count_if("in_train").alias("in_train"),
+        F.count_if(~F.col("in_train")).alias("not_in_train"))
 
 
 @register("duplicate_documents", """

@@ -9,7 +9,7 @@ from ..functions import jsonfn as J
 from ..operators import jsonq
 from ..operators.reports import value_counts
 from ..sources import fixtures as fx
-from .catalog import D_JSON_FLAGS, d_fence, register
+from .catalog import D_JSON_FLAGS, d_fence, d_trim, register
 from .oracle_fixtures import with_fixtures
 
 
@@ -56,13 +56,27 @@ def json_suite_metrics(spark, sf_dir):
     return jsonq.suite_metrics(items_with_schema(spark, sf_dir))
 
 
-@register("json_error_taxonomy")
+# What Python's parser says of the stand-in's invalid shapes: no JSON start
+# (empty, prose, fences), a quote it does not know, an object cut short.
+D_CLASSES = """
+select checkpoint, error_class, count(*) as n
+from (select checkpoint, case when t = '' or not regexp_matches(t, '^[\\[{{"0-9tfn-]') then 'invalid_value'
+             when starts_with(t, '{{' || chr(39)) then '{key}'
+             when starts_with(t, '{{') then 'missing_comma' end as error_class
+      from (select checkpoint, {text} as t from json_items) a
+      where t = '' or not coalesce(json_valid(t), false)) b
+group by checkpoint, error_class"""
+
+
+@register("json_error_taxonomy", with_fixtures(["json_items"]) + D_CLASSES.format(
+    key="missing_colon_or_key", text=d_trim("response")))
 def json_error_taxonomy(spark, sf_dir):
     """Invalid outputs (stripped) per parser-message class and checkpoint."""
     return jsonq.error_taxonomy(fx.json_items(spark, sf_dir), form="detailed")
 
 
-@register("json_error_taxonomy_inline")
+@register("json_error_taxonomy_inline", with_fixtures(["json_items"]) + D_CLASSES.format(
+    key="missing_key", text="response"))
 def json_error_taxonomy_inline(spark, sf_dir):
     """Invalid outputs (raw) per 5-class parser-message code and checkpoint."""
     return jsonq.error_taxonomy(fx.json_items(spark, sf_dir), form="inline")

@@ -84,14 +84,18 @@ def get_session(master: str | None = None, app: str = "tuneval",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written intermediates.
 
-    Reads the cluster's ``spark.checkpoint.dir``. Only when it is unset (local
-    tests) a scratch folder is created and registered.
+    Reads the cluster's ``spark.checkpoint.dir``. Only a local session without
+    one gets a temporary folder; on a cluster that would be another folder on
+    every machine, so it is an error there.
     """
     d = spark.sparkContext.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tuneval-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d

@@ -57,12 +57,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 def read_suite_container(spark: SparkSession, path: str) -> DataFrame:
     """A3: ``{"alpaca": [...], "json": [...]}`` -> rows with ``suite`` and position."""
     txt = spark.read.text(path, wholetext=True)
-    c = txt.select(F.from_json("value", S.SUITE_CONTAINER).alias("c"))
+    c = txt.select(F.col("_metadata.file_path").alias("source_file"),
+                   F.from_json("value", S.SUITE_CONTAINER).alias("c"))
     out = None
     for suite in ("alpaca", "json"):
-        part = c.select(F.lit(suite).alias("suite"),
+        part = c.select("source_file", F.lit(suite).alias("suite"),
                         F.posexplode(f"c.{suite}").alias("prompt_id", "r")) \
-                .select("suite", F.col("prompt_id").cast("bigint"), "r.*")
+                .select("source_file", "suite", F.col("prompt_id").cast("bigint"), "r.*")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -85,8 +86,9 @@ def read_model_container(spark: SparkSession, path: str) -> DataFrame:
     per model, which would gather a checkpoint's responses into one row.
     """
     txt = spark.read.text(path, wholetext=True)
-    m = txt.select(F.explode(F.from_json("value", S.MODEL_CONTAINER)).alias("model", "rs"))
-    r = m.select("model", F.explode("rs").alias("r")).select("model", "r.*")
+    m = txt.select(F.col("_metadata.file_path").alias("source_file"),
+                   F.explode(F.from_json("value", S.MODEL_CONTAINER)).alias("model", "rs"))
+    r = m.select("source_file", "model", F.explode("rs").alias("r")).select("source_file", "model", "r.*")
     return r.withColumn("checkpoint", checkpoint_name(F.col("model")))
 
 

@@ -9,27 +9,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-# Upper bound for spreading a small scan (partitions).
-SPREAD_MAX = 64
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan enough tasks for per-row work.
-
-    A table stored as one file with one row group is scanned by one task,
-    and every per-row step before the first shuffle (JSON parsing, regexes,
-    tokenising) would run serially. Such inputs get a round-robin repartition
-    right after the scan, to the default parallelism capped at
-    ``SPREAD_MAX`` (a scan with few partitions is small: at most a row group
-    per partition). Inputs that already have enough partitions (any large
-    table) are left alone. Filters and column pruning still reach the scan:
-    Catalyst pushes them below the repartition.
-    """
-    want = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_MAX)
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+# Session option: partitions that every table read through ``table`` gets.
+# Unset (the default), the scan's own partitioning stays. A caller whose files
+# hold one row group each sets it, whatever the size of the data.
+PARTITIONS = "spark.tuneval.read.partitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.conf.get(PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
