@@ -334,6 +334,13 @@ def test_surrogates(spark):
     assert r[3].text == "nothing here 12 of 345." and r[4].text is None
 
 
+def test_surrogates_of_other_scripts():
+    for text in ("Mr 王小明 came", "Mme Ελένη came", "Mr Вронский came"):
+        (a, b, kind, value), = surrogates.entities(text)
+        made = surrogates.render(text[a:b], kind, surrogates.surrogate(b"k", kind, value, 0))
+        assert made != text[a:b] and surrogates.script_of(made) == surrogates.script_of(text[a:b])
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """A small range of surrogates makes most first choices collide."""
     ips = [f"1.1.{i}.{j}" for i in range(3) for j in range(40)]

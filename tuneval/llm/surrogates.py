@@ -50,8 +50,12 @@ _ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("cyrillic", "m"): "в", (
 
 
 def script_of(word: str) -> str:
+    """The word's script; scripts without syllables here go by the block of
+    128 code points that the first letter lies in."""
     c = ord(word[0])
-    return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
+    if c < 0x250:
+        return "latin"
+    return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else f"block{c >> 7}"
 
 
 def digits(s: str) -> str:
@@ -119,6 +123,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return "".join("0123456789abcdef"[s.below(16)] for _ in value)
     if kind == "name":
         gender, script, part = value.split(":", 2)
+        if script.startswith("block"):
+            first = int(script[5:]) << 7
+            letters = [c for c in map(chr, range(first, first + 128)) if c.isalpha()]
+            more = attempt - 4 if attempt > 4 else 0
+            return f"{gender}:{script}:" + "".join(letters[s.below(len(letters))] for _ in range(len(part) + more))
         n = max(1, min(len(part) // 2, 6)) + (attempt > 4) * (attempt - 4)
         made = "".join(_SYLLABLES[script][s.below(len(_SYLLABLES[script]))] for _ in range(n + 1))
         return f"{gender}:{script}:{made}{_ENDINGS[script, gender]}"
