@@ -1,5 +1,6 @@
 """Exact ranks without hot-group windows; splits and samples."""
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from tuneval.operators import ranking, sampling
@@ -60,11 +61,12 @@ def test_stride_split_and_contamination(spark):
     st = sampling.stride_split(pos)
     assert st.where("split = 'eval'").count() == 50
     ev = st.where("split = 'eval'")
-    inside, clean = sampling.contamination(ev, df)
-    assert inside.count() == 50 and clean.count() == 0      # the reference's 100 % overlap
-    tr = st.where("split = 'train'")
-    inside2, clean2 = sampling.contamination(ev, tr)
-    assert inside2.count() + clean2.count() == 50
+    flags = sampling.contamination(ev, df)
+    assert flags.count() == flags.where("in_train").count() == 50      # the reference's 100 % overlap
+    train = st.where("split = 'train'")
+    held = {r.instruction for r in train.collect()}
+    for r in sampling.contamination(ev, train).collect():
+        assert r.in_train == (r.instruction in held)
 
 
 def test_top_k_plan_has_partial_group_limit(spark):
@@ -85,3 +87,19 @@ def test_lead_within_matches_window_lead(spark):
     j = got.join(exp, ["g", "t"])
     assert j.count() == 4000
     assert j.where(~F.col("v_next").eqNullSafe(F.col("v_exp"))).count() == 0
+
+
+@pytest.mark.parametrize("bits", [32, 64])
+def test_with_smallest_matches_a_sort(spark, bits):
+    import random
+    rng = random.Random(bits)
+    low = 0 if bits == 32 else -(1 << 63)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([low, 5, rng.randrange(1 << 31), (1 << (bits - 1)) - 1]), i)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, key long, id long").repartition(5)
+    for k in (0, 1, 40, 1000):
+        got = {r.id for r in ranking.with_smallest(df, "key", lambda n: F.lit(k), ["g"], ["id"], bits).where("in_k").collect()}
+        want = {i for g in ("a", "b", None) for _, i in sorted((x, i) for h, x, i in rows if h == g)[:k]}
+        assert got == want, k
+    half = ranking.with_smallest(df, "key", lambda n: F.floor(n / 2), (), ["id"], bits)
+    assert half.columns == [*df.columns, "in_k"] and half.where("in_k").count() == 150 and half.count() == 300

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import jsonfn as J
 from ..functions.text import or_empty, strip_prompt_echo, truncate, utrim
 from ..session import checkpoint_dir
-from .ranking import first_fraction, top_k
+from .ranking import top_k, with_smallest
 
 RECORD_FIELDS = ("instruction", "input", "output")
 
@@ -28,10 +28,13 @@ def prefix_take(df: DataFrame, n: int, by=("checkpoint",), order=("prompt_id",))
 
 def fraction_prefix(df: DataFrame, frac: float, by=("checkpoint",),
                     order=("prompt_id",)) -> DataFrame:
-    """First ``int(n*frac)`` rows per group (all rows when frac >= 1)."""
+    """First ``int(n*frac)`` rows per group (all rows when frac >= 1) in the
+    order of a numeric id; further ``order`` columns break ties."""
     if frac >= 1.0:
         return df
-    return first_fraction(df, list(by), list(order), frac).drop("rank")
+    key, *ties = order
+    return with_smallest(df, key, lambda n: F.floor(n * F.lit(float(frac))), by, ties, flag="_in") \
+        .where("_in").drop("_in")
 
 
 def split_valid(df: DataFrame, col: str = "output"):

@@ -13,16 +13,20 @@ from per-partition offsets:
 * the sorted frame is checkpointed to the shared checkpoint folder so the
   ids stay fixed even if an executor is lost and a stage is recomputed.
 
-Small fixed ``k`` top-k stays a window: Spark plans it as a partial
+Where only the first rows of a group are wanted, ``with_smallest`` finds the
+limit by counting and sorts nothing. Small fixed ``k`` top-k stays a window: Spark plans it as a partial
 WindowGroupLimit before the shuffle, so each map task ships at most k rows
 per group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, scratch_table
 
 _LOW33 = (1 << 33) - 1
 
@@ -68,7 +72,8 @@ def rank_within(df: DataFrame, by, order_cols, rank_col: str = "rank",
         first = p.groupBy("_all").agg(*aggs)
         out = p.join(F.broadcast(first), "_all").drop("_all")
     else:
-        first = p.groupBy(*by).agg(*aggs)
+        # a row per group, whose size the planner knows
+        first = scratch_table(p.groupBy(*by).agg(*aggs), "rank-groups")
         out = p.join(first, by)
     return out.withColumn(rank_col, F.col("_gpos") - F.col("_first") + 1).drop("_gpos", "_first")
 
@@ -92,6 +97,68 @@ def first_fraction(df: DataFrame, by, order_cols, frac: float, min_one: bool = F
     return r.where(F.col(rank_col) <= k).drop("_n")
 
 
+def _on_group(rows: DataFrame, state: DataFrame, group, how: str = "inner") -> DataFrame:
+    """Join one row per group; null is a group like any other."""
+    s = state.select(*[F.col(g).alias(g + "_s") if g in group else F.col(g) for g in state.columns])
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(g + "_s")) for g in group])
+    return rows.join(s, same, how).drop(*[g + "_s" for g in group])
+
+
+def with_smallest(df: DataFrame, key: str, k, by=(), ties=(), bits: int = 64,
+                  flag: str = "in_k") -> DataFrame:
+    """``df`` with a flag: is the row among the ``k(n)`` smallest of its group
+    of ``n`` rows, ordered by ``key`` (long) and then by ``ties``?
+
+    ``k`` maps the group's size (a Column) to the number of rows. The limit
+    of every group is found 16 bits of the key at a time: each pass counts
+    the rows under the settled bits by their next ones, at most 65,536 counts
+    per group. So nothing is sorted and only the keys are written (once, to
+    the shared folder); the rows themselves are filtered where they are,
+    against one row per group and the few rows that tie at the limit, which
+    the planner broadcasts if their size allows. ``bits`` = 32 saves two
+    passes for keys in [0, 2^32).
+    """
+    by, ties = list(by), list(ties)
+    unsigned = F.col(key).bitwiseXOR(F.lit(-(1 << 63))) if bits == 64 else F.col(key)
+    keys = scratch_table(df.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.lit(0).alias("_all"),
+                                   unsigned.alias("_key")), "rank-keys")
+    group = [f"_by{i}" for i in range(len(by))] + ["_all"]
+    in_order = Window.partitionBy(*group).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    state = None
+    for shift in range(bits - 16, -1, -16):
+        rows = keys
+        if state is not None:
+            settled = F.shiftrightunsigned("_key", shift + 16) == F.col("_prefix")
+            rows = _on_group(rows, state, group).where(settled)
+        kept = [] if state is None else ["_left", "_prefix"]
+        digit = F.shiftrightunsigned("_key", shift).bitwiseAND(F.lit(0xFFFF))
+        hist = rows.groupBy(*group, *kept, digit.alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        if state is None:
+            n = F.sum("_c").over(Window.partitionBy(*group))
+            hist = hist.withColumn("_left", F.least(n, k(n)).cast("long")).withColumn("_prefix", F.lit(0).cast("long"))
+        cum = F.sum("_c").over(in_order)
+        state = scratch_table(
+            hist.withColumn("_cum", cum).where((F.col("_cum") >= F.col("_left")) & (F.col("_cum") - F.col("_c") < F.col("_left")))
+                .select(*group, (F.col("_left") - (F.col("_cum") - F.col("_c"))).alias("_left"),
+                        F.shiftleft("_prefix", 16).bitwiseOR(F.col("_d")).alias("_prefix"), "_c"),
+            "rank-state").drop("_c")
+    # per group: the limit itself and how many of the rows that tie there are in
+    limit = F.col("_prefix").bitwiseXOR(F.lit(-(1 << 63))) if bits == 64 else F.col("_prefix")
+    at = state.select(*group, limit.alias("_limit"), "_left")
+    j = _on_group(df.select("*", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.lit(0).alias("_all")),
+                  at, group, "left")
+    w = Window.partitionBy(*group).orderBy(*_cols(ties or [key]))
+    tie = (j.where(F.col(key) == F.col("_limit")).withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") <= F.col("_left")))
+    names = [*by, key, *ties]
+    tie = scratch_table(tie.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(names)]).distinct()
+                           .withColumn("_tied", F.lit(True)), "rank-ties")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(names)])
+    return (j.join(tie, same, "left")
+             .withColumn(flag, F.coalesce(F.col(key) < F.col("_limit"), F.lit(False)) | F.col("_tied").isNotNull())
+             .select(*df.columns, flag))
+
+
 def lead_within(df: DataFrame, by, order_col: str, cols, suffix: str = "_next",
                 bucket: int = 4096) -> DataFrame:
     """Exact ``lead(col) over (partition by by order by order_col)`` for a

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import seeded_order_key
 from ..functions.text import WS_RUN, utrim
-from .ranking import positions, rank_within, top_k
+from .ranking import positions, top_k, with_smallest
 
 
 def seeded_shuffle(df: DataFrame, seed="42", id_cols=("prompt_id",), pos_col="pos") -> DataFrame:
@@ -22,9 +22,8 @@ def seeded_shuffle(df: DataFrame, seed="42", id_cols=("prompt_id",), pos_col="po
 def holdout_split(df: DataFrame, k: int, seed="42", id_cols=("prompt_id",), by=()) -> DataFrame:
     """Exactly ``k`` rows (per group) to eval, the rest to train (``split``)."""
     d = df.withColumn("_h", seeded_order_key(seed, *id_cols))
-    r = rank_within(d, list(by), ["_h", *id_cols], "_r")
-    return r.withColumn("split", F.when(F.col("_r") <= k, "eval").otherwise("train")) \
-            .drop("_h", "_r")
+    r = with_smallest(d, "_h", lambda n: F.lit(k), by, id_cols, bits=32, flag="_in")
+    return r.withColumn("split", F.when(F.col("_in"), "eval").otherwise("train")).drop("_h", "_in")
 
 
 def stride_split(df: DataFrame, pos_col="pos", stride: int = 2) -> DataFrame:
@@ -39,14 +38,20 @@ def fraction_sample(df: DataFrame, rate: float, seed="42", id_cols=("prompt_id",
     if rate >= 1.0:
         return df
     d = df.withColumn("_h", seeded_order_key(seed, *id_cols))
-    r = rank_within(d, list(by), ["_h", *id_cols], "_r", count_col="_n")
-    k = F.greatest(F.floor(F.col("_n") * F.lit(float(rate))), F.lit(1))
-    return r.where(F.col("_r") <= k).drop("_h", "_r", "_n")
+    r = with_smallest(d, "_h", lambda n: F.greatest(F.floor(n * F.lit(float(rate))), F.lit(1)), by, id_cols,
+                      bits=32, flag="_in")
+    return r.where("_in").drop("_h", "_in")
 
 
 def fixed_sample(df: DataFrame, k: int, seed="42", id_cols=("prompt_id",), by=()) -> DataFrame:
-    """``k`` rows per group in hash order (all when the group is smaller)."""
+    """``k`` rows per group in hash order (all when the group is smaller).
+
+    Without groups the limit is found by counting, whatever ``k``; per group a
+    window keeps at most ``k`` rows of each task before the shuffle.
+    """
     d = df.withColumn("_h", seeded_order_key(seed, *id_cols))
+    if not by:
+        return with_smallest(d, "_h", lambda n: F.lit(k), (), id_cols, bits=32, flag="_in").where("_in").drop("_h", "_in")
     return top_k(d, list(by), ["_h", *id_cols], k).drop("_h")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Options every operator assumes. Duplicate JSON keys keep the last value,
 # like Python's json.loads; UTC so timestamps compare across
@@ -101,8 +101,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or d
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return checkpoint_dir(spark).rstrip("/") + f"/tables/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local
     on a cluster: it lives wherever ``spark.checkpoint.dir`` points)."""
     import uuid
-    return checkpoint_dir(spark).rstrip("/") + f"/tables/{name}-{uuid.uuid4().hex[:10]}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:10]}"
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Lineage cut as a Parquet table in the shared folder. Unlike after a
+    checkpoint the planner knows the table's size, so it broadcasts small
+    ones by the session's threshold and no others."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete the scratch tables of this application. To be called when the
+    results that were built on them have been written."""
+    jvm, root = spark._jvm, _scratch_root(spark)
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
