@@ -9,6 +9,7 @@ counters, or only some ids, skip the rest.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from itertools import chain
@@ -17,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import record_batch
-from .vocab import Remembered, Vocab, read_spec, to_alphabet
+from .common import bytes_of, record_batch
+from .vocab import Vocab, read_spec, to_alphabet
 
 END = 1
-REMEMBERED = 300_000       # words that a worker keeps the ids of
+REMEMBERED = 1_000_000     # words that a worker keeps the ids of, and half as many parts
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
@@ -42,30 +43,119 @@ WRITER = {
 }
 
 
+class IdTable(dict):
+    """key -> row; a row is a run of ids in one growing array.
+
+    Unknown keys get the next rows and are resolved together, so that the
+    merging works on many at a time.
+    """
+
+    def __init__(self, resolve, limit: int):
+        super().__init__()
+        self.resolve, self.limit = resolve, limit
+        self.reset()
+
+    def reset(self):
+        self.clear()
+        self.unknown = []
+        self.ids = np.empty(1 << 16, dtype=np.int32)
+        self.ends = np.zeros(1 << 16, dtype=np.int64)    # of rows, after a leading 0
+
+    def __missing__(self, key):
+        row = self[key] = len(self)
+        self.unknown.append(key)
+        return row
+
+    def take(self, keys: list) -> tuple:
+        """(number of ids of each key, ids of all keys one after the other)."""
+        if len(self) > self.limit:
+            self.reset()
+        known = len(self)
+        rows = np.fromiter(map(self.__getitem__, keys), dtype=np.int64, count=len(keys))
+        if self.unknown:
+            new, self.unknown = self.unknown, []
+            n, ids = self.resolve(new)
+            self.ends = _room(self.ends, known + 1 + len(n))
+            start = self.ends[known]
+            self.ends[known + 1:known + 1 + len(n)] = start + np.cumsum(n)
+            self.ids = _room(self.ids, start + len(ids))
+            self.ids[start:start + len(ids)] = ids
+        first = self.ends[rows]
+        n = self.ends[rows + 1] - first
+        return n, self.ids[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+
+
+def _room(a: np.ndarray, size: int) -> np.ndarray:
+    if len(a) >= size:
+        return a
+    out = np.zeros(max(size, 2 * len(a)), dtype=a.dtype)
+    out[:len(a)] = a
+    return out
+
+
 class Encoder:
     """Token ids of whole texts, as the tokenizer gives them.
 
     The word tokenizer drops white space and never joins what it separates,
     and no special string holds any, so a text's ids are those of its
-    space-separated words one after the other. Words are remembered.
+    space-separated words one after the other. Words are remembered, and so
+    are their parts (letters in lower case, marks), which are merged many at
+    a time by the tokenizer's own merges.
     """
 
     def __init__(self, spec: str):
+        from tokenizers import Tokenizer, models, pre_tokenizers
         self.vocab = Vocab(spec)
-        v = self.vocab
-        self.parts = Remembered(lambda s: v.merge(to_alphabet(s)), REMEMBERED // 2)
-        self.words = Remembered(self.word, REMEMBERED)
-
-    def word(self, word: bytes) -> tuple:
-        s = word.decode("utf-8", "replace")
-        m = _SIMPLE.fullmatch(s)
-        if not m:
-            return tuple(self.vocab.encode(s))
-        return tuple(self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else []))
-
-    def encode(self, text: bytes | None, end: int = END) -> np.ndarray:
-        ids = np.fromiter(chain.from_iterable(map(self.words.__getitem__, (text or b"").split())), dtype=np.int32)
-        return np.append(ids, np.int32(end))
+        model = json.loads(spec)["model"]
+        suffix = model["end_of_word_suffix"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.merges = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0,
+                                           end_of_word_suffix=suffix))
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.is_last = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+        self.is_last[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        self.parts = IdTable(self.merge_parts, REMEMBERED // 2)
+        self.words = IdTable(self.split_words, REMEMBERED)
+
+    def merge_parts(self, parts: list) -> tuple:
+        """Every part is one word of the merges: its last token tells so."""
+        mapped = [p if p.isascii() else to_alphabet(p) for p in parts]
+        lines = [" ".join(mapped[a:a + 1000]) for a in range(0, len(mapped), 1000)]
+        ids = np.concatenate([np.array(e.ids, dtype=np.int32) for e in
+                              self.merges.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = np.flatnonzero(self.is_last[ids]) + 1
+        return np.diff(ends, prepend=0), ids
+
+    def split_words(self, words: list) -> tuple:
+        """Words of simple form as their parts, the others as the tokenizer has them."""
+        parts, count, others = [], np.zeros(len(words), dtype=np.int64), []
+        for i, w in enumerate(words):
+            s = w.decode("utf-8", "replace")
+            m = _SIMPLE.fullmatch(s)
+            if m:
+                parts.append(m[1].lower())
+                if m[2]:
+                    parts.append(m[2])
+                count[i] = 1 + bool(m[2])
+            else:
+                others.append((i, s))
+        per_part, ids = self.parts.take(parts)
+        at = np.concatenate([[0], np.cumsum(per_part)])[np.concatenate([[0], np.cumsum(count)])]
+        n = np.diff(at)
+        if others:
+            made = self.vocab.tokenizer.encode_batch_fast([s for _, s in others], add_special_tokens=False)
+            where = [i for i, _ in others]
+            ids = np.insert(ids, np.repeat(at[where], [len(e.ids) for e in made]),
+                            np.fromiter(chain.from_iterable(e.ids for e in made), dtype=np.int32))
+            n[where] = [len(e.ids) for e in made]
+        return n, ids
+
+    def encode(self, texts: list, end: int = END) -> tuple:
+        """(number of ids of each text, ids of all texts); each ends with ``end``."""
+        words = [(t or b"").split() for t in texts]
+        n, ids = self.words.take(list(chain.from_iterable(words)))
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(w) for w in words], dtype=np.int64)]
+        return np.diff(ends, prepend=0) + 1, np.insert(ids, ends, np.int32(end))
 
 
 _ENCODERS: dict = {}
@@ -103,12 +193,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
             enc = _encoder(key, shipped)
-            ids = [enc.encode(t, end) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            n, ids = enc.encode(bytes_of(b.column(1)), end)
             stop = np.cumsum(n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)),
-                                             pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-            yield record_batch(schema, {"part": np.full(len(ids), part, np.int32), "doc_id": b.column(0),
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(ids))
+            yield record_batch(schema, {"part": np.full(len(n), part, np.int32), "doc_id": b.column(0),
                                         "offset": at + stop - n, "n_tokens": n, "ids": lists})
             at += int(n.sum())
 
