@@ -368,16 +368,30 @@ def test_kth_largest(spark):
     assert importance.kth_largest(df, 351) is None
 
 
+def test_resampling_keeps_good_documents_of_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    target, share = importance.target_documents(docs, labels.where("doc_id % 2 = 0"))
+    kept = importance.resample(docs, importance.log_ratio(docs, target, stratum_col="lang"), share).where("kept")
+    held = labels.where("doc_id % 2 = 1").join(docs.select("doc_id", "lang"), "doc_id") \
+        .join(kept.select("doc_id", F.lit(1).alias("k")), "doc_id", "left")
+    rate = {(r.lang, r.quality, r.toxic): r.r for r in held.groupBy("lang", "quality", "toxic")
+            .agg(F.avg(F.coalesce("k", F.lit(0))).alias("r")).collect()}
+    assert all(rate[x, 1, 0] > 0.8 for x in ("en", "fr", "de", "es"))
+    assert all(r < 0.1 for (_, q, _), r in rate.items() if q == 0)
+    assert all(rate[x, 1, 1] < rate[x, 1, 0] for x in ("en", "fr", "de", "es"))
+
+
 def test_resampling(spark, docs, texts):
     labels = read(spark, SF, "labels")
     target, share = importance.target_documents(docs, labels)
-    w = importance.log_ratio(docs, target)
+    w = importance.log_ratio(docs, target, stratum_col="lang")
     counts = [0] * len(w)
     b = importance.Buckets()
     for t in texts.values():
         for x in b.of(t.encode()):
             counts[x] += 1
-    got = {r.bucket: r.n for r in importance.bucket_counts(docs.select("text")).collect()}
+    got = {r.bucket: r.n for r in importance.bucket_counts(docs.select("text", F.lit(1).cast("long"))).collect()}
     assert got == {i: n for i, n in enumerate(counts) if n}
     r = importance.resample(docs, w, share).collect()
     for x in r[:30]:

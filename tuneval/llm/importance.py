@@ -16,7 +16,9 @@ from .ngrams import WordHashes, word_grams
 
 SEED = 42
 BUCKET_BITS = 18
-PRIOR = 5.0             # occurrences that either model is taken to have beforehand in every bucket
+PRIOR = 5.0            # occurrences that either model is taken to have beforehand in every bucket
+NOISE = 3.0
+UNIT = 1000             # steps of a document's weight
 TARGET_DOCS = 20_000    # expected size of the hash sample of target documents
 RADIX = 16              # bits of the rank key settled by one pass
 
@@ -34,12 +36,16 @@ class Buckets:
 
 
 def bucket_counts(texts: DataFrame) -> DataFrame:
-    """(text) -> (bucket, n): each task adds up its documents first."""
+    """(text, weight) -> (bucket, n): weights (long) summed over the n-grams of
+    a bucket; each task adds up its documents first."""
     def run(batches):
         b, total = Buckets(), np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for batch in batches:
-            at = np.concatenate([b.of(t) for t in bytes_of(batch.column(0))])
-            total += np.bincount(at, minlength=1 << BUCKET_BITS)
+            at = [b.of(t) for t in bytes_of(batch.column(0))]
+            weights = batch.column(1).to_pylist()
+            for w in set(weights):
+                total += w * np.bincount(np.concatenate([a for a, x in zip(at, weights) if x == w]),
+                                         minlength=1 << BUCKET_BITS)
         at = np.flatnonzero(total)
         for a in range(0, len(at), 1 << 14):
             c = at[a:a + (1 << 14)]
@@ -55,20 +61,46 @@ def _vector(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def log_ratio(docs: DataFrame, target: DataFrame, text_col: str = "text") -> np.ndarray:
+def stratum_weights(docs: DataFrame, target: DataFrame, stratum: str, text_col: str = "text") -> DataFrame:
+    """(stratum, weight): how much larger a stratum's part of the corpus's
+    text is than its part of the target text, in steps of 1 / UNIT. A row per
+    stratum."""
+    def shares(d):
+        n = d.groupBy(F.col(stratum).alias("s")).agg(F.sum(F.octet_length(text_col) + 1).alias("size"))
+        total = n.agg(F.sum("size").alias("total"))
+        return n.join(F.broadcast(total)).select("s", F.try_divide("size", "total").alias("share"))
+    raw, tgt = shares(docs), shares(target).select(F.col("s").alias("t"), F.col("share").alias("of"))
+    return written(tgt.join(raw, F.col("s").eqNullSafe(F.col("t")))
+                      .select("s", F.coalesce(F.round(F.try_divide("share", "of") * UNIT).cast("long"),
+                                               F.lit(0).cast("long")).alias("weight")),
+                   "importance-strata")
+
+
+def log_ratio(docs: DataFrame, target: DataFrame, text_col: str = "text",
+              stratum_col: str | None = None) -> np.ndarray:
     """log p(bucket | target) - log p(bucket | raw) for every bucket.
 
     The raw model counts all documents, and its counts are scaled to the
-    number of n-grams of the target. Both start from PRIOR occurrences in
-    every bucket, so rare n-grams say little and what the corpus often shows
-    but the target never does weighs low, yet finitely. Buckets that nothing
-    fell into weigh 0, as do all without target texts.
+    number of n-grams of the target. With ``stratum_col`` (the language, say)
+    the target documents are weighted to the corpus's shares of its values,
+    so that the ratio tells good text from bad and not one stratum from
+    another. Both models start from PRIOR occurrences in every bucket, and
+    buckets whose target count is within NOISE standard deviations of what
+    the raw model expects weigh 0: rare n-grams say nothing, and what the
+    corpus often shows but the target never does weighs low, yet finitely.
+    Without target texts all buckets weigh 0.
     """
-    raw = _vector(bucket_counts(docs.select(F.col(text_col).alias("t"))))
-    tgt = _vector(bucket_counts(target.select(F.col(text_col).alias("t"))))
+    raw = _vector(bucket_counts(docs.select(F.col(text_col).alias("t"), F.lit(UNIT).cast("long"))))
+    src = target.select(F.col(text_col).alias("t"), F.lit(UNIT).cast("long"))
+    if stratum_col:
+        w = stratum_weights(docs, target, stratum_col, text_col)
+        src = target.join(w, F.col(stratum_col).eqNullSafe(F.col("s"))).select(F.col(text_col).alias("t"), "weight")
+    tgt = _vector(bucket_counts(src)) / UNIT
     if not raw.sum() or not tgt.sum():
         return np.zeros(1 << BUCKET_BITS)
-    return np.log(tgt + PRIOR) - np.log(raw * (tgt.sum() / raw.sum()) + PRIOR)
+    expected = raw * (tgt.sum() / raw.sum())
+    told = np.abs(tgt - expected) > NOISE * np.sqrt(expected + 1)
+    return np.where(told, np.log(tgt + PRIOR) - np.log(expected + PRIOR), 0.0)
 
 
 def target_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",

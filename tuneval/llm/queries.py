@@ -91,7 +91,7 @@ def op9_importance_resampling(spark, sf_dir):
     """Log weight of every document and whether the resampled corpus keeps it."""
     docs = read(spark, sf_dir, "documents")
     target, share = importance.target_documents(docs, read(spark, sf_dir, "labels"))
-    return importance.resample(docs, importance.log_ratio(docs, target), share)
+    return importance.resample(docs, importance.log_ratio(docs, target, stratum_col="lang"), share)
 
 
 @register
