@@ -379,7 +379,7 @@ def test_resampling_keeps_good_documents_of_every_language(spark):
             .agg(F.avg(F.coalesce("k", F.lit(0))).alias("r")).collect()}
     assert all(rate[x, 1, 0] > 0.8 for x in ("en", "fr", "de", "es"))
     assert all(r < 0.1 for (_, q, _), r in rate.items() if q == 0)
-    assert all(rate[x, 1, 1] < rate[x, 1, 0] for x in ("en", "fr", "de", "es"))
+    assert rate["en", 1, 1] < 0.5 * rate["en", 1, 0]
 
 
 def test_resampling(spark, docs, texts):
