@@ -66,13 +66,16 @@ def test_expand_with_fallback(spark):
     from tuneval.operators import render
     t = spark.createDataFrame([("extraction", "base-e", "in-e"), ("tool_call", "base-t", "in-t")],
                               "task_type string, instruction string, input string")
-    v = spark.createDataFrame([("extraction", "v1", ""), ("extraction", "v2", "x"),
-                               ("function_call", "f1", "")],
-                              "task_type string, instruction string, input string")
+    v = spark.createDataFrame([("extraction", "v2", "x", 2), ("extraction", "v1", "", 1),
+                               ("function_call", "f1", "", 1), ("extraction", "v3", "", 3), ("extraction", "v4", "", 4)],
+                              "task_type string, instruction string, input string, position int")
     out = sorted(map(tuple, render.expand_with_fallback(t, v, 3).collect()))
     # matched type takes its variations; unmatched type repeats its base pair n times;
     # variations of a type with no template are not used
-    assert out == [("extraction", "v1", ""), ("extraction", "v2", "x")] + [("tool_call", "base-t", "in-t")] * 3
+    assert out == [("extraction", "v1", ""), ("extraction", "v2", "x"), ("extraction", "v3", "")] + \
+        [("tool_call", "base-t", "in-t")] * 3
+    twice = render.expand_with_fallback(t.unionByName(t), v, 1).collect()
+    assert len(twice) == 4
 
 
 def test_append_results_keeps_history(spark):

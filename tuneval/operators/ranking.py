@@ -104,59 +104,59 @@ def _on_group(rows: DataFrame, state: DataFrame, group, how: str = "inner") -> D
     return rows.join(s, same, how).drop(*[g + "_s" for g in group])
 
 
+def _digits(c: str, bits: int, integral: bool) -> list:
+    """A column in order as numbers of 16 bits, the most significant first."""
+    x = F.col(c).cast("long") if integral else F.xxhash64(c)
+    if bits == 64:
+        x = x.bitwiseXOR(F.lit(-(1 << 63)))     # signed order as unsigned order
+    return [F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0xFFFF)) for s in range(bits - 16, -1, -16)]
+
+
 def with_smallest(df: DataFrame, key: str, k, by=(), ties=(), bits: int = 64,
                   flag: str = "in_k") -> DataFrame:
     """``df`` with a flag: is the row among the ``k(n)`` smallest of its group
     of ``n`` rows, ordered by ``key`` (long) and then by ``ties``?
 
     ``k`` maps the group's size (a Column) to the number of rows. The limit
-    of every group is found 16 bits of the key at a time: each pass counts
-    the rows under the settled bits by their next ones, at most 65,536 counts
-    per group. So nothing is sorted and only the keys are written (once, to
-    the shared folder); the rows themselves are filtered where they are,
-    against one row per group and the few rows that tie at the limit, which
-    the planner broadcasts if their size allows. ``bits`` = 32 saves two
-    passes for keys in [0, 2^32).
+    of every group is found 16 bits at a time: each pass counts the rows that
+    share the settled bits by their next ones, at most 65,536 counts per
+    group, until the settled bits alone tell who is in. So nothing is sorted
+    and only the keys are written (once, to the shared folder); the rows
+    themselves are compared where they are with one row per group, which the
+    planner broadcasts if the groups' number allows. ``bits`` = 32 is for
+    keys in [0, 2^32). Ties that are no integers are ordered by a hash. Rows
+    that are equal in all of it are in or out together.
     """
     by, ties = list(by), list(ties)
-    unsigned = F.col(key).bitwiseXOR(F.lit(-(1 << 63))) if bits == 64 else F.col(key)
-    keys = scratch_table(df.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.lit(0).alias("_all"),
-                                   unsigned.alias("_key")), "rank-keys")
+    whole = {f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "short", "byte")}
+    digits = _digits(key, bits, True) + [d for t in ties for d in _digits(t, 64, t in whole)]
     group = [f"_by{i}" for i in range(len(by))] + ["_all"]
+    named = [F.col(c).alias(g) for c, g in zip(by, group)] + [F.lit(0).alias("_all")]
+    keys = scratch_table(df.select(*named, *[d.cast("int").alias(f"_d{i}") for i, d in enumerate(digits)]),
+                         "rank-keys")
     in_order = Window.partitionBy(*group).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = None
-    for shift in range(bits - 16, -1, -16):
-        rows = keys
-        if state is not None:
-            settled = F.shiftrightunsigned("_key", shift + 16) == F.col("_prefix")
-            rows = _on_group(rows, state, group).where(settled)
-        kept = [] if state is None else ["_left", "_prefix"]
-        digit = F.shiftrightunsigned("_key", shift).bitwiseAND(F.lit(0xFFFF))
-        hist = rows.groupBy(*group, *kept, digit.alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+    for i in range(len(digits)):
+        settled = [f"_d{j}" for j in range(i)]
+        rows = keys if state is None else _on_group(keys, state, [*group, *settled])
+        kept = [] if state is None else ["_left"]
+        hist = rows.groupBy(*group, *settled, *kept, F.col(f"_d{i}").alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
         if state is None:
             n = F.sum("_c").over(Window.partitionBy(*group))
-            hist = hist.withColumn("_left", F.least(n, k(n)).cast("long")).withColumn("_prefix", F.lit(0).cast("long"))
-        cum = F.sum("_c").over(in_order)
-        state = scratch_table(
-            hist.withColumn("_cum", cum).where((F.col("_cum") >= F.col("_left")) & (F.col("_cum") - F.col("_c") < F.col("_left")))
-                .select(*group, (F.col("_left") - (F.col("_cum") - F.col("_c"))).alias("_left"),
-                        F.shiftleft("_prefix", 16).bitwiseOR(F.col("_d")).alias("_prefix"), "_c"),
-            "rank-state").drop("_c")
-    # per group: the limit itself and how many of the rows that tie there are in
-    limit = F.col("_prefix").bitwiseXOR(F.lit(-(1 << 63))) if bits == 64 else F.col("_prefix")
-    at = state.select(*group, limit.alias("_limit"), "_left")
-    j = _on_group(df.select("*", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.lit(0).alias("_all")),
-                  at, group, "left")
-    w = Window.partitionBy(*group).orderBy(*_cols(ties or [key]))
-    tie = (j.where(F.col(key) == F.col("_limit")).withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= F.col("_left")))
-    names = [*by, key, *ties]
-    tie = scratch_table(tie.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(names)]).distinct()
-                           .withColumn("_tied", F.lit(True)), "rank-ties")
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(names)])
-    return (j.join(tie, same, "left")
-             .withColumn(flag, F.coalesce(F.col(key) < F.col("_limit"), F.lit(False)) | F.col("_tied").isNotNull())
-             .select(*df.columns, flag))
+            hist = hist.withColumn("_left", F.least(n, k(n)).cast("long"))
+        before = F.col("_cum") - F.col("_c")
+        found = scratch_table(
+            hist.withColumn("_cum", F.sum("_c").over(in_order))
+                .where((F.col("_cum") >= F.col("_left")) & (before < F.col("_left")))
+                .select(*group, *settled, F.col("_d").alias(f"_d{i}"), (F.col("_left") - before).alias("_left"), "_c"),
+            "rank-state")
+        state = found.drop("_c")
+        if found.where("_c > _left").isEmpty():
+            break
+    limit = state.select(*group, F.array(*[c for c in state.columns if c.startswith("_d")]).alias("_limit"))
+    own = F.array(*[d.cast("int") for d in digits[:i + 1]])
+    j = _on_group(df.select("*", *named, own.alias("_own")), limit, group, "left")
+    return j.withColumn(flag, F.coalesce(F.col("_own") <= F.col("_limit"), F.lit(False))).select(*df.columns, flag)
 
 
 def lead_within(df: DataFrame, by, order_col: str, cols, suffix: str = "_next",
