@@ -157,13 +157,14 @@ def schema_check(df: DataFrame, response: str = "response", schema: str = "schem
     obj = F.col("_obj").isNotNull()
     d = (d.withColumn(prefix + "valid", F.col(prefix + "ok").cast("int"))
           .withColumn(prefix + "is_object", obj.cast("int"))
-          .withColumn(prefix + "errors", F.when(~obj, F.array(F.lit(NOT_AN_OBJECT))).otherwise(F.concat(
-              F.transform(missing, lambda f: F.concat(F.lit("Missing required field: "), f)),
-              F.transform(bad, lambda f: F.concat(
-                  F.lit("Field '"), f, F.lit("' should be "), F.element_at(types, f), F.lit(", got "),
-                  F.element_at(F.transform_values("_obj", lambda k, x: J.python_type_of(x)), f))))))
           .withColumn(prefix + "missing_fields", F.when(obj, missing))
           .withColumn(prefix + "type_errors", F.when(obj, bad)))
+    # the actual types of the few offending fields only
+    wrong = F.transform(prefix + "type_errors", lambda f: F.concat(
+        F.lit("Field '"), f, F.lit("' should be "), F.element_at(types, f), F.lit(", got "),
+        J.python_type_of(F.element_at(F.col("_obj"), f))))
+    gone = F.transform(prefix + "missing_fields", lambda f: F.concat(F.lit("Missing required field: "), f))
+    d = d.withColumn(prefix + "errors", F.when(obj, F.concat(gone, wrong)).otherwise(F.array(F.lit(NOT_AN_OBJECT))))
     d = d.withColumn(prefix + "compliant",
                      F.coalesce(obj & (F.size(prefix + "missing_fields") == 0) &
                                 (F.size(prefix + "type_errors") == 0), F.lit(False)).cast("int"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import ablation, forgetting, jsonq, sampling
+from ..operators import ablation, forgetting, jsonq, sampling, textsim
 from ..operators import verdicts as V
 from ..session import scratch_path
 from ..sources import fixtures as fx
@@ -15,7 +15,7 @@ from .catalog import D_JSON_FLAGS, register, sq
 from .oracle_fixtures import H, with_fixtures
 from .q_json import _d_flat_canon_types, _d_schema_cte, items_with_schema
 from .q_judge import D_CATEGORY, D_VERDICTS
-from .q_text import D_ROUGE, open_rows
+from .q_text import D_ROUGE, open_rows, scored_pairs
 
 PAIRS = (("cp0", "cp1"), ("cp1", "cp2"))
 
@@ -70,7 +70,10 @@ select checkpoint_1, checkpoint_2, metric, percent_change, percent_change >= -5.
 from (""" + D_CMP_SELECT + """) c where metric in ('rouge1', 'rouge2')""")
 def retention_gate(spark, sf_dir):
     """Stage-1 (open-ended) metrics may not drop more than 5 %."""
-    return forgetting.retention_gate(compare(spark, sf_dir))
+    rows = textsim.rouge_n(scored_pairs(spark, sf_dir), ["prompt_id", "checkpoint"])
+    means = rows.groupBy("checkpoint").agg(F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2"))
+    tidy = means.unpivot("checkpoint", ["rouge1", "rouge2"], "metric", "value")
+    return forgetting.retention_gate(forgetting.compare_checkpoints(tidy, PAIRS, ("rouge1", "rouge2")))
 
 
 def win_table(spark, sf_dir, inst=None):

@@ -191,5 +191,7 @@ group by checkpoint, error""")
 def json_schema_errors(spark, sf_dir):
     """F8 + F9: schema violations in words, per checkpoint."""
     s = jsonq.schema_check(items_with_schema(spark, sf_dir))
-    return s.select("checkpoint", F.explode("errors").alias("error")).groupBy("checkpoint", "error").agg(
+    # the outer form: a plain explode infers a filter that would repeat the parse
+    e = s.select("checkpoint", F.explode_outer("errors").alias("error")).groupBy("checkpoint", "error").agg(
         F.count(F.lit(1)).alias("n"))
+    return e.where("error is not null")

@@ -63,11 +63,16 @@ rouge as (
   from toks t left join ov using (prompt_id, checkpoint))"""
 
 
+def scored_pairs(spark, sf_dir, inst=None):
+    """Responses with their reference (the expected output) by prompt id."""
+    inst = inst if inst is not None else fx.instruct(spark, sf_dir)
+    return fx.responses(spark, sf_dir, inst).join(
+        inst.select("prompt_id", F.col("output").alias("reference")), "prompt_id")
+
+
 def open_rows(spark, sf_dir, stem=False):
     inst = fx.instruct(spark, sf_dir)
-    pairs = fx.responses(spark, sf_dir, inst).join(
-        inst.select("prompt_id", F.col("output").alias("reference")), "prompt_id")
-    return evaluate.open_rows(pairs, fx.token_vectors(spark, sf_dir, inst), stem=stem)
+    return evaluate.open_rows(scored_pairs(spark, sf_dir, inst), fx.token_vectors(spark, sf_dir, inst), stem=stem)
 
 
 OPEN_COLUMNS = ("avg_response_length", "rouge1", "rouge2", "rougeL", "bertscore_f1")
