@@ -89,11 +89,14 @@ def open_suite_metrics(spark, sf_dir):
     return m.select("checkpoint", "count", *[F.round(c, 6).alias(c) for c in OPEN_COLUMNS])
 
 
-@register("open_suite_stemmed")
-def open_suite_stemmed(spark, sf_dir):
-    """I1 + G4: the same with stemmed tokens, as the reference's scorer counts."""
-    m = evaluate.open_suite_metrics(open_rows(spark, sf_dir, stem=True))
-    return m.select("checkpoint", *[F.round(c, 6).alias(c + "_stemmed") for c in ("rouge1", "rouge2", "rougeL")])
+@register("open_suite_rouge_l")
+def open_suite_rouge_l(spark, sf_dir):
+    """G3 + G4: mean ROUGE-L plain, and ROUGE-L, -1 and -2 with stemmed tokens as the
+    reference's scorer counts them, per checkpoint."""
+    plain = textsim.rouge_l(scored_pairs(spark, sf_dir)).groupBy("checkpoint").agg(F.avg("rougeL").alias("plain"))
+    m = evaluate.open_suite_metrics(open_rows(spark, sf_dir, stem=True)).join(plain, "checkpoint")
+    return m.select("checkpoint", F.round("plain", 6).alias("rougeL"),
+                    *[F.round(c, 6).alias(c + "_stemmed") for c in ("rouge1", "rouge2", "rougeL")])
 
 
 @register("rouge_l_vs_baseline", with_fixtures(["responses"]) + f"""
