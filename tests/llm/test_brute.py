@@ -334,6 +334,15 @@ def test_surrogates(spark):
     assert r[3].text == "nothing here 12 of 345." and r[4].text is None
 
 
+@pytest.mark.parametrize("text, kind, value", [
+    ("host 8.8.8.8 down", "ip", "8.8.8.8"),
+    ("key a1b2c3d4" + "e5f6a7b8" * 3 + " leaked", "token", "a1b2c3d4" + "e5f6a7b8" * 3),
+    ("card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "card", "4111111111111111"),
+    ("to a@b.de", "email", "a@b.de")])
+def test_entities_without_adjacent_digits(text, kind, value):
+    assert [(k, v) for _, _, k, v in surrogates.entities(text)] == [(kind, value)]
+
+
 def test_surrogates_of_other_scripts():
     for text in ("Mr 王小明 came", "Mme Ελένη came", "Mr Вронский came"):
         (a, b, kind, value), = surrogates.entities(text)

@@ -37,7 +37,8 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Seño
 _CAP = r"[^\W\d_a-zа-я][^\W\d_]+"
 _TYPES["name"] = (rf"(?<!\w)(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.?[ ]{_CAP}(?:[ -]{_CAP})?")
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _TYPES.items()))
-_HINT = re.compile(r"\d{2}|@|" + rf"\b(?:{'|'.join(MALE + FEMALE)})\b")
+# What every match of the patterns holds: a digit, an at sign or a title.
+_HINT = re.compile(rf"\d|@|\b(?:{'|'.join(MALE + FEMALE)})\b")
 
 # Alphabets by script, syllables and endings that names are made of.
 _SYLLABLES = {
