@@ -343,6 +343,37 @@ def test_entities_without_adjacent_digits(text, kind, value):
     assert [(k, v) for _, _, k, v in surrogates.entities(text)] == [(kind, value)]
 
 
+@pytest.mark.parametrize("text, parts", [
+    ("Then Mr John Fitzgerald Kennedy came.", "John Fitzgerald Kennedy"),
+    ("Herr Ludwig van Beethoven kam.", "Ludwig Beethoven"),
+    ("Señor Juan García Márquez está aquí.", "Juan García Márquez"),
+    ("Señor Ramón y Cajal", "Ramón Cajal"),
+    ("Mr. J. Smith and Mr J.R.R. Tolkien", "J Smith J R R Tolkien"),
+    ("Herr Prof. Dr. Otto von der Heide", "Otto Heide"),
+    ("Mme Durand était là, Mr O'Brien's too", "Durand O'Brien"),
+    ("Mr Kennedy left. Later Kennedy, not kennedy, or KENNEDY came to Kennedytown.", "Kennedy Kennedy KENNEDY"),
+    ("Smith, or Mr Smith. Señor García y Señora López", "Smith Smith García López"),
+    ("Frau Schmidt kam. Schmidts Haus, Herr Müller das Buch", "Schmidt Schmidt Müller"),
+    ("Mr John F Kennedy told Mr Smith I know", "John F Kennedy Smith"),
+    ("Señora Ana de la Cruz, Mr Omar al-Rashid, Monsieur Valéry Giscard d'Estaing", "Ana Cruz Omar Rashid Valéry Giscard Estaing"),
+    ("Miss Jean-Anne Lee; Missing Lee", "Jean Anne Lee Lee")])
+def test_whole_names(text, parts):
+    e = surrogates.entities(text)
+    assert " ".join(text[a:b] for a, b, _, _ in e) == parts
+    assert e == sorted(e) and {k for *_, k, _ in e} <= {"name", "initial"}
+    for a, b, kind, value in e:
+        made = surrogates.render(text[a:b], kind, surrogates.surrogate(b"k", kind, value, 0))
+        assert made != text[a:b] and (kind == "name" or len(made) == 1 and made.isupper())
+
+
+def test_untitled_mention_has_the_surrogate_of_the_titled(spark):
+    docs = spark.createDataFrame([(1, "Mr J. Smith came. Smith left."), (2, "Smith alone.")], "doc_id long, text string")
+    r = {x.doc_id: x for x in surrogates.replace_pii(docs).collect()}
+    name = re.fullmatch(r"Mr [A-Z]\. (\w+) came\. (\w+) left\.", r[1].text)
+    assert name and name[1] == name[2] != "Smith" and (r[1].n_entities, r[1].kinds) == (3, "name")
+    assert r[2].text == "Smith alone."
+
+
 def test_surrogates_of_other_scripts():
     for text in ("Mr 王小明 came", "Mme Ελένη came", "Mr Вронский came"):
         (a, b, kind, value), = surrogates.entities(text)

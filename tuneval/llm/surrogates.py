@@ -1,11 +1,13 @@
 """PII surrogates: keyed replacements of the same type, format and script.
 
 Detected entities are e-mail addresses, IPv4 addresses, phone numbers, card
-numbers, secret tokens and personal names after a title. The value behind a
+numbers, secret tokens and personal names after a title, with every other
+mention of such a name's parts in the same document. The value behind a
 mention (its canonical form) has one surrogate in the whole corpus, derived
 from a key; surrogates of different values differ, and none equals a value
 that occurs. A mention is rendered in its own format, so one value written
-in two formats stays one value.
+in two formats stays one value. An initial is no value of its own: it becomes
+another letter of its script.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -34,8 +37,41 @@ _TYPES = {
 # Titles by the gender they tell.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Señorita", "Doña", "Госпожа", "г-жа")
-_CAP = r"[^\W\d_a-zа-я][^\W\d_]+"
-_TYPES["name"] = (rf"(?<!\w)(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.?[ ]{_CAP}(?:[ -]{_CAP})?")
+# Academic titles stand between title and name; particles stay as they are.
+DEGREES = ("Dr", "Prof", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Profesor", "Doctora", "Profesora",
+           "Ing", "Dipl", "Mag", "Lic")
+PARTICLES = ("van", "von", "von und zu", "de", "del", "della", "di", "da", "do", "dos", "du", "des", "ter", "y", "e",
+             "af", "av", "bin", "ibn", "ben", "фон", "де", "ван")
+_AFTER = ("der", "den", "dem", "het", "la", "las", "los", "ter", "ten")   # only after another: alone they are articles
+
+
+def _ranges(chars: list) -> str:
+    """The sorted code points as a regex character class's inside."""
+    out, i = "", 0
+    while i < len(chars):
+        j = i
+        while j + 1 < len(chars) and chars[j + 1] == chars[j] + 1:
+            j += 1
+        out += f"\\U{chars[i]:08x}-\\U{chars[j]:08x}"
+        i = j + 1
+    return out
+
+
+def _one_of(words) -> str:
+    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+
+
+_TITLE = _one_of(MALE + FEMALE)
+# A part starts with a letter that is not lower case (scripts without case have only such).
+_UP = rf"[^\W\d_{_ranges([c for c in range(0x110000) if chr(c).islower()])}]"
+_PART = rf"(?!(?:{_TITLE}|{_one_of(DEGREES)})(?!\w)){_UP}[^\W\d_]*(?:['’]{_UP}[^\W\d_]*)*(?!\w)"
+_BETWEEN = rf"(?:{_one_of(PARTICLES)}[ ](?:{_one_of(_AFTER)}[ ])?)?(?:[dDlL]['’]|(?:al|el)-)?"
+_NAME = rf"(?:(?:{_UP}\.[ -]?)+(?={_BETWEEN}{_UP}))?{_BETWEEN}{_PART}"
+_NO_I = rf"(?!I(?![\w.'’]|[ -]{_UP}))"     # "Mr Smith I know"
+_TYPES["name"] = (rf"(?<!\w){_TITLE}\.?[ ](?:{_one_of(DEGREES)}(?:\.[ ]?|[ ]))*"
+                  rf"{_NAME}(?:[ -]{_NO_I}{_NAME})*")
+_NAME_PART = re.compile(rf"(?<!\w)(?:{_PART})")
+_HEAD = re.compile(rf"({_TITLE})\.?[ ](?:{_one_of(DEGREES)}(?:\.[ ]?|[ ]))*")
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _TYPES.items()))
 # What every match of the patterns holds: a digit, an at sign or a title.
 _HINT = re.compile(rf"\d|@|\b(?:{'|'.join(MALE + FEMALE)})\b")
@@ -46,6 +82,8 @@ _SYLLABLES = {
     "cyrillic": ("ба ве га да де жа за ка ла ле ли ма ме ми на не но па ра ре ро са се со та те то фа ха".split()),
     "greek": ("βα γα δα ζα θα κα κο λα λε μα με να νε πα ρα ρο σα σο τα τε φα".split()),
 }
+_ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя",
+              "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("cyrillic", "m"): "в", ("cyrillic", "f"): "ва",
             ("greek", "m"): "ς", ("greek", "f"): "α"}
 
@@ -59,6 +97,14 @@ def script_of(word: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else f"block{c >> 7}"
 
 
+def letters_of(script: str) -> list:
+    """Lower-case letters of a script of ``script_of``, or its block's letters."""
+    if script in _ALPHABETS:
+        return list(_ALPHABETS[script])
+    first = int(script[5:]) << 7
+    return [c for c in map(chr, range(first, first + 128)) if c.isalpha()]
+
+
 def digits(s: str) -> str:
     return "".join(c for c in s if c.isdecimal() and c.isascii())
 
@@ -73,25 +119,52 @@ def entities(text: str) -> list:
 
     A name's parts are entities of their own, so "Mr A. B." and a later
     "Mr B." stay one person; the canonical form of a part tells gender,
-    script and the part in lower case.
+    script and the part in lower case. Where a part stands without title it
+    has the gender of the titled mention before it, or else of the first.
     """
-    out = []
+    out, named = [], {}
     if not _HINT.search(text):
         return out
     for m in _ANY.finditer(text):
         kind, s = m.lastgroup, m[0]
         if kind == "name":
-            title, _, rest = s.partition(" ")
-            gender = "f" if title.rstrip(".") in FEMALE else "m"
-            for p in re.finditer(r"[^ -]+", rest):
-                a = m.start() + len(title) + 1 + p.start()
-                out.append((a, a + len(p[0]), "name", f"{gender}:{script_of(p[0])}:{p[0].lower()}"))
+            head = _HEAD.match(text, m.start())
+            gender = "f" if head[1] in FEMALE else "m"
+            for p in _NAME_PART.finditer(text, head.end(), m.end()):
+                w = p[0].lower()
+                kind = "initial" if len(w) == 1 and w != w.upper() else "name"
+                out.append((p.start(), p.end(), kind, f"{gender}:{script_of(w)}:{w}"))
+                if kind == "name":
+                    named.setdefault(w, []).append((p.start(), gender))
             continue
         value = s.lower() if kind in ("email", "token", "ip") else digits(s)
         if kind == "phone" and not 7 <= len(value) <= 15:
             continue
         out.append((m.start(), m.end(), kind, value))
-    return out
+    return with_untitled(text, out, named) if named else out
+
+
+def with_untitled(text: str, found: list, named: dict) -> list:
+    """``found`` with the mentions of the named parts that have no title.
+
+    ``named`` has the (start, gender) of the titled mentions of each part.
+    """
+    out, at = [], 0
+    for p in _NAME_PART.finditer(text):
+        end = p.end()
+        titled = named.get(w := p[0].lower())
+        if not titled and w.endswith("s"):   # "Schmidts Haus"
+            titled, w, end = named.get(w[:-1]), w[:-1], end - 1
+        if not titled:
+            continue
+        while at < len(found) and found[at][1] <= p.start():
+            out.append(found[at])
+            at += 1
+        if at < len(found) and found[at][0] < end:   # lies within an entity
+            continue
+        gender = titled[max(bisect_left(titled, (p.start(),)) - 1, 0)][1]
+        out.append((p.start(), end, "name", f"{gender}:{script_of(w)}:{w}"))
+    return out + found[at:]
 
 
 class Stream:
@@ -122,11 +195,16 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "token":
         return "".join("0123456789abcdef"[s.below(16)] for _ in value)
+    if kind == "initial":   # the letters of a script turn by a step of the key
+        gender, script, part = value.split(":", 2)
+        letters = letters_of(script)
+        step = 1 + Stream(key, kind, script, attempt).below(len(letters) - 1)
+        at = letters.index(part) if part in letters else s.below(len(letters))
+        return f"{gender}:{script}:{letters[(at + step) % len(letters)]}"
     if kind == "name":
         gender, script, part = value.split(":", 2)
         if script.startswith("block"):
-            first = int(script[5:]) << 7
-            letters = [c for c in map(chr, range(first, first + 128)) if c.isalpha()]
+            letters = letters_of(script)
             more = attempt - 4 if attempt > 4 else 0
             return f"{gender}:{script}:" + "".join(letters[s.below(len(letters))] for _ in range(len(part) + more))
         n = max(1, min(len(part) // 2, 6)) + (attempt > 4) * (attempt - 4)
@@ -147,7 +225,7 @@ def render(mention: str, kind: str, made: str) -> str:
     if kind in ("card", "phone", "ssn"):
         it = iter(made)
         return "".join(next(it) if c.isdecimal() and c.isascii() else c for c in mention)
-    if kind == "name":
+    if kind in ("name", "initial"):
         w = made.rpartition(":")[2]
         return w.upper() if mention.isupper() else w.capitalize() if mention[0].isupper() else w
     if kind == "email":   # the local part keeps its pattern of capitals
@@ -163,11 +241,11 @@ _MENTIONS = "kind string, value string"
 
 
 def distinct_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, value) of all entities of the corpus, each once."""
+    """(kind, value) of all entities of the corpus, each once, without initials."""
     def run(batches):
         for b in batches:
             found = sorted({(k, v) for t in bytes_of(b.column(0)) if t
-                            for _, _, k, v in entities(t.decode("utf-8", "replace"))})
+                            for _, _, k, v in entities(t.decode("utf-8", "replace")) if k != "initial"})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()),
                                               pa.array([v for _, v in found], pa.string())], names=["kind", "value"])
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, _MENTIONS).distinct()
@@ -256,7 +334,7 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     end = f
                 texts.append("".join(parts) + t[end:] if e else t)
                 counts.append(len(e))
-                kinds.append(",".join(sorted({k for _, _, k, _ in e})))
+                kinds.append(",".join(sorted({"name" if k == "initial" else k for _, _, k, _ in e})))
             yield record_batch(schema, {"doc_id": b.column(0), "text": texts, "n_entities": counts, "kinds": kinds})
 
     return flat.mapInArrow(run, schema)
