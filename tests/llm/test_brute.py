@@ -374,6 +374,28 @@ def test_untitled_mention_has_the_surrogate_of_the_titled(spark):
     assert r[2].text == "Smith alone."
 
 
+@pytest.mark.parametrize("kind, mention", [
+    *(("phone", p) for p in (
+        "06 12 34 56 78", "06.12.34.56.78", "0612345678", "+33 6 12 34 56 78", "+33 (0)6 12 34 56 78",   # French
+        "030 12345678", "030/123 45 67", "0171-1234567", "+49 (0)30 123456", "(030) 12345678",           # German
+        "612 345 678", "91 123 45 67", "912 34 56 78", "+34 612 345 678",                                # Spanish
+        "555 123 4567", "1-800-555-1234", "555-123-4567", "+1 555 123 4567", "020 7946 0958")),          # English
+    *(("email", m) for m in ("élodie.b@mail.fr", "öhler@x.de", "info@müller.de", "josé_ñ@correo.es", "иван@почта.рф"))])
+def test_phones_and_mails_of_the_languages(kind, mention):
+    for text in (f"at {mention}.", f"({mention}), then", mention):
+        (a, b, k, value), = surrogates.entities(text)
+        assert k == kind and text[a:b].strip("()") == mention.strip("()")
+        made = surrogates.render(text[a:b], k, surrogates.surrogate(b"k", k, value, 0))
+        assert made != text[a:b]
+        assert kind == "email" or re.sub(r"\d", "0", made) == re.sub(r"\d", "0", text[a:b])
+
+
+@pytest.mark.parametrize("text", ["on 01.02.2023 at 10:30", "05/06/1998 10", "1 012 345 678 euros", "750 000 000 €", "0.123456789",
+                                  "2024-01-05", "01/02/23 10:30", "12 of 345", "1 234 567.89", "pages 612-645"])
+def test_numbers_that_are_no_phones(text):
+    assert surrogates.entities(text) == []
+
+
 def test_surrogates_of_other_scripts():
     for text in ("Mr 王小明 came", "Mme Ελένη came", "Mr Вронский came"):
         (a, b, kind, value), = surrogates.entities(text)

@@ -24,15 +24,25 @@ from .common import bytes_of, per_text, record_batch, written
 
 KEY = b"surrogates"      # a parameter; production jobs pass a secret of their own
 
+# Letters, digits and combining accents of e-mail addresses in any script.
+_LOCAL, _HOST = r"[\w\u0300-\u036f.+-]", r"(?:[^\W_]|[\u0300-\u036f-])"
+_S = r"[ .\-/\xa0]?"     # between the digits of a phone number
 _TYPES = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])",
+    "email": rf"(?<!{_LOCAL})[^\W_]{_LOCAL}*@{_HOST}+(?:\.{_HOST}+)*\.(?:[^\W\d_]|[\u0300-\u036f]){{2,}}(?!{_HOST})",
     "token": r"(?<![A-Za-z0-9])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "card": r"(?<![\d+])(?<!\d[.,])\d(?:[ -]?\d){12,18}(?![\d])",
     "ssn": r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)"
-             r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-             r"|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
+    # International; area code in parentheses; national with leading 0 (no date); North American; Spanish.
+    "phone": rf"(?<![\w+])(?:\+|00)(?:3[34](?:{_S}\(0\))?(?:{_S}\d){{9}}|1(?:{_S}\(?\d\)?){{10}}"
+             rf"|[1-9](?:{_S}\(?\d\)?){{6,14}})(?!\d)"
+             r"|(?<![\w+])\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)"
+             rf"|(?<![\w+])\(0\d{{1,5}}\)(?:{_S}\d){{4,10}}(?!\d)"
+             r"|(?<![\w+-])(?<!\d[.,/ ])(?!\d\d[ ./-]\d\d[ ./-](?:19|20)\d\d(?!\d))"
+             rf"0[1-9](?:(?:{_S}\d\d){{4}}|(?:{_S}\d){{7,10}}|\d{{1,4}}[ /\xa0-]\d{{4,8}})(?!\w|[.,/-]\d)"
+             r"|(?<![\w+.-])(?<!\d[ ,/])(?:1[ .-])?\d{3}[ .\xa0-]\d{3}[ .\xa0-]\d{4}(?!\d|[ .,-]\d)"
+             r"|(?<![\w+.-])(?<!\d[ ,/])[6-9](?:\d\d[ \xa0-]\d{3}[ \xa0-](?!000)\d{3}|\d\d(?:[ .\xa0-]\d\d){3}"
+             r"|\d[ .\xa0-]\d{3}(?:[ .\xa0-]\d\d){2})(?!\d|[ .,-]\d)",
 }
 # Titles by the gender they tell.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н")
@@ -187,7 +197,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     s = Stream(key, kind, value, attempt)
     if kind == "email":
         local, _, host = value.partition("@")
-        swap = "".join(chr(97 + s.below(26)) if c.isalpha() else str(s.below(10)) if c.isdigit() else c for c in local)
+        def letter(c):
+            of = letters_of(script_of(c))
+            return of[s.below(len(of))]
+        swap = "".join(letter(c) if c.isalpha() else str(s.below(10)) if c.isdigit() else c for c in local)
         if attempt > 8:   # short local parts run out
             swap += str(s.below(10 ** (attempt - 8)))
         return f"{swap}@mail{s.below(1000)}.example.{('com', 'net', 'org')[s.below(3)]}"
@@ -213,7 +226,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "ssn":
         return "".join(str(s.below(10)) for _ in value)
     if kind == "phone":
-        head = min(max(len(value) - 10, 0), 3)   # the country code stays
+        head = min(max(len(value) - 10, value.startswith("0")), 3)   # the country code or leading 0 stays
         return value[:head] + "".join(str(s.below(10)) for _ in value[head:])
     body = "".join(str(s.below(9) + 1 if i == 0 else s.below(10)) for i in range(len(value) - 1))
     last = [d for d in "0123456789" if luhn(body + d) == luhn(value)]
