@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     configure(spark)
-    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"), without_id=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

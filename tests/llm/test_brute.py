@@ -305,6 +305,25 @@ def test_contamination_of_edited_passages(spark):
         assert abs(len(span) - len(decontaminate.normal(items[i][1]))) <= r.distance + 1
 
 
+SHORT = [(1, "Name the largest planet."), (2, "中国的首都是哪个城市？请简单地回答这个问题。"), (3, "日本で一番高い山は何ですか？"),
+         (4, "Largest moon?"), (5, "photosynthesis"), (6, "ประเทศไทยมีกี่จังหวัด"), (7, "2 + 2 = 4"), (8, " ?! "), (9, "six"),
+         (None, "an item that has no id at all")]
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    texts = {1: "Quiz: name the largest\nplanet!", 2: "问：中国的首都，是哪个 城市?请简\n单地回答这个间题。谢谢", 3: "さて、日本で一番高い山は何ですか。富士山です",
+             4: "The largest moon is Ganymede", 5: "Photosynthesis, of course", 6: "ถาม ประเทศไทย มีกี่จังหวัด ตอบ", 7: "so 2+2=4",
+             8: "enlargest moons, photosynthesise, 12 2 41, six", 9: "name a planet. 中国的城市", 10: "an item that has no id at all"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(SHORT, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(docs, bench).collect()}
+    assert {k: r.distance for k, r in got.items()} == {(i, i): int(i == 2) for i in range(1, 8)}
+    assert texts[2][got[2, 2].start:got[2, 2].end] == "中国的首都，是哪个 城市?请简\n单地回答这个间题"
+    assert texts[7][got[7, 7].start:got[7, 7].end] == "2+2=4"
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()} == {8, 9, 10}
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, bench, without_id=True).collect()} == {8, 9}
+
+
 # --------------------------------------------------------------------- PII
 PII = ("Write to jane.doe7@mail4.example.com or JANE.DOE7@mail4.example.com, call +1 (017) 555-7713 or +1 017 555 7713, "
        "host 97.51.17.173, card 4111 1111 1111 1111 and 4111111111111111, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\". "

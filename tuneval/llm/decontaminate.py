@@ -2,10 +2,11 @@
 
 Test items and documents are compared as lower-case words joined by single
 spaces (letters and digits of any script; punctuation and layout do not
-count). An item of m characters may differ in k = floor(m * rate) edits. Cut
+count); letters of scripts without spaces follow each other directly. An item of m characters may differ in k = floor(m * rate) edits. Cut
 into k + 1 pieces, at least one piece of any match is untouched: one
 Aho-Corasick pass finds the exact piece hits, and Myers' bit-parallel
-distance verifies the text around them.
+distance verifies the text around them. Items too short for an edit and of few words are found
+as whole words only.
 """
 
 from __future__ import annotations
@@ -19,15 +20,26 @@ from pyspark.sql import DataFrame, functions as F
 from .common import keep_rows, per_text
 
 EDIT_RATE = 0.05
-MIN_WORDS = 5               # shorter items are common phrases: they match nothing
+LONE_LETTERS = 4            # a single word of fewer letters matches nothing (a letter without spaces counts twice)
+WHOLE_WORDS = 5             # items of fewer words and no edit budget match whole words only
 BLOCK_CHARS = 8_000_000     # of test items, broadcast at a time
 
 _TOKEN = re.compile(r"[^\W_]+")
+# Thai, Lao, Tibetan, Myanmar, Khmer; kana, Bopomofo, Han, half-width kana; further Han.
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff" \
+         "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_DENSE_LETTER = re.compile(f"[{_DENSE}]")
+_DENSE_GAP = re.compile(f"(?<=[{_DENSE}]) (?=[{_DENSE}])")
 MATCH = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 
 
+def joined(words: list) -> str:
+    t = " ".join(words)
+    return t if t.isascii() or not _DENSE_LETTER.search(t) else _DENSE_GAP.sub("", t)
+
+
 def normal(text: str) -> str:
-    return " ".join(_TOKEN.findall(text.lower()))
+    return joined(_TOKEN.findall(text.lower()))
 
 
 @dataclass(frozen=True)
@@ -36,6 +48,11 @@ class Item:
     text: str
     budget: int
 
+    @property
+    def whole(self) -> bool:
+        """Whether only whole words match."""
+        return not self.budget and self.text.count(" ") + 1 < WHOLE_WORDS
+
     def pieces(self):
         """(offset, piece): budget + 1 pieces of nearly equal length."""
         n, m = self.budget + 1, len(self.text)
@@ -45,7 +62,7 @@ class Item:
 
 def item_of(item_id, text: str | None, rate: float = EDIT_RATE) -> Item | None:
     t = normal(text or "")
-    if item_id is None or len(t.split()) < MIN_WORDS:
+    if not t or " " not in t and len(t) + len(_DENSE_LETTER.findall(t)) < LONE_LETTERS:
         return None
     return Item(item_id, t, int(len(t) * rate))
 
@@ -80,6 +97,12 @@ def myers(pattern: str, text: str, budget: int):
     return (best, at) if best <= budget else None
 
 
+def border(t: str, at: int) -> bool:
+    """Whether a word can begin or end there; scripts without spaces have no borders."""
+    return (at in (0, len(t)) or " " in (pair := t[at - 1:at + 1])
+            or bool(_DENSE_LETTER.search(pair)))
+
+
 class Matcher:
     """Finds the test items in a text."""
 
@@ -107,6 +130,8 @@ class Matcher:
     def verify(self, item: Item, starts: list, t: str):
         """(distance, start, end) of the best match near one of the starts."""
         k, m, best = item.budget, len(item.text), None
+        if item.whole:
+            return next(((0, s, s + m) for s in starts if border(t, s) and border(t, s + m)), None)
         a = 0
         while a < len(starts):
             b = a  # starts that lie within the budget of each other share a window
@@ -129,24 +154,25 @@ class Matcher:
         if not text or not self.items:
             return []
         low = text.lower()
-        t = " ".join(_TOKEN.findall(low))
+        t = joined(_TOKEN.findall(low))
         found = [(self.items[i], m) for i, starts in sorted(self.candidates(t).items())
                  if (m := self.verify(self.items[i], starts, t))]
         if not found:
             return []
         raw = low if len(low) == len(text) else None
-        spans = self.raw_spans(low, [(s, e) for _, (_, s, e) in found]) if raw is not None else \
+        spans = self.raw_spans(low, t, [(s, e) for _, (_, s, e) in found]) if raw is not None else \
             [(None, None)] * len(found)
         return [{"item_id": i.item_id, "distance": d, "start": a, "end": b}
                 for (i, (d, _, _)), (a, b) in zip(found, spans)]
 
     @staticmethod
-    def raw_spans(low: str, spans: list) -> list:
-        """Offsets in the joined words -> offsets in the text they come from."""
+    def raw_spans(low: str, t: str, spans: list) -> list:
+        """Offsets in the joined words ``t`` -> offsets in the text they come from."""
         raw, n = [], 0
         for w in _TOKEN.finditer(low):
             raw.append((n, w.start(), w.end()))
-            n += w.end() - w.start() + 1
+            n += w.end() - w.start()
+            n += t[n:n + 1] == " "
         from bisect import bisect_right
         firsts = [r[0] for r in raw]
 
@@ -157,9 +183,11 @@ class Matcher:
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-           rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS):
-    """The test items as lists of about ``block_chars`` characters at most."""
+           rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS, without_id: bool = False):
+    """The test items as lists of about ``block_chars`` characters at most;
+    those without id only if asked for."""
     b = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    b = b if without_id else b.where("i is not null")
     total = b.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = total // block_chars + 1
     for k in range(n):
@@ -183,8 +211,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     The test items are a stated query set. They reach the tasks in blocks of
     bounded size, and every block runs against all documents. Null and empty
-    texts match nothing, nor do items without id or of fewer than MIN_WORDS
-    words. Repeated documents get equal rows, equal items a row each. A span
+    texts match nothing, nor do items without id or of one short word (see
+    LONE_LETTERS). Repeated documents get equal rows, equal items a row each. A span
     is null where lower-casing changes the text's length.
     """
     sc, out = docs.sparkSession.sparkContext, None
@@ -196,10 +224,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-               item_text_col: str = "text", rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents in which no test item is found, with all their columns."""
+               item_text_col: str = "text", rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS,
+               without_id: bool = False) -> DataFrame:
+    """The documents in which no test item is found, with all their columns.
+    ``without_id`` searches the items without id too."""
     sc = docs.sparkSession.sparkContext
-    for items in blocks(benchmark, item_col, item_text_col, rate, block_chars):
+    for items in blocks(benchmark, item_col, item_text_col, rate, block_chars, without_id):
         def make(items=sc.broadcast(items)):
             run = _matcher(items)()
             return lambda texts: [not f for f in run(texts)["found"]]
