@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (decontaminate, importance, language, line_dedup, mixing, quality_rules, simhash, surrogates,
-               token_counts, token_files)
+from . import (decontaminate, importance, language, line_dedup, mixing, quality_rules, ranked_search, simhash,
+               surrogates, token_counts, token_files)
 from .common import configure, read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,29 @@ def op10_line_dedup(spark, sf_dir):
                         F.md5("text").alias("text_md5"))
 
 
+@register
+def op11_ranked_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = r"""
+with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+t as (select doc_id, word, count(*)::bigint as tf from (select doc_id, unnest(words) as word from d) x group by all),
+s as (select count(*)::bigint as nd, sum(len(words))::bigint as nt from d where len(words) > 0),
+m as (select doc_id, 25 + (75 * len(words)::bigint * nd) // nt as m from d, s where len(words) > 0),
+f as (select word, floor(1000 * ln((2 * any_value(nd) + 2)::double / (2 * count(*) + 1)))::bigint as w
+      from t, s group by word),
+q as (select item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as word from benchmark),
+r as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+      from q join t using (word) join f using (word) join m using (doc_id) group by all)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from r where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10"""
+
 ORACLES["op10_line_dedup"] = """
 with l as (select doc_id, source, n, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t
            from (select doc_id, source, unnest(string_split(text, chr(10))) as line,
