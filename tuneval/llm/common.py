@@ -64,6 +64,20 @@ def bytes_of(column) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def folded_words(text: bytes, fold: bytes, piece: int = 1 << 22) -> Iterator[list]:
+    """The words of a text after the byte table ``fold``, which turns all that
+    separates words into spaces; lists of about ``piece`` bytes, so that a very
+    long text is not one list."""
+    s, a = text.translate(fold), 0
+    while len(s) - a > piece:
+        b = s.find(b" ", a + piece)
+        if b < 0:
+            break
+        yield s[a:b].split()
+        a = b
+    yield s[a:].split()
+
+
 def record_batch(schema: T.StructType, columns: dict) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
     s = to_arrow_schema(schema)

@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (decontaminate, importance, language, line_dedup, mixing, quality_rules, ranked_search, simhash,
-               surrogates, token_counts, token_files)
+from . import (decontaminate, hard_negatives, importance, language, line_dedup, mixing, quality_rules, ranked_search,
+               recurrent_lm, simhash, surrogates, token_counts, token_files)
 from .common import configure, read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,38 @@ def op11_ranked_search(spark, sf_dir):
     return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@register
+def op12_lm_scores(spark, sf_dir):
+    """Unigram and recurrent log10 probability of every document."""
+    return recurrent_lm.score(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
+@register
+def op13_hard_negatives(spark, sf_dir):
+    """Three hard negatives for every anchor and positive."""
+    rows = read(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+with e as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+                  list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+           from embeddings
+           where vec_id is not null and label is not null and embedding is not null
+             and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+c as (select vec_id, label, unnest(v) as x, generate_subscripts(v, 1) as k from e),
+p as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, sum(a.x * b.x)::bigint as score
+      from c a join c b using (k) where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id group by all),
+q as (select anchor_id, id as positive_id, score as positive_score from p where same
+      qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select q.*, p.id as negative_id, p.score as negative_score,
+             row_number() over (partition by q.anchor_id, positive_id order by p.score desc, p.id)::int as rank
+      from q join p on p.anchor_id = q.anchor_id and not p.same
+                   and 50 * positive_score <= 100 * p.score and 100 * p.score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+
+
 ORACLES["op11_ranked_search"] = r"""
 with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),

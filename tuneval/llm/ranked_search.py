@@ -30,16 +30,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import bytes_of, discard, record_batch, scratch_path
+from .common import bytes_of, discard, folded_words, record_batch, scratch_path
 
 # Characters of item text per block, items and terms per dense tile.
 BLOCK_CHARS = 4_000_000
 TILE_ITEMS = 256
 TILE_TERMS = 2048
 
-# A text is split in pieces of about so many bytes, which bounds the list of words.
-PIECE = 1 << 22
-
 EXACT = 1 << 53
 MAX_IMPACT = 10**6          # 10^9 tf div (1000 tf + 8 m) is below it, as m >= 25
 
@@ -49,14 +46,7 @@ _FOLD = bytes(b if b >= 0x80 or b in _LETTERS else (b + 32 if 0x41 <= b <= 0x5A
 
 def terms(text: bytes) -> Iterator[list]:
     """The terms of a text, as lists of bounded length."""
-    s, a = text.translate(_FOLD), 0
-    while len(s) - a > PIECE:
-        b = s.find(b" ", a + PIECE)
-        if b < 0:
-            break
-        yield s[a:b].split()
-        a = b
-    yield s[a:].split()
+    return folded_words(text, _FOLD)
 
 
 class Block:
