@@ -19,10 +19,10 @@ import heapq
 import numpy as np
 
 HIDDEN = 16
-CLASSES = 48
-WINDOW = 16
+CLASSES = 32
+WINDOW = 32
 SLOTS = 256
-RATE = 0.05
+RATE = 0.15
 
 
 class Layout:
@@ -105,38 +105,39 @@ class Slots:
 
 
 class Model:
+    """Forward and backward steps. Within a step arrays are (features, slots),
+    so that every gate is one contiguous block."""
+
     def __init__(self, layout: Layout, flat: np.ndarray, hidden: int = HIDDEN):
         self.layout, self.hidden, self.p = layout, hidden, views(flat, layout, hidden)
 
     def states(self, inputs: np.ndarray, h: np.ndarray) -> dict:
-        """All states of a window, from the state ``h`` before it."""
+        """All states of a window, from the state ``h`` (features, slots) before it."""
         n, p = self.hidden, self.p
-        gates = p["table"][inputs]
+        steps, width = inputs.shape
+        gates = np.ascontiguousarray(p["table"][inputs].transpose(0, 2, 1))
         fresh = inputs == self.layout.words + 1
         some = fresh.any(axis=1)
-        steps, width = inputs.shape
-        before = np.empty((steps, width, n), dtype=gates.dtype)
-        after, pulled, zr = np.empty_like(before), np.empty_like(before), np.empty_like(gates[:, :, :2 * n])
-        new = np.empty_like(before)
+        before, after, pulled, new = (np.empty((steps, n, width), dtype=gates.dtype) for _ in range(4))
+        zr = np.empty((steps, 2 * n, width), dtype=gates.dtype)
+        pull = np.ascontiguousarray(p["u"].T)
         for t in range(steps):
-            if some[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
             before[t] = h
-            u = h @ p["u"]
-            a = zr[t]
-            np.add(gates[t, :, :2 * n], u[:, :2 * n], out=a)
+            if some[t]:
+                before[t][:, fresh[t]] = 0
+            u = pull @ before[t]
+            a, c, h = zr[t], new[t], after[t]
+            np.add(gates[t, :2 * n], u[:2 * n], out=a)
             a *= 0.5
             np.tanh(a, out=a)
             a += 1
             a *= 0.5
-            pulled[t] = u[:, 2 * n:]
-            c = new[t]
-            np.multiply(a[:, n:], pulled[t], out=c)
-            c += gates[t, :, 2 * n:]
+            pulled[t] = u[2 * n:]
+            np.multiply(a[n:], pulled[t], out=c)
+            c += gates[t, 2 * n:]
             np.tanh(c, out=c)
-            h = after[t]
             np.subtract(before[t], c, out=h)
-            h *= a[:, :n]
+            h *= a[:n]
             h += c
         return {"fresh": fresh, "some": some, "before": before, "after": after, "pulled": pulled, "zr": zr, "new": new}
 
@@ -145,43 +146,54 @@ class Model:
         ``h``); with ``grad`` also the gradient of their sum by the state, while
         the output parameters' gradients are added to ``grad``."""
         p, lay = self.p, self.layout
+        order = np.argsort(lay.of[target], kind="stable")
+        h, target = h[order], target[order]
         cls = lay.of[target]
-        logits = h @ p["class_w"]
-        logits += p["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        rows = np.arange(len(target))
-        out = logits[rows, cls] - np.log(total)
-        dh = None
+        ends = np.searchsorted(cls, np.arange(lay.classes + 1))
+
+        def picked(x, own):
+            """Log softmax of column j at own[j]; x becomes its gradient."""
+            j = np.arange(x.shape[1])
+            x -= x.max(axis=0)
+            log = x[own, j]
+            np.exp(x, out=x)
+            s = x.sum(axis=0)
+            log -= np.log(s)
+            if grad is not None:
+                x *= -1 / s
+                x[own, j] += 1
+            return log
+
+        x = p["class_w"].T @ h.T
+        x += p["class_b"][:, None]
+        log = picked(x, cls)
         if grad is not None:
-            e *= (-1 / total)[:, None]
-            e[rows, cls] += 1
-            grad["class_w"] += h.T @ e
-            grad["class_b"] += e.sum(axis=0)
-            dh = e @ p["class_w"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(lay.classes + 1))
+            grad["class_w"] += (x @ h).T
+            grad["class_b"] += x.sum(axis=1)
+            dh = x.T @ p["class_w"].T
         for c in range(lay.classes):
-            lo, hi = lay.bounds[c], lay.bounds[c + 1]
-            at = order[ends[c]:ends[c + 1]]
-            if hi - lo < 2 or not len(at):
+            lo, hi, a, b = lay.bounds[c], lay.bounds[c + 1], ends[c], ends[c + 1]
+            if hi - lo < 2 or a == b:
                 continue
-            hc = h[at]
-            x = hc @ p["word_w"][:, lo:hi]
-            x += p["word_b"][lo:hi]
-            x -= x.max(axis=1, keepdims=True)
-            y = np.exp(x)
-            s = y.sum(axis=1)
-            k, own = np.arange(len(at)), target[at] - lo
-            out[at] += x[k, own] - np.log(s)
+            w = p["word_w"][:, lo:hi]
+            x = w.T @ h[a:b].T
+            x += p["word_b"][lo:hi, None]
+            log[a:b] += picked(x, target[a:b] - lo)
             if grad is not None:
-                y *= (-1 / s)[:, None]
-                y[k, own] += 1
-                grad["word_w"][:, lo:hi] += hc.T @ y
-                grad["word_b"][lo:hi] += y.sum(axis=0)
-                dh[at] += y @ p["word_w"][:, lo:hi].T
-        return out, dh
+                grad["word_w"][:, lo:hi] += (x @ h[a:b]).T
+                grad["word_b"][lo:hi] += x.sum(axis=1)
+                dh[a:b] += x.T @ w.T
+        out = np.empty_like(log)
+        out[order] = log
+        if grad is None:
+            return out, None
+        dout = np.empty_like(dh)
+        dout[order] = dh
+        return out, dout
+
+    def rows(self, states: np.ndarray) -> np.ndarray:
+        """(steps, features, slots) as a row per step and slot."""
+        return np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, states.shape[1])
 
     def gradient(self, inputs, target, live, h) -> tuple:
         """Sum of log probabilities of a window, its gradients (``table`` as
@@ -190,39 +202,36 @@ class Model:
         n, p = self.hidden, self.p
         s = self.states(inputs, h)
         grad = {k: np.zeros_like(p[k]) for k in ("u", "class_w", "class_b", "word_w", "word_b")}
-        flat = s["after"].reshape(-1, n)
-        on = live.ravel()
-        dout = np.zeros_like(flat)
+        flat, on = self.rows(s["after"]), live.ravel()
         if on.all():
             log, dout = self.logs(flat, target.ravel(), grad)
         else:
+            dout = np.zeros_like(flat)
             log, dout[on] = self.logs(flat[on], target.ravel()[on], grad)
-        dout = dout.reshape(s["after"].shape)
-        dgates = np.empty((*inputs.shape, 3 * n), dtype=flat.dtype)
-        dpull = np.empty_like(dgates)
-        dh = np.zeros_like(s["after"][0])
-        ut = p["u"].T
+        dout = np.ascontiguousarray(dout.reshape(*inputs.shape, n).transpose(0, 2, 1))
+        dgates = np.empty((len(inputs), 3 * n, inputs.shape[1]), dtype=flat.dtype)
+        dh = np.zeros_like(dout[0])
+        z, r = s["zr"][:, :n], s["zr"][:, n:]
+        into_z, into_r = (s["before"] - s["new"]) * (z * (1 - z)), s["pulled"] * (r * (1 - r))
+        into_new = (1 - z) * (1 - s["new"] * s["new"])
+        d = np.empty_like(dgates[0])
         for t in range(len(inputs) - 1, -1, -1):
-            z, r = s["zr"][t, :, :n], s["zr"][t, :, n:]
-            new, before = s["new"][t], s["before"][t]
             dh += dout[t]
-            dnew = dh * (1 - z)
-            dnew *= 1 - new * new
             g = dgates[t]
-            g[:, :n] = dh * (before - new) * (z * (1 - z))
-            g[:, n:2 * n] = dnew * s["pulled"][t] * (r * (1 - r))
-            g[:, 2 * n:] = dnew
-            d = dpull[t]
-            d[:, :2 * n] = g[:, :2 * n]
-            d[:, 2 * n:] = dnew * r
-            dh = dh * z + d @ ut
+            np.multiply(dh, into_z[t], out=g[:n])
+            np.multiply(dh, into_new[t], out=g[2 * n:])
+            np.multiply(g[2 * n:], into_r[t], out=g[n:2 * n])
+            d[:2 * n] = g[:2 * n]
+            np.multiply(g[2 * n:], r[t], out=d[2 * n:])
+            grad["u"] += s["before"][t] @ d.T
+            dh *= z[t]
+            dh += p["u"] @ d
             if s["some"][t]:
-                dh[s["fresh"][t]] = 0
-        grad["u"] = s["before"].reshape(-1, n).T @ dpull.reshape(-1, 3 * n)
+                dh[:, s["fresh"][t]] = 0
         tokens = inputs.ravel()
         order = np.argsort(tokens, kind="stable")
         rows, starts = np.unique(tokens[order], return_index=True)
-        grad["table"] = (rows, np.add.reduceat(dgates.reshape(-1, 3 * n)[order], starts, axis=0))
+        grad["table"] = (rows, np.add.reduceat(self.rows(dgates)[order], starts, axis=0))
         return log.sum(), grad, s["after"][-1]
 
 
@@ -232,10 +241,10 @@ def train(layout: Layout, flat: np.ndarray, seen: np.ndarray, docs: list, hidden
     ``seen`` holds the sums of squared gradients. Returns the tokens used."""
     model, sums = Model(layout, flat, hidden), views(seen, layout, hidden)
     laid = Slots(docs, layout.words, slots)
-    h, n = np.zeros((len(laid.loads), hidden), dtype=np.float32), 0
+    h, n = np.zeros((hidden, len(laid.loads)), dtype=np.float32), 0
     for inputs, target, doc in laid.windows(window):
         live = doc >= 0
-        _, grad, h = model.gradient(inputs, target, live, h[:inputs.shape[1]])
+        _, grad, h = model.gradient(inputs, target, live, h[:, :inputs.shape[1]])
         n += int(live.sum())
         for name, g in grad.items():
             p, s = model.p[name], sums[name]
@@ -250,15 +259,15 @@ def train(layout: Layout, flat: np.ndarray, seen: np.ndarray, docs: list, hidden
 
 
 def log_likelihoods(layout: Layout, flat: np.ndarray, docs: list, hidden: int = HIDDEN, slots: int = SLOTS,
-                    window: int = 4 * WINDOW) -> np.ndarray:
+                    window: int = 2 * WINDOW) -> np.ndarray:
     """Natural log probability of each whole document, the state carried from
     window to window."""
     model, laid = Model(layout, flat, hidden), Slots(docs, layout.words, slots)
     out = np.zeros(len(docs))
-    h = np.zeros((len(laid.loads), hidden), dtype=np.float32)
+    h = np.zeros((hidden, len(laid.loads)), dtype=np.float32)
     for inputs, target, doc in laid.windows(window):
-        s = model.states(inputs, h[:inputs.shape[1]])
+        s = model.states(inputs, h[:, :inputs.shape[1]])
         h, on = s["after"][-1], doc.ravel() >= 0
-        log, _ = model.logs(s["after"].reshape(-1, hidden)[on], target.ravel()[on])
+        log, _ = model.logs(model.rows(s["after"])[on], target.ravel()[on])
         out += np.bincount(doc.ravel()[on], weights=log, minlength=len(docs))
     return out

@@ -37,7 +37,7 @@ ROUNDS = 6
 
 HELD_WORDS = 500_000        # words and bytes that a task counts before it hands counts on
 HELD_BYTES = 64 << 20
-HELD_TOKENS = 1 << 20       # tokens that are laid out in slots at once
+HELD_TOKENS = 1 << 22       # tokens that are laid out in slots at once
 PIECE = 1 << 16             # parameters in a row on their way to the average
 
 END = b""                   # the token behind a text: no word is empty
@@ -137,7 +137,7 @@ PIECES = "piece int, salt int, tokens double, numbers binary"
 def trained(docs: DataFrame, layout, start: np.ndarray, seen: np.ndarray, hidden: int, rate: float) -> tuple:
     """One round: every task trains on its documents, the results are averaged
     by the tokens behind them."""
-    sc = docs.sparkSession.sparkContext
+    sc, schema = docs.sparkSession.sparkContext, T._parse_datatype_string(PIECES)
     common = sc.broadcast((layout, start, seen))
 
     def run(batches):
@@ -147,7 +147,7 @@ def trained(docs: DataFrame, layout, start: np.ndarray, seen: np.ndarray, hidden
             n += gru.train(lay, flat, sums, texts, hidden, rate)
         both, part = np.concatenate([flat, sums]), TaskContext.get().partitionId()
         at = range(0, len(both) if n else 0, PIECE)
-        yield record_batch(T._parse_datatype_string(PIECES), {
+        yield record_batch(schema, {
             "piece": [a // PIECE for a in at], "salt": [part // 64 for _ in at], "tokens": [float(n) for _ in at],
             "numbers": [both[a:a + PIECE].tobytes() for a in at]})
 
@@ -159,8 +159,7 @@ def trained(docs: DataFrame, layout, start: np.ndarray, seen: np.ndarray, hidden
         return pa.table({"piece": t.column("piece")[:1], "salt": pa.array([0], pa.int32()), "tokens": [w.sum()],
                          "numbers": [(total / w.sum()).astype(np.float32).tobytes()]})
 
-    workers = docs.sparkSession.sparkContext.defaultParallelism
-    rows = docs.select("ids").coalesce(workers).mapInArrow(run, PIECES)
+    rows = docs.select("ids").coalesce(sc.defaultParallelism).mapInArrow(run, PIECES)
     rows = rows.groupBy("piece", "salt").applyInArrow(mean, PIECES).groupBy("piece").applyInArrow(mean, PIECES)
     got = sorted(rows.select("piece", "numbers").collect())
     common.destroy()
