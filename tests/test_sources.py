@@ -61,19 +61,99 @@ def test_logs_of_one_folder_stay_apart_and_grow(spark):
 
     def rows(df):
         return sorted((os.path.basename(r.log), r.loss, r.epoch, r.lines) for r in df.collect())
+
+    def stream():
+        q, out = streams.training_log_monitor(spark, d, state_path=f"{d}-state", out_path=f"{d}-out", range_bytes=40)
+        q.awaitTermination()
+        return rows(streams.changed_results(spark, out, ["log"]))
     want = [("a.err", 1.75, 1.0, 3), ("b.err", 9.5, 6.0, 2)]
-    assert rows(streams.poll_training_logs(spark, d)) == want
-    q, out = streams.training_log_monitor(spark, d, state_path=f"{d}-state", out_path=f"{d}-out")
-    q.awaitTermination()
-    assert rows(streams.latest_result(spark, out)) == want
-    with open(f"{d}/a.err", "a") as f:
-        f.write("{'loss': '0.5', 'epoch': '2.0'}\n")
-    assert rows(streams.poll_training_logs(spark, d))[0] == ("a.err", 0.5, 2.0, 4)
-    with open(f"{d}/c.err", "w") as f:      # a further segment reaches the stream
+    assert rows(streams.poll_training_logs(spark, d)) == stream() == want
+    with open(f"{d}/a.err", "a") as f:      # a line, and half of one
+        f.write("{'loss': '0.5', 'epoch': '2.0'}\n{'loss': '0.2")
+    assert stream() == [("a.err", 0.5, 2.0, 4), want[1]]
+    with open(f"{d}/c.err", "w") as f:      # a further log, and the line's other half
         f.write("{'loss': '3.0', 'epoch': '1.0'}\n")
-    q, _ = streams.training_log_monitor(spark, d, state_path=f"{d}-state", out_path=f"{d}-out")
-    q.awaitTermination()
-    assert rows(streams.latest_result(spark, out)) == [*want, ("c.err", 3.0, 1.0, 1)]
+    with open(f"{d}/a.err", "a") as f:
+        f.write("5'}\n")
+    last = [("a.err", 0.25, 2.0, 5), want[1], ("c.err", 3.0, 1.0, 1)]
+    assert stream() == last == rows(streams.poll_training_logs(spark, d))
+    assert len(os.listdir(f"{d}-out")) >= 3      # each run published what it changed
+
+
+def test_log_ranges_agree(spark):
+    """However a log is split, its lines keep their order."""
+    d = tempfile.mkdtemp()
+    with open(f"{d}/a.err", "w") as f:
+        f.writelines(f"{{'loss': '{k}.5', 'epoch': '{k}'}}{'x' * (k % 50)}\n" for k in range(2000))
+    for size in ("128m", "9000", "500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = streams.poll_training_logs(spark, d).collect()
+        assert [(r.loss, r.epoch, r.lines) for r in got] == [(1999.5, 1999.0, 2000)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _text(rng):
+    return "".join(rng.choice('ab{}[],:"\\ \n\té€') for _ in range(rng.randrange(30)))
+
+
+def test_json_arrays_in_byte_ranges(spark):
+    """1, few and many byte ranges give the same elements in the same places."""
+    import random
+    from tuneval.sources import json_ranges as JR
+    rng, d, e = random.Random(3), tempfile.mkdtemp(), tempfile.mkdtemp()
+    recs = [{"instruction": _text(rng), "input": _text(rng), "output": json.dumps({"a": [1, {"b": _text(rng)}]})}
+            for _ in range(300)]
+    want = [(i, r["instruction"], r["input"], r["output"]) for i, r in enumerate(recs)]
+    for name, opts in (("a", {"indent": 2}), ("b", {"ensure_ascii": False})):
+        with open(f"{d}/{name}.json", "w") as f:
+            json.dump(recs, f, **opts)
+    with open(f"{d}/empty.json", "w") as f:
+        f.write(" [ ] ")
+    with open(f"{e}/box.json", "w") as f:
+        json.dump({"x\"y": recs[:90], "none": [], "z": recs[90:]}, f, indent=1)
+    schema, ranges = "struct<instruction:string,input:string,output:string>", []
+    for size in ("128m", "15000", "1500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        ranges.append(JR.summaries(JR.read_pieces(spark, d)).count())
+        got = JR.read_array(spark, d, schema).select("source_file", "position", "r.*").collect()
+        for name in "ab":
+            assert sorted(tuple(r)[1:] for r in got if r.source_file.endswith(f"/{name}.json")) == want
+        assert len(got) == 600
+        box = JR.read_container(spark, e, schema).select("key", "position", "r.instruction").collect()
+        assert sorted(map(tuple, box)) == sorted([('x"y', i, r["instruction"]) for i, r in enumerate(recs[:90])]
+                                                 + [("z", i, r["instruction"]) for i, r in enumerate(recs[90:])])
+    for c in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+        spark.conf.unset(f"spark.sql.files.{c}")
+    assert ranges[0] == 3 and 7 < ranges[1] < 40 and ranges[2] > 64
+
+
+def test_broken_json_files_are_errors(spark):
+    import pytest
+    good = json.dumps([{"instruction": "i}", "input": "", "output": "o"}] * 9, indent=1)
+    row = '{"instruction": "i"}'
+    broken = {"truncated": good[:len(good) // 2], "empty": "", "no end": good[:-1], "two ends": good + "]",
+              "object": row, "trailing comma": f"[{row},]", "no comma": f"[{row} {row}]", "wrong end": f"[{row}}}",
+              "no objects": "[1, 2]", "text behind": f"[{row}] x", "open string": good[:60] + '"' + good[60:]}
+    for name, text in broken.items():
+        path = f"{tempfile.mkdtemp()}/t.json"
+        with open(path, "w") as f:
+            f.write(text)
+        for read in (files.read_instruction_array, files.read_suite_container):
+            with pytest.raises(Exception, match=r"t\.json: .* at byte \d+"):
+                read(spark, path).count()
+    with open(path, "w") as f:
+        f.write(good)
+    assert files.read_instruction_array(spark, path).count() == 9
+    with pytest.raises(Exception, match="not one object of arrays at byte"):
+        files.read_suite_container(spark, path).count()
+    for read in (files.read_run_metadata, files.read_trainer_state):
+        for text in ('{"epochs": 1', ""):
+            with open(path, "w") as f:
+                f.write(text)
+            with pytest.raises(Exception, match="t.json"):
+                read(spark, path).collect()
 
 
 def test_tokens_left_pad_and_prefix_property(spark):

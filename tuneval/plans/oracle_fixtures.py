@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..schemas import COMPARISONS, DIMENSIONS
 from ..sources.fixtures import (CHECKPOINT_BIAS, CHECKPOINT_PCT, JSON_SUITE, ODD_SCORES, OPEN_SUITE,
-                                WINNER_LABELS)
+                                TURNS, WINNER_LABELS)
 
 
 def H(s: str) -> str:
@@ -22,8 +22,8 @@ def _values(pairs, names):
     return f"(values {rows}) v({', '.join(names)})"
 
 
-INSTRUCT = """instruct as (
-  select conv_id, turn, conv_id*1000+turn as prompt_id,
+INSTRUCT = f"""instruct as (
+  select conv_id, turn, conv_id*{TURNS}+turn as prompt_id,
          text as instruction, coalesce(sys,'') as input, nxt as output
   from (select c.*, lead(role) over w as nrole, lead(text) over w as nxt,
                max(case when role='system' then text end)

@@ -7,7 +7,7 @@ the number of files grows with the tables and a file stays small.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import jsonfn as J
 from ..operators import ablation, jsonq, normalize, render, reports
@@ -33,45 +33,86 @@ def bucket_of(c="source_file"):
     return F.regexp_extract(c, "bucket=([^/]+)/", 1).alias("bucket")
 
 
+SPAN = 4096     # turns of a conversation in a file
+
+
 def _bucket(c="prompt_id"):
-    return F.floor(F.col(c) / (1000 * BUCKET)).cast("long")
+    """A file's prompts: those of BUCKET conversations within SPAN turns."""
+    return F.concat_ws("-", F.expr(f"{c} div {fx.TURNS * BUCKET}"), F.expr(f"{c} % {fx.TURNS} div {SPAN}"))
+
+
+D_BUCKET = f"concat(prompt_id // {fx.TURNS * BUCKET}, '-', prompt_id % {fx.TURNS} // {SPAN})"
+
+
+def write_array_files(rows, names, path):
+    """Write rows (bucket, name, pos, value) as JSON files, one per bucket: an
+    object of the arrays ``names``, or one array if there is one name, None.
+
+    A file's lines are sorted and streamed out; no array is gathered in a row.
+    """
+    rows = rows.select("bucket", F.coalesce("name", F.lit("")).alias("name"), "pos", "value")
+    keys = [n or "" for n in names]
+    opens = ["[" if n is None else (", " if k else "{") + f'"{n}": [' for k, n in enumerate(names)]
+    at = F.array_position(F.array(*map(F.lit, keys)), F.col("name")).cast("int")
+    nth = F.row_number().over(Window.partitionBy("bucket", "name").orderBy("pos"))
+    lines = rows.select("bucket", (2 * at).alias("ord"), "pos",
+                        F.concat(F.when(nth == 1, "").otherwise(","), "value").alias("value"))
+    marks = [(2 * k + 1, ("]" if k else "") + o) for k, o in enumerate(opens)]
+    marks.append((2 * len(names) + 1, "]" if names[0] is None else "]}"))
+    around = rows.select("bucket").distinct().select("bucket", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("ord"), F.lit(0).cast("long").alias("pos"), F.lit(v).alias("value"))
+        for k, v in marks])).alias("m")).select("bucket", "m.*")
+    (lines.unionByName(around).repartition("bucket").sortWithinPartitions("bucket", "ord", "pos")
+     .select("bucket", "value").write.partitionBy("bucket").text(path))
+    return path
+
+
+@register("instruct_array_roundtrip", with_fixtures(["instruct"]) + f"""
+select bucket, row_number() over (partition by bucket order by prompt_id) - 1 as prompt_id, instruction, input, output
+from (select *, {D_BUCKET} as bucket from instruct) x""")
+def instruct_array_roundtrip(spark, sf_dir):
+    """A1, array form: instruction sets as JSON arrays, read back in byte ranges
+    with the position as the prompt's number."""
+    rows = fx.instruct(spark, sf_dir).select(
+        _bucket().alias("bucket"), F.lit(None).cast("string").alias("name"), F.col("prompt_id").alias("pos"),
+        F.to_json(F.struct("instruction", "input", "output")).alias("value"))
+    path = write_array_files(rows, [None], scratch_path(spark, "arrays"))
+    d = files.read_instruction_array(spark, path, files.S.INSTRUCTION)
+    return d.select(bucket_of(), "prompt_id", "instruction", "input", "output")
 
 
 @register("suite_containers", with_fixtures(["responses"]) + f"""
-select cast(bucket as varchar) as bucket, i.suite, pos as prompt_id, r.checkpoint, r.response
-from (select prompt_id, prompt_id // {1000 * BUCKET} as bucket, case when input = '' then 'alpaca' else 'json' end as suite,
-             row_number() over (partition by prompt_id // {1000 * BUCKET}, input = '' order by prompt_id) - 1 as pos
-      from instruct) i join responses r using (prompt_id)""")
+select bucket, i.suite, pos as prompt_id, r.checkpoint, r.response
+from (select prompt_id, bucket, case when input = '' then 'alpaca' else 'json' end as suite,
+             row_number() over (partition by bucket, input = '' order by prompt_id) - 1 as pos
+      from (select *, {D_BUCKET} as bucket from instruct) x) i join responses r using (prompt_id)""")
 def suite_containers(spark, sf_dir):
     """A3: containers of two suites, written one per bucket and read back as long rows."""
     inst = fx.instruct(spark, sf_dir)
     wide = fx.responses(spark, sf_dir, inst).groupBy("prompt_id").pivot(
         "checkpoint", ["cp0", "cp1", "cp2"]).agg(F.max("response"))
-    row = F.struct("prompt_id", F.struct(
+    row = F.to_json(F.struct(
         "instruction", "input", F.col("output").alias("expected_output"), F.col("cp0").alias("baseline_response"),
-        F.col("cp1").alias("phase1_alpaca_response"), F.col("cp2").alias("phase2_json_response")).alias("r"))
-
-    def suite(cond, name):
-        return F.transform(F.array_sort(F.collect_list(F.when(cond, row))), lambda x: x["r"]).alias(name)
-    boxes = (inst.join(wide, "prompt_id", "left").groupBy(_bucket().alias("b"))
-             .agg(suite(F.col("input") == "", "alpaca"), suite(F.col("input") != "", "json")))
-    path = one_file_each(boxes, "b", F.to_json(F.struct("alpaca", "json")), scratch_path(spark, "suites"))
+        F.col("cp1").alias("phase1_alpaca_response"), F.col("cp2").alias("phase2_json_response")))
+    rows = inst.join(wide, "prompt_id", "left").select(
+        _bucket().alias("bucket"), F.when(F.col("input") == "", "alpaca").otherwise("json").alias("name"),
+        F.col("prompt_id").alias("pos"), row.alias("value"))
+    path = write_array_files(rows, list(files.S.SUITES), scratch_path(spark, "suites"))
     long = files.wide_to_long(files.read_suite_container(spark, path), keys=("source_file", "suite", "prompt_id"))
     return long.select(bucket_of(), "suite", "prompt_id", "checkpoint", "response")
 
 
 @register("model_containers", with_fixtures(["responses"]) + f"""
-select cast(prompt_id // {1000 * BUCKET} as varchar) as bucket, checkpoint, cast(prompt_id as int) as prompt_idx, response
-from responses""")
+select {D_BUCKET} as bucket, checkpoint, prompt_id as prompt_idx, response from responses""")
 def model_containers(spark, sf_dir):
     """A4: containers keyed by model, written one per bucket and read back as long rows."""
-    r = fx.responses(spark, sf_dir)
-    name = F.create_map(*[F.lit(x) for x in ("cp0", "baseline", "cp1", "stage1_alpaca", "cp2", "stage2_json")])
-    per_model = r.groupBy(_bucket().alias("b"), "checkpoint").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("prompt_id").cast("int").alias("prompt_idx"), F.lit("").alias("instruction"), "response"))).alias("rs"))
-    boxes = per_model.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.element_at(name, F.col("checkpoint")).alias("k"), "rs"))).alias("m"))
-    path = one_file_each(boxes, "b", F.to_json("m"), scratch_path(spark, "models"))
+    models = {"cp0": "baseline", "cp1": "stage1_alpaca", "cp2": "stage2_json"}
+    name = F.create_map(*[F.lit(x) for kv in models.items() for x in kv])
+    rows = fx.responses(spark, sf_dir).select(
+        _bucket().alias("bucket"), F.element_at(name, F.col("checkpoint")).alias("name"), F.col("prompt_id").alias("pos"),
+        F.to_json(F.struct(F.col("prompt_id").alias("prompt_idx"), F.lit("").alias("instruction"), "response"))
+        .alias("value"))
+    path = write_array_files(rows, list(models.values()), scratch_path(spark, "models"))
     return files.read_model_container(spark, path).select(bucket_of(), "checkpoint", "prompt_idx", "response")
 
 

@@ -66,10 +66,11 @@ def training_log_last(spark, sf_dir):
 
 @register("training_log_stream", D_LOGS)
 def training_log_stream(spark, sf_dir):
-    """L1: the log monitor as a file-source stream (AvailableNow), published by foreachBatch."""
+    """L1: the log monitor as a stream over growing logs (AvailableNow), changed logs
+    published by foreachBatch."""
     q, out = streams.training_log_monitor(spark, write_logs(spark, sf_dir), available_now=True)
     q.awaitTermination()
-    return _run_name(streams.latest_result(spark, out))
+    return _run_name(streams.changed_results(spark, out, ["log"]))
 
 
 @register("verdict_stream_win_rates", with_fixtures(["verdicts"], D_VERDICTS) + D_WINS.format(src="vn"))

@@ -23,13 +23,12 @@ TEMPLATE = T.StructType([T.StructField("task_type", STR), T.StructField("instruc
 WIDE_RESPONSE = T.StructType([T.StructField(c, STR) for c in (
     "instruction", "input", "expected_output", "baseline_response", "phase1_alpaca_response",
     "phase2_json_response")])
-# M8: suite container
-SUITE_CONTAINER = T.StructType([T.StructField("alpaca", T.ArrayType(WIDE_RESPONSE)),
-                                T.StructField("json", T.ArrayType(WIDE_RESPONSE))])
-# M9: model-keyed container
-MODEL_RESPONSE = T.StructType([T.StructField("prompt_idx", T.IntegerType()),
+# M8: suite container, an object of arrays of wide rows.
+# The names of its arrays.
+SUITES = ("alpaca", "json")
+# M9: model-keyed container, an object of arrays of these
+MODEL_RESPONSE = T.StructType([T.StructField("prompt_idx", T.LongType()),
                                T.StructField("instruction", STR), T.StructField("response", STR)])
-MODEL_CONTAINER = T.MapType(STR, T.ArrayType(MODEL_RESPONSE))
 # Run metadata
 RUN_METADATA = T.StructType([
     T.StructField("epochs", T.IntegerType()), T.StructField("learning_rate", T.DoubleType()),

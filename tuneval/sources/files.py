@@ -1,10 +1,11 @@
 """File sources and sinks (A1-A10).
 
-JSON *arrays* (the reference's on-disk form) carry identity by position, so
-they are read as whole text and ``posexplode``d: the position becomes the
-explicit ``prompt_id``. Such a file is one task by nature (like any
-multi-line JSON); convert to JSON lines or Parquet at ingest for large data.
-JSON lines and Parquet are splittable and read with declared schemas.
+JSON *arrays* and objects of arrays carry identity by position: the position
+becomes the explicit ``prompt_id``. They are read in byte ranges
+(``json_ranges``), so a large file is many tasks, and a truncated, malformed or
+empty one is an error that names file and byte. JSON lines and Parquet are
+splittable and read with declared schemas; lines and small JSON files that do
+not parse are errors too (``FAILFAST``). Logs are read line by line.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
+from . import json_ranges
 
 # Checkpoint names used across the reference's files -> ours.
 CHECKPOINT_ALIASES = {
@@ -27,22 +29,15 @@ def checkpoint_name(c) -> F.Column:
     return F.coalesce(F.element_at(m, c), c)
 
 
-def _array_file(spark: SparkSession, path: str, elem_schema) -> DataFrame:
-    txt = spark.read.text(path, wholetext=True) \
-        .select("value", F.col("_metadata.file_path").alias("source_file"))
-    return txt.select("source_file", F.posexplode(
-        F.from_json("value", f"array<{elem_schema.simpleString()}>")).alias("prompt_id", "r"))
-
-
 def read_instruction_array(spark: SparkSession, path: str, schema=S.EVAL_RECORD) -> DataFrame:
     """A1 (JSON array form): one row per element, ``prompt_id`` = position."""
-    d = _array_file(spark, path, schema)
-    return d.select("source_file", F.col("prompt_id").cast("bigint"), "r.*")
+    d = json_ranges.read_array(spark, path, schema)
+    return d.select("source_file", F.col("position").alias("prompt_id"), "r.*")
 
 
 def read_instruction_lines(spark: SparkSession, path: str, schema=S.EVAL_RECORD) -> DataFrame:
     """A1 / A9 (JSON lines form, splittable), declared schema."""
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -55,17 +50,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def read_suite_container(spark: SparkSession, path: str) -> DataFrame:
-    """A3: ``{"alpaca": [...], "json": [...]}`` -> rows with ``suite`` and position."""
-    txt = spark.read.text(path, wholetext=True)
-    c = txt.select(F.col("_metadata.file_path").alias("source_file"),
-                   F.from_json("value", S.SUITE_CONTAINER).alias("c"))
-    out = None
-    for suite in ("alpaca", "json"):
-        part = c.select("source_file", F.lit(suite).alias("suite"),
-                        F.posexplode(f"c.{suite}").alias("prompt_id", "r")) \
-                .select("source_file", "suite", F.col("prompt_id").cast("bigint"), "r.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """A3: ``{"alpaca": [...], "json": [...]}`` -> rows with ``suite`` and position.
+
+    Arrays under other names are not suites and left out.
+    """
+    d = json_ranges.read_container(spark, path, S.WIDE_RESPONSE)
+    return (d.where(F.col("key").isin(*S.SUITES))
+            .select("source_file", F.col("key").alias("suite"), F.col("position").alias("prompt_id"), "r.*"))
 
 
 def wide_to_long(wide: DataFrame, keys=("suite", "prompt_id")) -> DataFrame:
@@ -85,24 +76,28 @@ def read_model_container(spark: SparkSession, path: str) -> DataFrame:
     The sink side writes these long rows (``write_table``), not one object
     per model, which would gather a checkpoint's responses into one row.
     """
-    txt = spark.read.text(path, wholetext=True)
-    m = txt.select(F.col("_metadata.file_path").alias("source_file"),
-                   F.explode(F.from_json("value", S.MODEL_CONTAINER)).alias("model", "rs"))
-    r = m.select("source_file", "model", F.explode("rs").alias("r")).select("source_file", "model", "r.*")
+    r = json_ranges.read_container(spark, path, S.MODEL_RESPONSE).select(
+        "source_file", F.col("key").alias("model"), "r.*")
     return r.withColumn("checkpoint", checkpoint_name(F.col("model")))
 
 
+def _json_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Small JSON files, a value each; one that is empty or does not parse is an error."""
+    d = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    d = d.withColumn("source_file", F.col("_metadata.file_path"))
+    json_ranges.no_empty_file(d.inputFiles(), d.select("source_file").distinct().collect())
+    return d
+
+
 def read_run_metadata(spark: SparkSession, glob: str) -> DataFrame:
     """A5: per-run metadata JSON files (glob) with their file path."""
-    return spark.read.schema(S.RUN_METADATA).option("multiLine", True).json(glob) \
-        .withColumn("source_file", F.col("_metadata.file_path"))
+    return _json_files(spark, glob, S.RUN_METADATA)
 
 
 def read_trainer_state(spark: SparkSession, path: str) -> DataFrame:
     """One row per logged step of ``log_history``."""
-    st = spark.read.schema(S.TRAINER_STATE).option("multiLine", True).json(path)
-    return st.select(F.col("_metadata.file_path").alias("source_file"),
-                     F.explode("log_history").alias("h")).select("source_file", "h.*")
+    st = _json_files(spark, path, S.TRAINER_STATE)
+    return st.select("source_file", F.explode("log_history").alias("h")).select("source_file", "h.*")
 
 
 # How a training log line spells the loss and epoch.
@@ -128,23 +123,18 @@ def latest_log_values(parsed: DataFrame, by=("log",)) -> DataFrame:
         F.count(F.lit(1)).alias("lines")))
 
 
-def log_lines(files: DataFrame) -> DataFrame:
-    """Whole text files -> (log, line, value): ``log`` is the file's path,
-    ``line`` the line's place in it."""
-    return files.select(F.col("_metadata.file_path").alias("log"),
-                        F.posexplode(F.split("value", "\n")).alias("line", "value"))
-
-
 def read_training_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of every log file under ``path``, numbered.
+    """(log, line, value) of every log file under ``path``.
 
-    Every file is a log of its own, also where many lie in one folder. A log
-    is read as one value, since text lines carry no order otherwise: files
-    are spread over the tasks, and one log is at most 2 GB.
+    Every file is a log of its own, also where many lie in one folder. A log of
+    any size is read in byte ranges: ``line`` orders its lines by the range they
+    stand in and their place there; it is no running number.
     """
-    return log_lines(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("_metadata.file_path").alias("log"), place.alias("line"), "value")
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """Task templates (a JSON array); small, callers broadcast it."""
+    """Task templates (a JSON array)."""
     return read_instruction_array(spark, path, S.TEMPLATE).drop("source_file", "prompt_id")

@@ -25,6 +25,8 @@ CHECKPOINT_BIAS = (("cp0", 0), ("cp1", 20), ("cp2", 60))
 WINNER_LABELS = ("A", "B", "TIE", "tie")
 # Odd scores the stand-in judge writes now and then (as JSON).
 ODD_SCORES = ('"abc"', "null", '"4"', "4.7", "true", "[2]")
+# Turns that a conversation may have: a prompt is numbered conv_id * TURNS + turn.
+TURNS = 1_000_000
 OPEN_SUITE = "open"
 JSON_SUITE = "json"
 
@@ -49,7 +51,7 @@ def instruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = (nxt.where((F.col("role") == "user") & (F.col("role_next") == "assistant"))
             .join(sys_, "conv_id", "left"))
     return q.select("conv_id", "turn",
-                    (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"),
+                    (F.col("conv_id") * TURNS + F.col("turn")).alias("prompt_id"),
                     F.col("text").alias("instruction"),
                     F.coalesce(F.col("sys"), F.lit("")).alias("input"),
                     F.col("text_next").alias("output"))

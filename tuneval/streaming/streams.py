@@ -10,21 +10,21 @@ pass the same ``state_path`` and ``out_path`` again. ``available_now=True``
 processes what is there and stops (tests, scheduled runs); otherwise
 ``interval`` sets a trigger.
 
-Contract of the input folders: a file source reads each file once. Logs are
-followed as rotated segments, files that are complete when they appear; for
-logs that grow in place, ``poll_training_logs`` scans the folder anew.
+Contract of the input folders: verdicts come as files that are complete when
+they appear; logs may grow in place (``sources.log_tail`` keeps the bytes read
+of each). ``poll_training_logs`` scans a folder of logs once, without state.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..operators import verdicts as V
 from ..session import checkpoint_dir
-from ..sources import files
+from ..sources import files, log_tail
 
 
 def _paths(spark: SparkSession, name: str, state_path=None, out_path=None):
@@ -59,23 +59,34 @@ def late_rows(query) -> int:
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
+def changed_results(spark: SparkSession, out_path: str, keys) -> DataFrame:
+    """The result of a stream that publishes changed rows only: for every key
+    the row of the last micro-batch that published it."""
+    d = spark.read.parquet(out_path)
+    rest = [c for c in d.columns if c not in (*keys, "batch_id")]
+    last = d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r"))
+    return last.select(*keys, "r.*")
+
+
 def training_log_monitor(spark: SparkSession, log_dir: str, available_now: bool = True,
                          interval: str = "60 seconds", state_path: str | None = None,
-                         out_path: str | None = None):
-    """L1: latest loss and epoch per log file as segments arrive.
+                         out_path: str | None = None, range_bytes: int = log_tail.RANGE_BYTES):
+    """L1: latest loss and epoch per log file, as the logs grow and new ones appear.
 
-    Returns ``(query, result_path)``; the result table holds one row per log.
+    Every line is read once (``sources.log_tail``); the last values per log are
+    state of the query, and a micro-batch publishes the logs it changed. Returns
+    ``(query, result_path)``; ``changed_results(spark, result_path, ["log"])``
+    holds one row per log.
     """
     state, out = _paths(spark, "training-log", state_path, out_path)
-    segments = (spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())]))
-                     .option("recursiveFileLookup", "true").option("wholetext", "true").text(log_dir))
-    agg = files.latest_log_values(files.parse_log_lines(files.log_lines(segments)))
-    q = _run(agg, out, state, "complete", available_now, interval)
+    lines = log_tail.appended_lines(spark, log_dir, range_bytes)
+    agg = files.latest_log_values(files.parse_log_lines(lines))
+    q = _run(agg, out, state, "update", available_now, interval)
     return q, out
 
 
 def poll_training_logs(spark: SparkSession, log_dir: str) -> DataFrame:
-    """L1 for logs that are appended to: one scan of the folder as it is now."""
+    """L1 without a stream: one scan of the folder as it is now."""
     return files.latest_log_values(files.parse_log_lines(files.read_training_logs(spark, log_dir)))
 
 
