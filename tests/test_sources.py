@@ -180,6 +180,28 @@ def test_keyword_lookup_chunked_equals_single(spark):
     assert one == many == {0: "e_beta", 1: None, 2: "e_delta", 3: None, 4: "e_delta"}
 
 
+def test_keyword_lookup_against_brute_force(spark):
+    import random
+    from tuneval.operators import render
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(400)]
+    d = [(w, rng.randrange(50) if rng.random() < 0.95 else None, f"e{k}") for k, w in enumerate(words)]
+    d += [(None, 0, "null"), ("é", 1, "accent")]
+    texts = [(k, "".join(rng.choice("abcdxyz é") for _ in range(rng.randrange(40)))) for k in range(200)]
+    texts += [(1000, None), (1001, ""), (1002, "zzzz")]
+
+    def first(t, words):
+        hits = [(p is None, p or 0, w, e) for w, p, e in words if w is not None and t is not None and w in t]
+        return {e for h, *r, e in sorted(hits) if [h, *r] == list(min(hits)[:3])} or {None}
+    td = spark.createDataFrame(texts, "doc_id long, text string")
+    for more in ([], [("", 7, "always")]):
+        dd = spark.createDataFrame(d + more, "keyword string, priority int, entity string")
+        for size in (1 << 23, 2000):
+            got = {r.doc_id: r.entity for r in render.keyword_lookup(td, dd, block_bytes=size).collect()}
+            assert set(got) == {k for k, _ in texts}
+            assert all(got[k] in first(t, d + more) for k, t in texts)
+
+
 def test_chat_render_parts_concatenate(spark):
     from tuneval.operators import render
     rows = [(1, i, ["system", "user", "assistant", "tool"][i % 4] if i else "system", f"m{i}")

@@ -5,10 +5,10 @@ The response text is parsed once into VARIANT; every flag derives from it.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonfn as J
+from ..functions.jsonscan import COLON, COMMA, EXTRA, KEY, STRING, VALUE, json_fault
 from ..functions.text import fence_strip_regex, utrim
 
 
@@ -50,77 +50,35 @@ def judge_json_rates(flags: DataFrame, by=("checkpoint",)) -> DataFrame:
 
 
 # ------------------------------------------------------------------ F2a/F2b
-def _py_json_error(texts):
-    """Python ``json.loads`` error message per text (None when it parses).
-
-    Python 3.12+ says "Illegal trailing comma before end of object/array"
-    where 3.10 (the reference's interpreter) said "Expecting property
-    name"/"Expecting value"; the newer text is mapped back (SURVEY T4).
-    """
-    import json
-
-    out = []
-    for t in texts:
-        if t is None:
-            out.append(None)
-            continue
-        try:
-            json.loads(t)
-            out.append(None)
-        except json.JSONDecodeError as e:
-            m = str(e)
-            if m.startswith("Illegal trailing comma before end of object"):
-                m = "Expecting property name enclosed in double quotes" + m[m.find(":"):]
-            elif m.startswith("Illegal trailing comma before end of array"):
-                m = "Expecting value" + m[m.find(":"):]
-            out.append(m)
-        except (ValueError, RecursionError) as e:
-            out.append(str(e))
-    return out
-
-
-def json_error_message(c) -> Column:
-    """Arrow-batched UDF: the parser's message for an invalid text."""
-    @F.pandas_udf("string")
-    def _msg(s: pd.Series) -> pd.Series:
-        return pd.Series(_py_json_error(s.tolist()), dtype=object)
-    return _msg(_col(c))
-
-
 def error_taxonomy(df: DataFrame, response: str = "response", by=("checkpoint",),
                    form: str = "detailed") -> DataFrame:
     """F2a (``detailed``: stripped text, 9 classes) or F2b (``inline``: raw
     text, 5 classes): counts of invalid outputs per class.
 
-    Only strictly invalid rows reach the Python parser (filter first, so the
-    UDF never sees valid rows); counting is a native partial aggregate. A
-    text that Python parses but the engine's VARIANT does not (nested beyond
-    1,000 levels, numbers of more than 1,000 digits, beyond its size limit)
-    is ``engine_limit``: no fault of the model. The class names and parser
-    messages below are fixed values.
+    Only strictly invalid rows reach the scanner of the first fault (filter
+    first); counting is a native partial aggregate. A text that is a JSON value
+    but not one the engine's VARIANT takes (nested beyond 1,000 levels, numbers
+    of more than 1,000 digits, beyond its size limit) is ``engine_limit``: no
+    fault of the model. The class names below are fixed values.
     """
     text = utrim(response) if form == "detailed" else F.coalesce(_col(response), F.lit(""))
     inv = df.select(*by, text.alias("_t")).where(~J.strict_valid("_t"))
-    m = inv.withColumn("_m", json_error_message("_t"))
-    t, msg = F.col("_t"), F.col("_m")
+    m = inv.withColumn("_k", json_fault("_t")["kind"])
+    t, kind = F.col("_t"), F.col("_k")
+    cls = F.when(kind.isNull(), "engine_limit").when(kind == VALUE, "invalid_value")
     if form == "detailed":
-        cls = (F.when(msg.isNull(), "engine_limit")
-                .when(msg.contains("Expecting value"), "invalid_value")
-                .when(msg.contains("Expecting property name") | msg.contains("Expecting ':'"),
-                      "missing_colon_or_key")
-                .when(msg.contains("Expecting ',' delimiter"), "missing_comma")
-                .when(msg.startswith("Extra data"), "extra_data")
-                .when(msg.contains("Unterminated string"), "unterminated_string")
+        cls = (cls.when(kind.isin(KEY, COLON), "missing_colon_or_key")
+                .when(kind == COMMA, "missing_comma")
+                .when(kind == EXTRA, "extra_data")
+                .when(kind == STRING, "unterminated_string")
                 .when(~(t.startswith("{") | t.startswith("[")), "not_json_format")
                 .when(_count(t, "{") != _count(t, "}"), "unmatched_braces")
                 .when(_count(t, "[") != _count(t, "]"), "unmatched_brackets")
                 .otherwise("other_error"))
     else:
-        cls = (F.when(msg.isNull(), "engine_limit")
-                .when(msg.contains("Expecting value"), "invalid_value")
-                .when(msg.contains("Expecting property name"), "missing_key")
-                .when(msg.contains("Expecting ':'"), "missing_colon")
-                .when(msg.contains("Expecting ',' delimiter"), "missing_comma")
+        cls = (cls.when(kind == KEY, "missing_key")
+                .when(kind == COLON, "missing_colon")
+                .when(kind == COMMA, "missing_comma")
                 .otherwise("other_error"))
     return m.groupBy(*by, cls.alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import jsonfn as J
 from ..functions import render as R
@@ -118,28 +119,63 @@ def canonical_output(df: DataFrame, col="output", out="output") -> DataFrame:
     return df.withColumn(out, F.coalesce(J.canonical(v), F.col(col)))
 
 
+def _first_keyword(keywords):
+    """Place of the first of the broadcast keywords that a text contains, by an
+    automaton (a trie with failure links) that a task builds once; a place is
+    told only for texts that contain one."""
+    def run(batches):
+        import ahocorasick
+        trie, everywhere = ahocorasick.Automaton(), None
+        for i, k in reversed(list(enumerate(keywords.value))):
+            if k:
+                trie.add_word(k, i)          # of equal keywords the first stays
+            else:
+                everywhere = i               # the empty keyword is part of any text
+        if len(trie):
+            trie.make_automaton()
+        for b in batches:
+            rows, places = [], []
+            for n, t in enumerate(b.column(1).to_pylist()):
+                if t is not None:
+                    found = [i for _, i in trie.iter(t)] if len(trie) else []
+                    if everywhere is not None:
+                        found.append(everywhere)
+                    if found:
+                        rows.append(n)
+                        places.append(min(found))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())),
+                                              pa.array(places, pa.int64())], names=[b.schema.names[0], "_i"])
+    return run
+
+
 def keyword_lookup(texts: DataFrame, dictionary: DataFrame, text="text", id_col="doc_id",
                    keyword="keyword", priority="priority", value="entity",
                    out="entity", block_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Value of the first dictionary key (by priority) contained in the text.
-
-    Theta join on ``contains``. The dictionary is a stated query set: its
-    bytes are summed first and it is broadcast in blocks of about
-    ``block_bytes``, dealt by a hash, each matched by a broadcast
-    nested-loop join (the texts are never shuffled for matching); ``min_by``
-    over all hits keeps the first key, and a left join restores texts
-    without one.
+    """Value of the first dictionary key (by priority, then key) contained
+    in the text; null without one.
+
+    The dictionary is a stated query set: its bytes are summed first and it is
+    sent out in blocks of about ``block_bytes``, dealt by a hash. A block is an
+    automaton, so a text is read once per block, however many keywords it has.
+    Texts are not shuffled for it, only the ids of those with a keyword. Null
+    keywords match nothing.
     """
+    spark = texts.sparkSession
     d = dictionary.select(F.col(keyword).alias("_kw"), F.col(priority).alias("_pr"),
-                          F.col(value).alias("_val"))
+                          F.col(value).alias("_val")).where("_kw is not null")
     size = F.octet_length("_kw") + F.coalesce(F.octet_length(F.col("_val").cast("string")), F.lit(0)) + 16
     total = d.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     blocks = total // block_bytes + 1
     t = texts.select(id_col, text)
+    found = T.StructType([t.schema[id_col], T.StructField("_i", T.LongType())])
     hits = None
     for i in range(blocks):
         part = d if blocks == 1 else d.where(F.pmod(F.xxhash64("_kw", "_pr"), F.lit(blocks)) == i)
-        h = t.join(F.broadcast(part), F.col(text).contains(F.col("_kw"))).select(id_col, "_pr", "_val")
+        rows = part.orderBy(F.asc_nulls_last("_pr"), "_kw").collect()
+        run = _first_keyword(spark.sparkContext.broadcast([r["_kw"] for r in rows]))
+        named = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)],
+                                      T.StructType([T.StructField("_i", T.LongType()), *d.schema.fields]))
+        h = t.mapInArrow(run, found).join(F.broadcast(named), "_i").drop("_i")
         hits = h if hits is None else hits.unionByName(h)
-    first = hits.groupBy(id_col).agg(F.min_by("_val", "_pr").alias(out))
+    first = hits.groupBy(id_col).agg(F.min(F.struct(F.col("_pr").isNull().alias("_n"), "_pr", "_kw", "_val"))["_val"].alias(out))
     return texts.join(first, id_col, "left")

@@ -14,9 +14,14 @@ from .ranking import positions, top_k, with_smallest
 
 
 def seeded_shuffle(df: DataFrame, seed="42", id_cols=("prompt_id",), pos_col="pos") -> DataFrame:
-    """Materialised 1-based position in seeded hash order."""
-    d = df.withColumn("_h", seeded_order_key(seed, *id_cols))
-    return positions(d, ["_h", *id_cols], pos_col).drop("_h")
+    """1-based position in seeded hash order.
+
+    Only the ids are sorted and checkpointed; the rows meet their position by
+    id, wherever they are (a broadcast if the ids are few). ``id_cols`` must
+    identify a row; rows with a null id have no position.
+    """
+    keys = df.select(*id_cols).withColumn("_h", seeded_order_key(seed, *id_cols))
+    return df.join(positions(keys, ["_h", *id_cols], pos_col).drop("_h"), list(id_cols), "left")
 
 
 def holdout_split(df: DataFrame, k: int, seed="42", id_cols=("prompt_id",), by=()) -> DataFrame:
