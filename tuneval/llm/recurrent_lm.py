@@ -91,7 +91,8 @@ def split_texts(docs: DataFrame, held: Column, id_col: str, text_col: str, head,
         h = head.value
         get, own, part, pos = h.number.get, h.own, TaskContext.get().partitionId(), 0
         for b in batches:
-            cols: dict = {f.name: [] for f in schema[2:]}
+            cols: dict = {f.name: [] for f in schema[2:] if f.name != "rest"}
+            rest_words, rest_counts, rest_ends = [], [], [0]
             for text, out in zip(bytes_of(b.column(1)), b.column(2).to_pylist()):
                 rest, ids, n_head, head_log, other_log = Counter(), [], 0, 0.0, 0.0
                 for words in (*folded_words(text or END, FOLD), [END]):
@@ -107,11 +108,16 @@ def split_texts(docs: DataFrame, held: Column, id_col: str, text_col: str, head,
                 for name, x in (("pos", pos), ("held", out), ("n_tokens", len(ids)), ("n_head", n_head),
                                 ("n_other", int((ids == own).sum())), ("head_log", head_log),
                                 ("other_log", other_log), ("ids", ids.tobytes()),
-                                ("rest", [{"word": w, "n": n} for w, n in rest.items()]),
                                 ("round", -1 if out else pos % rounds)):
                     cols[name].append(x)
+                rest_words += rest
+                rest_counts += rest.values()
+                rest_ends.append(len(rest_words))
                 pos += 1
-            yield record_batch(schema, {"doc_id": b.column(0), "part": [part] * len(b), **cols})
+            rest = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_counts, pa.int64())],
+                                              ["word", "n"])
+            yield record_batch(schema, {"doc_id": b.column(0), "part": [part] * len(b), **cols,
+                                        "rest": pa.ListArray.from_arrays(pa.array(rest_ends, pa.int32()), rest)})
 
     return src.mapInArrow(run, schema)
 
