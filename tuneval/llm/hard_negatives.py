@@ -33,7 +33,7 @@ ROUNDS = 8                  # of clustering
 SLACK = 1e-5                # radians that rounding may cost a bound
 
 EXACT = 1 << 52             # float64 products of smaller norms are exact
-NONE, LAST = -(1 << 62), (1 << 63) - 1
+NONE, LAST = 1 - (1 << 63), (1 << 63) - 1
 
 
 def whole_vectors(rows: DataFrame, anchor: Column, id_col: str, label_col: str, vector_col: str,

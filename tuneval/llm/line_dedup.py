@@ -53,6 +53,14 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MA
     return sure.unionByName(exact)
 
 
+def _mask(places: str) -> Column:
+    """Sorted places as bytes, "1" at each of them and "0" between: a byte is
+    found by its place, so that many lines cost no more than each its own."""
+    return F.array_join(F.transform(places, lambda n, i: F.concat(
+        F.repeat(F.lit("0"), n - F.when(i > 0, F.get(places, i - 1)).otherwise(F.lit(-1)) - 1), F.lit("1"))),
+        "").cast("binary")
+
+
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        site_col: str = "source", min_sites: int = MIN_SITES,
                        margin: float = MARGIN) -> DataFrame:
@@ -61,20 +69,23 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``text`` keeps the other lines as they are, in order; ``n_lines`` counts
     the lines that are not blank. A null text stays null with no lines, an
     empty one empty. Rows with equal id and text get equal results. Only
-    line numbers of boilerplate are gathered per document, never lines.
+    line numbers of boilerplate are gathered per document, never lines; the work
+    is linear in a document's lines.
     """
     lines = line_rows(docs, id_col, text_col, site_col)
     cut = written(boilerplate(lines, min_sites, margin), "boilerplate-lines")
-    gone = written(lines.join(cut, "line", "left_semi").groupBy("doc_id", "h")
-                        .agg(F.collect_set("n").alias("gone")), "boilerplate-places")
+    places = lines.join(cut, "line", "left_semi").groupBy("doc_id", "h").agg(
+        F.array_sort(F.collect_set("n")).alias("n"))
+    gone = written(places.select("doc_id", "h", _mask("n").alias("gone"), F.size("n").cast("long").alias("n_removed")),
+                   "boilerplate-places")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                     F.xxhash64(F.col(text_col)).alias("h"))
-    g = gone.select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "gone")
+    g = gone.select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "gone", "n_removed")
     j = d.join(g, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")), "left")
     rows = _lines(F.col("text"))
-    kept = F.filter(rows, lambda t, n: ~F.coalesce(F.array_contains(F.col("gone"), n), F.lit(False)))
+    kept = F.filter(rows, lambda t, n: F.substring(F.col("gone"), n + 1, F.lit(1)) != F.lit(b"1"))
     full = F.size(F.filter(rows, lambda t: F.btrim(t, F.lit(BLANKS)) != "")).cast("long")
-    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    removed = F.coalesce("n_removed", F.lit(0).cast("long"))
     return j.select("doc_id",
                     F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
                     full.alias("n_lines"), removed.alias("n_removed"))

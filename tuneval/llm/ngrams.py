@@ -44,14 +44,18 @@ def pieces(cp: np.ndarray, n: int):
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, remembered up to a fixed number of words."""
+    """word (bytes) -> 64-bit hash, remembered for a fixed number of words of
+    at most KEY_BYTES bytes."""
 
     LIMIT = 300_000
+    KEY_BYTES = 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.KEY_BYTES:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list) -> np.ndarray:

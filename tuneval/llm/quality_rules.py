@@ -56,7 +56,7 @@ def base_counts(text: bytes | None) -> tuple:
     """(words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     text = text or b""
     words = text.split()
-    chars = len(b"".join(words).decode("utf-8", "surrogatepass"))
+    chars = len(b"".join(words).decode("utf-8", "replace"))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     return words, len(words), chars, symbols, dup_lines(text), repeat_words(words)
 
@@ -76,7 +76,7 @@ class Features:
         return np.concatenate([(word_grams(h, n) >> np.uint64(48)).astype(np.int32) for n in (1, 2)])
 
     def chars(self, text: bytes):
-        cp = codepoints(text.decode("utf-8", "surrogatepass"))
+        cp = codepoints(text.decode("utf-8", "replace"))
         for p in pieces(cp, CHAR_N):
             yield (char_grams(p, CHAR_N) >> np.uint64(48)).astype(np.int32)
 

@@ -8,6 +8,7 @@ pre-tokens: proven ones count one, and only the rest is merged.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -45,19 +46,43 @@ def prove(spec: str) -> frozenset:
     return frozenset(proven)
 
 
+def check_spec(spec: str) -> None:
+    """Counting takes pre-tokens for what PATTERN cuts: another tokenizer is an error."""
+    parsed = json.loads(spec)
+    pre = parsed["pre_tokenizer"] or {}
+    steps = pre.get("pretokenizers", [pre])
+    byte_level = [s for s in steps if s.get("type") == "ByteLevel"]
+    others = [s for s in steps if s.get("type") != "ByteLevel"]
+    fits = (len(byte_level) == 1 and not others and byte_level[0].get("use_regex", True)
+            and not byte_level[0].get("add_prefix_space") and not parsed["normalizer"]
+            and parsed["model"].get("type") == "BPE" and not parsed["model"].get("ignore_merges"))
+    if not fits:
+        raise ValueError("not a byte-level BPE tokenizer with its own pattern and no normalizer: "
+                         f"normalizer {parsed['normalizer']}, pre-tokenizer {parsed['pre_tokenizer']}")
+
+
 class Counter:
     """Counts the tokens of texts as the tokenizer gives them."""
 
     def __init__(self, spec: str, proven: frozenset):
-        self.vocab = Vocab(spec)
-        v = self.vocab
-        self.rest = Remembered(lambda p: 1 if p in proven else len(v.merge(to_alphabet(p))), REMEMBERED)
-        self.rest_mapped = Remembered(lambda p: len(v.merge(p)), REMEMBERED // 8)
+        self.vocab, self.proven = Vocab(spec), frozenset(map(to_alphabet, proven))
+        #: distinct pre-tokens that were proven, and that had to be merged
+        self.matched = self.merged = 0
+        self.known = Remembered(lambda p: self.mapped(to_alphabet(p)), REMEMBERED)
+        self.known_mapped = Remembered(self.mapped, REMEMBERED // 8)
+
+    def mapped(self, p: str) -> int:
+        """Tokens of a pre-token in the byte alphabet: one if that is proven."""
+        if p in self.proven:
+            self.matched += 1
+            return 1
+        self.merged += 1
+        return len(self.vocab.merge(p))
 
     def plain(self, text: str) -> int:
         if _OTHER.search(text):
-            return sum(self.rest_mapped[p] for p, _ in self.vocab.tokenizer.pre_tokenizer.pre_tokenize_str(text))
-        return sum(map(self.rest.__getitem__, _CUT.findall(text)))
+            return sum(self.known_mapped[p] for p, _ in self.vocab.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+        return sum(map(self.known.__getitem__, _CUT.findall(text)))
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -87,11 +112,13 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """doc_id, n_bytes, n_tokens, over_limit for every document.
 
     ``path``: a byte-level BPE tokenizer file (read by the driver; its text
-    and the proof, both bounded by the vocabulary, are broadcast). Null and
+    and the proof, both bounded by the vocabulary, are broadcast); one with
+    another pattern, or a normalizer, is an error. Null and
     empty texts have 0 bytes and tokens. Repeated rows get equal rows; other
     columns are not read.
     """
     spec = read_spec(path)
+    check_spec(spec)
     shipped = docs.sparkSession.sparkContext.broadcast((spec, prove(spec)))
     key = hashlib.sha256(spec.encode()).hexdigest()
 

@@ -22,10 +22,17 @@ from .common import bytes_of, record_batch
 from .vocab import Vocab, read_spec, to_alphabet
 
 END = 1
-REMEMBERED = 1_000_000     # words that a worker keeps the ids of, and half as many parts
+# What a worker keeps the ids of: words and parts of words, until their bytes and
+# KEY_BYTES for each go beyond these.
+WORD_BYTES = 128 << 20
+PART_BYTES = 64 << 20
+KEY_BYTES = 100
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
+# The pre-token pattern of the lower-cased word vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 # Words whose letters are Latin-1, with marks behind them: the tokenizer cuts
 # the marks off as one run, and lower-cases the letters one by one.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%$&*#|]*)")
@@ -43,11 +50,25 @@ WRITER = {
 }
 
 
+def check_spec(spec: str) -> None:
+    """Words are split by the rules below: a tokenizer with others is an error."""
+    parsed = json.loads(spec)
+    steps = [s["type"] for s in (parsed["normalizer"] or {}).get("normalizers", [])]
+    pre = (parsed["pre_tokenizer"] or {}).get("pretokenizers", [])
+    fits = (steps == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in pre] == ["Split", "ByteLevel"]
+            and pre[0]["pattern"].get("Regex") == PATTERN and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+            and parsed["model"].get("end_of_word_suffix"))
+    if not fits:
+        raise ValueError("not a tokenizer of lower-cased words with their end marked: "
+                         f"normalizer {parsed['normalizer']}, pre-tokenizer {parsed['pre_tokenizer']}")
+
+
 class IdTable(dict):
     """key -> row; a row is a run of ids in one growing array.
 
     Unknown keys get the next rows and are resolved together, so that the
-    merging works on many at a time.
+    merging works on many at a time. The table starts anew once its keys take
+    more than ``limit`` bytes; a batch of texts adds no more than its own.
     """
 
     def __init__(self, resolve, limit: int):
@@ -57,18 +78,19 @@ class IdTable(dict):
 
     def reset(self):
         self.clear()
-        self.unknown = []
+        self.size, self.unknown = 0, []
         self.ids = np.empty(1 << 16, dtype=np.int32)
         self.ends = np.zeros(1 << 16, dtype=np.int64)    # of rows, after a leading 0
 
     def __missing__(self, key):
         row = self[key] = len(self)
+        self.size += len(key) + KEY_BYTES
         self.unknown.append(key)
         return row
 
     def take(self, keys: list) -> tuple:
         """(number of ids of each key, ids of all keys one after the other)."""
-        if len(self) > self.limit:
+        if self.size > self.limit:
             self.reset()
         known = len(self)
         rows = np.fromiter(map(self.__getitem__, keys), dtype=np.int64, count=len(keys))
@@ -114,8 +136,8 @@ class Encoder:
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.is_last = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
         self.is_last[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
-        self.parts = IdTable(self.merge_parts, REMEMBERED // 2)
-        self.words = IdTable(self.split_words, REMEMBERED)
+        self.parts = IdTable(self.merge_parts, PART_BYTES)
+        self.words = IdTable(self.split_words, WORD_BYTES)
 
     def merge_parts(self, parts: list) -> tuple:
         """Every part is one word of the merges: its last token tells so."""
@@ -181,6 +203,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "
     """
     spark = docs.sparkSession
     spec = read_spec(tokenizer_path)
+    check_spec(spec)
     key, shipped = hashlib.sha256(spec.encode()).hexdigest(), spark.sparkContext.broadcast(spec)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                       F.xxhash64(F.col(text_col)).alias("h"), F.spark_partition_id().alias("p"))

@@ -56,14 +56,18 @@ class Vocab:
 
 
 class Remembered(dict):
-    """key -> fn(key), for a bounded number of keys."""
+    """key -> fn(key), for a bounded number of keys of at most KEY_CHARS characters."""
+
+    KEY_CHARS = 64
 
     def __init__(self, fn, limit: int):
         super().__init__()
         self.fn, self.limit = fn, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[key] = self.fn(key)
+        out = self.fn(key)
+        if len(key) <= self.KEY_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = out
         return out
