@@ -87,3 +87,39 @@ def test_append_results_keeps_history(spark):
     got = spark.read.parquet(path)
     assert got.count() == 2 and "timestamp" in got.columns
     assert sorted(x.primary_metric for x in got.collect()) == [0.5, 0.6]
+
+
+def test_result_log_counts_a_run_once(spark, monkeypatch):
+    import tempfile
+    path = tempfile.mkdtemp() + "/log"
+    r = spark.createDataFrame([("v", 0.5)], "variant_name string, primary_metric double")
+    assert ablation.append_results(r, path, "2024-01-01/a b")
+    assert not ablation.append_results(r, path, "2024-01-01/a b")           # a retry
+
+    def killed(p):
+        raise RuntimeError("killed before the commit")
+    with monkeypatch.context() as m:
+        m.setattr(ablation, "quote", lambda s, safe: m.setattr(ablation, "_committed", killed) or s)
+        try:
+            ablation.append_results(r, path, "second")
+        except RuntimeError:
+            pass
+    assert spark.read.parquet(path).count() == 2                           # what the attempt left
+    assert [x.run_id for x in ablation.read_results(spark, path).collect()] == ["2024-01-01/a b"]
+    assert ablation.append_results(r, path, "second") and ablation.read_results(spark, path).count() == 2
+    # two attempts that both came to commit: the first counts
+    spark.createDataFrame([("second", "zz")], "run_id string, attempt string").withColumn(
+        "at", F.current_timestamp()).write.mode("append").parquet(path + "_committed")
+    assert ablation.read_results(spark, path).count() == 2
+
+
+def test_guard_stops_an_evaluation(spark):
+    import pytest
+    from tuneval.plans import evaluate
+    rows = [("open", k, cp, "[error: x]" if cp == "cp1" and k < 3 else "fine") for k in range(20)
+            for cp in ("cp0", "cp1", "cp2")]
+    d = spark.createDataFrame(rows, "suite string, prompt_id long, checkpoint string, response string")
+    with pytest.raises(evaluate.TooManyErrors, match="cp1: 3 of 20 responses are errors, more than 10 %"):
+        evaluate.guarded(d, 0.1)
+    ok = evaluate.guarded(d, 0.15)
+    assert ok.columns == d.columns and ok.count() == 60 and evaluate.guarded(d, None) is d

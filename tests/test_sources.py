@@ -263,3 +263,49 @@ def test_verdict_stream_keeps_swapped_judgements_and_late_replies(spark):
     r = streams.latest_result(spark, out).collect()[0]
     assert r.total_pairs == 5 and r.challenger_wins == 4   # the swapped verdict went to the opponent
     assert streams.late_rows(q) == 0
+
+
+def test_verdict_stream_over_many_batches(spark):
+    """Copies within and beyond the time that keys are state, late first
+    deliveries, a restart: the counts are those of the batch."""
+    import datetime
+    import random
+    import time
+    from tuneval.operators import verdicts as V
+    rng, d, sent = random.Random(3), tempfile.mkdtemp(), []
+    os.makedirs(f"{d}/in")
+
+    def write(name, keys, minute):
+        with open(f"{d}/in/{name}.json", "w") as f:
+            for c, p, s in keys:
+                body = {"response_a_scores": {}, "response_b_scores": {}, "winner": "AB"[p % 2]}
+                r = {"comparison": c, "prompt_id": p, "swap": s, "raw": json.dumps(body) if p % 7 else "none",
+                     "arrived_at": (datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute + p)).isoformat()}
+                sent.append(r)
+                f.write(json.dumps(r) + "\n")
+        os.utime(f"{d}/in/{name}.json", (1_700_000_000 + len(os.listdir(f"{d}/in")),) * 2)
+
+    def run():
+        q, _ = streams.verdict_win_rates(spark, f"{d}/in", "30 minutes", state_path=f"{d}/state", out_path=f"{d}/out",
+                                         files_per_batch=1, seen_for="25 seconds")
+        q.awaitTermination()
+        return {r.comparison: (r.total_pairs, r.error_count, r.challenger_wins, r.win_rate_a)
+                for r in streams.changed_results(spark, f"{d}/out", ["comparison"]).collect()}
+
+    def batch():
+        v = V.win_rates(V.normalize_verdicts(V.parse_verdicts(
+            spark.createDataFrame(sent).dropDuplicates(["comparison", "prompt_id", "swap"]))))
+        return {r.comparison: (r.total_pairs, r.error_count, r.challenger_wins, r.win_rate_a) for r in v.collect()}
+    old = [("x", p, 0) for p in range(10)] + [("y", p, p % 2) for p in range(10)]
+    write("1", old, 0)
+    write("2", rng.sample(old, 8) + [("x", 50, 0), ("x", 50, 0)], 0)            # copies within the time
+    write("3", [("x", p, 0) for p in range(60, 70)], 600)
+    assert run() == batch()
+    time.sleep(30)
+    write("3b", [("y", 80, 0)], 600)                                            # keys leave the state with the next data
+    write("4", rng.sample(old, 8) + [("y", p, 0) for p in range(11, 15)], 0)    # late copies, late first deliveries
+    write("5", [("x", p, 1) for p in range(60, 70)], 600)
+    assert run() == batch()
+    assert spark.read.parquet(f"{d}/out_late").count() == 8
+    last = spark.read.parquet(f"{d}/out").groupBy("batch_id").count().orderBy("batch_id").collect()
+    assert last[0]["count"] == 2 and last[-1]["count"] == 1                     # only changed comparisons

@@ -77,8 +77,8 @@ def first_fault(text: str) -> tuple | None:
 def json_fault(c) -> Column:
     """Struct (kind, at) of the first fault; null for a JSON value or null text."""
     @F.pandas_udf("struct<kind:string,at:int>")
-    def fault(s: pd.Series) -> pd.DataFrame:
+    def _msg(s: pd.Series) -> pd.DataFrame:
         found = [None if t is None else first_fault(t) for t in s]
         return pd.DataFrame({"kind": pd.Series([f and f[0] for f in found], dtype=object),
                              "at": pd.array([f and f[1] for f in found], dtype="Int32")})
-    return fault(c)
+    return _msg(c)

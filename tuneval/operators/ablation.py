@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .forgetting import severity
@@ -36,9 +40,45 @@ def config_grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(config_rows(), CONFIG_SCHEMA)
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    """Append results with a timestamp (append-mode parquet)."""
-    results.withColumn("timestamp", F.current_timestamp()).write.mode("append").parquet(path)
+def _committed(path: str) -> str:
+    return path.rstrip("/") + "_committed"
+
+
+def committed_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, attempt) of the runs in a result log, an attempt each."""
+    try:
+        log = spark.read.schema("run_id string, attempt string, at timestamp").parquet(_committed(path))
+    except AnalysisException:       # no run was ever committed
+        return spark.createDataFrame([], "run_id string, attempt string")
+    return log.groupBy("run_id").agg(F.min_by("attempt", F.struct("at", "attempt")).alias("attempt"))
+
+
+def append_results(results: DataFrame, path: str, run_id: str | None = None) -> bool:
+    """Append a run's results with a timestamp.
+
+    An attempt writes a folder of its own, then commits it with one row beside
+    the log. A run that is there already is not written again (False), so a job
+    may be repeated; what an attempt left that was stopped, or that came second,
+    no reader sees. Without ``run_id`` the results are a run of their own.
+    """
+    spark = results.sparkSession
+    run_id, attempt = run_id or uuid.uuid4().hex, uuid.uuid4().hex
+    if not committed_runs(spark, path).where(F.col("run_id") == run_id).isEmpty():
+        return False
+    results.withColumn("timestamp", F.current_timestamp()).write.parquet(
+        f"{path.rstrip('/')}/run_id={quote(run_id, safe='')}/attempt={attempt}")
+    (spark.range(1).coalesce(1).select(F.lit(run_id).alias("run_id"), F.lit(attempt).alias("attempt"),
+                                       F.current_timestamp().alias("at"))
+     .write.mode("append").parquet(_committed(path)))
+    return True
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The results of the committed runs, each run once."""
+    runs = committed_runs(spark, path)
+    return (spark.read.option("basePath", path).parquet(path)
+            .withColumns({c: F.col(c).cast("string") for c in ("run_id", "attempt")})
+            .join(runs, ["run_id", "attempt"], "left_semi").drop("attempt"))
 
 
 def _fmt_pct(c):

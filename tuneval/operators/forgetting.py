@@ -196,7 +196,7 @@ def example_buckets(changes: DataFrame) -> DataFrame:
                  .select(F.col("_b").alias("bucket"), "prompt_id", "change", "bucket_size"))
 
 
-def retention_gate(comparison: DataFrame, metrics=("rouge1", "rouge2"),
+def retention_gate(comparison: DataFrame, metrics=OPEN_METRICS,
                    max_drop_pct: float = 5.0) -> DataFrame:
     """Per stage-1 metric, pass unless the percent change drops by more
     than ``max_drop_pct``; plus the reason."""

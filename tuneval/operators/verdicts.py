@@ -117,28 +117,37 @@ def row_mean(scores: Column) -> Column:
                   F.size(vals))
 
 
-def win_rates(v: DataFrame, by=("comparison",)) -> DataFrame:
-    """Per comparison.
-
-    Valid rows only in the rates (0 when none); errors counted apart;
-    ``challenger_wins`` counts A; ``pct_*`` are floor(100*x/total).
-    """
+def win_counts(v: DataFrame, by=("comparison",)) -> DataFrame:
+    """Per comparison total_pairs (valid verdicts), error_count and how many
+    say A, B and TIE; counts of parts of the verdicts may be added."""
     ok = F.col("error").isNull()
-    total = F.count(F.when(ok, 1))
-    wa = F.count(F.when(ok & (F.col("winner") == "A"), 1))
-    wb = F.count(F.when(ok & (F.col("winner") == "B"), 1))
-    wt = F.count(F.when(ok & (F.col("winner") == "TIE"), 1))
+
+    def won(w):
+        return F.count(F.when(ok & (F.col("winner") == w), 1))
+    return v.groupBy(*by).agg(F.count(F.when(ok, 1)).alias("total_pairs"), F.count(F.when(~ok, 1)).alias("error_count"),
+                              won("A").alias("wins_a"), won("B").alias("wins_b"), won("TIE").alias("ties"))
+
+
+def rates_of(counts: DataFrame, by=("comparison",), keep=()) -> DataFrame:
+    """H5, H6, H8, H9, H10 of ``win_counts``: rates among the valid (0 when none);
+    ``challenger_wins`` counts A; ``pct_*`` are floor(100*x/total)."""
+    total = F.col("total_pairs")
 
     def rate(x):
         return F.round(F.when(total > 0, x / total).otherwise(F.lit(0.0)), 6)
 
     def pct(x):
         return F.when(total > 0, F.floor(100 * x / total)).otherwise(F.lit(0)).cast("bigint")
-    return v.groupBy(*by).agg(
-        total.alias("total_pairs"), F.count(F.when(~ok, 1)).alias("error_count"),
-        wa.alias("challenger_wins"), rate(wa).alias("win_rate_a"), rate(wb).alias("win_rate_b"),
-        rate(wt).alias("tie_rate"), pct(wa).alias("pct_a"), pct(wb).alias("pct_b"),
-        pct(wt).alias("pct_tie"))
+    wa, wb, wt = F.col("wins_a"), F.col("wins_b"), F.col("ties")
+    return counts.select(
+        *by, "total_pairs", "error_count", wa.alias("challenger_wins"), rate(wa).alias("win_rate_a"),
+        rate(wb).alias("win_rate_b"), rate(wt).alias("tie_rate"), pct(wa).alias("pct_a"), pct(wb).alias("pct_b"),
+        pct(wt).alias("pct_tie"), *keep)
+
+
+def win_rates(v: DataFrame, by=("comparison",)) -> DataFrame:
+    """H5, H6, H8, H9, H10 per comparison; see ``rates_of``."""
+    return rates_of(win_counts(v, by), by)
 
 
 def dimension_averages(v: DataFrame, by=("comparison",)) -> DataFrame:

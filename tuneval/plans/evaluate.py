@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.text import word_count
-from ..operators import align, forgetting, jsonq, sampling, textsim
+from ..operators import align, forgetting, jsonq, normalize, sampling, textsim
 from ..operators import verdicts as V
 from ..session import checkpoint_dir
 from ..sources import files
@@ -45,16 +45,17 @@ def category_win_rates(v: DataFrame, cats: DataFrame, first="cp1_vs_cp0",
                     "total_examples")
 
 
-def pairwise_eval(responses: DataFrame, raw_verdicts: DataFrame, comparison: str,
-                  challenger: str, opponent: str, sample_size: int | None = None,
-                  seed: str = "42") -> DataFrame:
-    """Zip two checkpoints (E2), optionally sample (D5), attach the judge
-    replies by (comparison, prompt id), parse/unswap them and aggregate (H6)."""
-    pairs = align.pair_zip(responses, challenger, opponent)
+def pairwise_eval(responses: DataFrame, raw_verdicts: DataFrame, comparisons: DataFrame | None = None,
+                  sample_size: int | None = None, seed: str = "42") -> DataFrame:
+    """Pair the checkpoints of every comparison (E8; by default all),
+    optionally sample pairs of each (D5), attach the judge replies by
+    (comparison, prompt id), parse/unswap them and aggregate (H6)."""
+    if comparisons is None:
+        comparisons = align.comparison_table(responses.sparkSession)
+    pairs = align.comparison_pairs(responses.select("prompt_id", "checkpoint", "response"), comparisons)
     if sample_size:
-        pairs = sampling.fixed_sample(pairs, sample_size, seed=seed)
-    rv = raw_verdicts.where(F.col("comparison") == comparison)
-    j = rv.join(pairs.select("prompt_id"), "prompt_id", "left_semi")
+        pairs = sampling.fixed_sample(pairs, sample_size, seed=seed, by=("comparison",))
+    j = raw_verdicts.join(pairs.select("comparison", "prompt_id"), ["comparison", "prompt_id"], "left_semi")
     return V.win_rates(V.normalize_verdicts(V.parse_verdicts(j)))
 
 
@@ -117,14 +118,19 @@ def tidy_metrics(open_metrics: DataFrame, json_metrics: DataFrame) -> DataFrame:
 
 def evaluate(instruct: DataFrame, responses: DataFrame, json_items: DataFrame,
              raw_verdicts: DataFrame, token_vectors: DataFrame | None = None,
-             categories: DataFrame | None = None) -> dict:
+             categories: DataFrame | None = None, max_error_share: float | None = None) -> dict:
     """The full evaluation as named DataFrames.
 
+    With ``max_error_share`` it is an error if more of a checkpoint's responses
+    are errors (I11): the shares are observed while the responses are written
+    for the reports, and no report exists before.
+
     Parsed verdicts and the metrics per checkpoint (a row each) are
     materialised once in the checkpoint folder and reused by every report;
     everything else stays a lazy plan for the caller to write
     (``write_reports``).
     """
+    responses = guarded(responses, max_error_share)
     resp = responses.join(instruct.select("prompt_id", F.col("output").alias("reference")), "prompt_id")
     open_metrics = materialize(open_suite_metrics(open_rows(resp, token_vectors)))
     json_metrics = materialize(jsonq.suite_metrics(json_items))
@@ -143,6 +149,29 @@ def evaluate(instruct: DataFrame, responses: DataFrame, json_items: DataFrame,
     return out | ({"categories": by_category} if by_category is not None else {})
 
 
+class TooManyErrors(ValueError):
+    """A checkpoint whose responses are errors too often."""
+
+
+def guarded(responses: DataFrame, max_error_share: float | None = None,
+            checkpoints=align.CHECKPOINTS) -> DataFrame:
+    """The responses, written once, unless errors among them exceed the
+    share in a checkpoint; rows and errors are observed in the same pass."""
+    if max_error_share is None:
+        return responses
+    seen, s = Observation(), normalize.response_status(responses)
+    of = {c: F.col("checkpoint") == c for c in checkpoints}
+    error = F.col("response_status") == "error"
+    s = materialize(s.observe(seen, *[F.count_if(x).alias(f"n_{c}") for c, x in of.items()],
+                              *[F.count_if(x & error).alias(f"e_{c}") for c, x in of.items()]))
+    n = seen.get
+    for c in checkpoints:
+        if n[f"e_{c}"] > max_error_share * n[f"n_{c}"]:
+            raise TooManyErrors(f"{c}: {n[f'e_{c}']} of {n[f'n_{c}']} responses are errors, "
+                                f"more than {100 * max_error_share:g} %")
+    return s.select(*responses.columns)
+
+
 def write_reports(reports: dict, path: str, fmt: str = "parquet") -> dict:
     """A10: every report of ``evaluate`` as a table under ``path``; returns
     the paths by name. VARIANT columns (raw parsed verdicts) stay out."""

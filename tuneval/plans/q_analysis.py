@@ -67,13 +67,12 @@ def compare_checkpoints(spark, sf_dir):
 select checkpoint_1, checkpoint_2, metric, percent_change, percent_change >= -5.0 as passed,
        case when percent_change >= -5.0 then 'ok'
             else printf('%s dropped %.2f%% (limit %.1f%%)', metric, -percent_change, 5.0) end as reason
-from (""" + D_CMP_SELECT + """) c where metric in ('rouge1', 'rouge2')""")
+from (""" + D_CMP_SELECT + """) c where metric in ('rouge1', 'rouge2', 'rougeL', 'bertscore_f1')""")
 def retention_gate(spark, sf_dir):
     """Stage-1 (open-ended) metrics may not drop more than 5 %."""
-    rows = textsim.rouge_n(scored_pairs(spark, sf_dir), ["prompt_id", "checkpoint"])
-    means = rows.groupBy("checkpoint").agg(F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2"))
-    tidy = means.unpivot("checkpoint", ["rouge1", "rouge2"], "metric", "value")
-    return forgetting.retention_gate(forgetting.compare_checkpoints(tidy, PAIRS, ("rouge1", "rouge2")))
+    means = evaluate.open_suite_metrics(open_rows(spark, sf_dir))
+    tidy = means.unpivot("checkpoint", list(forgetting.OPEN_METRICS), "metric", "value")
+    return forgetting.retention_gate(forgetting.compare_checkpoints(tidy, PAIRS, forgetting.OPEN_METRICS))
 
 
 def win_table(spark, sf_dir, inst=None):

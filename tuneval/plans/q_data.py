@@ -416,14 +416,14 @@ def duplicate_documents(spark, sf_dir):
 
 # ------------------------------------------------------------------ E
 @register("eval_with_outputs", with_fixtures(["responses"]) + """
-select i.prompt_id, i.instruction, coalesce(r.response, '') as response
-from instruct i left join responses r on r.prompt_id = i.prompt_id and r.checkpoint = 'cp1'""")
+select i.prompt_id, c.checkpoint, i.instruction, coalesce(r.response, '') as response
+from instruct i cross join (values ('cp0'), ('cp1'), ('cp2')) c(checkpoint)
+left join responses r on r.prompt_id = i.prompt_id and r.checkpoint = c.checkpoint""")
 def eval_with_outputs(spark, sf_dir):
-    """Eval rows aligned by id with cp1 outputs, '' when absent."""
+    """Eval rows aligned by id with every checkpoint's outputs, '' when absent."""
     inst = fx.instruct(spark, sf_dir)
-    resp = fx.responses(spark, sf_dir, inst).where(F.col("checkpoint") == "cp1")
-    e = inst.select("prompt_id", "instruction")
-    return align.eval_with_outputs(e, resp, keys=("prompt_id",))
+    e = inst.select("prompt_id", F.explode(F.array(*map(F.lit, align.CHECKPOINTS))).alias("checkpoint"), "instruction")
+    return align.eval_with_outputs(e, fx.responses(spark, sf_dir, inst), keys=("prompt_id", "checkpoint"))
 
 
 @register("pair_zip", with_fixtures(["responses"]) + """

@@ -200,12 +200,13 @@ def embedded_json(spark, sf_dir):
 @register("ablation_log", with_fixtures(["json_items"]) + """
 select checkpoint, task_type, count(*) as n from json_items group by checkpoint, task_type""")
 def ablation_log(spark, sf_dir):
-    """Results appended to a log, a batch per checkpoint, and read back."""
+    """Results appended to a log, a run per checkpoint, every run twice as after
+    a retry, and read back."""
     path = scratch_path(spark, "ablation-log")
     counts = fx.json_items(spark, sf_dir).groupBy("checkpoint", "task_type").agg(F.count(F.lit(1)).alias("n"))
-    for cp, _ in fx.CHECKPOINT_BIAS:
-        ablation.append_results(counts.where(F.col("checkpoint") == cp), path)
-    return spark.read.parquet(path).where("timestamp is not null").drop("timestamp")
+    for cp, _ in fx.CHECKPOINT_BIAS * 2:
+        ablation.append_results(counts.where(F.col("checkpoint") == cp), path, run_id=cp)
+    return ablation.read_results(spark, path).where("timestamp is not null").drop("timestamp", "run_id")
 
 
 @register("status_guard", with_fixtures(["responses"]) + """

@@ -84,4 +84,4 @@ def verdict_stream_win_rates(spark, sf_dir):
         v.write.json(f"{path}/{part}")
     q, out = streams.verdict_win_rates(spark, f"{path}/*")
     q.awaitTermination()
-    return streams.latest_result(spark, out)
+    return streams.changed_results(spark, out, ["comparison"]).drop("wins_a", "wins_b", "ties", "max_arrived")

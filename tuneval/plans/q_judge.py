@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import verdicts as V
 from ..plans import evaluate
 from ..sources import fixtures as fx
-from ..schemas import DIMENSIONS
+from ..schemas import COMPARISONS, DIMENSIONS
 from .catalog import register
 from .oracle_fixtures import with_fixtures
 
@@ -129,15 +129,17 @@ def category_win_rates(spark, sf_dir):
     return evaluate.category_win_rates(v, fx.categories(inst))
 
 
+D_COMPARISONS = "(values " + ", ".join(str(c) for c in COMPARISONS) + ") c(comparison, challenger, opponent)"
+
+
 @register("pairwise_eval", with_fixtures(["responses", "verdicts"], D_VERDICTS) + """,
-pairs as (select a.prompt_id from responses a join responses b using (prompt_id)
-          where a.checkpoint = 'cp2' and b.checkpoint = 'cp0'
-          qualify row_number() over (order by """ + """cast('0x' || substr(md5(concat_ws(':', '42', cast(a.prompt_id as varchar))), 1, 8) as bigint), a.prompt_id) <= 100)
-""" + D_WINS.format(src="(select v.* from vn v join pairs p using (prompt_id) where v.comparison = 'cp2_vs_cp0') s"))
+pairs as (select c.comparison, a.prompt_id from responses a join responses b using (prompt_id)
+          join """ + D_COMPARISONS + """ on a.checkpoint = c.challenger and b.checkpoint = c.opponent
+          qualify row_number() over (partition by c.comparison order by """ + """cast('0x' || substr(md5(concat_ws(':', '42', cast(a.prompt_id as varchar))), 1, 8) as bigint), a.prompt_id) <= 100)
+""" + D_WINS.format(src="(select v.* from vn v join pairs p using (comparison, prompt_id)) s"))
 def pairwise_eval(spark, sf_dir):
-    """cp2-vs-cp0 pairs zipped (E2), 100 sampled by hash (D5), verdicts
-    joined by (comparison, prompt id), unswapped and aggregated (H6)."""
+    """The pairs of every comparison (E8), 100 of each sampled by hash (D5),
+    verdicts joined by (comparison, prompt id), unswapped and aggregated (H6)."""
     inst = fx.instruct(spark, sf_dir)
-    return evaluate.pairwise_eval(fx.responses(spark, sf_dir, inst),
-                                  fx.verdicts(spark, sf_dir, inst), "cp2_vs_cp0", "cp2", "cp0",
+    return evaluate.pairwise_eval(fx.responses(spark, sf_dir, inst), fx.verdicts(spark, sf_dir, inst),
                                   sample_size=100)

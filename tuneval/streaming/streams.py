@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..operators import verdicts as V
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, scratch_table
 from ..sources import files, log_tail
 
 
@@ -90,27 +92,94 @@ def poll_training_logs(spark: SparkSession, log_dir: str) -> DataFrame:
     return files.latest_log_values(files.parse_log_lines(files.read_training_logs(spark, log_dir)))
 
 
+KEY = ("comparison", "prompt_id", "swap")
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def _first_replies(replies: DataFrame, seen_for: str) -> DataFrame:
+    """The replies whose key the state has not seen; a key leaves the state
+    ``seen_for`` after its last delivery."""
+    ttl = int(pd.Timedelta(seen_for).total_seconds() * 1000)
+
+    def first(key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = pd.concat([p.sort_values("arrived_at", kind="stable").head(1) for p in parts])
+        if not state.exists:
+            yield kept.sort_values("arrived_at", kind="stable").head(1)
+        state.update((1,))
+        state.setTimeoutDuration(ttl)
+
+    return replies.groupBy(*KEY).applyInPandasWithState(first, replies.schema, "seen int", "append", "ProcessingTimeTimeout")
+
+
+def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What the micro-batches before this one published under ``path``."""
+    try:
+        return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+    except AnalysisException:
+        return None
+
+
 def verdict_win_rates(spark: SparkSession, verdict_dir: str, watermark: str = "1 hour",
                       available_now: bool = True, interval: str = "60 seconds",
                       state_path: str | None = None, out_path: str | None = None,
-                      files_per_batch: int | None = None):
+                      files_per_batch: int | None = None, seen_for: str | None = None):
     """L2: running win rates per comparison over arriving judge replies.
 
-    Replies may be delivered more than once: duplicates of (comparison,
-    prompt_id, swap) within the watermark on ``arrived_at`` are dropped, then
-    each reply is parsed/unswapped and counted; a judgement of the swapped
-    order is one of its own. The aggregate is mutable, so the output mode is
-    ``complete`` (one small row per comparison). In this mode the engine
-    drops no reply for being late: a late one counts, and so does a copy that
-    arrives after the watermark has passed its first delivery. ``late_rows``
-    tells what an engine dropped.
+    Replies may be delivered more than once: a reply counts once per
+    (comparison, prompt_id, swap), a judgement of the swapped order is one of its
+    own. Keys are state for ``seen_for`` (twice the watermark if not set, in
+    processing time), so the state is bounded by what arrives in that time. A
+    reply whose ``arrived_at`` lies more than ``watermark`` behind the greatest
+    of the micro-batches before is late: its key may have left the state, so late
+    replies, and only these, are looked up among all replies counted so far.
+
+    Every micro-batch writes the replies it counts (``<out>_counted``), its late
+    copies (``<out>_late``) and, as result, the comparisons whose counts it
+    changed; ``changed_results(spark, out, ["comparison"])`` is the current table.
+    A batch that is run again overwrites its own folders and reads those before
+    it only, so each reply counts once.
     """
     state, out = _paths(spark, "verdicts", state_path, out_path)
     reader = spark.readStream.schema(S.RAW_VERDICT)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    d = (reader.json(verdict_dir).withWatermark("arrived_at", watermark)
-               .dropDuplicatesWithinWatermark(["comparison", "prompt_id", "swap"]))
-    rates = V.win_rates(V.normalize_verdicts(V.parse_verdicts(d)))
-    q = _run(rates, out, state, "complete", available_now, interval)
-    return q, out
+    first = _first_replies(reader.json(verdict_dir), seen_for or str(2 * pd.Timedelta(watermark)))
+    delay = F.expr(f"interval {watermark}")
+
+    def publish(batch: DataFrame, batch_id: int):
+        s = batch.sparkSession
+        done = _before(s, out, batch_id)
+        horizon = done.agg(F.max("max_arrived")).first()[0] if done is not None else None
+        here, counted, late = (f"{p}/batch_id={batch_id}" for p in (out, out + "_counted", out + "_late"))
+        if horizon is None:
+            batch.write.mode("overwrite").parquet(counted)
+        else:
+            rows = scratch_table(batch, "stream-batch")
+            is_late = F.coalesce(F.col("arrived_at") < F.lit(horizon) - delay, F.lit(False))
+            old = rows.where(is_late)
+            known = _before(s, out + "_counted", batch_id).select(*KEY)
+            (rows.where(~is_late).unionByName(old.join(known, list(KEY), "left_anti").select(*rows.columns))
+             .write.mode("overwrite").parquet(counted))
+            old.join(known, list(KEY), "left_semi").write.mode("overwrite").parquet(late)
+        new = s.read.schema(batch.schema).parquet(counted)
+        v = V.normalize_verdicts(V.parse_verdicts(new))
+        totals = V.win_counts(v).join(new.groupBy("comparison").agg(F.max("arrived_at").alias("max_arrived")), "comparison")
+        if done is not None:
+            counts = [c for c in totals.columns if c not in ("comparison", "max_arrived")]
+            last = done.groupBy("comparison").agg(F.max_by(F.struct(*counts, "max_arrived"), "batch_id").alias("r"))
+            totals = (totals.unionByName(last.select("comparison", "r.*").join(totals.select("comparison"), "comparison", "left_semi"))
+                      .groupBy("comparison").agg(*[F.sum(c).alias(c) for c in counts], F.max("max_arrived").alias("max_arrived")))
+        V.rates_of(totals, keep=("wins_a", "wins_b", "ties", "max_arrived")).write.mode("overwrite").parquet(here)
+
+    w = first.writeStream.outputMode("append").option("checkpointLocation", state).foreachBatch(publish)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    # keys time out with the next data: without it the engine would run empty batches for ever
+    before = spark.conf.get(NO_DATA_BATCHES, None)
+    spark.conf.set(NO_DATA_BATCHES, "false")
+    try:
+        return w.start(), out
+    finally:
+        spark.conf.unset(NO_DATA_BATCHES) if before is None else spark.conf.set(NO_DATA_BATCHES, before)
