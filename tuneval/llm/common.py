@@ -86,6 +86,29 @@ def record_batch(schema: T.StructType, columns: dict) -> pa.RecordBatch:
          else (c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type)) for f in s], schema=s)
 
 
+_KEPT: dict = {}
+_ASKED: list = []
+
+
+def kept(key: str, make: Callable):
+    """What a worker keeps from task to task: the thing of one key at a time."""
+    _ASKED.append(key)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _made(make: Callable):
+    """``make()``; what the worker kept for another operator goes if this one
+    keeps nothing: workers outlive stages."""
+    _ASKED.clear()
+    fn = make()
+    if not _ASKED:
+        _KEPT.clear()
+    return fn
+
+
 def per_text(df: DataFrame, id_col: str, text_col: str, fields: str,
              make: Callable[[], Callable[[list], dict]]) -> DataFrame:
     """Rows (doc_id, *fields) with the fields computed from the texts.
@@ -101,7 +124,7 @@ def per_text(df: DataFrame, id_col: str, text_col: str, fields: str,
     def run(batches: Iterator[pa.RecordBatch]):
         fn = None
         for b in batches:
-            fn = fn or make()
+            fn = fn or _made(make)
             yield record_batch(schema, {"doc_id": b.column(0), **fn(bytes_of(b.column(1)))})
 
     return src.mapInArrow(run, schema)
@@ -119,7 +142,7 @@ def keep_rows(df: DataFrame, text_col: str,
     def run(batches: Iterator[pa.RecordBatch]):
         fn = None
         for b in batches:
-            fn = fn or make()
+            fn = fn or _made(make)
             yield b.filter(pa.array(fn(bytes_of(b.column(at))), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -1,8 +1,9 @@
 """PII surrogates: keyed replacements of the same type, format and script.
 
 Detected entities are e-mail addresses, IPv4 addresses, phone numbers, card
-numbers, secret tokens and personal names after a title, with every other
-mention of such a name's parts in the same document. The value behind a
+numbers with their check digit, secret tokens and personal names after a title
+(also an academic one), with every other mention of such a name's parts in the
+same document. The value behind a
 mention (its canonical form) has one surrogate in the whole corpus, derived
 from a key; surrogates of different values differ, and none equals a value
 that occurs. A mention is rendered in its own format, so one value written
@@ -15,14 +16,19 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import bytes_of, per_text, record_batch, written
+from .permutation import Permutation
 
-KEY = b"surrogates"      # a parameter; production jobs pass a secret of their own
+KEY_CONF = "spark.tuneval.pii.key"
+_OWN_KEY = secrets.token_bytes(32)
+FULL = 4                 # a format of which more than a FULL-th occurs is permuted
+TURNED = -1              # the attempt of such values
 
 # Letters, digits and combining accents of e-mail addresses in any script.
 _LOCAL, _HOST = r"[\w\u0300-\u036f.+-]", r"(?:[^\W_]|[\u0300-\u036f-])"
@@ -47,6 +53,9 @@ _TYPES = {
 # Titles by the gender they tell.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Señorita", "Doña", "Госпожа", "г-жа")
+# Titles that stand before a name without telling a gender, or telling it.
+ALONE = ("Dr", "Prof", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Profesor", "Doctora", "Profesora")
+ALONE_FEMALE = ("Doctora", "Profesora")
 # Academic titles stand between title and name; particles stay as they are.
 DEGREES = ("Dr", "Prof", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Profesor", "Doctora", "Profesora",
            "Ing", "Dipl", "Mag", "Lic")
@@ -78,13 +87,14 @@ _PART = rf"(?!(?:{_TITLE}|{_one_of(DEGREES)})(?!\w)){_UP}[^\W\d_]*(?:['’]{_UP}
 _BETWEEN = rf"(?:{_one_of(PARTICLES)}[ ](?:{_one_of(_AFTER)}[ ])?)?(?:[dDlL]['’]|(?:al|el)-)?"
 _NAME = rf"(?:(?:{_UP}\.[ -]?)+(?={_BETWEEN}{_UP}))?{_BETWEEN}{_PART}"
 _NO_I = rf"(?!I(?![\w.'’]|[ -]{_UP}))"     # "Mr Smith I know"
-_TYPES["name"] = (rf"(?<!\w){_TITLE}\.?[ ](?:{_one_of(DEGREES)}(?:\.[ ]?|[ ]))*"
-                  rf"{_NAME}(?:[ -]{_NO_I}{_NAME})*")
+_BEFORE = rf"(?:{_TITLE}\.?[ ](?:{_one_of(DEGREES)}(?:\.[ ]?|[ ]))*|{_one_of(ALONE)}(?:\.[ ]?|[ ])(?:{_one_of(DEGREES)}(?:\.[ ]?|[ ]))*)"
+_TYPES["name"] = rf"(?<!\w){_BEFORE}{_NAME}(?:[ -]{_NO_I}{_NAME})*"
 _NAME_PART = re.compile(rf"(?<!\w)(?:{_PART})")
-_HEAD = re.compile(rf"({_TITLE})\.?[ ](?:{_one_of(DEGREES)}(?:\.[ ]?|[ ]))*")
+_HEAD = re.compile(rf"(?=({_TITLE}|{_one_of(ALONE)})(?!\w)){_BEFORE}")
+_YEAR = re.compile(r",?[ ](?:1[89]|20)\d\d(?!\d)")
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _TYPES.items()))
 # What every match of the patterns holds: a digit, an at sign or a title.
-_HINT = re.compile(rf"\d|@|\b(?:{'|'.join(MALE + FEMALE)})\b")
+_HINT = re.compile(rf"\d|@|\b(?:{'|'.join(MALE + FEMALE + ALONE)})\b")
 
 # Alphabets by script, syllables and endings that names are made of.
 _SYLLABLES = {
@@ -124,6 +134,22 @@ def luhn(number: str) -> bool:
     return total % 10 == 0
 
 
+def card_end(text: str, start: int, end: int) -> int | None:
+    """Where the longest card number that starts here ends: 13 to 19 digits with
+    a valid check digit, cut only between groups of digits."""
+    while len(value := digits(text[start:end])) >= 13:
+        if luhn(value):
+            return end
+        end = next((k for k in range(end - 1, start, -1) if not text[k].isdecimal()), start)
+    return None
+
+
+def phone_value(value: str) -> str:
+    """North American numbers are the same with and without country code."""
+    m = re.fullmatch(r"(?:00)?1(\d{10})", value)
+    return m[1] if m else value
+
+
 def entities(text: str) -> list:
     """(start, end, type, canonical value) of every mention, in order.
 
@@ -135,11 +161,12 @@ def entities(text: str) -> list:
     out, named = [], {}
     if not _HINT.search(text):
         return out
-    for m in _ANY.finditer(text):
-        kind, s = m.lastgroup, m[0]
+    at = 0
+    while m := _ANY.search(text, at):
+        kind, s, at = m.lastgroup, m[0], m.end()
         if kind == "name":
             head = _HEAD.match(text, m.start())
-            gender = "f" if head[1] in FEMALE else "m"
+            gender = "m" if head[1] in MALE else "f" if head[1] in FEMALE + ALONE_FEMALE else "u"
             for p in _NAME_PART.finditer(text, head.end(), m.end()):
                 w = p[0].lower()
                 kind = "initial" if len(w) == 1 and w != w.upper() else "name"
@@ -147,25 +174,47 @@ def entities(text: str) -> list:
                 if kind == "name":
                     named.setdefault(w, []).append((p.start(), gender))
             continue
-        value = s.lower() if kind in ("email", "token", "ip") else digits(s)
-        if kind == "phone" and not 7 <= len(value) <= 15:
-            continue
-        out.append((m.start(), m.end(), kind, value))
-    return with_untitled(text, out, named) if named else out
+        end = m.end()
+        if kind == "card":
+            end = card_end(text, m.start(), end)
+            at = end or m.start() + len(re.match(r"\d+", s)[0])      # what follows may be another entity
+            if end is None:
+                continue
+        value = s.lower() if kind in ("email", "token", "ip") else digits(text[m.start():end])
+        if kind == "phone":
+            if not 7 <= len(value) <= 15:
+                continue
+            value = phone_value(value)
+        out.append((m.start(), end, kind, value))
+    return with_untitled(text, out, told(out, named)) if named else out
+
+
+def told(found: list, named: dict) -> dict:
+    """A part after a title that tells no gender has the gender that the part's
+    other titles in the document tell, if any does (``found`` is changed)."""
+    known = {w: next((g for _, g in m if g != "u"), "u") for w, m in named.items()}
+    for k, (a, b, kind, value) in enumerate(found):
+        if kind == "name" and value.startswith("u:") and known[w := value.split(":", 2)[2]] != "u":
+            found[k] = (a, b, kind, known[w] + value[1:])
+    return {w: [(a, known[w] if g == "u" else g) for a, g in m] for w, m in named.items()}
 
 
 def with_untitled(text: str, found: list, named: dict) -> list:
     """``found`` with the mentions of the named parts that have no title.
 
-    ``named`` has the (start, gender) of the titled mentions of each part.
+    ``named`` has the (start, gender) of the titled mentions of each part. A
+    part that the text also has in lower case is a common word: without title it
+    is no mention, and neither is one before a year ("May 2020").
     """
     out, at = [], 0
+    named = {w: m for w, m in named.items() if not re.search(rf"(?<!\w){re.escape(w)}(?!\w)", text)
+             or w.upper() == w}
     for p in _NAME_PART.finditer(text):
         end = p.end()
         titled = named.get(w := p[0].lower())
         if not titled and w.endswith("s"):   # "Schmidts Haus"
             titled, w, end = named.get(w[:-1]), w[:-1], end - 1
-        if not titled:
+        if not titled or _YEAR.match(text, end):
             continue
         while at < len(found) and found[at][1] <= p.start():
             out.append(found[at])
@@ -192,8 +241,36 @@ class Stream:
         return r
 
 
+def phone_head(value: str) -> int:
+    """Digits that stay: the country code or a leading 0."""
+    return min(max(len(value) - 10, value.startswith("0")), 3)
+
+
+def room(kind: str, value: str) -> tuple | None:
+    """(name, number of values) of the format that a value and its surrogates
+    share, for formats that a large corpus may fill."""
+    if kind == "phone":
+        head = phone_head(value)
+        return f"phone:{len(value)}:{value[:head]}", 10 ** (len(value) - head)
+    return {"ssn": ("ssn", 10**9), "ip": ("ip", 1 << 32)}.get(kind)
+
+
+def turned(key: bytes, kind: str, value: str) -> str:
+    """The surrogate in a full format: a permutation of all its values, so that
+    different values have different ones and none its own."""
+    name, size = room(kind, value)
+    p = Permutation(hmac.digest(key, name.encode(), hashlib.sha256), size)
+    if kind == "ip":
+        n = p.turn(int.from_bytes(map(int, value.split("."))))
+        return ".".join(map(str, n.to_bytes(4)))
+    head = phone_head(value) if kind == "phone" else 0
+    return value[:head] + str(p.turn(int(value[head:]))).zfill(len(value) - head)
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """Canonical surrogate of a canonical value."""
+    if attempt == TURNED:
+        return turned(key, kind, value)
     s = Stream(key, kind, value, attempt)
     if kind == "email":
         local, _, host = value.partition("@")
@@ -222,11 +299,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
             return f"{gender}:{script}:" + "".join(letters[s.below(len(letters))] for _ in range(len(part) + more))
         n = max(1, min(len(part) // 2, 6)) + (attempt > 4) * (attempt - 4)
         made = "".join(_SYLLABLES[script][s.below(len(_SYLLABLES[script]))] for _ in range(n + 1))
-        return f"{gender}:{script}:{made}{_ENDINGS[script, gender]}"
+        return f"{gender}:{script}:{made}{_ENDINGS.get((script, gender), '')}"
     if kind == "ssn":
         return "".join(str(s.below(10)) for _ in value)
     if kind == "phone":
-        head = min(max(len(value) - 10, value.startswith("0")), 3)   # the country code or leading 0 stays
+        head = phone_head(value)
         return value[:head] + "".join(str(s.below(10)) for _ in value[head:])
     body = "".join(str(s.below(9) + 1 if i == 0 else s.below(10)) for i in range(len(value) - 1))
     last = [d for d in "0123456789" if luhn(body + d) == luhn(value)]
@@ -236,7 +313,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
 def render(mention: str, kind: str, made: str) -> str:
     """The surrogate in the mention's format."""
     if kind in ("card", "phone", "ssn"):
-        it = iter(made)
+        own = digits(mention)                # a country code that is not part of the value stays
+        it = iter(own[:len(own) - len(made)] + made)
         return "".join(next(it) if c.isdecimal() and c.isascii() else c for c in mention)
     if kind in ("name", "initial"):
         w = made.rpartition(":")[2]
@@ -264,15 +342,40 @@ def distinct_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, _MENTIONS).distinct()
 
 
-def attempts(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key (``spark.tuneval.pii.key``), or a random one of this
+    process: without the key nobody derives a surrogate from a value."""
+    k = spark.conf.get(KEY_CONF, None)
+    return k.encode() if k else _OWN_KEY
+
+
+def in_full_formats(found: DataFrame) -> DataFrame:
+    """(kind, value) of the values whose format is so full that free surrogates run out."""
+    def run(batches):
+        for b in batches:
+            rooms = [room(k, v) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([r and r[0] for r in rooms], pa.string()),
+                 pa.array([r and float(r[1]) for r in rooms], pa.float64())], names=["kind", "value", "room", "size"])
+    rooms = found.mapInArrow(run, _MENTIONS + ", room string, size double").where("room is not null")
+    full = rooms.groupBy("room").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(
+        F.col("n") * FULL > F.col("size"))
+    return rooms.join(full.select("room"), "room", "left_semi").select("kind", "value")
+
+
+def attempts(found: DataFrame, key: bytes | None = None) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate collides.
 
     A candidate is refused if it equals a value of its kind that occurs in
     the corpus, or a surrogate given before; of equal candidates the least
-    value keeps it. The others try again until none is left. Values without
-    a row here have attempt 0.
+    value keeps it. The others try again until none is left: formats of digits
+    have room, at least half of it free, or else all their values are permuted
+    among themselves (a surrogate may then equal a value that occurs); names and
+    addresses grow with the attempts. Values without a row here have attempt 0.
     """
+    key = key or key_of(found.sparkSession)
     found = written(found, "pii-values")
+    full = written(in_full_formats(found), "pii-full")
 
     def candidates(rows, n):
         def run(batches):
@@ -283,7 +386,10 @@ def attempts(found: DataFrame, key: bytes = KEY) -> DataFrame:
                                                         pa.string())], names=["kind", "value", "made"])
         return rows.select("kind", "value").mapInArrow(run, _MENTIONS + ", made string")
 
-    left, given, late, n = found, None, None, 0
+    left, given, n = found, None, 0
+    late = None if full.isEmpty() else full.withColumn("attempt", F.lit(TURNED))
+    if late is not None:
+        left = written(found.join(full, ["kind", "value"], "left_anti").select("kind", "value"), "pii-free")
     while True:
         c = candidates(left, n).join(found.select("kind", F.col("value").alias("made")), ["kind", "made"], "left_anti")
         if given is not None:
@@ -302,9 +408,11 @@ def attempts(found: DataFrame, key: bytes = KEY) -> DataFrame:
     return written(late, "pii-attempts")
 
 
-def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None) -> DataFrame:
     """doc_id, text, n_entities, kinds: every document with surrogates for its PII.
 
+    ``key`` is the secret that surrogates follow from (``key_of`` without it).
+
     Documents without PII keep their text. Null texts stay null. The same
     value gets the same surrogate in every document and run with the same
     key and corpus; repeated rows get equal rows. The few values that
@@ -312,6 +420,7 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     surrogates follow from the key, so documents without such values are not
     shuffled with a table of entities.
     """
+    key = key or key_of(docs.sparkSession)
     late = attempts(distinct_entities(docs, text_col), key)
     src = docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")).alias("id"),
                       F.col(text_col).alias("text"))

@@ -13,7 +13,7 @@ import json
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import per_text
+from .common import kept, per_text
 from .vocab import Remembered, Vocab, byte_alphabet, read_spec, to_alphabet
 
 LIMIT = 1024
@@ -96,17 +96,6 @@ class Counter:
         return len(parts) - 1 + sum(self.plain(p) for p in parts if p)
 
 
-_COUNTERS: dict = {}
-
-
-def _counter(key: str, shipped) -> Counter:
-    """The worker's counter: its tasks share what has been merged."""
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(*shipped.value)
-    return _COUNTERS[key]
-
-
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                  limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every document.
@@ -123,7 +112,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     key = hashlib.sha256(spec.encode()).hexdigest()
 
     def make():
-        c = _counter(key, shipped)
+        c = kept(f"counter {key}", lambda: Counter(*shipped.value))   # tasks share what has been merged
 
         def run(texts):
             n = [c.count(t.decode("utf-8", "replace") if t else None) for t in texts]

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import bytes_of, record_batch
+from .common import bytes_of, kept, record_batch
 from .vocab import Vocab, read_spec, to_alphabet
 
 END = 1
@@ -180,17 +180,6 @@ class Encoder:
         return np.diff(ends, prepend=0) + 1, np.insert(ids, ends, np.int32(end))
 
 
-_ENCODERS: dict = {}
-
-
-def _encoder(key: str, shipped) -> Encoder:
-    """The worker's encoder: its tasks share the words that were encoded."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shipped.value)
-    return _ENCODERS[key]
-
-
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "doc_id",
                  text_col: str = "text", end: int = END) -> None:
     """Write (part, doc_id, offset, n_tokens, ids) in ascending id order.
@@ -215,7 +204,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "
         from pyspark import TaskContext
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            enc = _encoder(key, shipped)
+            enc = kept(f"encoder {key}", lambda: Encoder(shipped.value))     # tasks share the words that were encoded
             n, ids = enc.encode(bytes_of(b.column(1)), end)
             stop = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(ids))
