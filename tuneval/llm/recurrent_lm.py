@@ -90,21 +90,29 @@ def split_texts(docs: DataFrame, held: Column, id_col: str, text_col: str, head,
     def run(batches):
         h = head.value
         get, own, part, pos = h.number.get, h.own, TaskContext.get().partitionId(), 0
+        log_of_other = np.where(np.arange(len(h.log)) < own, 0.0, h.log)
+        token = np.minimum(np.r_[np.arange(len(h.log)), own], own).astype(np.uint16)     # of -1: an other word
+        end = get(END, -1)
+        ending = token[[end]]
+        end_known, end_log, end_other = (1, h.log[end], log_of_other[end]) if end >= 0 else (0, 0.0, 0.0)
         for b in batches:
             cols: dict = {f.name: [] for f in schema[2:] if f.name != "rest"}
             rest_words, rest_counts, rest_ends = [], [], [0]
             for text, out in zip(bytes_of(b.column(1)), b.column(2).to_pylist()):
-                rest, ids, n_head, head_log, other_log = Counter(), [], 0, 0.0, 0.0
-                for words in (*folded_words(text or END, FOLD), [END]):
+                rest, ids, n_head, head_log, other_log = Counter(), [], end_known, end_log, end_other
+                for words in folded_words(text or END, FOLD):
                     at = np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words))
-                    known = at[at >= 0]
-                    n_head += len(known)
-                    logs = h.log[known]
-                    head_log += logs.sum()
-                    other_log += logs[known >= own].sum()
-                    rest.update([words[k] for k in np.flatnonzero(at < 0).tolist()])
-                    ids.append(np.where((at < 0) | (at >= own), own, at).astype(np.uint16))
-                ids = np.concatenate(ids)
+                    ids.append(token[at])
+                    unknown = at < 0
+                    if unknown.any():
+                        rest.update([words[k] for k in np.flatnonzero(unknown).tolist()])
+                        at = at[~unknown]
+                    n_head += len(at)
+                    head_log += h.log[at].sum()
+                    other_log += log_of_other[at].sum()
+                if end < 0:
+                    rest[END] += 1
+                ids = np.concatenate((*ids, ending))
                 for name, x in (("pos", pos), ("held", out), ("n_tokens", len(ids)), ("n_head", n_head),
                                 ("n_other", int((ids == own).sum())), ("head_log", head_log),
                                 ("other_log", other_log), ("ids", ids.tobytes()),
@@ -232,7 +240,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         flat, seen = trained(split.where(F.col("round") == r), layout, flat, seen, hidden, rate)
 
     rest = (split.select("part", "pos", F.explode("rest").alias("r")).select("part", "pos", "r.*")
-            .join(counts.where(~frequent), "word").groupBy("part", "pos")
+            # words are counted once, so no part of the hash table is larger than others
+            .join(counts.where(~frequent).hint("shuffle_hash"), "word").groupBy("part", "pos")
             .agg(F.sum("n").alias("n_rest"), F.sum(F.col("n") * F.log10(F.col("c") + 0.1)).alias("rest_log")))
     all_tokens, n_rest = F.col("n_tokens"), F.coalesce("n_rest", F.lit(0))
     n_known = F.col("n_head") + n_rest
