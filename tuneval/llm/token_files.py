@@ -84,7 +84,6 @@ class IdTable(dict):
 
     def __missing__(self, key):
         row = self[key] = len(self)
-        self.size += len(key) + KEY_BYTES
         self.unknown.append(key)
         return row
 
@@ -96,6 +95,7 @@ class IdTable(dict):
         rows = np.fromiter(map(self.__getitem__, keys), dtype=np.int64, count=len(keys))
         if self.unknown:
             new, self.unknown = self.unknown, []
+            self.size += sum(map(len, new)) + KEY_BYTES * len(new)
             n, ids = self.resolve(new)
             self.ends = _room(self.ends, known + 1 + len(n))
             start = self.ends[known]
