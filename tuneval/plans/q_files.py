@@ -49,21 +49,25 @@ def write_array_files(rows, names, path):
     object of the arrays ``names``, or one array if there is one name, None.
 
     A file's lines are sorted and streamed out; no array is gathered in a row.
+    The brackets come with the file's first line: lines and brackets from two
+    sides of a union need not meet in one task, and then not in one file.
     """
-    rows = rows.select("bucket", F.coalesce("name", F.lit("")).alias("name"), "pos", "value")
     keys = [n or "" for n in names]
     opens = ["[" if n is None else (", " if k else "{") + f'"{n}": [' for k, n in enumerate(names)]
-    at = F.array_position(F.array(*map(F.lit, keys)), F.col("name")).cast("int")
-    nth = F.row_number().over(Window.partitionBy("bucket", "name").orderBy("pos"))
-    lines = rows.select("bucket", (2 * at).alias("ord"), "pos",
-                        F.concat(F.when(nth == 1, "").otherwise(","), "value").alias("value"))
     marks = [(2 * k + 1, ("]" if k else "") + o) for k, o in enumerate(opens)]
     marks.append((2 * len(names) + 1, "]" if names[0] is None else "]}"))
-    around = rows.select("bucket").distinct().select("bucket", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("ord"), F.lit(0).cast("long").alias("pos"), F.lit(v).alias("value"))
-        for k, v in marks])).alias("m")).select("bucket", "m.*")
-    (lines.unionByName(around).repartition("bucket").sortWithinPartitions("bucket", "ord", "pos")
-     .select("bucket", "value").write.partitionBy("bucket").text(path))
+    at = F.array_position(F.array(*map(F.lit, keys)), F.coalesce("name", F.lit(""))).cast("int")
+    w = Window.partitionBy("bucket").orderBy("ord", "pos")
+    lines = rows.select("bucket", (2 * at).alias("ord"), "pos", "value").select(
+        "bucket", "ord", F.row_number().over(w).alias("nth"), F.lag("ord").over(w).alias("before"), "value")
+
+    def part(ord_, value):
+        return F.struct(ord_.alias("ord"), value.alias("value"))
+    line = part(F.col("ord"), F.concat(F.when(F.col("before") == F.col("ord"), ",").otherwise(""), "value"))
+    around = F.array(*[part(F.lit(k), F.lit(v)) for k, v in marks])
+    parts = F.when(F.col("nth") == 1, F.concat(F.array(line), around)).otherwise(F.array(line))
+    (lines.select("bucket", "nth", F.explode(parts).alias("p")).sortWithinPartitions("bucket", "p.ord", "nth")
+     .select("bucket", "p.value").write.partitionBy("bucket").text(path))
     return path
 
 
