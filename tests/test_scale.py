@@ -31,3 +31,28 @@ def test_array_files_are_whole_whatever_the_sides_sizes(spark, tmp_path):
     assert all([i // 80 for i in x[0]] == sorted(i // 80 for i in x[0]) for x in per.values())
     d = files.read_instruction_array(spark, path, S.INSTRUCTION)
     assert d.count() == n
+
+
+def test_rouge_n_keeps_ngrams_in_their_row(spark):
+    """No row per n-gram, whose hash table would grow with a task's texts; rows of one key count as one."""
+    from collections import Counter
+    from tuneval.operators import textsim
+    long = [" ".join(f"w{(i * k) % 61}" for i in range(700)) for k in (7, 11)]
+    rows = [(1, "a b a b c", "b a b a a"), (2, *long), (3, "", ""), (4, "x", "x"), (None, "a b", "b a"),
+            (5, "a a b", "a b"), (5, "b b", "a b b")]
+    d = textsim.rouge_n(spark.createDataFrame(rows, "id int, response string, reference string"), ["id"])
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    got = {r.id: (r.rouge1, r.rouge2) for r in d.collect()}
+    want = {}
+    for n in (1, 2):
+        sides = {}
+        for i, *texts in rows:
+            for side, t in enumerate(texts):
+                w = t.split()
+                sides.setdefault(i, (Counter(), Counter()))[side].update(
+                    tuple(w[k:k + n]) for k in range(len(w) - n + 1))
+        for i, (p, r) in sides.items():
+            common = sum((p & r).values())
+            want.setdefault(i, []).append(2.0 * common / (p.total() + r.total()) if common else 0.0)
+    assert got == {i: tuple(x) for i, x in want.items()}

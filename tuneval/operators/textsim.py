@@ -1,8 +1,7 @@
 """Text similarity, length and completion metrics.
 
-ROUGE-N is native: the text rows are hash-partitioned by their key once,
-then n-grams are exploded and counted per (key, n, gram) inside the task
-that holds the row (no n-gram shuffle). ROUGE-L needs an LCS, computed per
+ROUGE-N is native: the n-grams of a row are sorted and merged within the row,
+so no n-gram leaves it and a task holds one row's at a time. ROUGE-L needs an LCS, computed per
 row by a bit-parallel Arrow UDF on whole texts. BERTScore takes token
 vectors and is one matrix product per row, in Arrow batches.
 """
@@ -62,39 +61,38 @@ def rouge_n(df: DataFrame, keys, pred: str = "response", ref: str = "reference",
     ``carry``: columns of the row that stay with it. Tokens that
     ``rouge_l(keep_tokens=True)`` has left are taken as they are.
 
-    Plan: the text rows are hash-partitioned by the row key once; n-grams
-    are exploded and counted per (key, n, gram), then summed per key. Both
-    aggregates group by a superset of the partitioning key, so Spark adds no
-    exchange: n-grams never leave the task that holds their row (only the
-    texts are shuffled). Gram totals come from the same counts; a NULL
-    marker gram per (row, n) keeps rows that have no tokens.
+    Rows of one key (and the same carried columns) count as one, with the
+    n-grams of all. Plan: the texts are grouped by key, then each group's
+    n-grams are sorted and the two sides merged within the row.
     """
     if {"_tp", "_tr"} <= set(df.columns):
-        d = df.select(*keys, *carry, "_tp", "_tr").repartition(*keys)
+        d = df.select(*keys, *carry, "_tp", "_tr")
     else:
         d = with_tokens(df.select(*keys, *carry, pred, ref).repartition(*keys), pred, ref, stem)
     keys = [*keys, *carry]
-    parts = []
-    for n in ns:
-        for s_, c in (("p", "_tp"), ("r", "_tr")):
-            parts.append(F.struct(F.lit(n).alias("n"), F.lit(s_).alias("side"),
-                                  _grams(F.col(c), n).alias("g")))
-        parts.append(F.struct(F.lit(n).alias("n"), F.lit("x").alias("side"),
-                              F.array(F.lit(None).cast("string")).alias("g")))
-    ex = d.select(*keys, F.explode(F.array(*parts)).alias("x")) \
-          .select(*keys, "x.n", "x.side", F.explode("x.g").alias("gram"))
-    cnt = ex.groupBy(*keys, "n", "gram").agg(
-        F.count(F.when(F.col("side") == "p", 1)).alias("cp"),
-        F.count(F.when(F.col("side") == "r", 1)).alias("cr"))
-    aggs = []
+    d = d.groupBy(*keys).agg(F.collect_list(F.struct("_tp", "_tr")).alias("_rows"))
+
+    def grams(side, n):
+        return F.sort_array(F.flatten(F.transform("_rows", lambda r: _grams(r[side], n))))
     for n in ns:
-        on = F.col("n") == n
-        aggs += [F.sum(F.when(on, F.col("cp"))).alias(f"_lp{n}"),
-                 F.sum(F.when(on, F.col("cr"))).alias(f"_lr{n}"),
-                 F.sum(F.when(on, F.least("cp", "cr"))).alias(f"_ov{n}")]
-    per = cnt.groupBy(*keys).agg(*aggs)
-    return per.select(*keys, *[_f(F.coalesce(F.col(f"_ov{n}"), F.lit(0)), F.col(f"_lp{n}"),
-                                  F.col(f"_lr{n}")).alias(f"rouge{n}") for n in ns])
+        d = d.withColumns({f"_p{n}": grams("_tp", n), f"_r{n}": grams("_tr", n)})
+    # a column of its own: the formula names the overlap twice
+    d = d.withColumns({f"_ov{n}": _common(F.col(f"_p{n}"), F.col(f"_r{n}")) for n in ns})
+    return d.select(*keys, *[_f(F.col(f"_ov{n}"), F.size(f"_p{n}"), F.size(f"_r{n}")).alias(f"rouge{n}") for n in ns])
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Number of elements that two sorted arrays share, repeats counted: one
+    step per element, at most, over the places in both."""
+    def step(s, _):
+        x, y = F.get(a, s["i"]), F.get(b, s["j"])
+
+        def to(i, j, n):
+            return F.struct((s["i"] + i).alias("i"), (s["j"] + j).alias("j"), (s["n"] + n).alias("n"))
+        return F.when(x == y, to(1, 1, 1)).when(x < y, to(1, 0, 0)).otherwise(to(0, 1, 0))
+    zero = F.lit(0)
+    return F.aggregate(F.sequence(zero, F.size(a) + F.size(b)),
+                       F.struct(zero.alias("i"), zero.alias("j"), zero.alias("n")), step, lambda s: s["n"])
 
 
 @F.pandas_udf(T.DoubleType())

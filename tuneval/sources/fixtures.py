@@ -75,11 +75,12 @@ def responses(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None) -
             .select("prompt_id", "output", "c.checkpoint", "c.pct")
     h = "cast(conv(substr(md5(concat(prompt_id, '|', checkpoint{})), 1, 8), 16, 10) as bigint)"
     keep = f"pmod({h.format(", '|', i + 1")}, 100) < pct"
-    x = x.selectExpr("prompt_id", "checkpoint", f"pmod({h.format('')}, 20) as b",
-                     f"filter(split(output, ' '), (w, i) -> {keep}) as kept",
-                     f"transform(split(output, ' '), (w, i) -> case when {keep} then w else 'so' end) as swapped")
+    x = x.selectExpr("prompt_id", "checkpoint", f"pmod({h.format('')}, 20) as b", "split(output, ' ') as ws",
+                     f"transform(split(output, ' '), (w, i) -> {keep}) as ks")
+    x = x.selectExpr("prompt_id", "checkpoint", "b", "ws", "ks", "filter(ws, (w, i) -> get(ks, i)) as kept")
     resp = """case when b = 0 then '[no output]' when b = 1 then '[error: x]' when b = 3 then ''
-              else array_join(case b % 4 when 0 then kept when 1 then reverse(kept) when 2 then swapped
+              else array_join(case b % 4 when 0 then kept when 1 then reverse(kept)
+                   when 2 then transform(ws, (w, i) -> case when get(ks, i) then w else 'so' end)
                    else concat(slice(kept, size(kept) div 2 + 1, size(kept)), slice(kept, 1, size(kept) div 2)) end,
                    ' ') end"""
     return x.where("b <> 2").selectExpr(f"'{OPEN_SUITE}' as suite", "prompt_id", "checkpoint", f"{resp} as response")
