@@ -56,3 +56,14 @@ def test_rouge_n_keeps_ngrams_in_their_row(spark):
             common = sum((p & r).values())
             want.setdefault(i, []).append(2.0 * common / (p.total() + r.total()) if common else 0.0)
     assert got == {i: tuple(x) for i, x in want.items()}
+
+
+def test_json_items_of_one_row_group_are_many_tasks(spark, tmp_path):
+    """Events take few bytes: a file that is one scan task must not be parsed by one task."""
+    from tuneval.sources import fixtures as fx
+    e = spark.range(300000).select(
+        F.col("id").alias("event_id"), F.lit("click").alias("event_type"), (F.col("id") * 7919 % 100003).alias("user_id"),
+        F.concat(F.lit('{"k": '), (F.col("id") * 31 % 1009).cast("string"), F.lit("}")).alias("props"))
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    rows = fx.json_items(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(rows) > 1 and sum(r["count"] for r in rows) == 900000

@@ -92,10 +92,13 @@ def json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     The expected value is an object built from an event; the response is one
     of ten shapes a model might produce (see FIXTURES.md). Written as SQL
     expressions; the shape code is referenced once (``element_at``).
+
+    The events are dealt out before they become texts: they take few bytes, so
+    a scan gives them to few tasks, and what follows parses each one.
     """
     e = table(spark, sf_dir, "events").select(
         "event_id", "event_type", "user_id",
-        F.regexp_extract("props", "([0-9]+)", 1).alias("k"))
+        F.regexp_extract("props", "([0-9]+)", 1).alias("k")).repartition("event_id", "user_id", "k")
     e = e.select("*", _checkpoints(CHECKPOINT_BIAS, "bias").alias("c")) \
          .select("event_id", "event_type", "user_id", "k", "c.checkpoint", "c.bias")
     t, u, k = "event_type", "cast(user_id as string)", "k"
