@@ -67,3 +67,19 @@ def test_json_items_of_one_row_group_are_many_tasks(spark, tmp_path):
     e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     rows = fx.json_items(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(rows) > 1 and sum(r["count"] for r in rows) == 900000
+
+
+def test_stream_state_is_shared_by_many_keys(spark, tmp_path):
+    """Calls per key cost more than the key's work: keys share states, copies still count once, null keys too."""
+    from tuneval.streaming import streams
+    n, raw = 6000, '{"response_a_scores": {}, "response_b_scores": {}, "winner": "A"}'
+    v = spark.range(n).select(
+        F.lit("cp1_vs_cp0").alias("comparison"), F.when(F.col("id") > 0, F.col("id") + F.lit(1 << 60)).alias("prompt_id"),
+        F.lit(0).alias("swap"), F.lit(raw).alias("raw"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("arrived_at"))
+    for part in "ab":
+        v.coalesce(1).write.json(str(tmp_path / part))
+    q, out = streams.verdict_win_rates(spark, str(tmp_path / "*"), state_path=str(tmp_path / "s"), out_path=str(tmp_path / "r"))
+    q.awaitTermination()
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= streams.GROUPS
+    r = streams.changed_results(spark, out, ["comparison"]).collect()
+    assert [(x.total_pairs, x.challenger_wins, x.max_arrived.timestamp()) for x in r] == [(n, n, 1704067200.0 + n - 1)]

@@ -96,22 +96,48 @@ KEY = ("comparison", "prompt_id", "swap")
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
+NEVER = (1 << 63) - 1      # no arrival known: behind every other
+GROUPS = 1 << 12           # keys share a state: a call of the function costs more than a key in it
+
+
 def _first_replies(replies: DataFrame, seen_for: str) -> DataFrame:
     """The replies whose key the state has not seen; a key leaves the state
-    ``seen_for`` after its last delivery."""
+    ``seen_for`` after its last delivery. Of a micro-batch's copies the one
+    that arrived first counts.
+
+    A state holds the keys of one hash group with the time of their last
+    delivery. Keys and times travel as a text and a number, which keep their
+    values beside nulls.
+    """
     ttl = int(pd.Timedelta(seen_for).total_seconds() * 1000)
 
-    def first(key, parts, state):
-        if state.hasTimedOut:
+    def first(_, parts, state):
+        now = state.getCurrentProcessingTimeMs()
+        seen = dict(zip(*state.get)) if state.exists else {}
+        here = []
+        if not state.hasTimedOut:
+            d = pd.concat(list(parts), ignore_index=True)
+            here = d["key"].unique().tolist()
+            d = d[~d["key"].isin(seen.keys())].sort_values("arrived_at", kind="stable").drop_duplicates("key")
+            if len(d):
+                yield d.drop(columns="group", errors="ignore")
+        kept = {k: t for k, t in seen.items() if t + ttl > now} | dict.fromkeys(here, now)
+        if not kept:
             state.remove()
             return
-        kept = pd.concat([p.sort_values("arrived_at", kind="stable").head(1) for p in parts])
-        if not state.exists:
-            yield kept.sort_values("arrived_at", kind="stable").head(1)
-        state.update((1,))
-        state.setTimeoutDuration(ttl)
-
-    return replies.groupBy(*KEY).applyInPandasWithState(first, replies.schema, "seen int", "append", "ProcessingTimeTimeout")
+        state.update((list(kept), list(kept.values())))
+        state.setTimeoutDuration(max(1, min(kept.values()) + ttl - now))
+
+    key = F.struct(*KEY)
+    of_key = replies.select(*KEY).schema
+    rest = [c for c in replies.columns if c not in (*KEY, "arrived_at")]
+    d = replies.select(F.to_json(key).alias("key"), F.coalesce(F.unix_micros("arrived_at"), F.lit(NEVER)).alias("arrived_at"),
+                       *rest)
+    d = (d.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS))).groupBy("group")
+         .applyInPandasWithState(first, d.schema, "keys array<string>, times array<long>", "append", "ProcessingTimeTimeout"))
+    d = d.withColumns({"key": F.from_json("key", of_key), "arrived_at": F.when(
+        F.col("arrived_at") < NEVER, F.timestamp_micros("arrived_at"))})
+    return d.select(*[F.col("key")[c].alias(c) if c in KEY else F.col(c) for c in replies.columns])
 
 
 def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
