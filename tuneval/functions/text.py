@@ -78,7 +78,8 @@ def _slice(x: Column, start: int, end: Column) -> Column:
 
 def fence_strip_regex(c) -> Column:
     """F3b (only ``\\n`` ends a line, as in Python): ``re.sub(r'^```json\\s*|```$', '', x.strip(), flags=re.M).strip()``."""
-    return utrim(F.regexp_replace(utrim(c), r"(?mdU)^```json\s*|```$", ""))
+    x = utrim(c)
+    return F.when(x.contains("```"), utrim(F.regexp_replace(x, r"(?mdU)^```json\s*|```$", ""))).otherwise(x)
 
 
 def strip_prompt_echo(full, prompt) -> Column:

@@ -37,11 +37,9 @@ def parse_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def _type_sql(x: str) -> str:
     """Coarse JSON type of a VARIANT SQL expression (as ``jsonfn.json_type_of``)."""
-    sv = f"schema_of_variant({x})"
-    return (f"case when {x} is null then null when {sv} like 'OBJECT%' then 'object' "
-            f"when {sv} like 'ARRAY%' then 'array' when {sv} = 'STRING' then 'string' "
-            f"when {sv} = 'BOOLEAN' then 'boolean' when {sv} = 'VOID' then 'null' "
-            "else 'number' end")
+    names = ", ".join(f"'{k}', '{name}'" for k, name in J.TYPE_NAMES)
+    return (f"case when {x} is not null then coalesce(element_at(map({names}), "
+            f"substring(schema_of_variant({x}), 1, 4)), 'number') end")
 
 
 def _dims_sql() -> str:
