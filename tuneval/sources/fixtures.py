@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import hash_of
 from ..schemas import COMPARISONS, DIMENSIONS
+from ..session import scratch_table
 from .tables import table
 
 # Checkpoint names and response-length percentages of F-2.
@@ -57,6 +58,22 @@ def instruct(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text_next").alias("output"))
 
 
+def dealt(df: DataFrame, *keys) -> DataFrame:
+    """Rows dealt out to all shuffle partitions. They take few bytes for the work
+    that follows; partitions of a given number are not put together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def written_instruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-1 written once, for queries that use the prompts several times."""
+    return scratch_table(dealt(instruct(spark, sf_dir), "prompt_id"), "instruct")
+
+
+def written_responses(spark: SparkSession, sf_dir: str, inst: DataFrame) -> DataFrame:
+    """F-2 written once: every word of it costs a hash."""
+    return scratch_table(responses(spark, sf_dir, inst), "responses")
+
+
 def _checkpoints(pairs, second: str) -> F.Column:
     return F.explode(F.array(*[F.struct(F.lit(a).alias("checkpoint"), F.lit(b).alias(second))
                                for a, b in pairs]))
@@ -105,8 +122,8 @@ def json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = f"""concat('{{"event_type": "', {t}, '", "k": ', {k}, ', "user_id": ', {u}, '}}')"""
     hh = ("pmod(cast(conv(substr(md5(concat(cast(event_id as string), '|', checkpoint)), 1, 8), "
           "16, 10) as bigint), 100)")
-    e = e.selectExpr("event_id", "event_type", "user_id", "k", "checkpoint", f"{ex} as expected",
-                     f"case when {hh} < bias then 0 else pmod({hh}, 10) end as b")
+    e = e.selectExpr("event_id", "event_type", "user_id", "k", "checkpoint", "bias", f"{ex} as expected", f"{hh} as hh") \
+         .selectExpr("*", "case when hh < bias then 0 else pmod(hh, 10) end as b")
     shapes = [
         "expected",
         f"""concat('{{"user_id": ', {u}, ', "k": ', {k}, ', "event_type": "', {t}, '"}}')""",
@@ -154,8 +171,8 @@ def verdicts(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None) ->
     Column calls; same rows as the DuckDB spelling in ``oracle_fixtures``.
     """
     inst = inst if inst is not None else instruct(spark, sf_dir)
-    x = inst.select("prompt_id", F.explode(F.array(*[F.lit(c) for c, _, _ in COMPARISONS]))
-                    .alias("comparison"))
+    x = dealt(inst.select("prompt_id"), "prompt_id").select(
+        "prompt_id", F.explode(F.array(*[F.lit(c) for c, _, _ in COMPARISONS])).alias("comparison"))
     winners = "array(" + ", ".join(f"'{w}'" for w in WINNER_LABELS) + ")"
     body = ("concat('{\"response_a_scores\": ', " + _sql_scores("a") +
             ", ', \"response_b_scores\": ', " + _sql_scores("b") +
@@ -169,7 +186,8 @@ def verdicts(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None) ->
                         "case when bi <= 6 then 1 when bi <= 8 then 2 else 3 end) as raw")
 
 
-def token_vectors(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None) -> DataFrame:
+def token_vectors(spark: SparkSession, sf_dir: str, inst: DataFrame | None = None,
+                  resp: DataFrame | None = None) -> DataFrame:
     """F-5: ``(prompt_id, checkpoint, pred, ref)`` token-vector arrays (double).
 
     The sentences of a response and of its reference stand for tokens; a
@@ -177,7 +195,8 @@ def token_vectors(spark: SparkSession, sf_dir: str, inst: DataFrame | None = Non
     one in 41 the zero vector. A text without sentences has no vectors.
     """
     inst = inst if inst is not None else instruct(spark, sf_dir)
-    pairs = responses(spark, sf_dir, inst).join(inst.select("prompt_id", "output"), "prompt_id")
+    resp = resp if resp is not None else responses(spark, sf_dir, inst)
+    pairs = resp.join(inst.select("prompt_id", "output"), "prompt_id")
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     n = e.agg(F.count(F.lit(1)).alias("n"))
     units = "filter(transform(split({}, '[.]'), x -> trim(x)), x -> x <> '')"
