@@ -63,16 +63,19 @@ rouge as (
   from toks t left join ov using (prompt_id, checkpoint))"""
 
 
-def scored_pairs(spark, sf_dir, inst=None):
+def scored_pairs(spark, sf_dir, inst=None, resp=None):
     """Responses with their reference (the expected output) by prompt id."""
     inst = inst if inst is not None else fx.instruct(spark, sf_dir)
-    return fx.responses(spark, sf_dir, inst).join(
-        inst.select("prompt_id", F.col("output").alias("reference")), "prompt_id")
+    resp = resp if resp is not None else fx.responses(spark, sf_dir, inst)
+    return resp.join(inst.select("prompt_id", F.col("output").alias("reference")), "prompt_id")
 
 
-def open_rows(spark, sf_dir, stem=False):
-    inst = fx.instruct(spark, sf_dir)
-    return evaluate.open_rows(scored_pairs(spark, sf_dir, inst), fx.token_vectors(spark, sf_dir, inst), stem=stem)
+def open_rows(spark, sf_dir, stem=False, inst=None):
+    """Scored rows; prompts and responses are made once for texts and vectors."""
+    inst = inst if inst is not None else fx.written_instruct(spark, sf_dir)
+    resp = fx.written_responses(spark, sf_dir, inst)
+    return evaluate.open_rows(scored_pairs(spark, sf_dir, inst, resp),
+                              fx.token_vectors(spark, sf_dir, inst, resp), stem=stem)
 
 
 OPEN_COLUMNS = ("avg_response_length", "rouge1", "rouge2", "rougeL", "bertscore_f1")
