@@ -18,6 +18,7 @@ import hmac
 import re
 import secrets
 from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -203,12 +204,14 @@ def with_untitled(text: str, found: list, named: dict) -> list:
     """``found`` with the mentions of the named parts that have no title.
 
     ``named`` has the (start, gender) of the titled mentions of each part. A
-    part that the text also has in lower case is a common word: without title it
-    is no mention, and neither is one before a year ("May 2020").
+    part that the text also has in lower case, at least half as often, is a common
+    word: without title it is no mention, and neither is one before a year ("May 2020").
     """
     out, at = [], 0
-    named = {w: m for w, m in named.items() if not re.search(rf"(?<!\w){re.escape(w)}(?!\w)", text)
-             or w.upper() == w}
+    lower = {w: n for w in named if w.upper() != w and (n := len(re.findall(rf"(?<!\w){re.escape(w)}(?!\w)", text)))}
+    if lower:
+        n = Counter(p[0].lower() for p in _NAME_PART.finditer(text))
+        named = {w: m for w, m in named.items() if 2 * lower.get(w, 0) < n[w] or w not in lower}
     for p in _NAME_PART.finditer(text):
         end = p.end()
         titled = named.get(w := p[0].lower())
